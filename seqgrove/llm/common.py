@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqgrove.session import ship
+
 #: Word separators of every contract here: space and the five ASCII controls 9-13.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -54,6 +56,7 @@ def discard(df: DataFrame) -> None:
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Arrow batches are cut by bytes as well as rows, so very long texts don't pile up in one."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

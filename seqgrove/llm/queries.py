@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, token_output, warc
+from . import chat_format, decontaminate, jaccard_join, license_scan, lm_scoring, mixing, token_output, topk_search, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,7 @@ TRICKY = "\\### Assistant: </turn> ok"
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id bigint, turn bigint, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
     rows = rows.unionByName(extra)
     seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("bigint")
     events = rows.select(F.col("conv_id").alias("conv"), seq.alias("seq"), F.lit("message").alias("kind"), seq.alias("message"), "role", "text")
@@ -113,10 +113,73 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to FROM r
 """
 
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_table(spark, sf_dir, "documents")).select("doc_id", "digest", "license_id", "notices")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = lm_scoring.held_out_rows(F.col("doc_id"))
+    s = lm_scoring.score_texts(_table(spark, sf_dir, "documents"), ~held)
+    return s.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+x AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * shared >= 75 * (u.n + v.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT n.doc_id, n.n AS n_shingles, min(r.b)::BIGINT AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY 1, 2
+"""
+
+
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+OP9_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.e, d.e), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_decontamination": op3_decontamination,
     "op4_token_output": op4_token_output,
     "op5_mixing": op5_mixing,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_toxicity": op7_toxicity,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_topk_search": op9_topk_search,
     "op10_warc": op10_warc,
 }
-ORACLE: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op5_mixing": OP5_SQL, "op10_warc": OP10_SQL}
+ORACLE: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle(),
+    "op2_chat_formatting": OP2_SQL,
+    "op5_mixing": OP5_SQL,
+    "op8_jaccard_join": OP8_SQL,
+    "op9_topk_search": OP9_SQL,
+    "op10_warc": OP10_SQL,
+}

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, fresh_path, materialise, shuffle_parts, slices
+from .common import bounded_batches, discard, fresh_path, materialise, shuffle_parts
 
 #: Lengths (1 to 4) of the four values that a control byte describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -62,6 +62,24 @@ _single = re.compile(r"(?<=\S) (?=\S)")
 _odd = re.compile(r"\s(?=\s)|[^\S \n]")
 
 
+class _Pieces(dict):
+    """piece -> ids; what is new is encoded, and all is dropped beyond ``most`` pieces."""
+
+    def __init__(self, encode, lead: str, most: int):
+        self.one, self.lead, self.most = encode, lead, most
+
+    def __missing__(self, piece: str) -> bytes:
+        # a point or comma after a letter is always a pretoken of its own
+        if piece[-1:] in (".", ",") and piece[-2:-1].isalpha():
+            ids = self[piece[:-1]] + self.one(piece[-1])
+        else:
+            ids = self.one(self.lead + piece)
+        if len(self) >= self.most:
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Whole texts through the tokenizer, piece by piece with a bounded cache.
 
@@ -69,44 +87,25 @@ class PieceEncoder:
     of byte-level tokenizers, so texts are cut there and equal pieces are encoded once.
     """
 
-    def __init__(self, spec: str, most: int = 300_000):
+    def __init__(self, spec: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.t = Tokenizer.from_str(spec)
-        self.t.encode_special_tokens = True
-        self.most, self.inner, self.first = most, {}, {}
-        self.line = self._ids(["\n"])[0]
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _known(self, cache: dict, wanted, lead: str) -> None:
-        if len(cache) > self.most:
-            cache.clear()
-        new = list({x for x in wanted if x not in cache})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            cache.update(zip(some, self._ids([lead + x for x in some])))
+        t = Tokenizer.from_str(spec)
+        t.encode_special_tokens = True
+        one = lambda x: np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.marks = {x: one(x) for x in (".", ",", "\n", "")}
+        own = lambda x: self.marks[x] if x in self.marks else one(x)
+        self.inner, self.first = _Pieces(own, " ", most), _Pieces(own, "", most // 8)
 
     def encode(self, text: str) -> bytes:
-        if _odd.search(text) or text[:1].isspace() or text[-1:].isspace():
-            parts = _single.split(text)
-            return self._line(parts)
-        out = []
-        for line in text.split("\n"):
-            out.append(self._line(line.split(" ")))
-        return self.line.join(out)
+        """The ids as little-endian 32-bit integers."""
+        plain = text.replace("\n", "").isprintable() and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text
+        if text[:1].isspace() or text[-1:].isspace() or not plain and _odd.search(text):
+            return self._line(_single.split(text))
+        return self.marks["\n"].join([self._line(x.split(" ")) for x in text.split("\n")])
 
     def _line(self, parts: list[str]) -> bytes:
-        head, rest, inner = parts[0], parts[1:], self.inner
-        if head not in self.first:
-            self._known(self.first, [head], "")
-        start = self.first[head]
-        try:
-            return start + b"".join([inner[x] for x in rest])
-        except KeyError:
-            self._known(inner, rest, " ")
-            return start + b"".join([inner[x] for x in rest])
+        return self.first[parts[0]] + b"".join(map(self.inner.__getitem__, parts[1:]))
 
 
 _encoders: dict[int, PieceEncoder] = {}
