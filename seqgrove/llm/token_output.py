@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, fresh_path, materialise, shuffle_parts
+from .common import bounded_batches, discard, fresh_path, materialise, mix, powers, shuffle_parts
 
 #: Lengths (1 to 4) of the four values that a control byte describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -58,54 +58,124 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-_single = re.compile(r"(?<=\S) (?=\S)")
 _odd = re.compile(r"\s(?=\s)|[^\S \n]")
-
-
-class _Pieces(dict):
-    """piece -> ids; what is new is encoded, and all is dropped beyond ``most`` pieces."""
-
-    def __init__(self, encode, lead: str, most: int):
-        self.one, self.lead, self.most = encode, lead, most
-
-    def __missing__(self, piece: str) -> bytes:
-        # a point or comma after a letter is always a pretoken of its own
-        if piece[-1:] in (".", ",") and piece[-2:-1].isalpha():
-            ids = self[piece[:-1]] + self.one(piece[-1])
-        else:
-            ids = self.one(self.lead + piece)
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = ids
-        return ids
+_SPACE, _LINE, _END = 0x20, 0x0A, 0x00
+_LETTER = np.zeros(256, bool)
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
+#: What stands before a piece: nothing, a space (part of its first token), a line feed, or a letter.
+_LEADS = {0: "", 1: " ", 2: "\n", 3: ""}
 
 
 class PieceEncoder:
-    """Whole texts through the tokenizer, piece by piece with a bounded cache.
+    """Whole texts through the tokenizer, each distinct piece once.
 
-    A lone space or line feed between two other characters always starts a pretoken of this family
-    of byte-level tokenizers, so texts are cut there and equal pieces are encoded once.
+    A lone space or line feed between two other characters starts a pretoken of this family of byte-level
+    tokenizers, and so does a point or comma between an ASCII letter and one of these. Texts are cut there.
+    Pieces are known by 64-bit hashes in sorted arrays, with their ids in one pool; texts with other white
+    space are encoded whole. Beyond ``most`` pieces the table starts anew.
     """
 
-    def __init__(self, spec: str, most: int = 800_000):
+    def __init__(self, spec: str, most: int = 4_000_000):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_str(spec)
-        t.encode_special_tokens = True
-        one = lambda x: np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        self.marks = {x: one(x) for x in (".", ",", "\n", "")}
-        own = lambda x: self.marks[x] if x in self.marks else one(x)
-        self.inner, self.first = _Pieces(own, " ", most), _Pieces(own, "", most // 8)
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        plain = text.replace("\n", "").isprintable() and "  " not in text and "\n\n" not in text and " \n" not in text and "\n " not in text
-        if text[:1].isspace() or text[-1:].isspace() or not plain and _odd.search(text):
-            return self._line(_single.split(text))
-        return self.marks["\n"].join([self._line(x.split(" ")) for x in text.split("\n")])
-
-    def _line(self, parts: list[str]) -> bytes:
-        return self.first[parts[0]] + b"".join(map(self.inner.__getitem__, parts[1:]))
+        self.t = Tokenizer.from_str(spec)
+        self.t.encode_special_tokens = True
+        self.most = most
+        self._reset()
+
+    def _reset(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.tables = [(np.zeros(0, np.uint64), none, none), (np.zeros(0, np.uint64), none, none)]
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.t.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, offset in the pool, number of ids)"""
+        known, at, n = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for k, a, m in self.tables:
+            if len(k):
+                i = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+                hit = k[i] == keys
+                known |= hit
+                at[hit], n[hit] = a[i[hit]], m[i[hit]]
+        return known, at, n
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        one, ids, lens = self.t.encode, [], []
+        for p in pieces:
+            x = one(p, add_special_tokens=False).ids
+            ids += x
+            lens.append(len(x))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.used), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        lens = np.array(lens, np.int64)
+        new = (keys, self.used + np.cumsum(lens) - lens, lens)
+        self.used += len(ids)
+        for level in (1, 0):  # recent pieces are kept apart until they are a quarter of all
+            old = self.tables[level]
+            both = [np.concatenate(x) for x in zip(old, new)]
+            order = np.argsort(both[0])
+            new = tuple(x[order] for x in both)
+            if level and len(new[0]) * 4 < len(self.tables[0][0]):
+                self.tables[1] = new
+                return
+        self.tables = [new, (new[0][:0], new[1][:0], new[2][:0])]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            odd = "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1].isspace() or t[-1:].isspace()
+            if odd or not t.replace("\n", "").isprintable() and (_odd.search(t) or "\0" in t):
+                out[i] = self.whole(t)
+            else:
+                plain.append(i)
+        for i, ids in zip(plain, self._plain([texts[i] for i in plain])):
+            out[i] = ids
+        return out
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        coded = [t.encode() for t in texts]
+        raw = np.frombuffer(b"\0" + b"\0".join(coded) + b"\0", np.uint8)
+        sep = (raw == _SPACE) | (raw == _LINE) | (raw == _END)
+        glued = np.zeros(len(raw), bool)
+        mark = np.flatnonzero((raw == 0x2E) | (raw == 0x2C))
+        glued[mark[_LETTER[raw[mark - 1]] & sep[mark + 1]]] = True
+        starts = np.flatnonzero(~sep[1:] & (sep[:-1] | glued[1:])) + 1
+        if not len(starts):
+            return [np.zeros(0, np.uint32) for _ in texts]
+        before = raw[starts - 1]
+        lead = np.where(before == _SPACE, 1, np.where(before == _LINE, 2, np.where(before == _END, 0, 3)))
+        inside = ~sep
+        body = raw[inside].astype(np.uint64) + np.uint64(1)
+        upto = np.cumsum(inside)
+        at = upto[starts] - 1
+        lens = np.diff(np.append(at, len(body)))
+        body *= powers(int(lens.max()))[np.arange(len(body)) - np.repeat(at, lens)]
+        keys = mix(mix(np.add.reduceat(body, at) ^ lens.astype(np.uint64)) + powers(5)[lead + 1])
+        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        known, where, n = self._look(unique)
+        if not known.all():
+            new = np.flatnonzero(~known)
+            if len(self.tables[0][0]) + len(self.tables[1][0]) + len(new) > self.most:
+                self._reset()
+                new = np.arange(len(unique))
+            f = first[new]
+            blob = raw.tobytes()
+            self._learn(unique[new], [_LEADS[k] + blob[s : s + m].decode() for k, s, m in zip(lead[f].tolist(), starts[f].tolist(), lens[f].tolist())])
+            _, where, n = self._look(unique)
+        n, where = n[back], where[back]
+        ends = np.cumsum(n)
+        ids = self.pool[np.repeat(where - (ends - n), n) + np.arange(ends[-1])]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        last = np.searchsorted(starts, np.cumsum(sizes + 1))  # pieces up to each text's end
+        cut = np.concatenate([[0], ends])[last]
+        return np.split(ids, cut[:-1])
 
 
 _encoders: dict[int, PieceEncoder] = {}
@@ -122,24 +192,23 @@ def _encoder(spec) -> PieceEncoder:
 
 
 def _tokenise(spec, end_id: int, block_ids: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype="<u4")
 
     def run(batches):
         enc, part, block = _encoder(spec), TaskContext.get().partitionId(), 0
         docs, lens, ids, held = [], [], [], 0
 
         def row():
-            a = np.frombuffer(b"".join(ids), "<u4")
-            raw = (b"2" + a.astype("<u2").tobytes()) if not len(a) or a.max() < 65536 else b"4" + a.tobytes()
+            a = np.concatenate(ids)
+            raw = (b"2" + a.astype("<u2").tobytes()) if not len(a) or a.max() < 65536 else b"4" + a.astype("<u4").tobytes()
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "doc_ids": pa.array([docs], pa.list_(pa.int64())), "lengths": pa.array([lens], pa.list_(pa.int64())), "ids": pa.array([raw], pa.binary()), "n": pa.array([len(a)], pa.int64())})
 
         for b in batches:
-            for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
-                x = enc.encode(text) + end
+            for doc, x in zip(b.column("doc").to_pylist(), enc.encode(b.column("text").to_pylist())):
                 docs.append(doc)
-                lens.append(len(x) // 4)
-                ids.append(x)
-                held += len(x) // 4
+                lens.append(len(x) + 1)
+                ids += [x, end]
+                held += len(x) + 1
                 if held >= block_ids:
                     yield row()
                     block, docs, lens, ids, held = block + 1, [], [], [], 0
@@ -185,7 +254,7 @@ def write_tokens(docs: DataFrame, spec: str, path: str, end_id: int = 2, id_col:
     side of a join, so memory doesn't grow with the texts.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 500, "4m")
+    bounded_batches(spark, 2000, "8m")
     spec_b = spark.sparkContext.broadcast(spec)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = src.repartitionByRange(shuffle_parts(spark), "doc").sortWithinPartitions("doc", "text")
