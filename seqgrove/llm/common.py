@@ -1,16 +1,16 @@
-"""Shared pieces: the folder all executors see, bounded Arrow batches, text and hash kernels."""
+"""Shared pieces: bounded Arrow batches, text and hash kernels."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqgrove.session import ship
+from seqgrove.storage import discard, fresh_path, materialise, shared_dir
+
+__all__ = ["discard", "fresh_path", "materialise", "shared_dir"]
 
 #: Word separators of every contract here: space and the five ASCII controls 9-13.
 SPACE = np.zeros(256, dtype=bool)
@@ -18,42 +18,6 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one is set only where none is (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not d:
-        jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = jvm.get() if jvm.isDefined() else None
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="seqgrove-")
-        spark.sparkContext.setCheckpointDir(d)
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._seqgrove_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a materialised table that nothing reads any more."""
-    path = getattr(df, "_seqgrove_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Arrow batches are cut by bytes as well as rows, so very long texts don't pile up in one."""
     ship(spark)
