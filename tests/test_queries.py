@@ -12,7 +12,7 @@ SLOW = {"q19_motif_features", "q20_motif_matches"}
 
 def canonical(df):
     def one(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or str(v) in ("<NA>", "nan", "None"):
             return "NULL"
         return f"{float(v):.8g}" if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
 
