@@ -173,14 +173,15 @@ class Matcher:
         return [(i, *b) for n, b in best.items() for i in self.ids[n]]
 
 
-_cache: dict[int, Matcher] = {}
+_last: tuple = (None, None)
 
 
 def _matcher(items) -> Matcher:
-    if id(items) not in _cache:
-        _cache.clear()
-        _cache[id(items)] = Matcher(*items.value)
-    return _cache[id(items)]
+    """One matcher a worker and broadcast; the broadcast is kept, so that it stays the one that is known."""
+    global _last
+    if _last[0] is not items:
+        _last = (items, Matcher(*items.value))
+    return _last[1]
 
 
 MATCH = "doc_id bigint, item_id bigint, distance int, allowed int, start int, end int"
