@@ -105,7 +105,7 @@ def build(spark: SparkSession, cfg: BuildConfig) -> dict[str, bool]:
         rows = []
         for e in entries:
             try:
-                rows.append((len(rows), e["name"], e["ac"], e["description"], e["pattern"], motif_lang.translate(e["pattern"]), "prosig"))
+                rows.append((len(rows), e["name"], e["ac"], e["description"], e["pattern"], motif_lang.translate(e["pattern"]), "translated"))
             except ValueError:
                 continue
         return spark.createDataFrame(rows, "ord long, name string, ac string, description string, prosite_pattern string, pattern string, status string")

@@ -51,12 +51,18 @@ def excluded(annotations: DataFrame, namespace: str = "F", low: tuple[str, ...]
 
 
 def read_motifs(spark: SparkSession, path: str) -> DataFrame:
-    """ord, name, description, pattern, status: blank or repeated names are errors."""
-    m = read_tsv(spark, path, ("name", "description", "prosig_pattern", "status"), comment="#")
+    """ord, name, description, pattern, status: blank or repeated names are errors.
+
+    The motif stands in ``pattern``, or in the one column ``..._pattern`` that isn't the PROSITE source."""
+    m = read_tsv(spark, path, ("name", "description", "status"), comment="#")
+    found = [c for c in m.columns if c == "pattern" or c.endswith("_pattern") and c != "prosite_pattern"]
+    if len(found) != 1:
+        raise ValueError(f"{path} must have one column of motif patterns")
+    m = m.withColumnRenamed(found[0], "pattern")
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    _refuse(m.where(blank("name") | blank("prosig_pattern") | blank("status")), "motif rows with blank fields", "name")
+    _refuse(m.where(blank("name") | blank("pattern") | blank("status")), "motif rows with blank fields", "name")
     _refuse(m.groupBy("name").count().where("count > 1"), "repeated motif names", "name")
-    return m.select(F.monotonically_increasing_id().alias("ord"), "name", F.coalesce("description", F.lit("")).alias("description"), F.col("prosig_pattern").alias("pattern"), "status")
+    return m.select(F.monotonically_increasing_id().alias("ord"), "name", F.coalesce("description", F.lit("")).alias("description"), "pattern", "status")
 
 
 def read_members(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

@@ -132,8 +132,8 @@ def test_profiles(spark, tmp_path):
 
 
 def test_motif_table(spark, tmp_path):
-    head = "# made by us\nname\tdescription\tprosig_pattern\tstatus\n"
-    (tmp_path / "m.tsv").write_text(head + "A\tfirst\tAA\tprosig\n# between\nB\t\tBB\tprosig\n")
+    head = "# made by us\nname\tdescription\tmotif_pattern\tstatus\n"
+    (tmp_path / "m.tsv").write_text(head + "A\tfirst\tAA\tok\n# between\nB\t\tBB\tok\n")
     assert [(r.name, r.pattern) for r in tables.read_motifs(spark, str(tmp_path / "m.tsv")).orderBy("ord").collect()] == [("A", "AA"), ("B", "BB")]
     for bad in ("A\tx\tAA\tp\nA\tx\tAA\tp\n", "A\tx\t\tp\n"):
         (tmp_path / "bad.tsv").write_text(head + bad)
