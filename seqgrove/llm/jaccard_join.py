@@ -1,16 +1,18 @@
 """N-gram Jaccard join: rare-first prefixes, length, positional and suffix filters, one verification a pair.
 
 1. One pass hashes every text to its set of word n-grams. Texts with equal sets are one *node* (a 128-bit
-   digest), so exact copies never form pairs. The same pass counts all n-grams in a fixed number of hash
-   buckets; these counts order n-grams from rare to frequent everywhere alike.
+   digest), so exact copies never form pairs. The same pass counts all n-grams and all words in a fixed
+   number of hash buckets. The bucket of an n-gram and those of its words bound how often it occurs; the
+   least of these bounds orders n-grams from rare to frequent, everywhere alike.
 2. A second pass emits the prefix n-grams of each node, packed by hash partition; an n-gram that only one
    node has is dropped where its partition meets. What is left are the groups of nodes that share an n-gram.
 3. First each group links its smallest node to the others (a star), never all pairs. Pairs that pass the
    length and the positional filter are made distinct, checked by the suffix filter (a bound of the overlap
    from the sizes of fixed parts of both sets) and verified on the whole sets.
-4. Then every group whose nodes are not yet one component gives the pairs across components, which are
-   filtered and verified in the same way. So any two linked texts end in one component, while a group of
-   many near copies costs about as many pairs as it has members.
+4. Groups whose nodes are not yet one component give stars around other nodes, across components only, a
+   few times while that still links. At last every pair across components is filtered and verified in the
+   same way. So any two linked texts end in one component, while a group of many near copies costs a few
+   times as many pairs as it has members.
 
 Defined cases: texts without words (or null) have the empty set and link with nothing; a text shorter than
 n words is one n-gram of its whole sequence; rows with equal ids are kept apart by their sets; a null id is
@@ -27,16 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, discard, materialise, mix, shuffle_parts, utf8, word_hashes
-from .components import components
+from seqgrove.operators.components import components
 
 SKETCH_BITS = 21
-PIECES = 32
-CLASSES = 32
+PIECES = 64
 
 
 def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word n-grams, words by the ASCII-only rules."""
-    h, counts = word_hashes(texts)
+    return _sets_of(*word_hashes(texts), n)
+
+
+def _sets_of(h: np.ndarray, counts: np.ndarray, n: int, bound: np.ndarray | None = None):
+    """The sets; with bounds of the words' counts also the least bound of each n-gram's words."""
     at = np.cumsum(counts) - counts
     turn = mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
     if len(h) >= n:
@@ -44,15 +49,25 @@ def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
         for k in range(1, n):
             g = g + h[k : len(h) - n + 1 + k] * turn[k]
         g = mix(g)
-    out = []
+        if bound is not None:
+            least = bound[: len(g)]
+            for k in range(1, n):
+                least = np.minimum(least, bound[k : len(g) + k])
+    out, bounds = [], []
     for a, c in zip(at.tolist(), counts.tolist()):
-        if c >= n:
+        if c >= n and bound is None:
             out.append(np.unique(g[a : a + c - n + 1]))
+        elif c >= n:
+            s, first = np.unique(g[a : a + c - n + 1], return_index=True)
+            out.append(s)
+            bounds.append(least[a + first])
         elif c:
             out.append(mix((h[a : a + c] * turn[:c]).sum(keepdims=True) + np.uint64(c)))
+            bounds.append(bound[a : a + c].min(keepdims=True) if bound is not None else None)
         else:
             out.append(np.zeros(0, np.uint64))
-    return out
+            bounds.append(out[-1])
+    return out if bound is None else (out, bounds)
 
 
 def node_of(s: np.ndarray) -> bytes:
@@ -63,40 +78,53 @@ def _sketch_at(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-SUMMARY = "doc bigint, n bigint, node binary, hist binary, piece int, counts binary"
+SUMMARY = "doc bigint, n bigint, node binary, piece int, counts binary"
 
 
 def _summaries(n: int):
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        grams, words = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            sets = shingle_sets(b.column("text").to_pylist(), n)
+            h, counts = word_hashes(b.column("text").to_pylist())
+            sets = _sets_of(h, counts, n)
             if not sets:
                 continue
-            sketch += np.bincount(_sketch_at(np.concatenate(sets)), minlength=len(sketch))
-            hist = [np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES).astype("<u4").tobytes() if len(s) else None for s in sets]
+            grams += np.bincount(_sketch_at(np.concatenate(sets)), minlength=len(grams))
+            words += np.bincount(_sketch_at(h), minlength=len(words))
             k = len(sets)
-            yield pa.RecordBatch.from_pydict({"doc": b.column("doc"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), "hist": pa.array(hist, pa.binary()), "piece": pa.nulls(k, pa.int32()), "counts": pa.nulls(k, pa.binary())})
-        yield from _sketch_rows(sketch)
+            yield pa.RecordBatch.from_pydict({"doc": b.column("doc"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), "piece": pa.nulls(k, pa.int32()), "counts": pa.nulls(k, pa.binary())})
+        yield from _sketch_rows(np.concatenate([grams, words]))
 
     return run
 
 
+def _classes(n: int) -> int:
+    """About one n-gram a class, from the size of the smallest set that may still match: texts that can
+    match have equal numbers or neighbours of them."""
+    return max(16, 1 << max(0, n.bit_length() - 1))
+
+
+def _parts(s: np.ndarray) -> bytes:
+    """Sizes of the parts of a set, by hash class: at most 255 is told exactly, more as 255."""
+    c = _classes(len(s))
+    return np.minimum(np.bincount((s & np.uint64(c - 1)).astype(np.int64), minlength=c), 255).astype(np.uint8).tobytes()
+
+
 def _sketch_rows(sketch: np.ndarray, bare: bool = False):
     if sketch.any():
         parts = [x.astype("<u2").tobytes() if x.max() < 65536 else x.astype("<u8").tobytes() for x in np.split(sketch, PIECES)]
         own = {"piece": pa.array(range(PIECES), pa.int32()), "counts": pa.array(parts, pa.binary())}
-        rest = {} if bare else {"doc": pa.nulls(PIECES, pa.int64()), "n": pa.nulls(PIECES, pa.int64()), "node": pa.nulls(PIECES, pa.binary()), "hist": pa.nulls(PIECES, pa.binary())}
+        rest = {} if bare else {"doc": pa.nulls(PIECES, pa.int64()), "n": pa.nulls(PIECES, pa.int64()), "node": pa.nulls(PIECES, pa.binary())}
         yield pa.RecordBatch.from_pydict(rest | own)
 
 
 def _piece_counts(raw: bytes) -> np.ndarray:
-    size = (1 << SKETCH_BITS) // PIECES
+    size = (2 << SKETCH_BITS) // PIECES
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * size else "<u8").astype(np.int64)
 
 
 def _sum_sketches(batches):
-    total = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), np.int64)
+    total = np.zeros((PIECES, (2 << SKETCH_BITS) // PIECES), np.int64)
     for b in batches:
         for p, c in zip(b.column("piece").to_pylist(), b.column("counts").to_pylist()):
             total[p] += _piece_counts(c)
@@ -104,17 +132,17 @@ def _sum_sketches(batches):
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
-    """The sum of all tasks' counts, level by level; of fixed size (2 ** SKETCH_BITS numbers)."""
+    """The sum of all tasks' counts, level by level; of fixed size (2 ** SKETCH_BITS numbers twice)."""
     kind = "piece int, counts binary"
     part = rows.mapInArrow(_sum_sketches, kind)
     n = rows.rdd.getNumPartitions()
-    while n > 16:
+    while n > 1:
         n = -(-n // 16)
         part = part.repartition(n).mapInArrow(_sum_sketches, kind)
-    total = np.zeros((PIECES, (1 << SKETCH_BITS) // PIECES), np.int64)
-    for r in part.collect():
-        total[r["piece"]] += _piece_counts(bytes(r["counts"]))
-    return np.minimum(total.ravel(), 2**32 - 1).astype(np.uint32)
+    total = np.zeros((PIECES, (2 << SKETCH_BITS) // PIECES), np.uint32)
+    for r in part.toLocalIterator():
+        total[r["piece"]] += np.minimum(_piece_counts(bytes(r["counts"])), 2**32 - 1).astype(np.uint32)
+    return total.reshape(2, -1)
 
 
 class Threshold:
@@ -181,7 +209,8 @@ def _prefixes(sketch, n: int, t: Threshold, parts: int, flush: int = 1_500_000):
         counts = sketch.value
         seen, nodes, sizes, hs, ps, held = set(), [], [], [], [], 0
         for b in batches:
-            for s in shingle_sets(b.column("text").to_pylist(), n):
+            words, per = word_hashes(b.column("text").to_pylist())
+            for s, bound in zip(*_sets_of(words, per, n, counts[1][_sketch_at(words)])):
                 if not len(s):
                     continue
                 node = node_of(s)
@@ -189,7 +218,7 @@ def _prefixes(sketch, n: int, t: Threshold, parts: int, flush: int = 1_500_000):
                     continue
                 seen.add(node)
                 k = int(t.prefix(len(s)))
-                f = counts[_sketch_at(s)]
+                f = np.minimum(counts[0][_sketch_at(s)], bound)
                 if k < len(s):
                     few = np.flatnonzero(f <= np.partition(f, k - 1)[k - 1])
                     few = few[np.argsort(f[few], kind="stable")][:k]
@@ -283,8 +312,10 @@ def _stars(t: Threshold, lots: int):
     return run
 
 
-def _across(t: Threshold, lots: int):
-    """Pairs of a group whose nodes carry different labels; rows: the packed groups and (node, label)."""
+def _across(t: Threshold, lots: int, turn: int | None):
+    """Pairs of a group whose nodes carry different labels; rows: the packed groups and (node, label).
+
+    turn: only pairs with one node of each group, another one each turn; None: all pairs."""
 
     def run(key, groups, labels):
         label = dict(zip(labels["node"].to_pylist(), labels["label"].to_pylist()))
@@ -297,6 +328,17 @@ def _across(t: Threshold, lots: int):
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             ends = np.append(starts[1:], len(h))
             mixed = np.minimum.reduceat(lab, starts) != np.maximum.reduceat(lab, starts)
+            if turn is not None:
+                key = mix(np.array([int.from_bytes(x[:8], "little") for x in names], np.uint64) + np.uint64(turn))[d]
+                least = np.minimum.reduceat(key, starts)
+                lens = ends - starts
+                centre = np.flatnonzero(key == np.repeat(least, lens))
+                _, once = np.unique(np.repeat(np.arange(len(starts)), lens)[centre], return_index=True)
+                centre = np.repeat(centre[once], lens)
+                i = np.flatnonzero(lab != lab[centre])
+                i = i[_fits(t, n, d, pos, centre[i], i)]
+                out += _pair_rows(names, d[centre[i]], d[i], lots)
+                continue
             aa, bb, held = [], [], 0
             for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
                 for i in range(s, e - 1):
@@ -321,13 +363,23 @@ def _distinct_pairs(key, rows):
     return pa.table({"u": pa.array([x[:16] for x in pairs], pa.binary()), "v": pa.array([x[16:] for x in pairs], pa.binary())})
 
 
+def _overlap_bound(x: bytes, y: bytes, m: int, k: int) -> int:
+    """No more n-grams in common than the smaller of two parts has, summed over the parts."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if max(a.max(), b.max()) == 255:
+        return min(m, k)
+    c = min(len(a), len(b))  # a power of two: coarser parts are sums of finer ones
+    a, b = a.reshape(-1, c).sum(0), b.reshape(-1, c).sum(0)
+    return int(np.minimum(a, b).sum())
+
+
 def _suffix_ok(t: Threshold):
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u4").reshape(-1, CLASSES).astype(np.int64) for c in ("hu", "hv"))
-            ok = t.enough(np.minimum(x, y).sum(1), x.sum(1), y.sum(1))
+            rows = zip(*(b.column(c).to_pylist() for c in ("hu", "hv", "nu", "nv")))
+            ok = [bool(t.enough(_overlap_bound(x, y, m, k), m, k)) for x, y, m, k in rows]
             yield pa.RecordBatch.from_pydict({c: b.column(c).filter(pa.array(ok)) for c in ("u", "v")})
 
     return run
@@ -362,8 +414,11 @@ def _bloom(nodes: DataFrame) -> np.ndarray:
     return bits
 
 
+NODE = "node binary, n bigint, hist binary, grams binary"
+
+
 def _sets(bloom, n: int):
-    """node, grams of the texts that the filter lets through, each node once a batch."""
+    """node, n, hist, grams of the texts that the filter lets through, each node once a batch."""
 
     def run(batches):
         bits = bloom.value
@@ -373,45 +428,57 @@ def _sets(bloom, n: int):
                 if len(s):
                     node = node_of(s)
                     if node not in found and all(bits[i >> 3] & (128 >> (i & 7)) for i in _bloom_at(node)):
-                        found[node] = s.tobytes()
+                        found[node] = s
             if found:
-                yield pa.RecordBatch.from_pydict({"node": pa.array(list(found), pa.binary()), "grams": pa.array(list(found.values()), pa.binary())})
+                v = found.values()
+                yield pa.RecordBatch.from_pydict({"node": pa.array(list(found), pa.binary()), "n": pa.array([len(s) for s in v], pa.int64()), "hist": pa.array([_parts(s) for s in v], pa.binary()), "grams": pa.array([s.tobytes() for s in v], pa.binary())})
 
     return run
 
 
 def _verified(t: Threshold):
+    """Verifies every pair; what a partition's links join is told by one link a node."""
+
     def run(batches):
+        up: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("gu").to_pylist(), b.column("gv").to_pylist()):
+            for u, v, x, y in zip(*(b.column(c).to_pylist() for c in ("u", "v", "gu", "gv"))):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = np.sort(np.concatenate([x, y]), kind="stable")
-                ok.append(bool(t.enough(int((both[1:] == both[:-1]).sum()), len(x), len(y))))
-            yield pa.RecordBatch.from_pydict({c: b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("u", "v")})
+                if t.enough(int((both[1:] == both[:-1]).sum()), len(x), len(y)):
+                    u, v = sorted((root(u), root(v)))
+                    up[v] = u
+        tree = [(x, root(x)) for x in up if up[x] != x]
+        yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in tree], pa.binary()), "v": pa.array([r for _, r in tree], pa.binary())})
 
     return run
 
 
-def _links(docs: DataFrame, nodes: DataFrame, packed: DataFrame, done: DataFrame | None, t: Threshold, n: int) -> tuple[DataFrame, DataFrame]:
-    """Packed candidate pairs -> (pairs that were verified, pairs that link)."""
-    spark = docs.sparkSession
+def _links(nodes: DataFrame, packed: DataFrame, done: DataFrame | None, t: Threshold) -> tuple[DataFrame, DataFrame]:
+    """Packed candidate pairs -> (pairs that were verified, links that join what their links join).
+
+    nodes: node, n, hist, grams."""
     pairs = packed.groupBy("lot").applyInArrow(_distinct_pairs, "u binary, v binary")
     if done is not None:
         pairs = pairs.join(done, ["u", "v"], "left_anti")
-    hu, hv = (nodes.select(F.col("node").alias(c), F.col("hist").alias(f"h{c}")) for c in "uv")
-    pairs = materialise(pairs.join(hu, "u").join(hv, "v").select("u", "v", "hu", "hv").mapInArrow(_suffix_ok(t), "u binary, v binary"), "jaccard-pairs")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node")))
-    bloom = spark.sparkContext.broadcast(_bloom(wanted))
-    sets = docs.mapInArrow(_sets(bloom, n), "node binary, grams binary")
-    # of copies one is enough; the filter's few false hits find no partner
-    sets = materialise(sets.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")), "jaccard-sets")
-    gu, gv = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in "uv")
+    hu, hv = (nodes.select(F.col("node").alias(c), F.col("hist").alias(f"h{c}"), F.col("n").alias(f"n{c}")) for c in "uv")
+    pairs = materialise(pairs.join(hu, "u").join(hv, "v").select("u", "v", "hu", "hv", "nu", "nv").mapInArrow(_suffix_ok(t), "u binary, v binary"), "jaccard-pairs")
+    gu, gv = (nodes.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in "uv")
     links = materialise(pairs.join(gu, "u").join(gv, "v").select("u", "v", "gu", "gv").mapInArrow(_verified(t), "u binary, v binary"), "jaccard-links")
-    discard(sets)
     return pairs, links
 
 
+#: Stars around further nodes before all pairs across components are taken.
+TURNS = 5
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, node of every row."""
     spark = docs.sparkSession
@@ -420,23 +487,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     src = docs.select(F.col(id_col).cast("bigint").alias("doc"), utf8(F.col(text_col)).alias("text"))
     first = materialise(src.mapInArrow(_summaries(n), SUMMARY), "jaccard-summaries")
     sketch = spark.sparkContext.broadcast(_sketch(first.where("piece is not null").select("piece", "counts")))
-    rows = first.where("piece is null").select("doc", "n", "node", "hist")
+    rows = first.where("piece is null").select("doc", "n", "node")
     texts = src.select("text")
     packed = texts.mapInArrow(_prefixes(sketch, n, t, parts), "p int, blob binary")
     groups = materialise(packed.repartition(parts, "p").mapInArrow(_shared, "p int, blob binary"), "jaccard-groups")
 
-    nodes = rows.where("node is not null").groupBy("node").agg(F.first("hist").alias("hist"))
-    star = groups.select("blob").mapInArrow(_stars(t, parts), "lot int, pairs binary")
-    done, links = _links(texts, nodes, star, None, t, n)
-    comp = components(links)
+    # the whole sets of the nodes that share an n-gram with another: of copies one is enough
+    members = materialise(groups.mapInArrow(_members, "node binary").distinct(), "jaccard-members")
+    bloom = spark.sparkContext.broadcast(_bloom(members))
+    nodes = texts.mapInArrow(_sets(bloom, n), NODE).join(members, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "hist", "grams")])
+    nodes = materialise(nodes, "jaccard-sets")
 
-    members = groups.mapInArrow(_members, "p int, node binary")
-    labels = members.join(comp.select(F.col("u").alias("node"), F.col("v").alias("label")), "node").select("p", "node", "label")
-    across = groups.groupBy("p").cogroup(labels.groupBy("p")).applyInArrow(_across(t, parts), "lot int, pairs binary")
-    _, more = _links(texts, nodes, across, done, t, n)
-    if more.take(1):
-        comp = components(comp.unionByName(more))
+    done, links = _links(nodes, groups.select("blob").mapInArrow(_stars(t, parts), "lot int, pairs binary"), None, t)
+    comp = components(links)
+    own = groups.select("p", "blob")
+    for turn in [*range(1, TURNS + 1), None]:
+        linked = comp.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        labels = groups.mapInArrow(_member_rows, "p int, node binary").join(linked, "node").select("p", "node", "label")
+        across = own.groupBy("p").cogroup(labels.groupBy("p")).applyInArrow(_across(t, parts, turn), "lot int, pairs binary")
+        tried, more = _links(nodes, across, done, t)
+        if more.take(1):
+            comp = components(comp.unionByName(more))
+        elif turn is not None and not tried.take(1):
+            continue
+        done = done.unionByName(tried)
     discard(groups)
+    discard(nodes)
 
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("own"))
     comp = comp.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -449,6 +525,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _members(batches):
+    for b in batches:
+        for blob in b.column("blob").to_pylist():
+            yield pa.RecordBatch.from_pydict({"node": pa.array(_unpack(blob)[0], pa.binary())})
+
+
+def _member_rows(batches):
     for b in batches:
         for p, blob in zip(b.column("p").to_pylist(), b.column("blob").to_pylist()):
             names = _unpack(blob)[0]
