@@ -6,13 +6,13 @@
    least of these bounds orders n-grams from rare to frequent, everywhere alike.
 2. A second pass emits the prefix n-grams of each node, packed by hash partition; an n-gram that only one
    node has is dropped where its partition meets. What is left are the groups of nodes that share an n-gram.
-3. First each group links its smallest node to the others (a star), never all pairs. Pairs that pass the
+3. First each group pairs a few of its nodes with all others (stars), never all pairs. Pairs that pass the
    length and the positional filter are made distinct, checked by the suffix filter (a bound of the overlap
    from the sizes of fixed parts of both sets) and verified on the whole sets.
 4. Groups whose nodes are not yet one component give stars around other nodes, across components only, a
-   few times while that still links. At last every pair across components is filtered and verified in the
-   same way. So any two linked texts end in one component, while a group of many near copies costs a few
-   times as many pairs as it has members.
+   few times. At last every pair across components is filtered and verified in the same way, so any two
+   linked texts end in one component, while a group of many near copies costs a few times as many pairs as
+   it has members. Whole sets are only made for nodes of pairs that passed all filters.
 
 Defined cases: texts without words (or null) have the empty set and link with nothing; a text shorter than
 n words is one n-gram of its whole sequence; rows with equal ids are kept apart by their sets; a null id is
@@ -78,7 +78,7 @@ def _sketch_at(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-SUMMARY = "doc bigint, n bigint, node binary, piece int, counts binary"
+SUMMARY = "doc bigint, n bigint, node binary, hist binary, piece int, counts binary"
 
 
 def _summaries(n: int):
@@ -92,7 +92,7 @@ def _summaries(n: int):
             grams += np.bincount(_sketch_at(np.concatenate(sets)), minlength=len(grams))
             words += np.bincount(_sketch_at(h), minlength=len(words))
             k = len(sets)
-            yield pa.RecordBatch.from_pydict({"doc": b.column("doc"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), "piece": pa.nulls(k, pa.int32()), "counts": pa.nulls(k, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc": b.column("doc"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), "hist": pa.array([_parts(s) if len(s) else None for s in sets], pa.binary()), "piece": pa.nulls(k, pa.int32()), "counts": pa.nulls(k, pa.binary())})
         yield from _sketch_rows(np.concatenate([grams, words]))
 
     return run
@@ -114,7 +114,7 @@ def _sketch_rows(sketch: np.ndarray, bare: bool = False):
     if sketch.any():
         parts = [x.astype("<u2").tobytes() if x.max() < 65536 else x.astype("<u8").tobytes() for x in np.split(sketch, PIECES)]
         own = {"piece": pa.array(range(PIECES), pa.int32()), "counts": pa.array(parts, pa.binary())}
-        rest = {} if bare else {"doc": pa.nulls(PIECES, pa.int64()), "n": pa.nulls(PIECES, pa.int64()), "node": pa.nulls(PIECES, pa.binary())}
+        rest = {} if bare else {"doc": pa.nulls(PIECES, pa.int64()), "n": pa.nulls(PIECES, pa.int64()), "node": pa.nulls(PIECES, pa.binary()), "hist": pa.nulls(PIECES, pa.binary())}
         yield pa.RecordBatch.from_pydict(rest | own)
 
 
@@ -298,16 +298,33 @@ def _pair_rows(names, a, b, lots: int):
     yield pa.RecordBatch.from_pydict({"lot": pa.array(list(rows), pa.int32()), "pairs": pa.array([b"".join(v) for v in rows.values()], pa.binary())})
 
 
+def _centres(names: list[bytes], h: np.ndarray, d: np.ndarray, turn: int) -> np.ndarray:
+    """For each row the row of its group's centre: a node by a hash that differs each turn, equal everywhere."""
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    lens = np.diff(np.append(starts, len(h)))
+    key = mix(np.array([int.from_bytes(x[:8], "little") for x in names], np.uint64) + np.uint64(turn))[d]
+    group = np.repeat(np.arange(len(starts)), lens)
+    at = np.flatnonzero(key == np.minimum.reduceat(key, starts)[group])
+    return at[np.unique(group[at], return_index=True)[1]][group]
+
+
+#: Nodes of each group that are paired with all others before anything is known.
+STARS = 3
+
+
 def _stars(t: Threshold, lots: int):
     def run(batches):
         for b in batches:
             for blob in b.column("blob").to_pylist():
                 names, n, h, d, pos = _unpack(blob)
-                first = np.concatenate([[True], h[1:] != h[:-1]])
-                centre = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-                i = np.flatnonzero(~first)
-                i = i[_fits(t, n, d, pos, centre[i], i)]
-                yield from _pair_rows(names, d[centre[i]], d[i], lots)
+                a, z = [], []
+                for turn in range(STARS):
+                    centre = _centres(names, h, d, turn)
+                    i = np.flatnonzero(d != d[centre])
+                    i = i[_fits(t, n, d, pos, centre[i], i)]
+                    a.append(d[centre[i]])
+                    z.append(d[i])
+                yield from _pair_rows(names, np.concatenate(a), np.concatenate(z), lots)
 
     return run
 
@@ -329,12 +346,7 @@ def _across(t: Threshold, lots: int, turn: int | None):
             ends = np.append(starts[1:], len(h))
             mixed = np.minimum.reduceat(lab, starts) != np.maximum.reduceat(lab, starts)
             if turn is not None:
-                key = mix(np.array([int.from_bytes(x[:8], "little") for x in names], np.uint64) + np.uint64(turn))[d]
-                least = np.minimum.reduceat(key, starts)
-                lens = ends - starts
-                centre = np.flatnonzero(key == np.repeat(least, lens))
-                _, once = np.unique(np.repeat(np.arange(len(starts)), lens)[centre], return_index=True)
-                centre = np.repeat(centre[once], lens)
+                centre = _centres(names, h, d, turn)
                 i = np.flatnonzero(lab != lab[centre])
                 i = i[_fits(t, n, d, pos, centre[i], i)]
                 out += _pair_rows(names, d[centre[i]], d[i], lots)
@@ -414,11 +426,8 @@ def _bloom(nodes: DataFrame) -> np.ndarray:
     return bits
 
 
-NODE = "node binary, n bigint, hist binary, grams binary"
-
-
 def _sets(bloom, n: int):
-    """node, n, hist, grams of the texts that the filter lets through, each node once a batch."""
+    """node, grams of the texts that the filter lets through, each node once a batch."""
 
     def run(batches):
         bits = bloom.value
@@ -430,8 +439,7 @@ def _sets(bloom, n: int):
                     if node not in found and all(bits[i >> 3] & (128 >> (i & 7)) for i in _bloom_at(node)):
                         found[node] = s
             if found:
-                v = found.values()
-                yield pa.RecordBatch.from_pydict({"node": pa.array(list(found), pa.binary()), "n": pa.array([len(s) for s in v], pa.int64()), "hist": pa.array([_parts(s) for s in v], pa.binary()), "grams": pa.array([s.tobytes() for s in v], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"node": pa.array(list(found), pa.binary()), "grams": pa.array([s.tobytes() for s in found.values()], pa.binary())})
 
     return run
 
@@ -461,22 +469,74 @@ def _verified(t: Threshold):
     return run
 
 
-def _links(nodes: DataFrame, packed: DataFrame, done: DataFrame | None, t: Threshold) -> tuple[DataFrame, DataFrame]:
-    """Packed candidate pairs -> (pairs that were verified, links that join what their links join).
-
-    nodes: node, n, hist, grams."""
-    pairs = packed.groupBy("lot").applyInArrow(_distinct_pairs, "u binary, v binary")
-    if done is not None:
-        pairs = pairs.join(done, ["u", "v"], "left_anti")
-    hu, hv = (nodes.select(F.col("node").alias(c), F.col("hist").alias(f"h{c}"), F.col("n").alias(f"n{c}")) for c in "uv")
-    pairs = materialise(pairs.join(hu, "u").join(hv, "v").select("u", "v", "hu", "hv", "nu", "nv").mapInArrow(_suffix_ok(t), "u binary, v binary"), "jaccard-pairs")
-    gu, gv = (nodes.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in "uv")
-    links = materialise(pairs.join(gu, "u").join(gv, "v").select("u", "v", "gu", "gv").mapInArrow(_verified(t), "u binary, v binary"), "jaccard-links")
-    return pairs, links
-
-
-#: Stars around further nodes before all pairs across components are taken.
-TURNS = 5
+SMALL = 1_000_000
+
+
+def _only(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the wanted nodes: their names are broadcast up to ``SMALL``, else joined by a shuffle."""
+    few = wanted.count() <= SMALL
+    return table.join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+
+
+class _Search:
+    """Pairs to links: filters, whole sets as they are needed, verification."""
+
+    def __init__(self, texts: DataFrame, hists: DataFrame, t: Threshold, n: int):
+        self.texts, self.hists, self.t, self.n = texts, hists, t, n
+        self.sets: list[DataFrame] = []
+        self.done: DataFrame | None = None
+
+    def distinct(self, packed: DataFrame) -> DataFrame:
+        """Pairs that no earlier turn has tried and that pass the suffix filter."""
+        pairs = packed.groupBy("lot").applyInArrow(_distinct_pairs, "u binary, v binary")
+        if self.done is not None:
+            pairs = pairs.join(self.done, ["u", "v"], "left_anti")
+        pairs = materialise(pairs, "jaccard-candidates")
+        hists = _only(self.hists, _ends(pairs))
+        hu, hv = (hists.select(F.col("node").alias(c), F.col("hist").alias(f"h{c}"), F.col("n").alias(f"n{c}")) for c in "uv")
+        out = materialise(pairs.join(hu, "u").join(hv, "v").select("u", "v", "hu", "hv", "nu", "nv").mapInArrow(_suffix_ok(self.t), "u binary, v binary"), "jaccard-pairs")
+        discard(pairs)
+        return out
+
+    def fetch(self, pairs: DataFrame) -> None:
+        """Make the whole sets of nodes that have none yet, in one pass over the texts; of copies one will do."""
+        wanted = _ends(pairs)
+        for s in self.sets:
+            wanted = wanted.join(s.select("node"), "node", "left_anti")
+        wanted = materialise(wanted, "jaccard-wanted")
+        if wanted.take(1):
+            bloom = self.texts.sparkSession.sparkContext.broadcast(_bloom(wanted))
+            sets = _only(self.texts.mapInArrow(_sets(bloom, self.n), "node binary, grams binary"), wanted)
+            self.sets.append(materialise(sets.groupBy("node").agg(F.first("grams").alias("grams")), "jaccard-sets"))
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Links that join what the links among the pairs join; pairs without sets are left for later."""
+        self.done = pairs if self.done is None else self.done.unionByName(pairs)
+        if not self.sets:
+            return materialise(pairs.limit(0), "jaccard-links")
+        sets = self.sets[0]
+        for s in self.sets[1:]:
+            sets = sets.unionByName(s)
+        sets = _only(sets, _ends(pairs))
+        gu, gv = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in "uv")
+        return materialise(pairs.join(gu, "u").join(gv, "v").select("u", "v", "gu", "gv").mapInArrow(_verified(self.t), "u binary, v binary"), "jaccard-links")
+
+    def known(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose nodes both have their sets."""
+        have = self.hists.select("node").limit(0)
+        for s in self.sets:
+            have = have.unionByName(s.select("node"))
+        for c in "uv":
+            pairs = pairs.join(have.withColumnRenamed("node", c), c, "left_semi")
+        return pairs
+
+
+#: Stars around further nodes, across components, before all pairs across components are taken.
+TURNS = 4
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -492,27 +552,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     packed = texts.mapInArrow(_prefixes(sketch, n, t, parts), "p int, blob binary")
     groups = materialise(packed.repartition(parts, "p").mapInArrow(_shared, "p int, blob binary"), "jaccard-groups")
 
-    # the whole sets of the nodes that share an n-gram with another: of copies one is enough
-    members = materialise(groups.mapInArrow(_members, "node binary").distinct(), "jaccard-members")
-    bloom = spark.sparkContext.broadcast(_bloom(members))
-    nodes = texts.mapInArrow(_sets(bloom, n), NODE).join(members, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "hist", "grams")])
-    nodes = materialise(nodes, "jaccard-sets")
-
-    done, links = _links(nodes, groups.select("blob").mapInArrow(_stars(t, parts), "lot int, pairs binary"), None, t)
-    comp = components(links)
+    members = materialise(groups.mapInArrow(_member_rows, "p int, node binary"), "jaccard-members")
+    hists = _only(first.where("node is not null").select("node", "n", "hist"), members.select("node").distinct())
+    hists = materialise(hists.groupBy("node").agg(F.first("n").alias("n"), F.first("hist").alias("hist")), "jaccard-parts")
+    search = _Search(texts, hists, t, n)
+    pairs = search.distinct(groups.select("blob").mapInArrow(_stars(t, parts), "lot int, pairs binary"))
+    search.fetch(pairs)
+    comp = components(search.verify(pairs))
     own = groups.select("p", "blob")
-    for turn in [*range(1, TURNS + 1), None]:
+    for turn in [*range(STARS, STARS + TURNS), None]:
         linked = comp.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        labels = groups.mapInArrow(_member_rows, "p int, node binary").join(linked, "node").select("p", "node", "label")
+        labels = members.join(linked, "node").select("p", "node", "label")
         across = own.groupBy("p").cogroup(labels.groupBy("p")).applyInArrow(_across(t, parts, turn), "lot int, pairs binary")
-        tried, more = _links(nodes, across, done, t)
+        pairs = search.distinct(across)
+        if turn in (STARS, None):
+            search.fetch(pairs)
+        else:
+            pairs = materialise(search.known(pairs), "jaccard-known")
+        more = search.verify(pairs)
         if more.take(1):
             comp = components(comp.unionByName(more))
-        elif turn is not None and not tried.take(1):
-            continue
-        done = done.unionByName(tried)
-    discard(groups)
-    discard(nodes)
+    for table in (groups, members, hists, *search.sets):
+        discard(table)
 
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("own"))
     comp = comp.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -524,12 +585,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), "node")
 
 
-def _members(batches):
-    for b in batches:
-        for blob in b.column("blob").to_pylist():
-            yield pa.RecordBatch.from_pydict({"node": pa.array(_unpack(blob)[0], pa.binary())})
-
-
 def _member_rows(batches):
     for b in batches:
         for p, blob in zip(b.column("p").to_pylist(), b.column("blob").to_pylist()):
