@@ -536,7 +536,9 @@ class _Search:
 
 
 #: Stars around further nodes, across components, before all pairs across components are taken.
-TURNS = 4
+TURNS = 1
+#: Least number of hash lots; with few lots a node's n-grams would share more of them than in a larger run.
+LOTS = 64
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -544,26 +546,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     bounded_batches(spark)
     t, parts = Threshold(num, den), shuffle_parts(spark)
+    lots = max(LOTS, parts)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc"), utf8(F.col(text_col)).alias("text"))
     first = materialise(src.mapInArrow(_summaries(n), SUMMARY), "jaccard-summaries")
     sketch = spark.sparkContext.broadcast(_sketch(first.where("piece is not null").select("piece", "counts")))
     rows = first.where("piece is null").select("doc", "n", "node")
     texts = src.select("text")
-    packed = texts.mapInArrow(_prefixes(sketch, n, t, parts), "p int, blob binary")
+    packed = texts.mapInArrow(_prefixes(sketch, n, t, lots), "p int, blob binary")
     groups = materialise(packed.repartition(parts, "p").mapInArrow(_shared, "p int, blob binary"), "jaccard-groups")
 
     members = materialise(groups.mapInArrow(_member_rows, "p int, node binary"), "jaccard-members")
     hists = _only(first.where("node is not null").select("node", "n", "hist"), members.select("node").distinct())
     hists = materialise(hists.groupBy("node").agg(F.first("n").alias("n"), F.first("hist").alias("hist")), "jaccard-parts")
     search = _Search(texts, hists, t, n)
-    pairs = search.distinct(groups.select("blob").mapInArrow(_stars(t, parts), "lot int, pairs binary"))
+    pairs = search.distinct(groups.select("blob").mapInArrow(_stars(t, lots), "lot int, pairs binary"))
     search.fetch(pairs)
     comp = components(search.verify(pairs))
     own = groups.select("p", "blob")
     for turn in [*range(STARS, STARS + TURNS), None]:
         linked = comp.select(F.col("u").alias("node"), F.col("v").alias("label"))
         labels = members.join(linked, "node").select("p", "node", "label")
-        across = own.groupBy("p").cogroup(labels.groupBy("p")).applyInArrow(_across(t, parts, turn), "lot int, pairs binary")
+        across = own.groupBy("p").cogroup(labels.groupBy("p")).applyInArrow(_across(t, lots, turn), "lot int, pairs binary")
         pairs = search.distinct(across)
         if turn in (STARS, None):
             search.fetch(pairs)
