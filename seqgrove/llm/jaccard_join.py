@@ -309,7 +309,7 @@ def _centres(names: list[bytes], h: np.ndarray, d: np.ndarray, turn: int) -> np.
 
 
 #: Nodes of each group that are paired with all others before anything is known.
-STARS = 3
+STARS = 6
 
 
 def _stars(t: Threshold, lots: int):
