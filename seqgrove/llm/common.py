@@ -18,7 +18,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Arrow batches are cut by bytes as well as rows, so very long texts don't pile up in one."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -75,8 +75,10 @@ def powers(n: int) -> np.ndarray:
 
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in order, and the number of words of each text."""
-    if not texts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    runs = list(slices([len(t) for t in texts], 1 << 20))
+    if len(runs) != 1:  # the work arrays take many times the size of the texts
+        parts = [word_hashes(texts[a:z], lower) for a, z in runs]
+        return np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
     joined = b"\n".join(texts)
     raw = np.frombuffer(joined.lower() if lower else joined, dtype=np.uint8)
     ends_at = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1

@@ -75,7 +75,7 @@ def node_of(s: np.ndarray) -> bytes:
 
 
 def _sketch_at(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)
 
 
 SUMMARY = "doc bigint, n bigint, node binary, hist binary, piece int, counts binary"
@@ -83,14 +83,15 @@ SUMMARY = "doc bigint, n bigint, node binary, hist binary, piece int, counts bin
 
 def _summaries(n: int):
     def run(batches):
-        grams, words = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(1 << SKETCH_BITS, np.int64)
+        grams, words = np.zeros(1 << SKETCH_BITS, np.uint32), np.zeros(1 << SKETCH_BITS, np.uint32)  # of one task
         for b in batches:
             h, counts = word_hashes(b.column("text").to_pylist())
             sets = _sets_of(h, counts, n)
             if not sets:
                 continue
-            grams += np.bincount(_sketch_at(np.concatenate(sets)), minlength=len(grams))
-            words += np.bincount(_sketch_at(h), minlength=len(words))
+            for total, keys in ((grams, np.concatenate(sets)), (words, h)):
+                at, k = np.unique(_sketch_at(keys), return_counts=True)
+                total[at] += k.astype(np.uint32)
             k = len(sets)
             yield pa.RecordBatch.from_pydict({"doc": b.column("doc"), "n": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.binary()), "hist": pa.array([_parts(s) if len(s) else None for s in sets], pa.binary()), "piece": pa.nulls(k, pa.int32()), "counts": pa.nulls(k, pa.binary())})
         yield from _sketch_rows(np.concatenate([grams, words]))
@@ -183,7 +184,7 @@ def _unpack(blob: bytes):
     return nodes, n, h, d, pos
 
 
-def _prefixes(sketch, n: int, t: Threshold, parts: int, flush: int = 1_500_000):
+def _prefixes(sketch, n: int, t: Threshold, parts: int, flush: int = 400_000):
     """Prefix n-grams of the distinct nodes of a run of rows, packed by hash partition."""
 
     def emit(nodes, sizes, hs, ps):
