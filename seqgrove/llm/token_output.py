@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, fresh_path, materialise, mix, powers, shuffle_parts
+from .common import bounded_batches, discard, fresh_path, materialise, mix, powers, shuffle_parts, slices
 
 #: Lengths (1 to 4) of the four values that a control byte describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -133,8 +133,9 @@ class PieceEncoder:
                 out[i] = self.whole(t)
             else:
                 plain.append(i)
-        for i, ids in zip(plain, self._plain([texts[i] for i in plain])):
-            out[i] = ids
+        for a, z in slices([len(texts[i]) for i in plain], 1 << 20):
+            for i, ids in zip(plain[a:z], self._plain([texts[i] for i in plain[a:z]])):
+                out[i] = ids
         return out
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
@@ -178,17 +179,18 @@ class PieceEncoder:
         return np.split(ids, cut[:-1])
 
 
-_encoders: dict[int, PieceEncoder] = {}
+_last: tuple = (None, None)
 
 
 def _encoder(spec) -> PieceEncoder:
-    if id(spec) not in _encoders:
+    """One encoder a worker and broadcast, kept from task to task with all pieces it knows."""
+    global _last
+    if _last[0] is not spec:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders.clear()
-        _encoders[id(spec)] = PieceEncoder(spec.value)
-    return _encoders[id(spec)]
+        _last = (spec, PieceEncoder(spec.value))
+    return _last[1]
 
 
 def _tokenise(spec, end_id: int, block_ids: int):
