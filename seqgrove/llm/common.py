@@ -25,6 +25,35 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def lean(run):
+    """``run`` for a Python worker that gives memory back: large blocks at once, the rest when a task ends.
+
+    Workers live on from task to task, beside a JVM that has most of the executor's memory."""
+
+    def task(*args):
+        libc = _libc()
+        if libc is not None:
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return task
+
+
 def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 

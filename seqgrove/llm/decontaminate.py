@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 
 _other = re.compile(r"[\W_]+")
 
@@ -225,7 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cfg: Settings = Settings
     spark = docs.sparkSession
     bounded_batches(spark)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = [src.mapInArrow(_matches(b), MATCH) for b in item_blocks(benchmark, cfg)]
+    found = [src.mapInArrow(lean(_matches(b)), MATCH) for b in item_blocks(benchmark, cfg)]
     if not found:
         return spark.createDataFrame([], MATCH)
     out = found[0]
@@ -248,5 +248,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, cfg: Settings = Setti
     """The documents that hold no test item, all columns, without a shuffle."""
     bounded_batches(docs.sparkSession)
     for b in item_blocks(benchmark, cfg):
-        docs = docs.mapInArrow(_clean(b), docs.schema)
+        docs = docs.mapInArrow(lean(_clean(b)), docs.schema)
     return docs

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialise, mix, shuffle_parts, utf8, word_hashes
+from .common import bounded_batches, discard, lean, materialise, mix, shuffle_parts, utf8, word_hashes
 from seqgrove.operators.components import components
 
 SKETCH_BITS = 21
@@ -135,11 +135,11 @@ def _sum_sketches(batches):
 def _sketch(rows: DataFrame) -> np.ndarray:
     """The sum of all tasks' counts, level by level; of fixed size (2 ** SKETCH_BITS numbers twice)."""
     kind = "piece int, counts binary"
-    part = rows.mapInArrow(_sum_sketches, kind)
+    part = rows.mapInArrow(lean(_sum_sketches), kind)
     n = rows.rdd.getNumPartitions()
     while n > 1:
         n = -(-n // 16)
-        part = part.repartition(n).mapInArrow(_sum_sketches, kind)
+        part = part.repartition(n).mapInArrow(lean(_sum_sketches), kind)
     total = np.zeros((PIECES, (2 << SKETCH_BITS) // PIECES), np.uint32)
     for r in part.toLocalIterator():
         total[r["piece"]] += np.minimum(_piece_counts(bytes(r["counts"])), 2**32 - 1).astype(np.uint32)
@@ -422,7 +422,7 @@ def _bloom(nodes: DataFrame) -> np.ndarray:
     import zlib
 
     bits = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-    for r in nodes.coalesce(8).mapInArrow(_bloom_part, "bits binary").toLocalIterator():
+    for r in nodes.coalesce(8).mapInArrow(lean(_bloom_part), "bits binary").toLocalIterator():
         bits |= np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
     return bits
 
@@ -470,7 +470,7 @@ def _verified(t: Threshold):
     return run
 
 
-SMALL = 1_000_000
+SMALL = 100_000
 
 
 def _only(table: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -499,7 +499,7 @@ class _Search:
         pairs = materialise(pairs, "jaccard-candidates")
         hists = _only(self.hists, _ends(pairs))
         hu, hv = (hists.select(F.col("node").alias(c), F.col("hist").alias(f"h{c}"), F.col("n").alias(f"n{c}")) for c in "uv")
-        out = materialise(pairs.join(hu, "u").join(hv, "v").select("u", "v", "hu", "hv", "nu", "nv").mapInArrow(_suffix_ok(self.t), "u binary, v binary"), "jaccard-pairs")
+        out = materialise(pairs.join(hu, "u").join(hv, "v").select("u", "v", "hu", "hv", "nu", "nv").mapInArrow(lean(_suffix_ok(self.t)), "u binary, v binary"), "jaccard-pairs")
         discard(pairs)
         return out
 
@@ -511,7 +511,7 @@ class _Search:
         wanted = materialise(wanted, "jaccard-wanted")
         if wanted.take(1):
             bloom = self.texts.sparkSession.sparkContext.broadcast(_bloom(wanted))
-            sets = _only(self.texts.mapInArrow(_sets(bloom, self.n), "node binary, grams binary"), wanted)
+            sets = _only(self.texts.mapInArrow(lean(_sets(bloom, self.n)), "node binary, grams binary"), wanted)
             self.sets.append(materialise(sets.groupBy("node").agg(F.first("grams").alias("grams")), "jaccard-sets"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -524,7 +524,7 @@ class _Search:
             sets = sets.unionByName(s)
         sets = _only(sets, _ends(pairs))
         gu, gv = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in "uv")
-        return materialise(pairs.join(gu, "u").join(gv, "v").select("u", "v", "gu", "gv").mapInArrow(_verified(self.t), "u binary, v binary"), "jaccard-links")
+        return materialise(pairs.join(gu, "u").join(gv, "v").select("u", "v", "gu", "gv").mapInArrow(lean(_verified(self.t)), "u binary, v binary"), "jaccard-links")
 
     def known(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose nodes both have their sets."""
@@ -549,18 +549,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     t, parts = Threshold(num, den), shuffle_parts(spark)
     lots = max(LOTS, parts)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc"), utf8(F.col(text_col)).alias("text"))
-    first = materialise(src.mapInArrow(_summaries(n), SUMMARY), "jaccard-summaries")
+    first = materialise(src.mapInArrow(lean(_summaries(n)), SUMMARY), "jaccard-summaries")
     sketch = spark.sparkContext.broadcast(_sketch(first.where("piece is not null").select("piece", "counts")))
     rows = first.where("piece is null").select("doc", "n", "node")
     texts = src.select("text")
-    packed = texts.mapInArrow(_prefixes(sketch, n, t, lots), "p int, blob binary")
-    groups = materialise(packed.repartition(parts, "p").mapInArrow(_shared, "p int, blob binary"), "jaccard-groups")
+    packed = texts.mapInArrow(lean(_prefixes(sketch, n, t, lots)), "p int, blob binary")
+    groups = materialise(packed.repartition(parts, "p").mapInArrow(lean(_shared), "p int, blob binary"), "jaccard-groups")
 
-    members = materialise(groups.mapInArrow(_member_rows, "p int, node binary"), "jaccard-members")
+    members = materialise(groups.mapInArrow(lean(_member_rows), "p int, node binary"), "jaccard-members")
     hists = _only(first.where("node is not null").select("node", "n", "hist"), members.select("node").distinct())
     hists = materialise(hists.groupBy("node").agg(F.first("n").alias("n"), F.first("hist").alias("hist")), "jaccard-parts")
     search = _Search(texts, hists, t, n)
-    pairs = search.distinct(groups.select("blob").mapInArrow(_stars(t, lots), "lot int, pairs binary"))
+    pairs = search.distinct(groups.select("blob").mapInArrow(lean(_stars(t, lots)), "lot int, pairs binary"))
     search.fetch(pairs)
     comp = components(search.verify(pairs))
     own = groups.select("p", "blob")

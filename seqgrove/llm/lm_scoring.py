@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_bucket, materialise, mix, shuffle_parts, utf8, word_hashes
+from .common import bounded_batches, crc_bucket, lean, materialise, mix, shuffle_parts, utf8, word_hashes
 
 DEPTH = 5
 PAD = b"\n" * DEPTH
@@ -327,15 +327,15 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     bounded_batches(spark, 2000, "4m")
     parts = shuffle_parts(spark)
     train = docs.where(learn).select(utf8(F.col(text_col)).alias("text"))
-    counted = materialise(train.mapInArrow(_counted(parts), COUNTED).groupBy("kind", "lot").applyInArrow(_sum_lot, COUNTED), "lm-counts")
+    counted = materialise(train.mapInArrow(lean(_counted(parts)), COUNTED).groupBy("kind", "lot").applyInArrow(_sum_lot, COUNTED), "lm-counts")
     grams, words = counted.where("kind = 0"), counted.where("kind = 1")
     ends = counted.where("kind = 2").collect()
     n_docs = int(np.frombuffer(ends[0]["n"], np.int64)[0]) if ends else 0
     pairs = np.zeros((256, 256), np.int64)
-    for r in grams.select("keys", "n").mapInArrow(_pairs, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for r in grams.select("keys", "n").mapInArrow(lean(_pairs), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
         pairs[r["code"] >> 8, r["code"] & 255] = r["n"]
     root, p1 = top_levels(pairs, cfg)
-    tree = materialise(grams.select("lot", "keys", "n").mapInArrow(_grown(spark.sparkContext.broadcast(p1), cfg), "lot int, size bigint, keys binary, values binary"), "lm-tree")
+    tree = materialise(grams.select("lot", "keys", "n").mapInArrow(lean(_grown(spark.sparkContext.broadcast(p1), cfg)), "lot int, size bigint, keys binary, values binary"), "lm-tree")
 
     sizes = words.select("lot", (F.octet_length("keys") / 8).cast("bigint").alias("size"))
     word_sizes = {r["lot"]: r["size"] for r in sizes.collect()}
@@ -356,7 +356,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         t = _gather(tree.where(F.col("lot").isin(tl)).select("keys", "values").collect(), "values")  # at most a block
         w = _gather(words.where(F.col("lot").isin(wl)).select("keys", "n").collect(), "n")
         model = {"lots": np.array(tl, np.int64), "tree": t, "log_p1": np.log10(p1), "words": w, "part": np.array(wl, np.int64), "total": total, "distinct": distinct, "docs": n_docs, "first": i == 0, "one": passes == 1}
-        outs.append(src.mapInArrow(_score(spark.sparkContext.broadcast(model), parts), f"{kept}, {SCORES}"))
+        outs.append(src.mapInArrow(lean(_score(spark.sparkContext.broadcast(model), parts)), f"{kept}, {SCORES}"))
     if passes == 1:
         out = outs[0]
     else:
@@ -378,7 +378,7 @@ def _sums(batches):
 
 
 def _word_total(words: DataFrame) -> int:
-    return int(words.select("n").mapInArrow(_sums, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    return int(words.select("n").mapInArrow(lean(_sums), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
 
 
 def held_out_rows(doc_id: Column) -> Column:

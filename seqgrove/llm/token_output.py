@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, fresh_path, materialise, mix, powers, shuffle_parts, slices
+from .common import bounded_batches, discard, fresh_path, lean, materialise, mix, powers, shuffle_parts, slices
 
 #: Lengths (1 to 4) of the four values that a control byte describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -260,9 +260,9 @@ def write_tokens(docs: DataFrame, spec: str, path: str, end_id: int = 2, id_col:
     spec_b = spark.sparkContext.broadcast(spec)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = src.repartitionByRange(shuffle_parts(spark), "doc").sortWithinPartitions("doc", "text")
-    raw = materialise(ordered.mapInArrow(_tokenise(spec_b, end_id, block_ids), RAW), "token-ids")
+    raw = materialise(ordered.mapInArrow(lean(_tokenise(spec_b, end_id, block_ids)), RAW), "token-ids")
 
-    counts = raw.select("ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = raw.select("ids").mapInArrow(lean(_count), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = sorted(((r["n"], r["id"]) for r in counts.collect()), key=lambda x: (-x[0], x[1]))  # at most the vocabulary
     rank_of = np.zeros(max([i for _, i in ranked], default=0) + 1, dtype=np.uint32)
     for rank, (_, i) in enumerate(ranked):
@@ -280,7 +280,7 @@ def write_tokens(docs: DataFrame, spec: str, path: str, end_id: int = 2, id_col:
     offsets = spark.createDataFrame(before, "part int, before bigint")
     w = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("inside", F.coalesce(F.sum("n").over(w), F.lit(0))).join(offsets, "part").select("part", "block", (F.col("before") + F.col("inside")).alias("start"))
-    coded = raw.join(starts, ["part", "block"]).mapInArrow(_code(spark.sparkContext.broadcast(rank_of)), CODED)
+    coded = raw.join(starts, ["part", "block"]).mapInArrow(lean(_code(spark.sparkContext.broadcast(rank_of))), CODED)
     coded.write.parquet(f"{path}/blocks")
     discard(raw)
 
@@ -316,7 +316,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
         id_of[r["rank"]] = r["id"]
     kind = "ids_crc32 bigint" if digest else "ids array<bigint>"
     blocks = spark.read.schema(CODED).parquet(f"{path}/blocks")
-    return blocks.select("start", "doc_ids", "lengths", "control", "data").mapInArrow(_decode(spark.sparkContext.broadcast(id_of), digest), f"doc_id bigint, start bigint, n_tokens bigint, {kind}")
+    return blocks.select("start", "doc_ids", "lengths", "control", "data").mapInArrow(lean(_decode(spark.sparkContext.broadcast(id_of), digest)), f"doc_id bigint, start bigint, n_tokens bigint, {kind}")
 
 
 def tokens_of(docs: DataFrame, tokenizer_path: str, end_id: int = 2, digest: bool = True) -> DataFrame:

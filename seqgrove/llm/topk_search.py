@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, lean, materialise
 
 
 def _quantised(scale: int):
@@ -42,7 +42,7 @@ def _quantised(scale: int):
 
 def quantise(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
     """id, vec: floor(scale * x) of every component as 32-bit integers, valid vectors only."""
-    return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).mapInArrow(_quantised(scale), "id bigint, vec binary")
+    return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).mapInArrow(lean(_quantised(scale)), "id bigint, vec binary")
 
 
 def _matrix(vecs, dim: int = 0) -> np.ndarray:
@@ -157,7 +157,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
         return spark.createDataFrame([], out)
     p = _matrix([bytes(r["vec"]) for r in chosen])
     pivot_b = sc.broadcast(p)
-    placed = materialise(ints.mapInArrow(_placed(pivot_b), "id bigint, vec binary, cell int, dist double"), "knn-cells")
+    placed = materialise(ints.mapInArrow(lean(_placed(pivot_b)), "id bigint, vec binary, cell int, dist double"), "knn-cells")
     # rows that carry the query's id are no candidates: the bounds count that many more (many: no bound)
     own = placed.groupBy("id").count().agg(F.max("count").alias("n")).first()["n"] or 1
     spare = own if own <= 16 else 0
@@ -174,7 +174,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
 
     # both sides by (cell, part, lot): part splits a cell's rows, lot its queries
     sizes = spark.createDataFrame([(int(c), int(n)) for c, n in zip(number, blocks)], "cell int, parts int")
-    asked = placed.where(queries).select("id", "vec").mapInArrow(_routed(pivot_b, cell_b, k + spare), "id bigint, vec binary, cell int, part int")
+    asked = placed.where(queries).select("id", "vec").mapInArrow(lean(_routed(pivot_b, cell_b, k + spare)), "id bigint, vec binary, cell int, part int")
     asked = materialise(asked, "knn-queries")
     lots = asked.groupBy("cell", "part").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("lots"))
     asked = asked.join(F.broadcast(lots), ["cell", "part"]).withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int"))

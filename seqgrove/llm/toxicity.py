@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, utf8
+from .common import bounded_batches, lean, utf8
 
 #: Neutral names of groups, by kind: only words of one kind are swapped. Fixed values.
 IDENTITY_TERMS = (
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, cfg:
     prior = float(np.log((pos + 0.5) / (neg + 0.5)))
     if not neg or not pos:
         return Model({}, prior, cfg.threshold)
-    counts = rows.mapInArrow(_count, "f binary, neg bigint, pos bigint").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = rows.mapInArrow(lean(_count), "f binary, neg bigint, pos bigint").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     p, q = (F.col("pos") + 0.1) / (pos + 0.2), (F.col("neg") + 0.1) / (neg + 0.2)
     counts = counts.where("pos + neg >= 2").withColumn("lift", F.log(p / q)).withColumn("gain", F.abs((p - q) * F.col("lift")))
     chosen = counts.orderBy(F.desc("gain"), "f").limit(cfg.features).collect()  # at most the features kept
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, cfg:
     lift = {bytes(r["f"]): r["lift"] for r in chosen + named}
     at = {f: i for i, f in enumerate(sorted(lift))}
     index = spark.sparkContext.broadcast(at)
-    coded = rows.mapInArrow(_indexed(index, cfg.swaps), "toxic int, own array<int>, other array<array<int>>").toArrow()  # the sample, as feature numbers
+    coded = rows.mapInArrow(lean(_indexed(index, cfg.swaps)), "toxic int, own array<int>, other array<array<int>>").toArrow()  # the sample, as feature numbers
     scale = np.array([lift[f] for f in at])
     w, b = fit_weights(np.array(coded["toxic"].to_pylist(), dtype=float), coded["own"].to_pylist(), coded["other"].to_pylist(), scale, cfg)
     return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-4}, b, cfg.threshold)
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     bounded_batches(spark)
     kept = docs.select(*[F.col(c) for c in keep], utf8(F.col(text_col)).alias("_text"))
     schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + ", score double"
-    return kept.mapInArrow(_scored(spark.sparkContext.broadcast(model)), schema)
+    return kept.mapInArrow(lean(_scored(spark.sparkContext.broadcast(model))), schema)
 
 
 def held_out_rows(doc_id: Column) -> Column:

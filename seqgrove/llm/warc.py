@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, shuffle_parts
+from .common import bounded_batches, fresh_path, lean, shuffle_parts
 
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -216,10 +216,10 @@ def read_records(spark: SparkSession, path: str, selected: DataFrame, gap: int =
         content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/archives")
         content = content.select(F.regexp_extract("path", r"archive=(\d+)/", 1).cast("int").alias("archive"), "content")
         lists = want.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))  # bounded by an archive's size
-        return content.join(lists, "archive").select("content", "ranges").mapInArrow(_whole_files, RECORD)
+        return content.join(lists, "archive").select("content", "ranges").mapInArrow(lean(_whole_files), RECORD)
     stretch = (F.col("offset") / most).cast("bigint")
     rows = want.join(files, "archive").select("file", "offset", "length").repartition(shuffle_parts(spark), "file", stretch).sortWithinPartitions("file", "offset")
-    return rows.mapInArrow(_reader(gap, most), RECORD)
+    return rows.mapInArrow(lean(_reader(gap, most)), RECORD)
 
 
 def _can_range(file: str) -> bool:
