@@ -18,7 +18,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "1m") -> None:
     """Arrow batches are cut by bytes as well as rows, so very long texts don't pile up in one."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -34,12 +34,25 @@ def _libc():
         return None
 
 
+#: What a worker keeps from task to task, by module.
+KEPT: dict[str, tuple] = {}
+
+
+def kept(module: str, source, make):
+    """``make()`` once a worker and ``source`` (a broadcast, which is kept too, so that it stays the one known)."""
+    if module not in KEPT or KEPT[module][0] is not source:
+        KEPT[module] = (source, make())
+    return KEPT[module][1]
+
+
 def lean(run):
     """``run`` for a Python worker that gives memory back: large blocks at once, the rest when a task ends.
 
     Workers live on from task to task, beside a JVM that has most of the executor's memory."""
 
     def task(*args):
+        for other in [m for m in KEPT if m != run.__module__]:
+            del KEPT[other]
         libc = _libc()
         if libc is not None:
             libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean
+from .common import bounded_batches, kept, lean
 
 _other = re.compile(r"[\W_]+")
 
@@ -173,15 +173,8 @@ class Matcher:
         return [(i, *b) for n, b in best.items() for i in self.ids[n]]
 
 
-_last: tuple = (None, None)
-
-
 def _matcher(items) -> Matcher:
-    """One matcher a worker and broadcast; the broadcast is kept, so that it stays the one that is known."""
-    global _last
-    if _last[0] is not items:
-        _last = (items, Matcher(*items.value))
-    return _last[1]
+    return kept(__name__, items, lambda: Matcher(*items.value))
 
 
 MATCH = "doc_id bigint, item_id bigint, distance int, allowed int, start int, end int"

@@ -324,7 +324,7 @@ def _gather(rows: list, values: str) -> tuple[np.ndarray, np.ndarray]:
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", cfg: Settings = Settings()) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every text; learnt where ``learn`` holds."""
     spark = docs.sparkSession
-    bounded_batches(spark, 2000, "4m")
+    bounded_batches(spark, 2000, "2m")
     parts = shuffle_parts(spark)
     train = docs.where(learn).select(utf8(F.col(text_col)).alias("text"))
     counted = materialise(train.mapInArrow(lean(_counted(parts)), COUNTED).groupBy("kind", "lot").applyInArrow(_sum_lot, COUNTED), "lm-counts")

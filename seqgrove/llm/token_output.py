@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, fresh_path, lean, materialise, mix, powers, shuffle_parts, slices
+from .common import bounded_batches, discard, fresh_path, kept, lean, materialise, mix, powers, shuffle_parts, slices
 
 #: Lengths (1 to 4) of the four values that a control byte describes.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -84,7 +84,7 @@ class PieceEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint32)
         self.tables = [(np.zeros(0, np.uint64), none, none), (np.zeros(0, np.uint64), none, none)]
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -111,8 +111,8 @@ class PieceEncoder:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.used), np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
-        lens = np.array(lens, np.int64)
-        new = (keys, self.used + np.cumsum(lens) - lens, lens)
+        lens = np.array(lens, np.uint32)
+        new = (keys, (self.used + np.cumsum(lens, dtype=np.int64) - lens).astype(np.uint32), lens)
         self.used += len(ids)
         for level in (1, 0):  # recent pieces are kept apart until they are a quarter of all
             old = self.tables[level]
@@ -179,18 +179,16 @@ class PieceEncoder:
         return np.split(ids, cut[:-1])
 
 
-_last: tuple = (None, None)
-
-
 def _encoder(spec) -> PieceEncoder:
-    """One encoder a worker and broadcast, kept from task to task with all pieces it knows."""
-    global _last
-    if _last[0] is not spec:
+    """One encoder a worker, kept from task to task with all pieces it knows."""
+
+    def make():
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _last = (spec, PieceEncoder(spec.value))
-    return _last[1]
+        return PieceEncoder(spec.value)
+
+    return kept(__name__, spec, make)
 
 
 def _tokenise(spec, end_id: int, block_ids: int):
@@ -256,7 +254,7 @@ def write_tokens(docs: DataFrame, spec: str, path: str, end_id: int = 2, id_col:
     side of a join, so memory doesn't grow with the texts.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 2000, "8m")
+    bounded_batches(spark, 2000, "2m")
     spec_b = spark.sparkContext.broadcast(spec)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = src.repartitionByRange(shuffle_parts(spark), "doc").sortWithinPartitions("doc", "text")
@@ -309,7 +307,7 @@ def _decode(id_of, digest: bool):
 
 def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """Documents of a data set: doc_id, start, n_tokens and ids (or, with digest, their ids_crc32)."""
-    bounded_batches(spark, 500, "4m")
+    bounded_batches(spark, 500, "2m")
     ranks = spark.read.parquet(f"{path}/ranks").select("rank", "id").collect()  # at most the vocabulary
     id_of = np.zeros(len(ranks) + 1, dtype=np.uint32)
     for r in ranks:
