@@ -46,7 +46,7 @@ def kept(module: str, source, make):
 
 
 def lean(run):
-    """``run`` for a Python worker that gives memory back: large blocks at once, the rest when a task ends.
+    """``run`` for a Python worker that gives memory back: very large blocks at once, the rest when a task ends.
 
     Workers live on from task to task, beside a JVM that has most of the executor's memory."""
 
@@ -55,8 +55,8 @@ def lean(run):
             del KEPT[other]
         libc = _libc()
         if libc is not None:
-            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-            libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+            libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD: work arrays below it are reused without page faults
+            libc.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
         try:
             yield from run(*args)
         finally:
