@@ -1,17 +1,23 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 Symbols are the UTF-8 bytes of a text's words (A-Z in small letters), one space between words, and an end
-symbol. A context of up to ``DEPTH`` symbols is a state of the tree if the distribution after it diverges
+symbol. A context of any length is a state of the tree if the distribution after it diverges
 from the one of its longest retained suffix: n(context) * KL >= ``Settings.gain`` nats, over the counts of
-the whole training part. Distributions are smoothed by absolute discounting into the suffix's, down to a
+the whole training part. A context ends at the start of its text, which counts as one symbol (contexts of
+up to ``DEPTH`` symbols see it repeated). Distributions are smoothed by absolute discounting into the suffix's, down to a
 root that knows every symbol, and a position is scored by the longest suffix of its context that is a
 state. Alongside, a unigram word model with additive smoothing gives the base score.
 
-Counts are made per task, merged by hash partitions of packed arrays and so grow with the input. The
-retained states and the word counts are broadcast in blocks of at most ``Settings.block`` entries, and the
+Counts of up to ``DEPTH`` symbols are made per task and merged by hash partitions of packed arrays. Longer
+contexts grow in rounds: what precedes the open ones is sent to the lot of their last ``DEPTH`` symbols and
+grown there, one symbol at a time. A context is open if some subset of what follows it could still pass the
+test (``_reach``), so none that passes is missed; the rounds end when none is open. Lots are taken in
+at most ``Settings.turns`` turns (of ``Settings.turn`` symbols at least), which bounds the disk. Longer contexts are known by 56-bit and 64-bit hashes.
+
+The retained states and the word counts are broadcast in blocks of at most ``Settings.block`` entries, and the
 texts are scored once a block, so memory is bounded whatever the size of the model; with one block there is
-one pass and no shuffle. The states of a position lie in one block, as blocks are dealt by the last two
-symbols of the context.
+one pass and no shuffle. The states of a position lie in one block: those of less than ``DEPTH`` symbols
+are in every block, the others are dealt by the last ``DEPTH`` symbols of the context.
 
 Defined cases: null text is the empty text, which has the end symbol only; a null id belongs to the
 training part; repeated rows are scored each; without training texts the tree is uniform and base scores
@@ -27,8 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc_bucket, lean, materialise, mix, shuffle_parts, utf8, word_hashes
+from .common import BASE, bounded_batches, crc_bucket, lean, materialise, mix, powers, shuffle_parts, utf8, word_hashes
 
+#: Symbols of a context that fit a packed number; longer contexts are hashed.
 DEPTH = 5
 PAD = b"\n" * DEPTH
 END = 10
@@ -41,24 +48,66 @@ class Settings:
     gain: float = 6.0
     discount: float = 0.6
     block: int = 6_000_000
+    turns: int = 6
+    turn: int = 2_000_000
 
 
 def _plain(texts: list[bytes]) -> list[bytes]:
     return [b" ".join(t.lower().split()) for t in texts]
 
 
-def gram_codes(plain: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every symbol of every text, end included: context and symbol as one number, and the text's row."""
-    raw = np.frombuffer(PAD + PAD.join(plain) + PAD, np.uint8).astype(U)
+def _positions(plain: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The padded texts, and for every symbol, ends included: its place there, its text's row, its offset in the text."""
+    raw = np.frombuffer(PAD + PAD.join(plain) + PAD, np.uint8)
+    lens = np.fromiter(map(len, plain), np.int64, len(plain))
+    starts = np.cumsum(lens + DEPTH) - lens
+    row = np.repeat(np.arange(len(plain)), lens + 1)
+    off = np.arange(len(row)) - np.repeat(np.cumsum(lens + 1) - (lens + 1), lens + 1)
+    return raw, off + np.repeat(starts, lens + 1), row, off
+
+
+def _codes_at(raw: np.ndarray, pos: np.ndarray) -> np.ndarray:
     n = len(raw) - DEPTH
     code = np.zeros(n, U)
     for k in range(DEPTH + 1):
         code = (code << U(8)) | raw[k : n + k]
-    lens = np.fromiter(map(len, plain), np.int64, len(plain))
-    starts = np.cumsum(lens + DEPTH) - (lens + DEPTH)
-    row = np.repeat(np.arange(len(plain)), lens + 1)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(lens + 1) - (lens + 1), lens + 1) + np.repeat(starts, lens + 1)
-    return code[at], row
+    return code[pos - DEPTH]
+
+
+def gram_codes(plain: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For every symbol of every text, end included: context and symbol as one number, and the text's row."""
+    raw, pos, row, _ = _positions(plain)
+    return _codes_at(raw, pos), row
+
+
+INVERSE = U(pow(int(BASE), -1, 1 << 64))
+
+
+class Hashes:
+    """Hashes of the contexts of any depth before places of ``raw``: sum of (symbol + 1) * BASE ** depth."""
+
+    def __init__(self, raw: np.ndarray):
+        self.sums = np.full(len(raw) + 1, INVERSE, U)
+        self.sums[0] = 1
+        back = np.multiply.accumulate(self.sums)[:-1]
+        self.sums[0] = 0
+        np.cumsum(back * (raw + U(1)), out=self.sums[1:])
+
+    def at(self, pos: np.ndarray, depth: int) -> np.ndarray:
+        return (self.sums[pos] - self.sums[pos - depth]) * powers(int(pos.max(initial=0)) + 1)[pos]
+
+
+def code_hash(ctx: np.ndarray) -> np.ndarray:
+    """The hash of packed contexts of ``DEPTH`` symbols."""
+    out = np.zeros(len(ctx), U)
+    for d in range(DEPTH):
+        out += (((ctx >> U(8 * d)) & U(255)) + U(1)) * powers(DEPTH + 1)[d + 1]
+    return out
+
+
+def _lot_of(ctx: np.ndarray, lots: int) -> np.ndarray:
+    """By the last ``DEPTH`` symbols, so that all longer contexts with them meet."""
+    return (mix(ctx + U(1)) % U(lots)).astype(np.int64)
 
 
 def _merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +219,28 @@ def _level(ctx: np.ndarray, n: np.ndarray, below: np.ndarray, cfg: Settings):
     return np.where(state[run], own, below), state[run], starts, weight, state
 
 
+def _reach(starts: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For each context, no less than n * KL of any longer context whose longest retained suffix it has.
+
+    Counts m of such a context keep m <= n, so its sum of m * log(m / (M * p)), M the sum of m, is at most that of
+    m * log(n / (M * p)). For each M the best m takes symbols by n / p, and along M this is concave between sums of n."""
+    sizes = np.diff(np.append(starts, len(n)))
+    run = np.repeat(np.arange(len(starts)), sizes)
+    ratio = n / p
+    order = np.lexsort((-ratio, run))
+    n, ratio = n[order], ratio[order]
+    gain = n * np.log(ratio)
+    upto, gained = np.cumsum(n), np.cumsum(gain)
+    upto -= np.repeat((upto - n)[starts], sizes)
+    gained -= np.repeat((gained - gain)[starts], sizes)
+    m = np.maximum(np.clip(ratio / np.e, upto - n, upto), 1)
+    return np.maximum.reduceat(gained - gain + (m - (upto - n)) * np.log(ratio) - m * np.log(m), starts)
+
+
+#: For rounding in sums.
+SLACK = 1e-6
+
+
 def top_levels(pairs: np.ndarray, cfg: Settings):
     """Depth 0 and 1 from the 256 x 256 counts: root probabilities, and probabilities and weights of depth 1."""
     nxt = pairs.sum(0)
@@ -198,7 +269,14 @@ def _weight_key(depth: int, ctx: np.ndarray) -> np.ndarray:
 
 
 def grow(codes: np.ndarray, n: np.ndarray, p1: np.ndarray, cfg: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of the states of depth 2 and more under some last-two-symbol pairs: sorted keys, log10 values."""
+    """Entries of the states of depth 2 to ``DEPTH`` under some last-two-symbol pairs: sorted keys, log10 values."""
+    keys, values, _, _ = _grow(codes, n, p1, cfg)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _grow(codes: np.ndarray, n: np.ndarray, p1: np.ndarray, cfg: Settings):
+    """Keys and log10 values of the states, codes and probabilities of the open contexts of ``DEPTH`` symbols."""
     keys, values = [], []
     symbol = codes & U(255)
     levels = [None] * (DEPTH + 1)
@@ -217,22 +295,183 @@ def grow(codes: np.ndarray, n: np.ndarray, p1: np.ndarray, cfg: Settings) -> tup
         keys += [_entry(d, ctx[in_state], symbol[in_state]), _weight_key(d, ctx[starts][state])]
         values += [np.log10(p[in_state]), np.log10(weight[state])]
         last_code, last_p = code, p
-    k, v = np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(k)
-    return k[order], v[order]
+    more = (_reach(starts, m.astype(float), p) >= cfg.gain - SLACK)[_group(ctx)[1]] & ((code >> U(8 * DEPTH)) != END)
+    return np.concatenate(keys), np.concatenate(values), code[more], p[more]
 
 
-def _grown(p1, cfg: Settings):
+#: Kinds of the tree's rows: entries of depth 2 to DEPTH and above (keys, log10 values), open contexts (hash and symbol, probabilities).
+SHALLOW, DEEP, OPEN = 0, 1, 2
+TREE = "kind int, lot int, size bigint, keys binary, values binary, extra binary"
+
+
+def _tree_rows(kind: int, lots, keys: np.ndarray, values: np.ndarray, extra: np.ndarray | None = None):
+    """Rows of at most one lot each."""
+    order = np.argsort(lots, kind="stable")
+    lots, keys, values = lots[order], keys[order], values[order]
+    at = np.flatnonzero(np.concatenate([[True], lots[1:] != lots[:-1]])) if len(lots) else np.zeros(0, np.int64)
+    ends = np.append(at[1:], len(lots))
+    extra = extra[order] if extra is not None else np.zeros(len(lots), "V0")
+    cols = [[kind] * len(at), lots[at], ends - at, *([x[a:z].tobytes() for a, z in zip(at, ends)] for x in (keys, values)), [extra[a:z].tobytes() if extra.dtype.itemsize else b"" for a, z in zip(at, ends)]]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["kind", "lot", "size", "keys", "values", "extra"])
+
+
+def _grown(p1, lots: int, cfg: Settings):
     def run(batches):
         top = p1.value
         for b in batches:
-            for lot, k, n in zip(b.column("lot").to_pylist(), b.column("keys").to_pylist(), b.column("n").to_pylist()):
-                keys, values = grow(np.frombuffer(k, U), np.frombuffer(n, np.int64), top, cfg)
-                yield pa.RecordBatch.from_pydict({"lot": pa.array([lot], pa.int32()), "size": pa.array([len(keys)], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary()), "values": pa.array([values.tobytes()], pa.binary())})
+            for k, n in zip(b.column("keys").to_pylist(), b.column("n").to_pylist()):
+                keys, values, code, p = _grow(np.frombuffer(k, U), np.frombuffer(n, np.int64), top, cfg)
+                full = (keys >> U(56)) & U(15) == DEPTH
+                lot = np.full(len(keys), -1, np.int64)  # less than DEPTH symbols: for every block
+                weight = (keys >> U(60)) > 0
+                ctx = np.where(weight, keys, keys >> U(8)) & U((1 << (8 * DEPTH)) - 1)
+                lot[full] = _lot_of(ctx[full], lots)
+                yield _tree_rows(SHALLOW, lot, keys, values)
+                own = code >> U(8)
+                yield _tree_rows(OPEN, _lot_of(own, lots), code_hash(own), p, (code & U(255)).astype(np.uint8))
 
     return run
 
 
+SENT = "lot int, kind int, a binary, b binary, c binary, n binary"
+
+
+def _entry_key(h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return (mix(h) & ~U(255)) | symbol
+
+
+def _node_key(h: np.ndarray) -> np.ndarray:
+    return mix(h ^ U(0xA5A5A5A5A5A5A5A5))
+
+
+def _before(depth: int, more: int, turn: tuple[int, int], lots: int, opened):
+    """For the open contexts of ``depth`` symbols: hash, the symbols before, the one after, how often.
+
+    opened: a broadcast of the sorted hashes, or None for all."""
+
+    def run(batches):
+        some = opened.value if opened is not None else None
+        for b in batches:
+            raw, pos, _, off = _positions(_plain(b.column("text").to_pylist()))
+            pos, off = pos[off >= depth], off[off >= depth]
+            code = _codes_at(raw, pos)
+            lot = _lot_of(code >> U(8), lots)
+            own = np.flatnonzero((lot >= turn[0]) & (lot < turn[1]))
+            pos, off, lot, code = pos[own], off[own], lot[own], code[own]
+            if not len(pos):
+                continue
+            hashes = Hashes(raw)
+            h = hashes.at(pos, depth)
+            if some is not None:
+                own = some[np.minimum(np.searchsorted(some, h), len(some) - 1)] == h
+                pos, off, lot, code, h = pos[own], off[own], lot[own], code[own], h[own]
+                if not len(pos):
+                    continue
+            # the start of the text is one symbol; equal windows are sent once
+            whole = np.minimum(off + 1, depth + more)
+            full = mix((hashes.sums[pos] - hashes.sums[pos - whole]) * powers(len(raw))[pos])
+            full = mix(full + raw[pos])
+            _, first, n = np.unique(full, return_index=True, return_counts=True)
+            order = np.lexsort((code[first], lot[first]))
+            first, n = first[order], n[order]
+            step = max(1, (32 << 20) // more)
+            for i in range(0, len(first), step):
+                f, m = first[i : i + step], n[i : i + step].astype(np.int32)
+                at = pos[f, None] - depth - 1 - np.arange(more)
+                window = np.where(at >= (pos[f] - off[f])[:, None], raw[np.maximum(at, 0)], np.uint8(END))
+                l = lot[f]
+                edge = np.append(np.flatnonzero(np.concatenate([[True], l[1:] != l[:-1]])), len(l))
+                spans = list(zip(edge, edge[1:]))
+                hf, sf = h[f], raw[pos[f]]
+                cols = [l[edge[:-1]], [0] * len(spans), *([pa.compress(x[a:z].tobytes(), "zstd", asbytes=True) for a, z in spans] for x in (hf, window)), *([x[a:z].tobytes() for a, z in spans] for x in (sf, m))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["lot", "kind", "a", "b", "c", "n"])
+
+    return run
+
+
+def deepen(h, symbol, n, below, window, depth: int, cfg: Settings):
+    """Contexts longer than ``depth`` of one lot, level by level: (keys, log10 values) of the states and of open ones, and what is open at the end."""
+    keys, values = [np.zeros(0, U)], [np.zeros(0)]
+    power = powers(depth + window.shape[1] + 1)
+    act = np.arange(len(h))
+    for j in range(window.shape[1]):
+        if not len(act):
+            break
+        x = window[act, j]
+        h = h + (x + U(1)) * power[depth + 1 + j]
+        entry = _entry_key(h, symbol[act])
+        order = np.argsort(entry, kind="stable")
+        e = entry[order]
+        at = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
+        place = np.empty(len(e), np.int64)
+        place[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(e))))
+        m = np.add.reduceat(n[act][order], at).astype(float)
+        p, in_state, starts, weight, state = _level(e[at] >> U(8), m, below[order[at]], cfg)
+        more = _reach(starts, m, p) >= cfg.gain - SLACK
+        node = h[order[at[starts]]]
+        known = state | more
+        keys += [e[at][in_state], _node_key(node[known])]
+        values += [np.log10(p[in_state]), np.where(state, np.log10(weight), 0.0)[known]]
+        ahead = more[_group(e[at] >> U(8))[1]][place] & (x != END)
+        act, h, below = act[ahead], h[ahead], p[place[ahead]]
+    return np.concatenate(keys), np.concatenate(values), h, symbol[act], n[act], below
+
+
+def _deepened(depth: int, more: int, cfg: Settings):
+    def run(key, rows):
+        kind = rows["kind"].to_pylist()
+        parts = {c: rows[c].to_pylist() for c in "abcn"}
+        for i in (i for i, k in enumerate(kind) if k == 0):
+            size = len(parts["c"][i])
+            for c, width in (("a", 8), ("b", more)):
+                parts[c][i] = pa.decompress(parts[c][i], size * width, "zstd", asbytes=True)
+
+        def joined(k, c, dtype):
+            return np.frombuffer(b"".join(v for v, kk in zip(parts[c], kind) if kk == k), dtype)
+
+        opened, p, after = joined(1, "a", U), joined(1, "b", np.float64), joined(1, "c", np.uint8)
+        h, window, symbol, n = joined(0, "a", U), joined(0, "b", np.uint8).reshape(-1, more), joined(0, "c", np.uint8), joined(0, "n", np.int32).astype(np.int64)
+        lot = key[0].as_py()
+        out = []
+        if len(opened) and len(h):
+            own = _entry_key(opened, after)
+            order = np.argsort(own)
+            hit, below = _look((own[order], p[order]), _entry_key(h, symbol))
+            keys, values, h, symbol, n, below = deepen(h[hit], symbol[hit], n[hit], below[hit], window[hit], depth, cfg)
+            out.append(_tree_rows(DEEP, np.full(len(keys), lot), keys, values))
+            if len(h):
+                entry = _entry_key(h, symbol)
+                _, at = np.unique(entry, return_index=True)
+                held = _tree_rows(OPEN, np.full(len(at), lot), h[at], below[at], symbol[at])
+                out.append(held.set_column(2, "size", pa.array([int(n.sum())], pa.int64())))
+        schema = pa.schema([("kind", pa.int32()), ("lot", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("extra", pa.binary())])
+        return pa.Table.from_batches(out, schema)
+
+    return run
+
+
+def grow_deep(train: DataFrame, tree: DataFrame, parts: int, turns: int, cfg: Settings) -> list[DataFrame]:
+    """The states of more than ``DEPTH`` symbols, as rows of the tree."""
+    spark, out = train.sparkSession, []
+    for turn in range(turns):
+        span = (turn * parts, (turn + 1) * parts)
+        opened, known, depth, more = tree.where(f"kind = {OPEN} and lot >= {span[0]} and lot < {span[1]}"), None, DEPTH, 12
+        while opened.select(F.sum("size").alias("n")).first()["n"]:
+            sent = train.mapInArrow(lean(_before(depth, more, span, parts * turns, known)), SENT)
+            held = opened.select("lot", F.lit(1).alias("kind"), F.col("keys").alias("a"), F.col("values").alias("b"), F.col("extra").alias("c"), F.lit(b"").alias("n"))
+            grown = materialise(sent.unionByName(held).groupBy("lot").applyInArrow(_deepened(depth, more, cfg), TREE), "lm-deep")
+            out.append(grown.where(f"kind = {DEEP}"))
+            opened = grown.where(f"kind = {OPEN}")
+            depth += more
+            left = opened.select("keys", "size").collect()
+            if not left:
+                break
+            known = spark.sparkContext.broadcast(np.unique(np.concatenate([np.frombuffer(r["keys"], U) for r in left])))
+            more = int(np.clip(parts * 32e6 / sum(r["size"] for r in left), 16, 4096))
+        spark.sparkContext._jvm.System.gc()  # shuffle files of this turn
+    return out
+
+
 def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(found, value) of keys in a sorted table."""
     if not len(table[0]):
@@ -258,27 +497,71 @@ def log_probs(codes: np.ndarray, tree, log_p1: np.ndarray) -> np.ndarray:
     return out
 
 
+class Table:
+    """Uniform 64-bit keys with values, found by their first bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(1, int(len(keys)).bit_length())
+        self.keys, self.values, self.shift = np.append(keys, U(0)), np.append(values, 0.0), U(64 - bits)
+        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=U)).astype(np.int32)
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, value) of keys."""
+        lot = (keys >> self.shift).astype(np.int64)
+        at, end = self.first[lot], self.first[lot + 1]
+        found = np.zeros(len(keys), bool)
+        rest = np.flatnonzero(at < end)
+        while len(rest):
+            hit = self.keys[at[rest]] == keys[rest]
+            found[rest[hit]] = True
+            rest = rest[~hit]
+            at[rest] += 1
+            rest = rest[at[rest] < end[rest]]
+        return found, np.where(found, self.values[np.where(found, at, 0)], 0.0)
+
+
+def deep_log_probs(raw: np.ndarray, pos: np.ndarray, off: np.ndarray, out: np.ndarray, deep: Table) -> np.ndarray:
+    """``out``, log10 by contexts of up to DEPTH symbols, replaced or reduced by the longer states of each place."""
+    rest, depth = np.flatnonzero(off >= DEPTH), DEPTH
+    if not len(rest) or len(deep.keys) == 1:
+        return out
+    h = Hashes(raw).at(pos[rest], DEPTH)
+    while len(rest):
+        depth += 1
+        x = raw[pos[rest] - depth]
+        h = h + (x + U(1)) * powers(depth + 1)[depth]
+        on, weight = deep.look(_node_key(h))
+        rest, h, weight = rest[on], h[on], weight[on]
+        hit, v = deep.look(_entry_key(h, raw[pos[rest]]))
+        out[rest] = np.where(hit, v, out[rest] + weight)
+        on = off[rest] >= depth
+        rest, h = rest[on], h[on]
+    return out
+
+
 SCORES = "n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _score(model, parts: int):
+def _score(model, parts: int, every: int):
     """Partial sums over the positions and words that belong to this block."""
 
     def run(batches):
         m = model.value
         lots, tree, log_p1, words, low, total, v, docs, first, one = (m[k] for k in ("lots", "tree", "log_p1", "words", "part", "total", "distinct", "docs", "first", "one"))
+        deep = Table(*m["deep"])
         norm = np.log10(total + 0.1 * (v + 1))
         for b in batches:
             if not b.num_rows:
                 continue
             texts = b.column("_text").to_pylist()
             k = len(texts)
-            codes, row = gram_codes(_plain(texts))
+            raw, pos, row, off = _positions(_plain(texts))
+            codes = _codes_at(raw, pos)
             if not one:
-                own = np.isin(_lot_of_pair(codes, parts), lots)
-                codes, row = codes[own], row[own]
+                own = np.isin(_lot_of(codes >> U(8), every), lots)
+                codes, pos, row, off = codes[own], pos[own], row[own], off[own]
             u, back = np.unique(codes, return_inverse=True)
-            score = np.bincount(row, log_probs(u, tree, log_p1)[back], k)
+            score = np.bincount(row, deep_log_probs(raw, pos, off, log_probs(u, tree, log_p1)[back], deep), k)
             h, counts = word_hashes(texts)
             wrow = np.repeat(np.arange(k), counts)
             tokens, known, base = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k)
@@ -335,14 +618,19 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     for r in grams.select("keys", "n").mapInArrow(lean(_pairs), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
         pairs[r["code"] >> 8, r["code"] & 255] = r["n"]
     root, p1 = top_levels(pairs, cfg)
-    tree = materialise(grams.select("lot", "keys", "n").mapInArrow(lean(_grown(spark.sparkContext.broadcast(p1), cfg)), "lot int, size bigint, keys binary, values binary"), "lm-tree")
+    turns = max(1, min(cfg.turns, -(-int(pairs.sum()) // cfg.turn)))
+    lots = parts * turns
+    tree = materialise(grams.select("keys", "n").mapInArrow(lean(_grown(spark.sparkContext.broadcast(p1), lots, cfg)), TREE), "lm-tree")
+    for deep in grow_deep(train, tree, parts, turns, cfg):
+        tree = tree.unionByName(deep)
+    tree = tree.where(f"kind <> {OPEN}")
 
     sizes = words.select("lot", (F.octet_length("keys") / 8).cast("bigint").alias("size"))
     word_sizes = {r["lot"]: r["size"] for r in sizes.collect()}
-    tree_sizes = {r["lot"]: r["size"] for r in tree.select("lot", "size").collect()}
+    tree_sizes = {r["lot"]: r["size"] for r in tree.groupBy("lot").agg(F.sum("size").alias("size")).collect()}
     total = _word_total(words) + n_docs
     distinct = sum(word_sizes.values()) + int(n_docs > 0)
-    tree_blocks = _blocks([(p, tree_sizes.get(p, 0)) for p in range(parts)], cfg.block)
+    tree_blocks = _blocks([(p, tree_sizes.get(p, 0)) for p in range(lots)], cfg.block)
     word_blocks = _blocks([(p, word_sizes.get(p, 0)) for p in range(parts)], cfg.block)
     passes = max(len(tree_blocks), len(word_blocks))
     none: list[int] = []
@@ -353,10 +641,11 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     for i in range(passes):
         tl = tree_blocks[i] if i < len(tree_blocks) else none
         wl = word_blocks[i] if i < len(word_blocks) else none
-        t = _gather(tree.where(F.col("lot").isin(tl)).select("keys", "values").collect(), "values")  # at most a block
+        t = tree.where(F.col("lot").isin([-1, *tl])).select("kind", "keys", "values").collect()  # at most a block, and the short contexts
+        t, deep = (_gather([r for r in t if r["kind"] == kind], "values") for kind in (SHALLOW, DEEP))
         w = _gather(words.where(F.col("lot").isin(wl)).select("keys", "n").collect(), "n")
-        model = {"lots": np.array(tl, np.int64), "tree": t, "log_p1": np.log10(p1), "words": w, "part": np.array(wl, np.int64), "total": total, "distinct": distinct, "docs": n_docs, "first": i == 0, "one": passes == 1}
-        outs.append(src.mapInArrow(lean(_score(spark.sparkContext.broadcast(model), parts)), f"{kept}, {SCORES}"))
+        model = {"lots": np.array(tl, np.int64), "tree": t, "deep": deep, "log_p1": np.log10(p1), "words": w, "part": np.array(wl, np.int64), "total": total, "distinct": distinct, "docs": n_docs, "first": i == 0, "one": passes == 1}
+        outs.append(src.mapInArrow(lean(_score(spark.sparkContext.broadcast(model), parts, lots)), f"{kept}, {SCORES}"))
     if passes == 1:
         out = outs[0]
     else:

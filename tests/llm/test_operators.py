@@ -296,6 +296,57 @@ def test_probabilities_sum_to_one(spark):
         assert root.sum() - 1e-9 <= (10 ** lm_scoring.log_probs(every, tree, np.log10(p1))).sum() <= 1 + 1e-9
 
 
+def brute_suffix_scores(train, texts, cfg):
+    """Scores by a tree over every context of every length, without pruning."""
+    plain = lambda t: b" ".join((t or "").encode().lower().split())
+
+    def places(t):
+        raw = b"\n" * lm_scoring.DEPTH + plain(t) + b"\n"
+        for i in range(lm_scoring.DEPTH, len(raw)):
+            longest = max(lm_scoring.DEPTH, i - lm_scoring.DEPTH + 1)  # the start of the text is one symbol
+            yield raw[max(0, i - longest) : i], raw[i]
+
+    after = {}
+    for t in train:
+        for ctx, x in places(t):
+            for d in range(1, len(ctx) + 1):
+                after.setdefault(ctx[len(ctx) - d :], Counter())[x] += 1
+    every = Counter()
+    for c in [c for k, c in after.items() if len(k) == 1]:
+        every.update(c)
+    total = sum(every.values())
+    states = {}
+
+    def prob(ctx, x):
+        for d in range(len(ctx), 0, -1):
+            s = ctx[len(ctx) - d :]
+            if s in states:
+                c, n = after[s], sum(after[s].values())
+                return max(c[x] - cfg.discount, 0) / n + cfg.discount * len(c) / n * prob(s[1:], x)
+        return (every[x] + 0.5) / (total + 0.5 * lm_scoring.SYMBOLS)
+
+    for s in sorted(after, key=len):
+        c, n = after[s], sum(after[s].values())
+        if sum(m * (math.log(m / n) - math.log(prob(s[1:], x))) for x, m in c.items()) >= cfg.gain:
+            states[s] = True
+    return [sum(math.log10(prob(*at)) for at in places(t)) for t in texts], max(map(len, states))
+
+
+def test_contexts_of_any_length_equal_brute_force(spark):
+    rng = random.Random(8)
+    line = prose(rng, 14)
+    texts = [prose(rng, rng.randint(0, 12)) for _ in range(30)] + [f"{rng.choice(['this', 'that'])} {line} " + ("yes" if i % 2 else "no") for i in range(12)]
+    # only what stands far before the common line tells the words after it
+    texts += [f"red {line} and so we stop" for _ in range(12)] + [f"blue {line} but then go on" for _ in range(12)] + ["", None, "x", line]
+    docs = documents(spark, texts)
+    cfg = lm_scoring.Settings(gain=4.0)
+    want, deepest = brute_suffix_scores(texts[:-6], texts, cfg)
+    assert deepest > len(line)
+    for c in (cfg, lm_scoring.Settings(gain=4.0, turn=2000, turns=2, block=300)):
+        got = {r.doc_id: r.score for r in lm_scoring.score_texts(docs, F.col("doc_id") < len(texts) - 6, cfg=c).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+
+
 def test_lm_without_training_or_rows(spark):
     d = documents(spark, ["a b", None])
     rows = lm_scoring.score_texts(d, F.lit(False)).collect()
