@@ -5,7 +5,8 @@ equivalent spellings; its SHA-256 is hash-joined to the digests of known licence
 compared: ``scan`` looks up whole documents, ``scan_notices`` whole lines (licence notices of one line).
 All of it is built-in functions, so it stays in the JVM.
 
-The known texts are a small reference list. Below ``SMALL`` rows it is broadcast, above it is joined
+The known texts are ``KNOWN_TEXTS`` and ``KNOWN_NOTICES``, which the SQL holds as well, the digests of longer
+licences in ``license_digests`` and the notices ``more_notices``, or tables of the caller's. They are a small reference list. Below ``SMALL`` rows it is broadcast, above it is joined
 by a shuffle of its digests, in which Spark splits hot ones.
 
 Defined cases: null text has the canonical form and digest of the empty text and matches nothing; a text of
@@ -15,9 +16,14 @@ the smaller name; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_digests import KNOWN_DIGESTS
+
 SMALL = 100_000
 
 #: Words that count as equal, as regular expressions for Java and RE2 alike. Fixed values.
@@ -76,6 +82,28 @@ KNOWN_NOTICES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 )
 
+#: Licences by the names that notices use. Fixed values.
+NAMES = (
+    ("MIT", ("MIT License", "MIT")),
+    ("ISC", ("ISC License",)),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License")),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License")),
+    ("Apache-2.0", ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License")),
+    *((f"GPL-{v}.0", (f"GNU General Public License, version {v}", f"GNU General Public License v{v}.0", f"GNU GPL v{v}", f"GPLv{v}", f"GPL-{v}.0")) for v in (1, 2, 3)),
+    *((f"LGPL-{v}", (f"GNU Lesser General Public License, version {v.removesuffix('.0')}", f"GNU Lesser General Public License v{v}", f"LGPLv{v.removesuffix('.0')}", f"LGPL-{v}")) for v in ("2.1", "3.0")),
+    ("LGPL-2.0", ("GNU Library General Public License, version 2", "GNU Library General Public License v2.0", "LGPL-2.0")),
+    *((f"GFDL-{v}", (f"GNU Free Documentation License, Version {v}", f"GFDL-{v}")) for v in ("1.2", "1.3")),
+    *((f"MPL-{v}", (f"Mozilla Public License, Version {v}", f"Mozilla Public License {v}", f"MPL {v}")) for v in ("1.1", "2.0")),
+    ("CC0-1.0", ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal")),
+    *((f"CC-{k}-{v}", (f"CC {k} {v}", f"Creative Commons {n} {v} International License" if v == "4.0" else f"Creative Commons {n} {v} License")) for v in ("3.0", "4.0") for k, n in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))),
+)
+OPENINGS = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This file is licensed under")
+
+
+def more_notices() -> list[tuple[str, str]]:
+    said = [(i, f"{o} {the}{n}.") for i, names in NAMES for n in names for o in OPENINGS for the in ("", "the ", "a ")]
+    return said + [(i, f"SPDX-License-Identifier: {i}{e}") for i, _ in NAMES for e in (("", "-only", "-or-later") if i.startswith(("GPL", "LGPL", "GFDL")) else ("",))]
+
 
 def canonical(text: Column) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, " ")
@@ -93,33 +121,43 @@ def known(spark: SparkSession, texts=KNOWN_TEXTS) -> DataFrame:
     return spark.createDataFrame(list(texts), "license_id string, text string")
 
 
-def _table(known_texts: DataFrame) -> DataFrame:
+def _table(known_texts: DataFrame, digests: tuple = ()) -> DataFrame:
     k = known_texts.where("license_id is not null").select(digest(F.col("text")).alias("digest"), canonical(F.col("text")).alias("c"), "license_id")
-    k = k.where("c <> ''").groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    return F.broadcast(k) if known_texts.count() <= SMALL else k
+    k = k.where("c <> ''").select("digest", "license_id")
+    if digests:
+        k = k.unionByName(known_texts.sparkSession.createDataFrame(list(digests), "license_id string, digest string"))
+    k = k.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    return F.broadcast(k) if known_texts.count() + len(digests) <= SMALL else k
 
 
-def scan(docs: DataFrame, known_texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest and license_id (null: none) of every whole text."""
+def scan(docs: DataFrame, known_texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: tuple = ()) -> DataFrame:
+    """doc_id, digest and license_id (null: none) of every whole text. digests: further (license_id, digest)."""
     d = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("digest"))
-    return d.join(_table(known_texts), "digest", "left").select("doc_id", "digest", "license_id")
+    return d.join(_table(known_texts, digests), "digest", "left").select("doc_id", "digest", "license_id")
+
+
+SAYS = ("licen", "released", "distributed")
+
+
+def _says(line: Column) -> Column:
+    return reduce(or_, (line.contains(x) for x in SAYS))
 
 
 def scan_notices(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, line (from 0) and license_id of every whole line that is a known notice.
 
-    Every notice names a licence, so only lines that hold "licen" are digested."""
+    Every notice holds one of ``SAYS``, so only lines that do are digested."""
     lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "said"))
-    lines = lines.where(F.translate("said", UPPER, LOWER).contains("licen"))
-    named = notices.where(F.lower("text").contains("licen"))
+    lines = lines.where(_says(F.translate("said", UPPER, LOWER)))
+    named = notices.where(_says(F.lower("text")))
     return lines.withColumn("digest", digest(F.col("said"))).join(_table(named), "digest").select("doc_id", "line", "license_id")
 
 
 def licenses(docs: DataFrame, known_texts: DataFrame | None = None, notices: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (of the whole text) and notices (names from its lines, by ';') a row."""
     spark = docs.sparkSession
-    whole = scan(docs, known_texts if known_texts is not None else known(spark))
-    lines = scan_notices(docs, notices if notices is not None else known(spark, KNOWN_NOTICES))
+    whole = scan(docs, known_texts if known_texts is not None else known(spark), digests=KNOWN_DIGESTS if known_texts is None else ())
+    lines = scan_notices(docs, notices if notices is not None else known(spark, [*KNOWN_NOTICES, *more_notices()]))
     found = lines.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ";").alias("notices"))
     return whole.join(found, "doc_id", "left")
 

@@ -36,6 +36,22 @@ def test_license_canonical_forms(spark):
     assert rows[6][1] == "MIT" and rows[0][1] is None
 
 
+def test_long_licenses_and_more_notices(spark):
+    from pathlib import Path
+
+    have = Path("/usr/share/common-licenses")
+    if not (have / "Apache-2.0").exists():
+        pytest.skip("no licence texts")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0-Perl"}
+    whole = [(have / f).read_text() for f in files]
+    apache = whole[0].split("   APPENDIX")[0]
+    others = [apache, whole[2].upper(), "The BSD 3-Clause License\n\nCopyright (c) 2020, X\n\n" + license_scan.KNOWN_TEXTS[-1][1], whole[2] + " more"]
+    rows = {r.doc_id: r.license_id for r in license_scan.licenses(documents(spark, whole + others)).collect()}
+    assert [rows[i] for i in range(len(rows))] == [*files.values(), "Apache-2.0", "GPL-3.0", "BSD-3-Clause", None]
+    lines = ["x\n# SPDX-License-Identifier: MPL-2.0\ny", "Distributed under the GNU GPL v2.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."]
+    assert [r.notices for r in license_scan.licenses(documents(spark, lines)).orderBy("doc_id").collect()] == ["MPL-2.0", "GPL-2.0", "CC-BY-SA-4.0"]
+
+
 def test_license_empty_and_clashing(spark):
     d = documents(spark, [license_scan._ISC]).withColumn("digest", F.lit("x")).withColumn("license_id", F.lit(1))
     assert license_scan.licenses(d).first().license_id == "ISC"
