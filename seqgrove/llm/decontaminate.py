@@ -8,8 +8,8 @@ discards most false ones and Myers' bit-parallel distance decides on the rest.
 The test set is a stated query set: it is scanned against all documents in blocks of ``block_chars``, each
 broadcast, so its size has a bound at any scale. Documents are read once a block and are not shuffled.
 
-Defined cases: null or empty text matches nothing; items that are null or shorter than ``least`` folded
-characters are left out (they say too little to call a text contaminated); equal items are reported each;
+Defined cases: null or empty text matches nothing; items that are null or fold to
+nothing are left out; items shorter than ``least`` folded characters match exactly and at word boundaries only; equal items are reported each;
 repeated documents are reported each; an empty table on either side gives no match.
 """
 
@@ -103,6 +103,15 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cut, cut[1:])]
 
 
+#: Letters of scripts without spaces between words (Thai to Myanmar, Khmer, kana, Han): a word may begin or end beside them.
+_unspaced = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether a part of a folded text begins and ends at word boundaries."""
+    return all(i in (0, len(text)) or " " in text[i - 1 : i + 1] or bool(_unspaced.search(text[i - 1 : i + 1])) for i in (start, end))
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], cfg: Settings):
         import ahocorasick
@@ -111,7 +120,7 @@ class Matcher:
         for i, t in items:
             by_text.setdefault(t, []).append(i)
         self.texts, self.ids, self.cfg = list(by_text), list(by_text.values()), cfg
-        self.k = [budget(len(t), cfg) for t in self.texts]
+        self.k = [budget(len(t), cfg) if len(t) >= cfg.least else 0 for t in self.texts]
         self.peq = [masks(t) for t in self.texts]
         self.back = [masks(t[::-1]) for t in self.texts]
         self.grams = [Counter(t[i : i + cfg.q] for i in range(len(t) - cfg.q + 1)) for t in self.texts]
@@ -154,6 +163,12 @@ class Matcher:
             for n, at in where:
                 k, m = self.k[n], len(self.texts[n])
                 start = end - size + 1 - at
+                if m < self.cfg.least:
+                    if n not in best and bounded(text, start, start + m):
+                        best[n] = (0, start, start + m)
+                        if first:
+                            return [(self.ids[n][0], *best[n])]
+                    continue
                 # a place is tried once for all pieces that agree on it within k
                 lot = start // (k + 1)
                 done = tried.setdefault(n, set())
@@ -207,7 +222,7 @@ def item_blocks(benchmark: DataFrame, cfg: Settings) -> list:
     out = []
     for k in range(n):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        folded = [(r["item_id"], f) for r in some if len(f := fold(r["text"])) >= cfg.least]
+        folded = [(r["item_id"], f) for r in some if (f := fold(r["text"]))]
         if folded:
             out.append(spark.sparkContext.broadcast((sorted(folded), cfg)))
     return out

@@ -147,6 +147,15 @@ def test_myers_equals_dynamic_programming():
         assert decontaminate.myers(decontaminate.masks(p), len(p), t)[0] == levenshtein_in(p, t)
 
 
+def test_short_items_match_exactly_at_word_boundaries(spark):
+    bench = spark.createDataFrame([(1, "Who wrote it?"), (2, "日本の首都はどこですか"), (3, "?!")], "item_id bigint, text string")
+    texts = ["He asked: who  wrote it, then?", "who wrote items", "who wrote is", "問題。次の日本の首都はどこですか答え", "?!", "xwho wrote it. Who wrote it"]
+    docs = documents(spark, texts)
+    got = {(r.doc_id, r.item_id): (r.distance, r.allowed, texts[r.doc_id][r.start : r.end]) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, 1): (0, 0, "who  wrote it"), (3, 2): (0, 0, "日本の首都はどこですか"), (5, 1): (0, 0, "Who wrote it")}
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {1, 2, 4}
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(2)
     items = [(i, prose(rng, rng.randint(8, 25)).capitalize() + ".") for i in range(8)] + [(90, None), (91, "short"), (92, "")]
