@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one is set only where none is (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where none is, a local one is made in local mode (tests); on a
+    cluster, whose machines don't share it, that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = jvm.get() if jvm.isDefined() else None
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         d = "file://" + tempfile.mkdtemp(prefix="seqgrove-")
         spark.sparkContext.setCheckpointDir(d)
         spark.conf.set("spark.checkpoint.dir", d)
