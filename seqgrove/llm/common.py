@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +20,19 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "1m") -> None:
-    """Arrow batches are cut by bytes as well as rows, so very long texts don't pile up in one."""
+#: Arrow batches of every operator here: cut by bytes as well as rows, so very long texts don't pile up in one.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "2m"}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Ships the package and bounds Arrow batches, alike for all operators; what the session sets itself stays.
+
+    Plans run later than they are made, so the limits are the session's and no operator has its own."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    given = {x._1() for x in spark.sparkContext._jsc.sc().conf().getAll()}
+    for name, value in BATCHES.items():
+        if name not in given:
+            spark.conf.set(name, value)
 
 
 def _libc():
@@ -67,6 +77,27 @@ def lean(run):
     return task
 
 
+def lean_table(run):
+    """``run`` (a group to a table) for a Python worker that gives memory back after each group."""
+
+    def task(*args):
+        libc = _libc()
+        if libc is not None:
+            libc.mallopt(-3, 16 << 20)
+            libc.mallopt(-1, 128 << 20)
+        try:
+            return run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    # Spark tells by the number of arguments whether the keys are wanted
+    if run.__code__.co_argcount == 3:
+        return lambda key, left, right: task(key, left, right)
+    return lambda key, rows: task(key, rows)
+
+
 def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
@@ -146,3 +177,40 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
 
 def schema_of(**cols) -> pa.Schema:
     return pa.schema(list(cols.items()))
+
+
+#: A filter of fixed size: a full one lets more through and drops nothing.
+BLOOM_BITS = 25
+
+
+def _bloom_at(keys: np.ndarray):
+    mask = np.uint64((1 << BLOOM_BITS) - 1)
+    for k in (1, 2, 3):
+        yield (mix(keys + BASE * np.uint64(k)) & mask).astype(np.int64)
+
+
+def _bloom_part(keys_of):
+    def run(batches):
+        bits = np.zeros(1 << BLOOM_BITS, bool)
+        for keys in keys_of(batches):
+            for at in _bloom_at(keys):
+                bits[at] = True
+        if bits.any():
+            yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
+
+    return run
+
+
+def bloom_of(rows: DataFrame, keys_of) -> np.ndarray:
+    """The filter of all keys of ``rows``; keys_of makes arrays of 64-bit keys from batches."""
+    bits = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
+    for r in rows.coalesce(8).mapInArrow(lean(_bloom_part(keys_of)), "bits binary").toLocalIterator():
+        bits |= np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
+    return bits
+
+
+def bloom_has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    found = np.ones(len(keys), bool)
+    for at in _bloom_at(keys):
+        found &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    return found

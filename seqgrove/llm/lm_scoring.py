@@ -1,673 +1,475 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-Symbols are the UTF-8 bytes of a text's words (A-Z in small letters), one space between words, and an end
-symbol. A context of any length is a state of the tree if the distribution after it diverges
-from the one of its longest retained suffix: n(context) * KL >= ``Settings.gain`` nats, over the counts of
-the whole training part. A context ends at the start of its text, which counts as one symbol (contexts of
-up to ``DEPTH`` symbols see it repeated). Distributions are smoothed by absolute discounting into the suffix's, down to a
-root that knows every symbol, and a position is scored by the longest suffix of its context that is a
-state. Alongside, a unigram word model with additive smoothing gives the base score.
-
-Counts of up to ``DEPTH`` symbols are made per task and merged by hash partitions of packed arrays. Longer
-contexts grow in rounds: what precedes the open ones is sent to the lot of their last ``DEPTH`` symbols and
-grown there, one symbol at a time. A context is open if some subset of what follows it could still pass the
-test (``_reach``), so none that passes is missed; the rounds end when none is open. Lots are taken in
-at most ``Settings.turns`` turns (of ``Settings.turn`` symbols at least), which bounds the disk. Longer contexts are known by 56-bit and 64-bit hashes.
-
-The retained states and the word counts are broadcast in blocks of at most ``Settings.block`` entries, and the
-texts are scored once a block, so memory is bounded whatever the size of the model; with one block there is
-one pass and no shuffle. The states of a position lie in one block: those of less than ``DEPTH`` symbols
-are in every block, the others are dealt by the last ``DEPTH`` symbols of the context.
-
-Defined cases: null text is the empty text, which has the end symbol only; a null id belongs to the
-training part; repeated rows are scored each; without training texts the tree is uniform and base scores
-are 0; an empty table gives no rows.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+Symbols are the words of a text (A-Z in small letters) and one end; a context is what stands before a symbol,
+and a text's start is a symbol of contexts. Lengths of contexts have no limit: 1, 2, 3, 4, 6, 8, 12, 16, 24 and
+so on (``ladder``), a context that meets the start of its text being the whole of what precedes. A context is a
+state of the tree if its distribution diverges from the one of its longest retained suffix: n * KL, over the
+smoothed distribution of its n training symbols, is at least ``Settings.gain`` nats. Smoothing backs off: symbols
+seen twice or more keep their count less ``Settings.discount``, and what that and the symbols seen once leave is
+shared out by the suffix's distribution over all other symbols. The root is the unigram model with 0.1 added that
+also gives the base score, so both scores are probabilities of the same tokens. A token is scored by the longest
+suffix of its context that is a state.
+
+Counting and scoring meet in one place, so the tree itself is never gathered, broadcast or written:
+
+1. A pass over the texts sends the distinct (lot, word) of each chunk to the words' partitions, where they are
+   counted, and each lot gets the counts of its own words back. A lot is a range of hashes of the last word.
+2. Every token goes to the lot of its context's last word with hashes of its context's lengths. There the contexts of
+   length 1 and 2 are counted over the training part, tested, smoothed and used for all tokens, training and held
+   out. Back come sums by text. Lots are taken in ``Settings.turns`` turns, which bounds the disk.
+3. Contexts that a longer one may still diverge from (*open*: the sum of count * -log p reaches ``gain``, p being the
+   probability of a symbol seen twice, and of all others together; no longer context can gain more) go on: their tokens are sent with hashes of further lengths to the lots of their
+   contexts, until no context is open. A filter of fixed size tells senders which are; a full one only lets more through.
+
+Words are known by 56 bits of a hash, contexts by 48 bits inside a lot, whose size doesn't grow with the input.
+
+Defined cases: null text is the empty text, which has the end only; a null id belongs to the training part; repeated
+rows are scored each; very long texts are hashed in slices; without training texts all scores are 0; an empty table gives no rows;
+further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, bounded_batches, crc_bucket, lean, materialise, mix, powers, shuffle_parts, utf8, word_hashes
+from .common import BASE, bloom_has, bloom_of, bounded_batches, crc_bucket, discard, lean, lean_table, materialise, mix, powers, shuffle_parts, utf8, word_hashes
 
-#: Symbols of a context that fit a packed number; longer contexts are hashed.
-DEPTH = 5
-PAD = b"\n" * DEPTH
-END = 10
 U = np.uint64
-SYMBOLS = 257
+START, END = 0, 1
+INVERSE = U(pow(int(BASE), -1, 1 << 64))
+#: Lengths of contexts that are taken in the first rounds, and in each round after these.
+ROUNDS, MORE = (2, 4), 25
 
 
 @dataclass(frozen=True)
 class Settings:
     gain: float = 6.0
-    discount: float = 0.6
-    block: int = 6_000_000
-    turns: int = 6
-    turn: int = 2_000_000
-
+    discount: float = 0.8
+    turns: int = 3
+    chunk: int = 1_000_000
 
-def _plain(texts: list[bytes]) -> list[bytes]:
-    return [b" ".join(t.lower().split()) for t in texts]
 
+def ladder():
+    """1, 2, 3, 4, 6, 8, 12, 16, 24, 32 and so on: two lengths an octave."""
+    yield 1
+    n = 2
+    while True:
+        yield n
+        yield n + n // 2
+        n *= 2
 
-def _positions(plain: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The padded texts, and for every symbol, ends included: its place there, its text's row, its offset in the text."""
-    raw = np.frombuffer(PAD + PAD.join(plain) + PAD, np.uint8)
-    lens = np.fromiter(map(len, plain), np.int64, len(plain))
-    starts = np.cumsum(lens + DEPTH) - lens
-    row = np.repeat(np.arange(len(plain)), lens + 1)
-    off = np.arange(len(row)) - np.repeat(np.cumsum(lens + 1) - (lens + 1), lens + 1)
-    return raw, off + np.repeat(starts, lens + 1), row, off
 
+def lengths_of(number: int) -> tuple[int, list[int]]:
+    """The length before a round's first one, and the lengths of the round."""
+    before = sum(ROUNDS[:number]) + MORE * max(0, number - len(ROUNDS))
+    here = ROUNDS[number] if number < len(ROUNDS) else MORE
+    steps = [0, *islice(ladder(), before + here)]
+    return steps[before], steps[before + 1 :]
 
-def _codes_at(raw: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    n = len(raw) - DEPTH
-    code = np.zeros(n, U)
-    for k in range(DEPTH + 1):
-        code = (code << U(8)) | raw[k : n + k]
-    return code[pos - DEPTH]
 
+def squeeze(x: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of each number."""
+    return np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
-def gram_codes(plain: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every symbol of every text, end included: context and symbol as one number, and the text's row."""
-    raw, pos, row, _ = _positions(plain)
-    return _codes_at(raw, pos), row
 
+def widen(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
 
-INVERSE = U(pow(int(BASE), -1, 1 << 64))
 
+class Tokens:
+    """The tokens of some texts: symbol, row of the text, number of symbols before (the start included)."""
 
-class Hashes:
-    """Hashes of the contexts of any depth before places of ``raw``: sum of (symbol + 1) * BASE ** depth."""
+    def __init__(self, texts: list[bytes]):
+        h, n = word_hashes(texts)
+        starts = np.cumsum(n + 2) - (n + 2)
+        self.raw = np.empty(len(h) + 2 * len(n), U)
+        inner = np.ones(len(self.raw), bool)
+        inner[starts] = inner[starts + n + 1] = False
+        self.raw[inner] = np.maximum(h >> U(8), U(2))
+        self.raw[starts], self.raw[starts + n + 1] = U(START), U(END)
+        inner[starts + n + 1] = True
+        self.pos = np.flatnonzero(inner)
+        self.row = np.repeat(np.arange(len(n)), n + 1)
+        self.off = self.pos - np.repeat(starts, n + 1)
+        self.symbol = self.raw[self.pos]
+        self._sums = np.full(len(self.raw) + 1, INVERSE, U)
+        self._sums[0] = 1
+        back = np.multiply.accumulate(self._sums)[:-1]
+        self._sums[0] = 0
+        np.cumsum(back * (self.raw + U(1)), out=self._sums[1:])
 
-    def __init__(self, raw: np.ndarray):
-        self.sums = np.full(len(raw) + 1, INVERSE, U)
-        self.sums[0] = 1
-        back = np.multiply.accumulate(self.sums)[:-1]
-        self.sums[0] = 0
-        np.cumsum(back * (raw + U(1)), out=self.sums[1:])
+    def contexts(self, length: int, at: np.ndarray | None = None) -> np.ndarray:
+        """48-bit hashes of the last ``length`` symbols (no more than there are) before the tokens ``at``."""
+        pos, off = (self.pos, self.off) if at is None else (self.pos[at], self.off[at])
+        h = (self._sums[pos] - self._sums[pos - np.minimum(off, length)]) * powers(len(self.raw))[pos]
+        return mix(h) >> U(16)
 
-    def at(self, pos: np.ndarray, depth: int) -> np.ndarray:
-        return (self.sums[pos] - self.sums[pos - depth]) * powers(int(pos.max(initial=0)) + 1)[pos]
 
+def lot_of(key: np.ndarray, lots: int) -> np.ndarray:
+    return ((key * U(lots)) >> U(48)).astype(np.int64)
 
-def code_hash(ctx: np.ndarray) -> np.ndarray:
-    """The hash of packed contexts of ``DEPTH`` symbols."""
-    out = np.zeros(len(ctx), U)
-    for d in range(DEPTH):
-        out += (((ctx >> U(8 * d)) & U(255)) + U(1)) * powers(DEPTH + 1)[d + 1]
-    return out
 
+def edges_of(lots: int) -> np.ndarray:
+    """The first key of each lot, and the end."""
+    return np.array([-(-(i << 48) // lots) for i in range(lots + 1)], U)
 
-def _lot_of(ctx: np.ndarray, lots: int) -> np.ndarray:
-    """By the last ``DEPTH`` symbols, so that all longer contexts with them meet."""
-    return (mix(ctx + U(1)) % U(lots)).astype(np.int64)
 
-
-def _merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of runs of equal neighbours."""
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(n, at) if len(at) else n
-
-
-class Counts:
-    """Counts of 64-bit keys, merged as they grow."""
-
-    def __init__(self):
-        self.keys, self.n, self.new, self.held = np.zeros(0, U), np.zeros(0, np.int64), [], 0
-
-    def add(self, keys: np.ndarray) -> None:
-        k, n = np.unique(keys, return_counts=True)
-        self.new.append((k, n))
-        self.held += len(k)
-        if self.held > max(1_000_000, len(self.keys)):
-            self.settle()
-
-    def settle(self) -> None:
-        if self.new:
-            self.keys, self.n = _merge(np.concatenate([self.keys, *(k for k, _ in self.new)]), np.concatenate([self.n, *(n for _, n in self.new)]))
-            self.new, self.held = [], 0
+    return at, np.diff(np.append(at, len(keys)))
 
 
-def _lot_of_pair(codes: np.ndarray, parts: int) -> np.ndarray:
-    """By the last two context symbols, so that all suffixes of two or more symbols meet."""
-    return (mix(((codes >> U(8)) & U(0xFFFF)) + U(1)) % U(parts)).astype(np.int64)
-
-
-def _packed(kind: int, c: Counts, lots: np.ndarray, parts: int):
-    order = np.argsort(lots, kind="stable")
-    keys, n, lots = c.keys[order], c.n[order], lots[order]
-    edges = np.searchsorted(lots, np.arange(parts + 1))
-    full = np.flatnonzero(np.diff(edges))
-    yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(full), pa.int32()), "lot": pa.array(full.astype(np.int32)), "keys": pa.array([keys[edges[p] : edges[p + 1]].tobytes() for p in full], pa.binary()), "n": pa.array([n[edges[p] : edges[p + 1]].tobytes() for p in full], pa.binary())})
-
-
-COUNTED = "kind int, lot int, keys binary, n binary"
-
-
-def _counted(parts: int, most: int = 3_000_000):
-    def run(batches):
-        grams, words, docs = Counts(), Counts(), 0
-
-        def rows():
-            grams.settle()
-            words.settle()
-            if len(grams.keys):
-                yield from _packed(0, grams, _lot_of_pair(grams.keys, parts), parts)
-            if len(words.keys):
-                yield from _packed(1, words, (words.keys % U(parts)).astype(np.int64), parts)
-
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            if not texts:
-                continue
-            docs += len(texts)
-            grams.add(gram_codes(_plain(texts))[0])
-            h, _ = word_hashes(texts)
-            if len(h):
-                words.add(h)
-            if len(grams.keys) + len(words.keys) > most:
-                yield from rows()
-                grams, words = Counts(), Counts()
-        yield from rows()
-        if docs:
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([2], pa.int32()), "lot": pa.array([0], pa.int32()), "keys": pa.array([np.zeros(1, U).tobytes()], pa.binary()), "n": pa.array([np.array([docs], np.int64).tobytes()], pa.binary())})
-
-    return run
-
-
-def _sum_lot(key, rows):
-    keys = np.concatenate([np.frombuffer(x, U) for x in rows["keys"].to_pylist()])
-    n = np.concatenate([np.frombuffer(x, np.int64) for x in rows["n"].to_pylist()])
-    keys, n = _merge(keys, n)
-    return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "lot": pa.array([key[1].as_py()], pa.int32()), "keys": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+def _chunks(batches, most: int):
+    """Texts, keys, ids and parts (training or not) of rows, joined up to about ``most`` words."""
+    cols: tuple[list, ...] = ([], [], [], [])
+    held = 0
+    for b in batches:
+        for col, name in zip(cols, ("text", "key", "id", "learn")):
+            col += b.column(name).to_pylist()
+        held += b.column("text").nbytes
+        if held >= 6 * most:
+            yield cols
+            cols, held = ([], [], [], []), 0
+    if cols[0]:
+        yield cols
 
 
-def _pairs(batches):
-    """Counts of (last symbol, next symbol): at most 65,536 numbers."""
-    total = np.zeros(1 << 16, np.int64)
-    for b in batches:
-        for k, n in zip(b.column("keys").to_pylist(), b.column("n").to_pylist()):
-            np.add.at(total, (np.frombuffer(k, U) & U(0xFFFF)).astype(np.int64), np.frombuffer(n, np.int64))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"code": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
-
-
-def _group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of runs of equal sorted keys, and the run of each."""
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    return np.flatnonzero(new), np.cumsum(new) - 1
-
-
-def _level(ctx: np.ndarray, n: np.ndarray, below: np.ndarray, cfg: Settings):
-    """One depth of the tree. ctx: sorted contexts of the entries; below: probabilities by their suffix.
-
-    Returns probabilities, whether each entry's context is a state, and per context: start, weight, state."""
-    starts, run = _group(ctx)
-    total, kinds = np.add.reduceat(n, starts), np.diff(np.append(starts, len(ctx)))
-    gain = np.add.reduceat(n * (np.log(n / total[run]) - np.log(below)), starts)
-    state = gain >= cfg.gain
-    weight = cfg.discount * kinds / total
-    own = (n - cfg.discount) / total[run] + weight[run] * below
-    return np.where(state[run], own, below), state[run], starts, weight, state
-
-
-def _reach(starts: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """For each context, no less than n * KL of any longer context whose longest retained suffix it has.
-
-    Counts m of such a context keep m <= n, so its sum of m * log(m / (M * p)), M the sum of m, is at most that of
-    m * log(n / (M * p)). For each M the best m takes symbols by n / p, and along M this is concave between sums of n."""
-    sizes = np.diff(np.append(starts, len(n)))
-    run = np.repeat(np.arange(len(starts)), sizes)
-    ratio = n / p
-    order = np.lexsort((-ratio, run))
-    n, ratio = n[order], ratio[order]
-    gain = n * np.log(ratio)
-    upto, gained = np.cumsum(n), np.cumsum(gain)
-    upto -= np.repeat((upto - n)[starts], sizes)
-    gained -= np.repeat((gained - gain)[starts], sizes)
-    m = np.maximum(np.clip(ratio / np.e, upto - n, upto), 1)
-    return np.maximum.reduceat(gained - gain + (m - (upto - n)) * np.log(ratio) - m * np.log(m), starts)
-
-
-#: For rounding in sums.
-SLACK = 1e-6
-
-
-def top_levels(pairs: np.ndarray, cfg: Settings):
-    """Depth 0 and 1 from the 256 x 256 counts: root probabilities, and probabilities and weights of depth 1."""
-    nxt = pairs.sum(0)
-    total = nxt.sum()
-    root = (nxt + 0.5) / (total + 0.5 * SYMBOLS)
-    p1 = np.tile(root, (256, 1))
-    w1 = np.ones(256)
-    c, s = np.nonzero(pairs)
-    if len(c):
-        p, _, starts, weight, state = _level(c, pairs[c, s].astype(float), root[s], cfg)
-        for at, wt, ok in zip(c[starts], weight, state):
-            if ok:
-                p1[at] *= wt
-                w1[at] = wt
-        seen = np.repeat(state, np.diff(np.append(starts, len(c))))
-        p1[c[seen], s[seen]] = p[seen]
-    return root, p1
-
-
-def _entry(depth: int, ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return (U(depth) << U(56)) | (ctx << U(8)) | symbol
-
-
-def _weight_key(depth: int, ctx: np.ndarray) -> np.ndarray:
-    return (U(depth + 16) << U(56)) | ctx
-
-
-def grow(codes: np.ndarray, n: np.ndarray, p1: np.ndarray, cfg: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of the states of depth 2 to ``DEPTH`` under some last-two-symbol pairs: sorted keys, log10 values."""
-    keys, values, _, _ = _grow(codes, n, p1, cfg)
-    order = np.argsort(keys)
-    return keys[order], values[order]
-
-
-def _grow(codes: np.ndarray, n: np.ndarray, p1: np.ndarray, cfg: Settings):
-    """Keys and log10 values of the states, codes and probabilities of the open contexts of ``DEPTH`` symbols."""
-    keys, values = [], []
-    symbol = codes & U(255)
-    levels = [None] * (DEPTH + 1)
-    for d in range(DEPTH, 1, -1):  # counts of each depth
-        code = codes & U((1 << (8 * (d + 1))) - 1)
-        levels[d] = _merge(code, n)
-    last_code, last_p = None, None
-    for d in range(2, DEPTH + 1):
-        code, m = levels[d]
-        ctx, symbol = code >> U(8), code & U(255)
-        if d == 2:
-            below = p1[(ctx & U(255)).astype(np.int64), symbol.astype(np.int64)]
-        else:
-            below = last_p[np.searchsorted(last_code, code & U((1 << (8 * d)) - 1))]
-        p, in_state, starts, weight, state = _level(ctx, m.astype(float), below, cfg)
-        keys += [_entry(d, ctx[in_state], symbol[in_state]), _weight_key(d, ctx[starts][state])]
-        values += [np.log10(p[in_state]), np.log10(weight[state])]
-        last_code, last_p = code, p
-    more = (_reach(starts, m.astype(float), p) >= cfg.gain - SLACK)[_group(ctx)[1]] & ((code >> U(8 * DEPTH)) != END)
-    return np.concatenate(keys), np.concatenate(values), code[more], p[more]
+# --- words -----------------------------------------------------------------------------------------------
 
+ASKED = "kind int, lot bigint, a binary, b binary, c binary"
+WORDS, TEXTS = 0, 1
 
-#: Kinds of the tree's rows: entries of depth 2 to DEPTH and above (keys, log10 values), open contexts (hash and symbol, probabilities).
-SHALLOW, DEEP, OPEN = 0, 1, 2
-TREE = "kind int, lot int, size bigint, keys binary, values binary, extra binary"
 
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    cols = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[n for n, _ in fields])
 
-def _tree_rows(kind: int, lots, keys: np.ndarray, values: np.ndarray, extra: np.ndarray | None = None):
-    """Rows of at most one lot each."""
-    order = np.argsort(lots, kind="stable")
-    lots, keys, values = lots[order], keys[order], values[order]
-    at = np.flatnonzero(np.concatenate([[True], lots[1:] != lots[:-1]])) if len(lots) else np.zeros(0, np.int64)
-    ends = np.append(at[1:], len(lots))
-    extra = extra[order] if extra is not None else np.zeros(len(lots), "V0")
-    cols = [[kind] * len(at), lots[at], ends - at, *([x[a:z].tobytes() for a, z in zip(at, ends)] for x in (keys, values)), [extra[a:z].tobytes() if extra.dtype.itemsize else b"" for a, z in zip(at, ends)]]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["kind", "lot", "size", "keys", "values", "extra"])
 
+def _asked(lots: int, parts: int, most: int):
+    """The distinct (lot, word) of each chunk with their training counts, by the word's part; keys and ids of the texts."""
 
-def _grown(p1, lots: int, cfg: Settings):
     def run(batches):
-        top = p1.value
-        for b in batches:
-            for k, n in zip(b.column("keys").to_pylist(), b.column("n").to_pylist()):
-                keys, values, code, p = _grow(np.frombuffer(k, U), np.frombuffer(n, np.int64), top, cfg)
-                full = (keys >> U(56)) & U(15) == DEPTH
-                lot = np.full(len(keys), -1, np.int64)  # less than DEPTH symbols: for every block
-                weight = (keys >> U(60)) > 0
-                ctx = np.where(weight, keys, keys >> U(8)) & U((1 << (8 * DEPTH)) - 1)
-                lot[full] = _lot_of(ctx[full], lots)
-                yield _tree_rows(SHALLOW, lot, keys, values)
-                own = code >> U(8)
-                yield _tree_rows(OPEN, _lot_of(own, lots), code_hash(own), p, (code & U(255)).astype(np.uint8))
+        for texts, keys, ids, learn in _chunks(batches, most):
+            t = Tokens(texts)
+            lot = lot_of(t.contexts(1), lots)
+            train = np.array(learn, bool)[t.row]
+            both = mix(t.symbol * U(lots + 1) + lot.astype(U))
+            order = np.argsort(both)
+            at, _ = _runs(both[order])
+            n = np.add.reduceat(train[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+            first = order[at]
+            s, lot = t.symbol[first], lot[first]
+            part = (mix(s) % U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            s, lot, n, part = s[order], lot[order], n[order], part[order]
+            cut = np.searchsorted(part, np.arange(parts + 1))
+            rows = [(WORDS, p, squeeze(s[a:z], 7), lot[a:z].astype("<u4").tobytes(), n[a:z].astype("<u4").tobytes()) for p, (a, z) in enumerate(zip(cut, cut[1:])) if a < z]
+            k = np.array(keys, np.int64).view(U)
+            own = (k % U(parts)).astype(np.int64)
+            number = np.array([0 if i is None else i for i in ids], np.int64)
+            null = np.array([i is None for i in ids], np.uint8)
+            rows += [(TEXTS, p, k[m].tobytes(), number[m].tobytes(), null[m].tobytes()) for p in np.unique(own).tolist() for m in [own == p]]
+            yield _batch(ASKED, rows)
 
     return run
 
 
-SENT = "lot int, kind int, a binary, b binary, c binary, n binary"
+COUNTED = "kind int, lot bigint, a binary, b binary, c binary, total bigint, words bigint"
 
 
-def _entry_key(h: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return (mix(h) & ~U(255)) | symbol
+def _counted(key, rows):
+    """Counts of one part's words, by the lots that asked; texts pass through."""
+    kind, part = key[0].as_py(), key[1].as_py()
+    a, b, c = (rows[x].to_pylist() for x in "abc")
+    if kind == TEXTS:
+        return pa.Table.from_batches([_batch(COUNTED, [(TEXTS, part, b"".join(a), b"".join(b), b"".join(c), 0, 0)])])
+    s, lot, n = widen(b"".join(a), 7), np.frombuffer(b"".join(b), "<u4"), np.frombuffer(b"".join(c), "<u4").astype(np.int64)
+    order = np.argsort(s, kind="stable")
+    s, lot, n = s[order], lot[order], n[order]
+    at, size = _runs(s)
+    count = np.add.reduceat(n, at)
+    of = np.repeat(np.arange(len(at)), size)
+    pair = np.unique(lot.astype(U) << U(40) | of.astype(U))  # a part has fewer than 2 ** 40 words
+    lot, of = (pair >> U(40)).astype(np.int64), (pair & U((1 << 40) - 1)).astype(np.int64)
+    first, size = _runs(lot)
+    out = [(WORDS, int(lot[i]), squeeze(s[at[of[i : i + k]]], 7), count[of[i : i + k]].astype("<u8").tobytes(), b"", 0, 0) for i, k in zip(first, size)]
+    out.append((WORDS, -1, b"", b"", b"", int(count.sum()), int((count > 0).sum())))
+    return pa.Table.from_batches([_batch(COUNTED, out)])
 
 
-def _node_key(h: np.ndarray) -> np.ndarray:
-    return mix(h ^ U(0xA5A5A5A5A5A5A5A5))
+# --- tokens by context -----------------------------------------------------------------------------------
 
+SENT = "lot bigint, kind int, keys binary, sizes binary, symbols binary, contexts binary, levels binary, texts binary, learn binary, rows binary"
+TOKENS, TABLE = 0, 1
 
-def _before(depth: int, more: int, turn: tuple[int, int], lots: int, opened):
-    """For the open contexts of ``depth`` symbols: hash, the symbols before, the one after, how often.
 
-    opened: a broadcast of the sorted hashes, or None for all."""
+def _sent(number: int, lots: int, span: tuple[int, int], most: int, opened=None):
+    """Tokens of a round by lot: of all contexts' last words, or of the contexts that are open."""
+    before, steps = lengths_of(number)
+    edges = edges_of(lots)
 
     def run(batches):
-        some = opened.value if opened is not None else None
-        for b in batches:
-            raw, pos, _, off = _positions(_plain(b.column("text").to_pylist()))
-            pos, off = pos[off >= depth], off[off >= depth]
-            code = _codes_at(raw, pos)
-            lot = _lot_of(code >> U(8), lots)
-            own = np.flatnonzero((lot >= turn[0]) & (lot < turn[1]))
-            pos, off, lot, code = pos[own], off[own], lot[own], code[own]
-            if not len(pos):
-                continue
-            hashes = Hashes(raw)
-            h = hashes.at(pos, depth)
-            if some is not None:
-                own = some[np.minimum(np.searchsorted(some, h), len(some) - 1)] == h
-                pos, off, lot, code, h = pos[own], off[own], lot[own], code[own], h[own]
-                if not len(pos):
+        bits = opened.value if opened is not None else None
+        for texts, keys, _, learn in _chunks(batches, most):
+            t = Tokens(texts)
+            if bits is None:
+                at = None
+                key = t.contexts(steps[0])
+            else:
+                at = np.flatnonzero(t.off > before)
+                key = t.contexts(before, at)
+                hit = bloom_has(bits, key)
+                at, key = at[hit], key[hit]
+            own = np.flatnonzero((key >= edges[span[0]]) & (key < edges[span[1]]))
+            own = own[np.argsort(key[own])]
+            key, at = key[own], own if at is None else at[own]
+            off, row, symbol = t.off[at], t.row[at], t.symbol[at]
+            # levels that the text has room for, and one more if it goes on
+            levels = np.searchsorted(np.array([before, *steps]), off, side="left").astype(np.uint8)
+            ctx = [(t.contexts(n, at), levels > i) for i, n in enumerate(steps) if bits is not None or i]
+            text, train = np.array(keys, np.int64), np.array(learn, np.uint8)
+            cut = np.searchsorted(key, edges[span[0] : span[1] + 1])
+            for lot, (a, z) in enumerate(zip(cut, cut[1:]), span[0]):
+                if a == z:
                     continue
-            # the start of the text is one symbol; equal windows are sent once
-            whole = np.minimum(off + 1, depth + more)
-            full = mix((hashes.sums[pos] - hashes.sums[pos - whole]) * powers(len(raw))[pos])
-            full = mix(full + raw[pos])
-            _, first, n = np.unique(full, return_index=True, return_counts=True)
-            order = np.lexsort((code[first], lot[first]))
-            first, n = first[order], n[order]
-            step = max(1, (32 << 20) // more)
-            for i in range(0, len(first), step):
-                f, m = first[i : i + step], n[i : i + step].astype(np.int32)
-                at = pos[f, None] - depth - 1 - np.arange(more)
-                window = np.where(at >= (pos[f] - off[f])[:, None], raw[np.maximum(at, 0)], np.uint8(END))
-                l = lot[f]
-                edge = np.append(np.flatnonzero(np.concatenate([[True], l[1:] != l[:-1]])), len(l))
-                spans = list(zip(edge, edge[1:]))
-                hf, sf = h[f], raw[pos[f]]
-                cols = [l[edge[:-1]], [0] * len(spans), *([pa.compress(x[a:z].tobytes(), "zstd", asbytes=True) for a, z in spans] for x in (hf, window)), *([x[a:z].tobytes() for a, z in spans] for x in (sf, m))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["lot", "kind", "a", "b", "c", "n"])
+                first, size = _runs(key[a:z])
+                docs, of = np.unique(row[a:z], return_inverse=True)
+                found = b"".join(squeeze(c[a:z][ok[a:z]], 6) for c, ok in ctx)
+                rows = of.astype("<u2" if len(docs) <= 65536 else "<u4").tobytes()
+                yield _batch(SENT, [(lot, TOKENS, squeeze(key[a:z][first], 6), size.astype("<u4").tobytes(), squeeze(symbol[a:z], 7), found, levels[a:z].tobytes(), text[docs].tobytes(), train[docs].tobytes(), rows)])
 
     return run
 
 
-def deepen(h, symbol, n, below, window, depth: int, cfg: Settings):
-    """Contexts longer than ``depth`` of one lot, level by level: (keys, log10 values) of the states and of open ones, and what is open at the end."""
-    keys, values = [np.zeros(0, U)], [np.zeros(0)]
-    power = powers(depth + window.shape[1] + 1)
-    act = np.arange(len(h))
-    for j in range(window.shape[1]):
+class Lot:
+    """The tokens of a lot, from all its rows."""
+
+    def __init__(self, rows: list[dict], steps: list[int], first: bool):
+        parts: dict[str, list] = {x: [] for x in ("key", "symbol", "levels", "row", "text", "learn")}
+        ctx: list[list[np.ndarray]] = [[] for _ in steps]
+        texts = 0
+        for r in rows:
+            size = np.frombuffer(r["sizes"], "<u4")
+            key = np.repeat(widen(r["keys"], 6), size)
+            levels = np.frombuffer(r["levels"], np.uint8)
+            found, at = widen(r["contexts"], 6), 0
+            for i in range(len(steps)):
+                if first and not i:
+                    ctx[i].append(key)
+                    continue
+                ok = levels > i
+                c = np.zeros(len(key), U)
+                k = int(ok.sum())
+                c[ok] = found[at : at + k]
+                at += k
+                ctx[i].append(c)
+            text = np.frombuffer(r["texts"], np.int64)
+            wide = "<u2" if len(text) <= 65536 else "<u4"
+            for name, x in (("key", key), ("symbol", widen(r["symbols"], 7)), ("levels", levels), ("row", np.frombuffer(r["rows"], wide).astype(np.int64) + texts), ("text", text), ("learn", np.frombuffer(r["learn"], np.uint8))):
+                parts[name].append(x)
+            texts += len(text)
+        self.key, self.symbol, self.levels, self.row, self.text, self.learn = (np.concatenate(parts[x]) for x in ("key", "symbol", "levels", "row", "text", "learn"))
+        self.ctx = [np.concatenate(c) for c in ctx]
+
+    def keep(self, mask: np.ndarray) -> None:
+        for name in ("key", "symbol", "levels", "row"):
+            setattr(self, name, getattr(self, name)[mask])
+        self.ctx = [c[mask] for c in self.ctx]
+
+
+def _entry(ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return mix(ctx * BASE + symbol)
+
+
+def climb(ctx: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray, train: np.ndarray, lp: np.ndarray, known: np.ndarray, cfg: Settings):
+    """One round: each token's change of log probability, and (context, symbol, log p) of what stays open.
+
+    ctx: hashes of each length, valid for tokens with that many levels; lp: log p after the contexts so far,
+    where it is known (symbols that were seen twice there: no others can be seen twice after a longer context)."""
+    lp, known, gained = lp.copy(), known.copy(), np.zeros(len(symbol))
+    act, last = np.arange(len(symbol)), len(ctx) - 1
+    opened = (np.zeros(0, U), np.zeros(0, U), np.zeros(0))
+    for k, every in enumerate(ctx):
+        act = act[levels[act] > k]
         if not len(act):
             break
-        x = window[act, j]
-        h = h + (x + U(1)) * power[depth + 1 + j]
-        entry = _entry_key(h, symbol[act])
-        order = np.argsort(entry, kind="stable")
-        e = entry[order]
-        at = np.flatnonzero(np.concatenate([[True], e[1:] != e[:-1]]))
-        place = np.empty(len(e), np.int64)
-        place[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(e))))
-        m = np.add.reduceat(n[act][order], at).astype(float)
-        p, in_state, starts, weight, state = _level(e[at] >> U(8), m, below[order[at]], cfg)
-        more = _reach(starts, m, p) >= cfg.gain - SLACK
-        node = h[order[at[starts]]]
-        known = state | more
-        keys += [e[at][in_state], _node_key(node[known])]
-        values += [np.log10(p[in_state]), np.where(state, np.log10(weight), 0.0)[known]]
-        ahead = more[_group(e[at] >> U(8))[1]][place] & (x != END)
-        act, h, below = act[ahead], h[ahead], p[place[ahead]]
-    return np.concatenate(keys), np.concatenate(values), h, symbol[act], n[act], below
-
-
-def _deepened(depth: int, more: int, cfg: Settings):
+        c, s = every[act], symbol[act]
+        key = _entry(c, s)
+        order = np.argsort(key)
+        at, size = _runs(key[order])
+        entry = np.empty(len(act), np.int64)  # of each token
+        entry[order] = np.repeat(np.arange(len(at)), size)
+        m = np.add.reduceat(train[act][order].astype(np.int64), at)
+        first = order[at]
+        below, own = lp[act[first]], c[first]
+        order = np.argsort(own)
+        at, size = _runs(own[order])
+        of = np.empty(len(own), np.int64)  # the context of each entry
+        of[order] = np.repeat(np.arange(len(at)), size)
+        n = np.add.reduceat(m[order], at).astype(float)
+        e = np.flatnonzero((m >= 2) & known[act[first]])
+        o, me, be = of[e], m[e].astype(float), below[e]
+        total = lambda x: np.bincount(o, x, len(n))
+        kinds, seen, mass = total(np.ones(len(e))), total(me), np.minimum(total(np.exp(be)), 1 - 1e-9)
+        alone = n - seen
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = (cfg.discount * kinds + alone) / n
+            rest = np.log(left) - np.log1p(-mass)
+            gain = total(me * (np.log(me - cfg.discount) - be)) - seen * np.log(n) + np.where(alone > 0, alone * rest, 0.0)
+        state = (kinds > 0) & (gain >= cfg.gain)
+        new = below + np.where(state[of], rest[of], 0.0)
+        ins = e[state[o]]
+        new[ins] = np.log(m[ins] - cfg.discount) - np.log(n[of[ins]])
+        change = new - below
+        gained[act] += change[entry]
+        lp[act] = new[entry]
+        # those seen once have no known probability later on, and need none
+        told = np.zeros(len(m), bool)
+        told[e] = True
+        known[act] = told[entry]
+        go = total(me * -new[e]) - alone * np.log(np.where(state, left, 1 - mass)) >= cfg.gain
+        more = go[of][entry] & (levels[act] > k + 1)
+        if k == last:
+            some = np.zeros(len(n), bool)
+            some[of[entry[more]]] = True
+            f = e[some[o]]
+            opened = (own[f], s[first[f]], new[f])
+        act = act[more]
+    return gained, opened
+
+
+OUT = "kind int, lot bigint, a binary, b binary, c binary, d binary, e binary"
+SUMS, OPEN = 0, 1
+
+
+def _scored(number: int, lots: int, parts: int, total: int, words: int, cfg: Settings):
+    _, steps = lengths_of(number)
+    norm = np.log(total + 0.1 * (words + 1))
+
     def run(key, rows):
-        kind = rows["kind"].to_pylist()
-        parts = {c: rows[c].to_pylist() for c in "abcn"}
-        for i in (i for i, k in enumerate(kind) if k == 0):
-            size = len(parts["c"][i])
-            for c, width in (("a", 8), ("b", more)):
-                parts[c][i] = pa.decompress(parts[c][i], size * width, "zstd", asbytes=True)
-
-        def joined(k, c, dtype):
-            return np.frombuffer(b"".join(v for v, kk in zip(parts[c], kind) if kk == k), dtype)
-
-        opened, p, after = joined(1, "a", U), joined(1, "b", np.float64), joined(1, "c", np.uint8)
-        h, window, symbol, n = joined(0, "a", U), joined(0, "b", np.uint8).reshape(-1, more), joined(0, "c", np.uint8), joined(0, "n", np.int32).astype(np.int64)
-        lot = key[0].as_py()
+        rows = rows.to_pylist()
+        table, rows = [r for r in rows if r["kind"] == TABLE], [r for r in rows if r["kind"] == TOKENS]
+        if not rows or not table:
+            return pa.Table.from_batches([_batch(OUT, [])])
+        lot = Lot(rows, steps, number == 0)
+        del rows
+        if number == 0:
+            s, n = widen(b"".join(r["symbols"] for r in table), 7), np.frombuffer(b"".join(r["contexts"] for r in table), "<u8").astype(np.float64)
+            order = np.argsort(s)
+            n = n[order][np.searchsorted(s[order], lot.symbol)]
+            lp, known = np.log(n + 0.1) - norm, np.ones(len(n), bool)
+            counted = [np.bincount(lot.row, minlength=len(lot.text)), np.bincount(lot.row, n > 0, len(lot.text)), np.bincount(lot.row, lp, len(lot.text))]
+        else:
+            at = _entry(widen(b"".join(r["keys"] for r in table), 6), widen(b"".join(r["symbols"] for r in table), 7))
+            value = np.frombuffer(b"".join(r["contexts"] for r in table), np.float64)
+            lot.keep(np.isin(lot.key, widen(b"".join(r["keys"] for r in table), 6)))
+            order = np.argsort(at)
+            at, value = at[order], value[order]
+            want = _entry(lot.key, lot.symbol)
+            i = np.minimum(np.searchsorted(at, want), len(at) - 1)
+            known = at[i] == want
+            lp = np.where(known, value[i], 0.0)
+            counted = [np.zeros(len(lot.text))] * 3
+        gained, (ctx, symbol, p) = climb(lot.ctx, lot.symbol, lot.levels, lot.learn[lot.row] > 0, lp, known, cfg)
+        counted.append(counted[2] + np.bincount(lot.row, gained, len(lot.text)))
+        used = np.flatnonzero(np.any([x != 0 for x in counted], axis=0))
+        text = lot.text[used].view(U)
+        part = (text % U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        first, size = _runs(part[order])
         out = []
-        if len(opened) and len(h):
-            own = _entry_key(opened, after)
-            order = np.argsort(own)
-            hit, below = _look((own[order], p[order]), _entry_key(h, symbol))
-            keys, values, h, symbol, n, below = deepen(h[hit], symbol[hit], n[hit], below[hit], window[hit], depth, cfg)
-            out.append(_tree_rows(DEEP, np.full(len(keys), lot), keys, values))
-            if len(h):
-                entry = _entry_key(h, symbol)
-                _, at = np.unique(entry, return_index=True)
-                held = _tree_rows(OPEN, np.full(len(at), lot), h[at], below[at], symbol[at])
-                out.append(held.set_column(2, "size", pa.array([int(n.sum())], pa.int64())))
-        schema = pa.schema([("kind", pa.int32()), ("lot", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("values", pa.binary()), ("extra", pa.binary())])
-        return pa.Table.from_batches(out, schema)
+        for i, k in zip(first, size):
+            at = order[i : i + k]
+            tokens, hits, base, score = (x[used][at] for x in counted)
+            out.append((SUMS, int(part[at[0]]), text[at].tobytes(), tokens.astype("<u4").tobytes(), hits.astype("<u4").tobytes(), base.astype("<f8").tobytes(), score.astype("<f8").tobytes()))
+        if len(ctx):
+            order = np.argsort(ctx)
+            ctx, symbol, p = ctx[order], symbol[order], p[order]
+            cut = np.searchsorted(ctx, edges_of(lots))
+            out += [(OPEN, i, squeeze(ctx[a:z], 6), squeeze(symbol[a:z], 7), p[a:z].tobytes(), b"", b"") for i, (a, z) in enumerate(zip(cut, cut[1:])) if a < z]
+        return pa.Table.from_batches([_batch(OUT, out)])
 
     return run
 
 
-def grow_deep(train: DataFrame, tree: DataFrame, parts: int, turns: int, cfg: Settings) -> list[DataFrame]:
-    """The states of more than ``DEPTH`` symbols, as rows of the tree."""
-    spark, out = train.sparkSession, []
-    for turn in range(turns):
-        span = (turn * parts, (turn + 1) * parts)
-        opened, known, depth, more = tree.where(f"kind = {OPEN} and lot >= {span[0]} and lot < {span[1]}"), None, DEPTH, 12
-        while opened.select(F.sum("size").alias("n")).first()["n"]:
-            sent = train.mapInArrow(lean(_before(depth, more, span, parts * turns, known)), SENT)
-            held = opened.select("lot", F.lit(1).alias("kind"), F.col("keys").alias("a"), F.col("values").alias("b"), F.col("extra").alias("c"), F.lit(b"").alias("n"))
-            grown = materialise(sent.unionByName(held).groupBy("lot").applyInArrow(_deepened(depth, more, cfg), TREE), "lm-deep")
-            out.append(grown.where(f"kind = {DEEP}"))
-            opened = grown.where(f"kind = {OPEN}")
-            depth += more
-            left = opened.select("keys", "size").collect()
-            if not left:
-                break
-            known = spark.sparkContext.broadcast(np.unique(np.concatenate([np.frombuffer(r["keys"], U) for r in left])))
-            more = int(np.clip(parts * 32e6 / sum(r["size"] for r in left), 16, 4096))
-        spark.sparkContext._jvm.System.gc()  # shuffle files of this turn
-    return out
-
-
-def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(found, value) of keys in a sorted table."""
-    if not len(table[0]):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-    hit = table[0][at] == keys
-    return hit, np.where(hit, table[1][at], 0.0)
-
-
-def log_probs(codes: np.ndarray, tree, log_p1: np.ndarray) -> np.ndarray:
-    """log10 probability of each code's symbol after its context, by the longest suffix state."""
-    out = np.zeros(len(codes))
-    rest = np.arange(len(codes))
-    for d in range(DEPTH, 1, -1):
-        c = codes[rest]
-        ctx, symbol = (c >> U(8)) & U((1 << (8 * d)) - 1), c & U(255)
-        hit, v = _look(tree, _entry(d, ctx, symbol))
-        out[rest[hit]] += v[hit]
-        rest, ctx = rest[~hit], ctx[~hit]
-        out[rest] += _look(tree, _weight_key(d, ctx))[1]
-    c = codes[rest].astype(np.int64)
-    out[rest] += log_p1[(c >> 8) & 255, c & 255]
-    return out
-
-
-class Table:
-    """Uniform 64-bit keys with values, found by their first bits."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(1, int(len(keys)).bit_length())
-        self.keys, self.values, self.shift = np.append(keys, U(0)), np.append(values, 0.0), U(64 - bits)
-        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=U)).astype(np.int32)
-
-    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, value) of keys."""
-        lot = (keys >> self.shift).astype(np.int64)
-        at, end = self.first[lot], self.first[lot + 1]
-        found = np.zeros(len(keys), bool)
-        rest = np.flatnonzero(at < end)
-        while len(rest):
-            hit = self.keys[at[rest]] == keys[rest]
-            found[rest[hit]] = True
-            rest = rest[~hit]
-            at[rest] += 1
-            rest = rest[at[rest] < end[rest]]
-        return found, np.where(found, self.values[np.where(found, at, 0)], 0.0)
-
-
-def deep_log_probs(raw: np.ndarray, pos: np.ndarray, off: np.ndarray, out: np.ndarray, deep: Table) -> np.ndarray:
-    """``out``, log10 by contexts of up to DEPTH symbols, replaced or reduced by the longer states of each place."""
-    rest, depth = np.flatnonzero(off >= DEPTH), DEPTH
-    if not len(rest) or len(deep.keys) == 1:
-        return out
-    h = Hashes(raw).at(pos[rest], DEPTH)
-    while len(rest):
-        depth += 1
-        x = raw[pos[rest] - depth]
-        h = h + (x + U(1)) * powers(depth + 1)[depth]
-        on, weight = deep.look(_node_key(h))
-        rest, h, weight = rest[on], h[on], weight[on]
-        hit, v = deep.look(_entry_key(h, raw[pos[rest]]))
-        out[rest] = np.where(hit, v, out[rest] + weight)
-        on = off[rest] >= depth
-        rest, h = rest[on], h[on]
-    return out
-
-
-SCORES = "n_tokens bigint, n_known bigint, base_score double, score double"
-
-
-def _score(model, parts: int, every: int):
-    """Partial sums over the positions and words that belong to this block."""
+def _open_keys(batches):
+    for b in batches:
+        for raw in b.column("a").to_pylist():
+            yield widen(raw, 6)
 
-    def run(batches):
-        m = model.value
-        lots, tree, log_p1, words, low, total, v, docs, first, one = (m[k] for k in ("lots", "tree", "log_p1", "words", "part", "total", "distinct", "docs", "first", "one"))
-        deep = Table(*m["deep"])
-        norm = np.log10(total + 0.1 * (v + 1))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            texts = b.column("_text").to_pylist()
-            k = len(texts)
-            raw, pos, row, off = _positions(_plain(texts))
-            codes = _codes_at(raw, pos)
-            if not one:
-                own = np.isin(_lot_of(codes >> U(8), every), lots)
-                codes, pos, row, off = codes[own], pos[own], row[own], off[own]
-            u, back = np.unique(codes, return_inverse=True)
-            score = np.bincount(row, deep_log_probs(raw, pos, off, log_probs(u, tree, log_p1)[back], deep), k)
-            h, counts = word_hashes(texts)
-            wrow = np.repeat(np.arange(k), counts)
-            tokens, known, base = np.zeros(k, np.int64), np.zeros(k, np.int64), np.zeros(k)
-            if first:  # the end token
-                tokens += counts + 1
-                known += int(docs > 0)
-                base += np.log10(docs + 0.1) - norm
-            if not one:
-                own = (h % U(parts)).astype(np.int64)
-                own = np.isin(own, low)
-                h, wrow = h[own], wrow[own]
-            u, back = np.unique(h, return_inverse=True)
-            hit, c = _look(words, u)
-            base += np.bincount(wrow, (np.log10(c + 0.1) - norm)[back], k)
-            known += np.bincount(wrow, hit[back], k).astype(np.int64)
-            kept = [b.column(i) for i in range(b.num_columns - 1)]
-            cols = [pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(kept + cols, names=b.schema.names[:-1] + ["n_tokens", "n_known", "base_score", "score"])
 
-    return run
+SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _blocks(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
-    """Lots by blocks of at most ``most`` entries, or one lot."""
-    out, held = [[]], 0
-    for lot, n in sizes:
-        if held and held + n > most:
-            out.append([])
-            held = 0
-        out[-1].append(lot)
-        held += n
-    return out
+def _summed(key, rows):
+    """The rows of one part: sums of each text's key, for every text that has it."""
+    kind = rows["kind"].to_pylist()
+    cols = {c: rows[c].to_pylist() for c in "abcde"}
 
+    def joined(col, which, dtype):
+        return np.frombuffer(b"".join(x for x, k in zip(cols[col], kind) if k == which), dtype)
 
-def _gather(rows: list, values: str) -> tuple[np.ndarray, np.ndarray]:
-    kind = np.float64 if values == "values" else np.int64
-    keys = np.concatenate([np.frombuffer(r["keys"], U) for r in rows] or [np.zeros(0, U)])
-    vals = np.concatenate([np.frombuffer(r[values], kind) for r in rows] or [np.zeros(0, kind)]).astype(np.float64)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], vals[order]
+    names, number, null = joined("a", TEXTS + 2, U), joined("b", TEXTS + 2, np.int64), joined("c", TEXTS + 2, np.uint8)
+    every, at, again = np.unique(names, return_inverse=True, return_counts=True)
+    of = np.searchsorted(every, joined("a", SUMS, U))
+    values = [np.bincount(of, joined(c, SUMS, d).astype(float), len(every)) / again for c, d in (("b", "<u4"), ("c", "<u4"), ("d", "<f8"), ("e", "<f8"))]
+    ids = pa.array(number, pa.int64(), mask=null > 0)
+    whole = [pa.array(np.rint(v[at]).astype(np.int64)) for v in values[:2]]
+    return pa.Table.from_arrays([ids, *whole, *(pa.array(v[at] / np.log(10)) for v in values[2:])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", cfg: Settings = Settings()) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every text; learnt where ``learn`` holds."""
     spark = docs.sparkSession
-    bounded_batches(spark, 2000, "2m")
+    bounded_batches(spark)
     parts = shuffle_parts(spark)
-    train = docs.where(learn).select(utf8(F.col(text_col)).alias("text"))
-    counted = materialise(train.mapInArrow(lean(_counted(parts)), COUNTED).groupBy("kind", "lot").applyInArrow(_sum_lot, COUNTED), "lm-counts")
-    grams, words = counted.where("kind = 0"), counted.where("kind = 1")
-    ends = counted.where("kind = 2").collect()
-    n_docs = int(np.frombuffer(ends[0]["n"], np.int64)[0]) if ends else 0
-    pairs = np.zeros((256, 256), np.int64)
-    for r in grams.select("keys", "n").mapInArrow(lean(_pairs), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
-        pairs[r["code"] >> 8, r["code"] & 255] = r["n"]
-    root, p1 = top_levels(pairs, cfg)
-    turns = max(1, min(cfg.turns, -(-int(pairs.sum()) // cfg.turn)))
-    lots = parts * turns
-    tree = materialise(grams.select("keys", "n").mapInArrow(lean(_grown(spark.sparkContext.broadcast(p1), lots, cfg)), TREE), "lm-tree")
-    for deep in grow_deep(train, tree, parts, turns, cfg):
-        tree = tree.unionByName(deep)
-    tree = tree.where(f"kind <> {OPEN}")
-
-    sizes = words.select("lot", (F.octet_length("keys") / 8).cast("bigint").alias("size"))
-    word_sizes = {r["lot"]: r["size"] for r in sizes.collect()}
-    tree_sizes = {r["lot"]: r["size"] for r in tree.groupBy("lot").agg(F.sum("size").alias("size")).collect()}
-    total = _word_total(words) + n_docs
-    distinct = sum(word_sizes.values()) + int(n_docs > 0)
-    tree_blocks = _blocks([(p, tree_sizes.get(p, 0)) for p in range(lots)], cfg.block)
-    word_blocks = _blocks([(p, word_sizes.get(p, 0)) for p in range(parts)], cfg.block)
-    passes = max(len(tree_blocks), len(word_blocks))
-    none: list[int] = []
-    key = F.col(id_col).alias("doc_id")
-    src = docs.select(key, F.xxhash64(F.col(text_col)).alias("_hash"), utf8(F.col(text_col)).alias("_text")) if passes > 1 else docs.select(key, utf8(F.col(text_col)).alias("_text"))
-    kept = ", ".join(f"{c} {t}" for c, t in src.dtypes[:-1])
-    outs = []
-    for i in range(passes):
-        tl = tree_blocks[i] if i < len(tree_blocks) else none
-        wl = word_blocks[i] if i < len(word_blocks) else none
-        t = tree.where(F.col("lot").isin([-1, *tl])).select("kind", "keys", "values").collect()  # at most a block, and the short contexts
-        t, deep = (_gather([r for r in t if r["kind"] == kind], "values") for kind in (SHALLOW, DEEP))
-        w = _gather(words.where(F.col("lot").isin(wl)).select("keys", "n").collect(), "n")
-        model = {"lots": np.array(tl, np.int64), "tree": t, "deep": deep, "log_p1": np.log10(p1), "words": w, "part": np.array(wl, np.int64), "total": total, "distinct": distinct, "docs": n_docs, "first": i == 0, "one": passes == 1}
-        outs.append(src.mapInArrow(lean(_score(spark.sparkContext.broadcast(model), parts, lots)), f"{kept}, {SCORES}"))
-    if passes == 1:
-        out = outs[0]
-    else:
-        every = outs[0].withColumn("_m", F.lit(1))
-        for o in outs[1:]:
-            every = every.unionByName(o.withColumn("_m", F.lit(0)))
-        s = every.groupBy("doc_id", "_hash").agg(F.sum("_m").alias("_m"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-        s = s.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))))  # repeated rows
-        out = s.select("doc_id", *[(F.col(c) / F.col("_m")).cast("bigint").alias(c) for c in ("n_tokens", "n_known")], *[(F.col(c) / F.col("_m")).alias(c) for c in ("base_score", "score")])
-    return out.withColumn("train_tokens", F.lit(total).cast("bigint"))
-
-
-def _sums(batches):
-    total = 0
-    for b in batches:
-        for n in b.column("n").to_pylist():
-            total += int(np.frombuffer(n, np.int64).sum())
-    yield pa.RecordBatch.from_pydict({"n": pa.array([total], pa.int64())})
-
-
-def _word_total(words: DataFrame) -> int:
-    return int(words.select("n").mapInArrow(lean(_sums), "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    lots = parts * cfg.turns
+    ident = F.col(id_col).cast("bigint")
+    src = docs.select(utf8(F.col(text_col)).alias("text"), F.xxhash64(ident, F.col(text_col)).alias("key"), ident.alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    asked = src.mapInArrow(lean(_asked(lots, parts, cfg.chunk)), ASKED)
+    counted = materialise(asked.groupBy("kind", "lot").applyInArrow(lean_table(_counted), COUNTED), "lm-words")
+    size = counted.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
+    texts = counted.where(f"kind = {TEXTS}").select(F.lit(TEXTS + 2).alias("kind"), "lot", "a", "b", "c", F.lit(b"").alias("d"), F.lit(b"").alias("e"))
+    none = [F.lit(b"").alias(c) for c in ("levels", "texts", "learn", "rows")]
+    table = counted.where(f"kind = {WORDS} and lot >= 0").select("lot", F.lit(TABLE).alias("kind"), F.lit(b"").alias("keys"), F.lit(b"").alias("sizes"), F.col("a").alias("symbols"), F.col("b").alias("contexts"), *none)
+    outs, number, opened = [], 0, None
+    while True:
+        turns = cfg.turns if number == 0 else 1
+        made = []
+        for turn in range(turns):
+            span = (turn * lots // turns, (turn + 1) * lots // turns)
+            sent = src.mapInArrow(lean(_sent(number, lots, span, cfg.chunk, opened)), SENT)
+            both = sent.unionByName(table.where((F.col("lot") >= span[0]) & (F.col("lot") < span[1])))
+            made.append(materialise(both.groupBy("lot").applyInArrow(lean_table(_scored(number, lots, parts, size["n"], size["v"], cfg)), OUT), "lm-sums"))
+            spark.sparkContext._jvm.System.gc()  # shuffle files of this turn
+        outs += made
+        kept = made[0]
+        for m in made[1:]:
+            kept = kept.unionByName(m)
+        kept = kept.where(f"kind = {OPEN}")
+        if not kept.take(1):
+            break
+        opened = spark.sparkContext.broadcast(bloom_of(kept.select("a"), _open_keys))
+        table = kept.select("lot", F.lit(TABLE).alias("kind"), F.col("a").alias("keys"), F.lit(b"").alias("sizes"), F.col("b").alias("symbols"), F.col("c").alias("contexts"), *none)
+        number += 1
+    every = texts
+    for m in outs:
+        every = every.unionByName(m.where(f"kind = {SUMS}"))
+    out = materialise(every.groupBy("lot").applyInArrow(lean_table(_summed), SCORES), "lm-scores")
+    for m in (counted, *outs):
+        discard(m)
+    return out.withColumn("train_tokens", F.lit(size["n"]).cast("bigint"))
 
 
 def held_out_rows(doc_id: Column) -> Column:
