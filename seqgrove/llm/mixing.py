@@ -8,7 +8,8 @@ middle lies before the remainder, so the words taken miss the target by at most
 
 Defined cases: null text has size 0; a null source is a source of its own, after all others; rows with
 equal ids share a key and are ordered by size; a source without words has target 0 and its documents
-are taken once; an empty table gives an empty mix.
+are taken once; very long texts are counted whole; an empty table gives an empty mix; further columns are not read, and
+``mixed_documents`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,9 +73,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return d.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"), *[F.col(f"keep_{c}") for c in keep])
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it. Documents without words ride along once."""
-    m = mix(docs, keep=tuple(docs.columns))
-    times = F.when(F.col("size") > 0, F.col("epochs")).otherwise(F.lit(1)).cast("int")
-    m = m.withColumn("_n", times).where("_n > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return m.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. Documents without words ride along once.
+
+    The mix is made of ids and sizes; texts move once, to meet their epochs. Rows that are equal in every column
+    share theirs out evenly, the first getting one more."""
+    keys = [F.xxhash64(*docs.columns).alias("h1"), F.xxhash64(F.lit(7), *docs.columns).alias("h2")]
+    m = mix(docs.select("doc_id", "text", "source", *keys), weights=weights, most=most, seed=seed, keep=("h1", "h2"))
+    times = F.when(F.col("size") > 0, F.col("epochs")).otherwise(F.lit(1))
+    plan = m.groupBy(F.col("keep_h1").alias("h1"), F.col("keep_h2").alias("h2")).agg(F.sum(times).alias("times"), F.count("*").alias("rows")).where("times > 0")
+    found = docs.select(F.struct(*docs.columns).alias("row"), *keys).join(plan, ["h1", "h2"])
+    turn = F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.lit(1))) - 1  # dealt and sorted so already
+    share = F.floor(F.col("times") / F.col("rows")) + (F.col("turn") < F.col("times") % F.col("rows")).cast("int")
+    both = found.withColumn("turn", turn).select("row", share.alias("n")).where("n > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("again")).select("row.*")

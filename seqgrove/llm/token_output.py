@@ -8,9 +8,10 @@ documents; Spark's committer writes it, so lost executors and remote stores are
 little-endian bytes in ``data``; ``control`` has two bits an id (bytes - 1), four ids a byte, low bits
 first. The decoder turns control bytes into lengths by a 256 x 4 table.
 
-Defined cases: null text is the empty text and gets the end id only; documents come in ascending
-doc_id order, null ids first, equal ids ordered by text; repeated rows are written as often as they
-come; an empty table gives an empty data set.
+Defined cases: null text is the empty text and gets the end id only; an added token of the tokenizer inside a text is
+that token, as the tokenizer has it; documents come in ascending doc_id order, null ids first, equal ids ordered by a hash of the text and
+the text; repeated rows are written as often as they come; very long texts are encoded whole and make a block each; an empty table gives
+an empty data set; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,26 +68,32 @@ _LEADS = {0: "", 1: " ", 2: "\n", 3: ""}
 
 
 class PieceEncoder:
-    """Whole texts through the tokenizer, each distinct piece once.
+    """Whole texts through the tokenizer as it is, each distinct piece once.
 
     A lone space or line feed between two other characters starts a pretoken of this family of byte-level
     tokenizers, and so does a point or comma between an ASCII letter and one of these. Texts are cut there.
     Pieces are known by 64-bit hashes in sorted arrays, with their ids in one pool; texts with other white
-    space are encoded whole. Beyond ``most`` pieces the table starts anew.
+    space, and texts that hold an added token of the tokenizer, are encoded whole. At ``most`` pieces those that
+    were met again since the last time stay and the rest are forgotten, which bounds memory and changes no result.
     """
 
-    def __init__(self, spec: str, most: int = 4_000_000):
+    def __init__(self, spec: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_str(spec)
-        self.t.encode_special_tokens = True
+        self.added = [x.content for x in self.t.get_added_tokens_decoder().values()]
+        self.kind = np.uint16 if self.t.get_vocab_size(True) <= 1 << 16 else np.uint32
         self.most = most
         self._reset()
 
     def _reset(self) -> None:
-        none = np.zeros(0, np.uint32)
-        self.tables = [(np.zeros(0, np.uint64), none, none), (np.zeros(0, np.uint64), none, none)]
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.tables = [self._table(), self._table()]
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
+
+    @staticmethod
+    def _table() -> list[np.ndarray]:
+        """keys, places in the pool, numbers of ids, met again or not"""
+        return [np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, bool)]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -94,14 +101,29 @@ class PieceEncoder:
     def _look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known, offset in the pool, number of ids)"""
         known, at, n = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for k, a, m in self.tables:
+        for k, a, m, met in self.tables:
             if len(k):
                 i = np.minimum(np.searchsorted(k, keys), len(k) - 1)
                 hit = k[i] == keys
                 known |= hit
-                at[hit], n[hit] = a[i[hit]], m[i[hit]]
+                i = i[hit]
+                at[hit], n[hit], met[i] = a[i], m[i], True
         return known, at, n
 
+    def _forget(self) -> None:
+        """Keep the pieces that were met again, unless they are most of all."""
+        keys, at, n, met = (np.concatenate(x) for x in zip(*self.tables))
+        keys, at, n = keys[met], at[met], n[met].astype(np.int64)
+        if len(keys) * 2 > self.most:
+            self._reset()
+            return
+        order = np.argsort(keys)
+        keys, at, n = keys[order], at[order], n[order]
+        upto = np.cumsum(n)
+        self.pool = self.pool[np.repeat(at - (upto - n), n) + np.arange(int(n.sum()))]
+        self.used = len(self.pool)
+        self.tables = [[keys, (upto - n).astype(np.uint32), n.astype(np.uint32), np.zeros(len(keys), bool)], self._table()]
+
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         one, ids, lens = self.t.encode, [], []
         for p in pieces:
@@ -109,27 +131,26 @@ class PieceEncoder:
             ids += x
             lens.append(len(x))
         if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.used), np.uint32)])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.used), self.kind)])
         self.pool[self.used : self.used + len(ids)] = ids
         lens = np.array(lens, np.uint32)
-        new = (keys, (self.used + np.cumsum(lens, dtype=np.int64) - lens).astype(np.uint32), lens)
+        new = [keys, (self.used + np.cumsum(lens, dtype=np.int64) - lens).astype(np.uint32), lens, np.zeros(len(keys), bool)]
         self.used += len(ids)
         for level in (1, 0):  # recent pieces are kept apart until they are a quarter of all
-            old = self.tables[level]
-            both = [np.concatenate(x) for x in zip(old, new)]
+            both = [np.concatenate(x) for x in zip(self.tables[level], new)]
             order = np.argsort(both[0])
-            new = tuple(x[order] for x in both)
+            new = [x[order] for x in both]
             if level and len(new[0]) * 4 < len(self.tables[0][0]):
                 self.tables[1] = new
                 return
-        self.tables = [new, (new[0][:0], new[1][:0], new[2][:0])]
+        self.tables = [new, self._table()]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         plain = []
         for i, t in enumerate(texts):
             odd = "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1].isspace() or t[-1:].isspace()
-            if odd or not t.replace("\n", "").isprintable() and (_odd.search(t) or "\0" in t):
+            if odd or any(x in t for x in self.added) or not t.replace("\n", "").isprintable() and (_odd.search(t) or "\0" in t):
                 out[i] = self.whole(t)
             else:
                 plain.append(i)
@@ -164,8 +185,9 @@ class PieceEncoder:
         if not known.all():
             new = np.flatnonzero(~known)
             if len(self.tables[0][0]) + len(self.tables[1][0]) + len(new) > self.most:
-                self._reset()
-                new = np.arange(len(unique))
+                self._forget()
+                known, where, n = self._look(unique)
+                new = np.flatnonzero(~known)
             f = first[new]
             blob = raw.tobytes()
             self._learn(unique[new], [_LEADS[k] + blob[s : s + m].decode() for k, s, m in zip(lead[f].tolist(), starts[f].tolist(), lens[f].tolist())])
@@ -254,10 +276,12 @@ def write_tokens(docs: DataFrame, spec: str, path: str, end_id: int = 2, id_col:
     side of a join, so memory doesn't grow with the texts.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, 2000, "4m")
+    bounded_batches(spark)
     spec_b = spark.sparkContext.broadcast(spec)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = src.repartitionByRange(shuffle_parts(spark), "doc").sortWithinPartitions("doc", "text")
+    # rows of one id (or of none) spread by the hash, which orders them as well
+    src = src.withColumn("hash", F.xxhash64("text"))
+    ordered = src.repartitionByRange(shuffle_parts(spark), "doc", "hash").sortWithinPartitions("doc", "hash", "text").select("doc", "text")
     raw = materialise(ordered.mapInArrow(lean(_tokenise(spec_b, end_id, block_ids)), RAW), "token-ids")
 
     counts = raw.select("ids").mapInArrow(lean(_count), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
@@ -307,7 +331,7 @@ def _decode(id_of, digest: bool):
 
 def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """Documents of a data set: doc_id, start, n_tokens and ids (or, with digest, their ids_crc32)."""
-    bounded_batches(spark, 500, "2m")
+    bounded_batches(spark)
     ranks = spark.read.parquet(f"{path}/ranks").select("rank", "id").collect()  # at most the vocabulary
     id_of = np.zeros(len(ranks) + 1, dtype=np.uint32)
     for r in ranks:
