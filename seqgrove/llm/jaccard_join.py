@@ -9,14 +9,19 @@
 3. First each group pairs a few of its nodes with all others (stars), never all pairs. Pairs that pass the
    length and the positional filter are made distinct, checked by the suffix filter (a bound of the overlap
    from the sizes of fixed parts of both sets) and verified on the whole sets.
-4. Groups whose nodes are not yet one component give stars around other nodes, across components only, a
-   few times. At last every pair across components is filtered and verified in the same way, so any two
-   linked texts end in one component, while a group of many near copies costs a few times as many pairs as
-   it has members. Whole sets are only made for nodes of pairs that passed all filters.
+4. In groups whose nodes are not yet one component, a node is paired with each other component that it could
+   link into (one row, however many nodes that has): of two components, the one with fewer nodes in the group
+   sends its nodes. A pair of two single nodes passes the suffix filter and is verified. A node and a larger
+   component meet with that component's whole sets, in blocks of ``BLOCK`` nodes on both sides. Jaccard distance is a
+   metric: the distances of all nodes of a block to a few of them (far from each other) tell, once a node's distances to
+   these are known, which nodes it can't link with, and the rest is verified until one links. So any two linked
+   texts end in one component, while a group of many near copies costs a few times as many rows as it has
+   members. Whole sets are only made for nodes that passed all filters.
 
 Defined cases: texts without words (or null) have the empty set and link with nothing; a text shorter than
 n words is one n-gram of its whole sequence; rows with equal ids are kept apart by their sets; a null id is
-kept, and names a component only where no other id does; an empty table gives no rows.
+kept, and names a component only where no other id does; very long texts are hashed in slices; an empty table gives no rows;
+further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, lean, materialise, mix, shuffle_parts, utf8, word_hashes
+from .common import bloom_has, bloom_of, bounded_batches, discard, lean, lean_table, materialise, mix, shuffle_parts, utf8, word_hashes
 from seqgrove.operators.components import components
 
 SKETCH_BITS = 21
@@ -290,13 +295,17 @@ def _pair_rows(names, a, b, lots: int):
     """Distinct pairs (a < b by number), packed by a hash of both names."""
     if not len(a):
         return
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    code = np.unique(a * len(names) + b)
+    yield from _named_rows(names, names, np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b)), lots)
+
+
+def _named_rows(left: list[bytes], right: list[bytes], codes: np.ndarray, lots: int):
+    """Codes (number in ``left`` * len(right) + number in ``right``) as names, packed by a hash of both."""
     rows: dict[int, list[bytes]] = {}
-    for x in code.tolist():
-        u, v = names[x // len(names)], names[x % len(names)]
+    for x in codes.tolist():
+        u, v = left[x // len(right)], right[x % len(right)]
         rows.setdefault((u[0] | u[1] << 8 | v[0] << 16 | v[1] << 24) % lots, []).append(u + v)
-    yield pa.RecordBatch.from_pydict({"lot": pa.array(list(rows), pa.int32()), "pairs": pa.array([b"".join(v) for v in rows.values()], pa.binary())})
+    if rows:
+        yield pa.RecordBatch.from_pydict({"lot": pa.array(list(rows), pa.int32()), "pairs": pa.array([b"".join(v) for v in rows.values()], pa.binary())})
 
 
 def _centres(names: list[bytes], h: np.ndarray, d: np.ndarray, turn: int) -> np.ndarray:
@@ -330,42 +339,33 @@ def _stars(t: Threshold, lots: int):
     return run
 
 
-def _across(t: Threshold, lots: int, turn: int | None):
-    """Pairs of a group whose nodes carry different labels; rows: the packed groups and (node, label).
-
-    turn: only pairs with one node of each group, another one each turn; None: all pairs."""
+def _meetings(t: Threshold, lots: int):
+    """(node, component) of groups whose nodes are in several; rows: the packed groups and (node, label)."""
 
     def run(key, groups, labels):
         label = dict(zip(labels["node"].to_pylist(), labels["label"].to_pylist()))
         out = []
         for blob in groups["blob"].to_pylist():
             names, n, h, d, pos = _unpack(blob)
-            number: dict[bytes, int] = {}
-            own = np.array([number.setdefault(label.get(x, x), len(number)) for x in names], np.int64)
-            lab = own[d]
+            roots = sorted({label.get(x, x) for x in names})
+            number = {x: i for i, x in enumerate(roots)}
+            lab = np.array([number[label.get(x, x)] for x in names], np.int64)[d]
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             ends = np.append(starts[1:], len(h))
             mixed = np.minimum.reduceat(lab, starts) != np.maximum.reduceat(lab, starts)
-            if turn is not None:
-                centre = _centres(names, h, d, turn)
-                i = np.flatnonzero(lab != lab[centre])
-                i = i[_fits(t, n, d, pos, centre[i], i)]
-                out += _pair_rows(names, d[centre[i]], d[i], lots)
-                continue
-            aa, bb, held = [], [], 0
+            found = []
             for s, e in zip(starts[mixed].tolist(), ends[mixed].tolist()):
-                for i in range(s, e - 1):
-                    j = np.arange(i + 1, e)
-                    j = j[lab[j] != lab[i]]
-                    if len(j) and len(j := j[_fits(t, n, d, pos, np.full(len(j), i), j)]):
-                        aa.append(np.full(len(j), d[i]))
-                        bb.append(d[j])
-                        held += len(j)
-                if held > 1_000_000:
-                    out += _pair_rows(names, np.concatenate(aa), np.concatenate(bb), lots)
-                    aa, bb, held = [], [], 0
-            if held:
-                out += _pair_rows(names, np.concatenate(aa), np.concatenate(bb), lots)
+                own = lab[s:e]
+                kinds, size = np.unique(own, return_counts=True)
+                rank = np.empty(len(kinds), np.int64)
+                rank[np.lexsort((kinds, size))] = np.arange(len(kinds))
+                rank = rank[np.searchsorted(kinds, own)]  # by nodes in the group, then name
+                for i in np.flatnonzero(rank < len(kinds) - 1).tolist():
+                    j = np.flatnonzero(rank > rank[i]) + s
+                    j = j[_fits(t, n, d, pos, np.full(len(j), s + i), j)]
+                    if len(j):
+                        found.append(np.unique(lab[j]) + d[s + i] * len(roots))
+            out += _named_rows(names, roots, np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64), lots)
         return pa.Table.from_batches(out, schema=pa.schema([("lot", pa.int32()), ("pairs", pa.binary())]))
 
     return run
@@ -398,33 +398,13 @@ def _suffix_ok(t: Threshold):
     return run
 
 
-BLOOM_BITS = 24
-
-
-def _bloom_at(node: bytes) -> list[int]:
-    return [int.from_bytes(node[i : i + 4], "little") & ((1 << BLOOM_BITS) - 1) for i in (0, 4, 8)]
-
-
-def _bloom_part(batches):
-    bits = np.zeros(1 << BLOOM_BITS, bool)
+def _node_keys(batches):
     for b in batches:
-        raw = np.frombuffer(b"".join(b.column("node").to_pylist()), "<u4").reshape(-1, 4)
-        for k in range(3):
-            bits[raw[:, k] & ((1 << BLOOM_BITS) - 1)] = True
-    if bits.any():
-        import zlib
-
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())})
-
+        yield _keys_of(b.column("node").to_pylist())
 
-def _bloom(nodes: DataFrame) -> np.ndarray:
-    """A filter of fixed size; a full one only lets more through."""
-    import zlib
 
-    bits = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-    for r in nodes.coalesce(8).mapInArrow(lean(_bloom_part), "bits binary").toLocalIterator():
-        bits |= np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)
-    return bits
+def _keys_of(nodes: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(nodes), np.uint64).reshape(-1, 2)[:, 0]
 
 
 def _sets(bloom, n: int):
@@ -433,12 +413,9 @@ def _sets(bloom, n: int):
     def run(batches):
         bits = bloom.value
         for b in batches:
-            found = {}
-            for s in shingle_sets(b.column("text").to_pylist(), n):
-                if len(s):
-                    node = node_of(s)
-                    if node not in found and all(bits[i >> 3] & (128 >> (i & 7)) for i in _bloom_at(node)):
-                        found[node] = s
+            sets = {node_of(s): s for s in shingle_sets(b.column("text").to_pylist(), n) if len(s)}
+            names = list(sets)
+            found = {x: sets[x] for x, ok in zip(names, bloom_has(bits, _keys_of(names)).tolist()) if ok}
             if found:
                 yield pa.RecordBatch.from_pydict({"node": pa.array(list(found), pa.binary()), "grams": pa.array([s.tobytes() for s in found.values()], pa.binary())})
 
@@ -483,61 +460,116 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
 
 
+#: Nodes of a component, and nodes compared with it, that meet in one task.
+BLOCK = 2048
+#: Nodes of a block whose distances to all others are taken first.
+PIVOTS = 4
+
+
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _distances(p: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Overlaps and Jaccard distances."""
+    n = np.array([_overlap(p, s) for s in sets])
+    return n, 1 - n / (np.array([len(s) for s in sets]) + len(p) - n)
+
+
+def _joined(t: Threshold):
+    """One link into the block for each node that has one."""
+
+    def run(key, outer, inner):
+        names, sets = inner["node"].to_pylist(), [np.frombuffer(x, np.uint64) for x in inner["grams"].to_pylist()]
+        asked = dict(zip(outer["node"].to_pylist(), outer["grams"].to_pylist()))
+        links = []
+        if names and asked:
+            sizes = np.array([len(s) for s in sets])
+            pivots, far = [0], []
+            while True:
+                far.append(_distances(sets[pivots[-1]], sets)[1])
+                least = np.min(far, axis=0)
+                if len(far) == PIVOTS or not least.any():
+                    break
+                pivots.append(int(least.argmax()))
+            reach = 1 - t.num / t.den + 1e-9
+            for u, raw in asked.items():
+                x = np.frombuffer(raw, np.uint64)
+                n, d = _distances(x, [sets[p] for p in pivots])
+                hit = np.flatnonzero(t.enough(n, len(x), sizes[pivots]))
+                if len(hit):
+                    links.append((u, names[pivots[hit[0]]]))
+                    continue
+                near = t.sizes_fit(len(x), sizes)
+                for own, to in zip(far, d):
+                    near &= np.abs(own - to) <= reach
+                for i in np.flatnonzero(near).tolist():
+                    if t.enough(_overlap(x, sets[i]), len(x), len(sets[i])):
+                        links.append((u, names[i]))
+                        break
+        return pa.table({"u": pa.array([u for u, _ in links], pa.binary()), "v": pa.array([v for _, v in links], pa.binary())})
+
+    return run
+
+
 class _Search:
     """Pairs to links: filters, whole sets as they are needed, verification."""
 
     def __init__(self, texts: DataFrame, hists: DataFrame, t: Threshold, n: int):
         self.texts, self.hists, self.t, self.n = texts, hists, t, n
         self.sets: list[DataFrame] = []
-        self.done: DataFrame | None = None
-
-    def distinct(self, packed: DataFrame) -> DataFrame:
-        """Pairs that no earlier turn has tried and that pass the suffix filter."""
-        pairs = packed.groupBy("lot").applyInArrow(_distinct_pairs, "u binary, v binary")
-        if self.done is not None:
-            pairs = pairs.join(self.done, ["u", "v"], "left_anti")
-        pairs = materialise(pairs, "jaccard-candidates")
+
+    def passing(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of nodes that pass the suffix filter."""
         hists = _only(self.hists, _ends(pairs))
         hu, hv = (hists.select(F.col("node").alias(c), F.col("hist").alias(f"h{c}"), F.col("n").alias(f"n{c}")) for c in "uv")
-        out = materialise(pairs.join(hu, "u").join(hv, "v").select("u", "v", "hu", "hv", "nu", "nv").mapInArrow(lean(_suffix_ok(self.t)), "u binary, v binary"), "jaccard-pairs")
-        discard(pairs)
-        return out
+        return materialise(pairs.join(hu, "u").join(hv, "v").select("u", "v", "hu", "hv", "nu", "nv").mapInArrow(lean(_suffix_ok(self.t)), "u binary, v binary"), "jaccard-pairs")
 
-    def fetch(self, pairs: DataFrame) -> None:
+    def fetch(self, wanted: DataFrame) -> None:
         """Make the whole sets of nodes that have none yet, in one pass over the texts; of copies one will do."""
-        wanted = _ends(pairs)
         for s in self.sets:
             wanted = wanted.join(s.select("node"), "node", "left_anti")
         wanted = materialise(wanted, "jaccard-wanted")
         if wanted.take(1):
-            bloom = self.texts.sparkSession.sparkContext.broadcast(_bloom(wanted))
+            bloom = self.texts.sparkSession.sparkContext.broadcast(bloom_of(wanted, _node_keys))
             sets = _only(self.texts.mapInArrow(lean(_sets(bloom, self.n)), "node binary, grams binary"), wanted)
             self.sets.append(materialise(sets.groupBy("node").agg(F.first("grams").alias("grams")), "jaccard-sets"))
+        discard(wanted)
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Links that join what the links among the pairs join; pairs without sets are left for later."""
-        self.done = pairs if self.done is None else self.done.unionByName(pairs)
-        if not self.sets:
-            return materialise(pairs.limit(0), "jaccard-links")
+    def every_set(self) -> DataFrame:
         sets = self.sets[0]
         for s in self.sets[1:]:
             sets = sets.unionByName(s)
-        sets = _only(sets, _ends(pairs))
+        return sets
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Links that join what the links among the pairs join."""
+        if not self.sets:
+            return materialise(pairs.limit(0), "jaccard-links")
+        sets = _only(self.every_set(), _ends(pairs))
         gu, gv = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}")) for c in "uv")
         return materialise(pairs.join(gu, "u").join(gv, "v").select("u", "v", "gu", "gv").mapInArrow(lean(_verified(self.t)), "u binary, v binary"), "jaccard-links")
 
-    def known(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose nodes both have their sets."""
-        have = self.hists.select("node").limit(0)
-        for s in self.sets:
-            have = have.unionByName(s.select("node"))
-        for c in "uv":
-            pairs = pairs.join(have.withColumnRenamed("node", c), c, "left_semi")
-        return pairs
+    def join(self, meetings: DataFrame, members: DataFrame) -> DataFrame:
+        """Links of (u: node, v: component) into components of (root, node) with several nodes."""
+        if not self.sets:
+            return materialise(meetings.limit(0), "jaccard-links")
+        sets = self.every_set()
+        inner = members.join(meetings.select(F.col("v").alias("root")).distinct(), "root")
+        outer = meetings.select(F.col("v").alias("root"), F.col("u").alias("node"))
+        blocks = lambda d, name: d.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+        size = blocks(inner, "ins").join(blocks(outer, "outs"), "root")
+        part = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        keys = ["root", "in_block", "out_block"]
+        inner = inner.join(size, "root").withColumn("in_block", part("ins")).withColumn("out_block", every("outs")).select(*keys, "node").join(sets, "node")
+        outer = outer.join(size, "root").withColumn("out_block", part("outs")).withColumn("in_block", every("ins")).select(*keys, "node").join(sets, "node")
+        named = lambda d: d.select(*[F.col(c).alias(c) for c in (*keys, "node", "grams")])
+        inner, outer = named(inner), named(outer)
+        return materialise(outer.groupBy(*keys).cogroup(inner.groupBy(*keys)).applyInArrow(lean_table(_joined(self.t)), "u binary, v binary"), "jaccard-links")
 
 
-#: Stars around further nodes, across components, before all pairs across components are taken.
-TURNS = 1
 #: Least number of hash lots; with few lots a node's n-grams would share more of them than in a larger run.
 LOTS = 64
 
@@ -560,23 +592,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hists = _only(first.where("node is not null").select("node", "n", "hist"), members.select("node").distinct())
     hists = materialise(hists.groupBy("node").agg(F.first("n").alias("n"), F.first("hist").alias("hist")), "jaccard-parts")
     search = _Search(texts, hists, t, n)
-    pairs = search.distinct(groups.select("blob").mapInArrow(lean(_stars(t, lots)), "lot int, pairs binary"))
-    search.fetch(pairs)
+    stars = groups.select("blob").mapInArrow(lean(_stars(t, lots)), "lot int, pairs binary")
+    pairs = search.passing(materialise(stars.groupBy("lot").applyInArrow(_distinct_pairs, "u binary, v binary"), "jaccard-stars"))
+    search.fetch(_ends(pairs))
     comp = components(search.verify(pairs))
-    own = groups.select("p", "blob")
-    for turn in [*range(STARS, STARS + TURNS), None]:
-        linked = comp.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        labels = members.join(linked, "node").select("p", "node", "label")
-        across = own.groupBy("p").cogroup(labels.groupBy("p")).applyInArrow(_across(t, lots, turn), "lot int, pairs binary")
-        pairs = search.distinct(across)
-        if turn in (STARS, None):
-            search.fetch(pairs)
-        else:
-            pairs = materialise(search.known(pairs), "jaccard-known")
-        more = search.verify(pairs)
-        if more.take(1):
-            comp = components(comp.unionByName(more))
-    for table in (groups, members, hists, *search.sets):
+    # what is left: nodes and the other components of their groups
+    linked = comp.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    labels = members.join(linked, "node").select("p", "node", "label")
+    meetings = groups.select("p", "blob").groupBy("p").cogroup(labels.groupBy("p")).applyInArrow(_meetings(t, lots), "lot int, pairs binary")
+    meetings = materialise(meetings.groupBy("lot").applyInArrow(_distinct_pairs, "u binary, v binary"), "jaccard-meetings")
+    roots = comp.select("v").distinct()
+    single, many = search.passing(meetings.join(roots, "v", "left_anti")), materialise(meetings.join(roots, "v", "left_semi"), "jaccard-many")
+    whole = comp.select(F.col("v").alias("root"), F.col("u").alias("node")).unionByName(roots.select(F.col("v").alias("root"), F.col("v").alias("node")))
+    asked = whole.join(many.select(F.col("v").alias("root")).distinct(), "root", "left_semi").select("node")
+    search.fetch(_ends(single).union(many.select("u")).union(asked).distinct())
+    more = search.verify(single).unionByName(search.join(many, whole))
+    if more.take(1):
+        comp = components(comp.unionByName(more))
+    for table in (groups, members, hists, pairs, meetings, single, many, *search.sets):
         discard(table)
 
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("own"))
@@ -604,6 +637,7 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 75, den: int = 100) -> D
 
     comps = jaccard_components(docs, n=n, num=num, den=den)
     stay = comps.where("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1)))
-    return kept.withColumn("_again", again).where("_again = 1").drop("_again")
+    d = docs.select(F.struct(*docs.columns).alias("row")).alias("d")
+    kept = d.join(stay, F.col("d.row.doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    again = F.row_number().over(Window.partitionBy("row.doc_id", "row.text").orderBy(F.lit(1)))
+    return kept.withColumn("_again", again).where("_again = 1").select("row.*")

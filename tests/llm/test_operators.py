@@ -206,10 +206,9 @@ def test_tokens(spark):
     from tokenizers import Tokenizer
 
     rng = random.Random(5)
-    texts = ODD + [prose(rng, rng.randint(1, 400)).replace(" q", ". Q").replace(" z", ",\nZ") for _ in range(60)] + ["word " * 20_000]
+    texts = ODD + [prose(rng, rng.randint(1, 400)).replace(" q", ". Q").replace(" z", ",\nZ") for _ in range(60)] + ["word " * 20_000, "x <|endoftext|><|endoftext|>y", "<|endoftext|>"]
     docs = documents(spark, texts).withColumn("start", F.lit(1)).withColumn("ids", F.lit("x"))
     t = Tokenizer.from_file(queries.tokenizer_path())
-    t.encode_special_tokens = True
     at = 0
     digests = {r.doc_id: r for r in token_output.tokens_of(docs, queries.tokenizer_path()).collect()}
     whole = {r.doc_id: r.ids for r in token_output.tokens_of(docs, queries.tokenizer_path(), digest=False).collect()}
@@ -276,106 +275,116 @@ def test_mixing(spark):
 # --- op6 -------------------------------------------------------------------------------------------------
 
 
-def test_base_scores_equal_brute_force_and_blocks_agree(spark):
+def lower_words(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
+
+
+def test_base_scores_equal_brute_force(spark):
     rng = random.Random(4)
-    texts = [prose(rng, rng.randint(0, 60)) + rng.choice(["", "\n", " É x y", "  "]) for _ in range(120)] + [None, "", "THE the tHe", "new words only"]
-    docs = documents(spark, texts + texts[:3])
+    texts = [prose(rng, rng.randint(0, 60)) + rng.choice(["", "\n", " É x y", "  "]) for _ in range(120)] + [None, "", "THE the tHe", "new words only"]
+    docs = documents(spark, texts + texts[:3]).withColumn("key", F.lit("x")).withColumn("id", F.lit(1)).withColumn("learn", F.lit(0))
+    docs = docs.union(docs.where("doc_id = 5"))
     held = lm_scoring.held_out_rows(F.col("doc_id"))
-    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
-    everything = [(i, low(t)) for i, t in enumerate(texts + texts[:3])]
+    everything = [(i, lower_words(t)) for i, t in enumerate(texts + texts[:3])]
     train = Counter()
-    for i, w in everything:
+    for i, w in everything + [everything[5]]:
         if zlib.crc32(str(i).encode()) % 10:
             train.update(w)
             train[b""] += 1
     n, v = sum(train.values()), len(train)
-    one = {r.doc_id: r for r in lm_scoring.score_texts(docs, ~held).collect()}
-    many = {r.doc_id: r for r in lm_scoring.score_texts(docs, ~held, cfg=lm_scoring.Settings(block=40)).collect()}
-    for i, w in everything:
-        w = w + [b""]
-        r, m = one[i], many[i]
+    rows = lm_scoring.score_texts(docs, ~held).collect()
+    assert Counter(r.doc_id for r in rows) == Counter([i for i, _ in everything] + [5])
+    for r in rows:
+        w = everything[r.doc_id][1] + [b""]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in train for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((train[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
-        assert (m.n_tokens, m.n_known, m.train_tokens) == (r.n_tokens, r.n_known, n) and m.base_score == pytest.approx(r.base_score) and m.score == pytest.approx(r.score)
         assert r.score < 0
-    # the tree predicts unseen texts of the same kind better than words alone, and noise worse
-    noise = documents(spark, [" ".join("".join(rng.choice("qxzjkv") for _ in range(5)) for _ in range(20))]).withColumn("doc_id", F.lit(10_000).cast("bigint"))
-    rows = {r.doc_id: r for r in lm_scoring.score_texts(docs.union(noise), ~held & (F.col("doc_id") < 10_000)).collect()}
-    per = lambda r: r.score / r.n_tokens
-    assert per(rows[10_000]) < min(per(rows[i]) for i in range(40) if rows[i].n_tokens > 10)
 
 
-def test_probabilities_sum_to_one(spark):
-    rng = random.Random(6)
-    plain = lm_scoring._plain([prose(rng, 50).encode() for _ in range(40)])
-    codes, _ = lm_scoring.gram_codes(plain)
-    keys, n = np.unique(codes, return_counts=True)
-    pairs = np.zeros((256, 256), np.int64)
-    np.add.at(pairs, ((codes >> np.uint64(8)).astype(np.int64) & 255, codes.astype(np.int64) & 255), 1)
-    cfg = lm_scoring.Settings()
-    root, p1 = lm_scoring.top_levels(pairs, cfg)
-    assert root.sum() == pytest.approx(256.5 / 257, abs=0.01)
-    tree = lm_scoring.grow(keys, n.astype(np.int64), p1, cfg)
-    for ctx in (codes[10] >> np.uint64(8), codes[999] >> np.uint64(8), np.uint64(0x6162636465)):
-        every = (ctx << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert root.sum() - 1e-9 <= (10 ** lm_scoring.log_probs(every, tree, np.log10(p1))).sum() <= 1 + 1e-9
-
-
-def brute_suffix_scores(train, texts, cfg):
-    """Scores by a tree over every context of every length, without pruning."""
-    plain = lambda t: b" ".join((t or "").encode().lower().split())
-
-    def places(t):
-        raw = b"\n" * lm_scoring.DEPTH + plain(t) + b"\n"
-        for i in range(lm_scoring.DEPTH, len(raw)):
-            longest = max(lm_scoring.DEPTH, i - lm_scoring.DEPTH + 1)  # the start of the text is one symbol
-            yield raw[max(0, i - longest) : i], raw[i]
-
-    after = {}
-    for t in train:
-        for ctx, x in places(t):
-            for d in range(1, len(ctx) + 1):
-                after.setdefault(ctx[len(ctx) - d :], Counter())[x] += 1
-    every = Counter()
-    for c in [c for k, c in after.items() if len(k) == 1]:
-        every.update(c)
-    total = sum(every.values())
-    states = {}
-
-    def prob(ctx, x):
-        for d in range(len(ctx), 0, -1):
-            s = ctx[len(ctx) - d :]
-            if s in states:
-                c, n = after[s], sum(after[s].values())
-                return max(c[x] - cfg.discount, 0) / n + cfg.discount * len(c) / n * prob(s[1:], x)
-        return (every[x] + 0.5) / (total + 0.5 * lm_scoring.SYMBOLS)
-
-    for s in sorted(after, key=len):
-        c, n = after[s], sum(after[s].values())
-        if sum(m * (math.log(m / n) - math.log(prob(s[1:], x))) for x, m in c.items()) >= cfg.gain:
-            states[s] = True
-    return [sum(math.log10(prob(*at)) for at in places(t)) for t in texts], max(map(len, states))
-
-
-def test_contexts_of_any_length_equal_brute_force(spark):
-    rng = random.Random(8)
-    line = prose(rng, 14)
-    texts = [prose(rng, rng.randint(0, 12)) for _ in range(30)] + [f"{rng.choice(['this', 'that'])} {line} " + ("yes" if i % 2 else "no") for i in range(12)]
+class BruteTree:
+    """Every context of every length of the ladder, counted in dictionaries; nothing is pruned."""
+
+    def __init__(self, train, cfg):
+        self.cfg, self.after, self.words = cfg, {}, Counter()
+        for t in train:
+            for ctxs, x in self.places(t):
+                self.words[x] += 1
+                for c in ctxs:
+                    self.after.setdefault(c, Counter())[x] += 1
+        self.n, self.v, self.rest = sum(self.words.values()), len(self.words), {}
+        for c in sorted(self.after, key=len):
+            n, seen = sum(self.after[c].values()), {x: m for x, m in self.after[c].items() if m > 1}
+            if seen:
+                below = {x: self.prob(self.shorter(c), x) for x in seen}
+                alone = n - sum(seen.values())
+                rest = (cfg.discount * len(seen) + alone) / n / (1 - sum(below.values()))
+                if sum(m * math.log((m - cfg.discount) / n / below[x]) for x, m in seen.items()) + alone * math.log(rest) >= cfg.gain:
+                    self.rest[c] = rest
+
+    def lengths(self, n):
+        out = []
+        for k in lm_scoring.ladder():
+            out.append(min(k, n))
+            if k >= n:
+                return out
+
+    def shorter(self, c):
+        return [c[len(c) - k :] for k in self.lengths(len(c)) if k < len(c)]
+
+    def places(self, t):
+        raw = ("<", *lower_words(t), ">")
+        return [([raw[i - k : i] for k in self.lengths(i)], raw[i]) for i in range(1, len(raw))]
+
+    def prob(self, ctxs, x):
+        p = (self.words[x] + 0.1) / (self.n + 0.1 * (self.v + 1))
+        for c in ctxs:
+            if c in self.rest:
+                m, n = self.after[c][x], sum(self.after[c].values())
+                p = (m - self.cfg.discount) / n if m > 1 else self.rest[c] * p
+        return p
+
+    def score(self, t):
+        return sum(math.log10(self.prob(*at)) for at in self.places(t))
+
+
+def lm_texts(rng):
+    line = prose(rng, 70)
+    texts = [prose(rng, rng.randint(0, 12)) for _ in range(60)] + [f"{rng.choice(['this', 'that'])} {line} " + ("yes" if i % 2 else "no") for i in range(12)]
     # only what stands far before the common line tells the words after it
-    texts += [f"red {line} and so we stop" for _ in range(12)] + [f"blue {line} but then go on" for _ in range(12)] + ["", None, "x", line]
+    texts += [f"red {line} and so we stop" for _ in range(12)] + [f"blue {line} but then go on" for _ in range(12)]
+    return texts + ["", None, "x", line, "red " + line, "green and so we go on"], line
+
+
+def test_suffix_tree_equals_brute_force(spark):
+    texts, line = lm_texts(random.Random(8))
     docs = documents(spark, texts)
-    cfg = lm_scoring.Settings(gain=4.0)
-    want, deepest = brute_suffix_scores(texts[:-6], texts, cfg)
-    assert deepest > len(line)
-    for c in (cfg, lm_scoring.Settings(gain=4.0, turn=2000, turns=2, block=300)):
-        got = {r.doc_id: r.score for r in lm_scoring.score_texts(docs, F.col("doc_id") < len(texts) - 6, cfg=c).collect()}
-        assert [got[i] for i in range(len(texts))] == pytest.approx(want)
+    for cfg in (lm_scoring.Settings(gain=4.0), lm_scoring.Settings(gain=2.0, discount=0.5, turns=1, chunk=40)):
+        tree = BruteTree(texts[:-6], cfg)
+        assert max(map(len, tree.rest)) > len(line.split())
+        got = {r.doc_id: r.score for r in lm_scoring.score_texts(docs, F.col("doc_id") < len(texts) - 6, cfg=cfg).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx([tree.score(t) for t in texts])
+
+
+def test_probabilities_of_the_tree_sum_to_one():
+    texts, _ = lm_texts(random.Random(9))
+    tree = BruteTree(texts[:-6], lm_scoring.Settings(gain=2.0))
+    for t in texts[60:]:
+        for ctxs, _ in tree.places(t)[-4:]:
+            assert sum(tree.prob(ctxs, x) for x in tree.words) + tree.prob(ctxs, "unseen") == pytest.approx(1)
+
+
+def test_the_tree_tells_unseen_texts_from_noise(spark):
+    rng = random.Random(14)
+    texts = ["red one two. " * rng.randint(1, 9) if i % 2 else "blue three four. " * rng.randint(1, 9) for i in range(60)] + ["red one two.", "red four one three."]
+    rows = {r.doc_id: r for r in lm_scoring.score_texts(documents(spark, texts), F.col("doc_id") < 60).collect()}
+    assert rows[60].score > rows[60].base_score and rows[60].score / rows[60].n_tokens > rows[61].score / rows[61].n_tokens
 
 
 def test_lm_without_training_or_rows(spark):
-    d = documents(spark, ["a b", None])
+    d = documents(spark, ["a b", None, "w " * 300_000]).withColumn("doc_id", F.when(F.col("doc_id") != 1, F.col("doc_id")))
     rows = lm_scoring.score_texts(d, F.lit(False)).collect()
-    assert [(r.n_known, r.train_tokens) for r in rows] == [(0, 0), (0, 0)] and all(r.base_score == pytest.approx(0) for r in rows)
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in rows) == [(1, 0, 0), (3, 0, 0), (300_001, 0, 0)] and all(r.base_score == pytest.approx(0) and r.score == pytest.approx(0) for r in rows)
+    assert sorted((r.doc_id is None) for r in rows) == [False, False, True]
     assert lm_scoring.score_texts(d.limit(0), F.lit(True)).count() == 0
 
 
@@ -452,15 +461,51 @@ def test_jaccard_equals_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == naive_components(texts)
 
 
-def test_jaccard_without_extra_stars_is_the_same(spark, monkeypatch):
+def test_jaccard_with_few_stars_and_small_blocks_is_the_same(spark, monkeypatch):
     texts = near_copies(random.Random(12), 30)
     monkeypatch.setattr(jaccard_join, "STARS", 1)
-    monkeypatch.setattr(jaccard_join, "TURNS", 0)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
     monkeypatch.setattr(jaccard_join, "SMALL", 0)  # joins by shuffle
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents(spark, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == naive_components(texts)
 
 
+def near_a_large_group(rng, copies, near):
+    """Near copies of a text, each with a few words changed, and texts at many distances from it."""
+    base = prose(rng, 60).split()
+    base = [w + str(i) for i, w in enumerate(base)]
+    texts = []
+    for i in range(copies + near):
+        w = list(base)
+        for k in rng.sample(range(60), rng.randint(0, 1) if i < copies else rng.randint(1, 12)):
+            w[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w[: rng.choice([60, 60, 45, 30])] if i >= copies else w))
+    return texts
+
+
+def test_jaccard_near_a_large_group(spark, monkeypatch):
+    texts = near_a_large_group(random.Random(15), 150, 60)
+    want = naive_components(texts)
+    assert 5 < len({c for _, c in want}) < 60
+    monkeypatch.setattr(jaccard_join, "STARS", 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_a_large_group_gives_few_rows():
+    """Nodes beside a group of thousands meet its component once each, not each of its nodes."""
+    rng = np.random.default_rng(3)
+    names = sorted({rng.bytes(16) for _ in range(3040)})
+    root, beside = names[0], set(names[-40:])
+    blob = jaccard_join._pack(0, names, np.full(3040, 50), np.zeros(3040, np.uint32), np.arange(3040), np.zeros(3040, np.int64))
+    import pyarrow as pa
+
+    labels = pa.table({"node": [x for x in names if x not in beside], "label": [root] * 3000})
+    out = jaccard_join._meetings(jaccard_join.Threshold(75, 100), 8)((0,), pa.table({"blob": [blob]}), labels)
+    pairs = jaccard_join._distinct_pairs(None, out)
+    assert sum(v == root for v in pairs["v"].to_pylist()) == 40 and len(pairs) == 40 + 40 * 39 // 2
+
+
 def test_one_of_each(spark):
     rng = random.Random(13)
     a = prose(rng, 50)
