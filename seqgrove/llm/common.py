@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqgrove.session import ship
-from seqgrove.storage import discard, fresh_path, materialise, shared_dir
+from seqgrove.storage import discard, fresh_path, materialise, shared_dir, sweep
 
-__all__ = ["discard", "fresh_path", "materialise", "shared_dir"]
+__all__ = ["discard", "fresh_path", "materialise", "shared_dir", "sweep"]
 
 #: Word separators of every contract here: space and the five ASCII controls 9-13.
 SPACE = np.zeros(256, dtype=bool)
@@ -186,7 +186,7 @@ BLOOM_BITS = 25
 def _bloom_at(keys: np.ndarray):
     mask = np.uint64((1 << BLOOM_BITS) - 1)
     for k in (1, 2, 3):
-        yield (mix(keys + BASE * np.uint64(k)) & mask).astype(np.int64)
+        yield (mix(keys + np.uint64(int(BASE) * k % (1 << 64))) & mask).astype(np.int64)
 
 
 def _bloom_part(keys_of):

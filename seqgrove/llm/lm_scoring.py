@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, bloom_has, bloom_of, bounded_batches, crc_bucket, discard, lean, lean_table, materialise, mix, powers, shuffle_parts, utf8, word_hashes
+from .common import BASE, bloom_has, bloom_of, bounded_batches, crc_bucket, discard, lean, lean_table, materialise, mix, powers, shuffle_parts, sweep, utf8, word_hashes
 
 U = np.uint64
 START, END = 0, 1
@@ -51,7 +51,7 @@ ROUNDS, MORE = (2, 4), 25
 class Settings:
     gain: float = 6.0
     discount: float = 0.8
-    turns: int = 3
+    turns: int = 2
     chunk: int = 1_000_000
 
 
@@ -100,16 +100,24 @@ class Tokens:
         self.row = np.repeat(np.arange(len(n)), n + 1)
         self.off = self.pos - np.repeat(starts, n + 1)
         self.symbol = self.raw[self.pos]
-        self._sums = np.full(len(self.raw) + 1, INVERSE, U)
-        self._sums[0] = 1
-        back = np.multiply.accumulate(self._sums)[:-1]
-        self._sums[0] = 0
-        np.cumsum(back * (self.raw + U(1)), out=self._sums[1:])
+        self._sums: np.ndarray | None = None
 
     def contexts(self, length: int, at: np.ndarray | None = None) -> np.ndarray:
-        """48-bit hashes of the last ``length`` symbols (no more than there are) before the tokens ``at``."""
+        """48-bit hashes of the last ``length`` symbols (no more than there are) before the tokens ``at``: the sum of
+        (symbol + 1) * BASE ** distance."""
         pos, off = (self.pos, self.off) if at is None else (self.pos[at], self.off[at])
-        h = (self._sums[pos] - self._sums[pos - np.minimum(off, length)]) * powers(len(self.raw))[pos]
+        if length <= 4:
+            h = (self.raw[pos - 1] + U(1)) * powers(5)[1]
+            for d in range(2, length + 1):
+                h += np.where(off >= d, (self.raw[np.maximum(pos - d, 0)] + U(1)) * powers(5)[d], U(0))
+        else:
+            if self._sums is None:
+                self._sums = np.full(len(self.raw) + 1, INVERSE, U)
+                self._sums[0] = 1
+                back = np.multiply.accumulate(self._sums)[:-1]
+                self._sums[0] = 0
+                np.cumsum(back * (self.raw + U(1)), out=self._sums[1:])
+            h = (self._sums[pos] - self._sums[pos - np.minimum(off, length)]) * powers(len(self.raw))[pos]
         return mix(h) >> U(16)
 
 
@@ -178,8 +186,8 @@ def _asked(lots: int, parts: int, most: int):
             k = np.array(keys, np.int64).view(U)
             own = (k % U(parts)).astype(np.int64)
             number = np.array([0 if i is None else i for i in ids], np.int64)
-            null = np.array([i is None for i in ids], np.uint8)
-            rows += [(TEXTS, p, k[m].tobytes(), number[m].tobytes(), null[m].tobytes()) for p in np.unique(own).tolist() for m in [own == p]]
+            size = np.bincount(t.row, minlength=len(texts)) << 1 | np.array([i is None for i in ids], np.int64)  # and whether the id is null
+            rows += [(TEXTS, p, k[m].tobytes(), number[m].tobytes(), size[m].tobytes()) for p in np.unique(own).tolist() for m in [own == p]]
             yield _batch(ASKED, rows)
 
     return run
@@ -203,7 +211,7 @@ def _counted(key, rows):
     pair = np.unique(lot.astype(U) << U(40) | of.astype(U))  # a part has fewer than 2 ** 40 words
     lot, of = (pair >> U(40)).astype(np.int64), (pair & U((1 << 40) - 1)).astype(np.int64)
     first, size = _runs(lot)
-    out = [(WORDS, int(lot[i]), squeeze(s[at[of[i : i + k]]], 7), count[of[i : i + k]].astype("<u8").tobytes(), b"", 0, 0) for i, k in zip(first, size)]
+    out = [(WORDS, int(lot[i]), squeeze(s[at[of[i : i + k]]], 7), squeeze(count[of[i : i + k]], 5), b"", 0, 0) for i, k in zip(first, size)]
     out.append((WORDS, -1, b"", b"", b"", int(count.sum()), int((count > 0).sum())))
     return pa.Table.from_batches([_batch(COUNTED, out)])
 
@@ -244,7 +252,9 @@ def _sent(number: int, lots: int, span: tuple[int, int], most: int, opened=None)
                 if a == z:
                     continue
                 first, size = _runs(key[a:z])
-                docs, of = np.unique(row[a:z], return_inverse=True)
+                seen = np.zeros(len(texts), bool)
+                seen[row[a:z]] = True
+                docs, of = np.flatnonzero(seen), (np.cumsum(seen) - 1)[row[a:z]]
                 found = b"".join(squeeze(c[a:z][ok[a:z]], 6) for c, ok in ctx)
                 rows = of.astype("<u2" if len(docs) <= 65536 else "<u4").tobytes()
                 yield _batch(SENT, [(lot, TOKENS, squeeze(key[a:z][first], 6), size.astype("<u4").tobytes(), squeeze(symbol[a:z], 7), found, levels[a:z].tobytes(), text[docs].tobytes(), train[docs].tobytes(), rows)])
@@ -276,7 +286,7 @@ class Lot:
                 ctx[i].append(c)
             text = np.frombuffer(r["texts"], np.int64)
             wide = "<u2" if len(text) <= 65536 else "<u4"
-            for name, x in (("key", key), ("symbol", widen(r["symbols"], 7)), ("levels", levels), ("row", np.frombuffer(r["rows"], wide).astype(np.int64) + texts), ("text", text), ("learn", np.frombuffer(r["learn"], np.uint8))):
+            for name, x in (("key", key), ("symbol", widen(r["symbols"], 7)), ("levels", levels), ("row", np.frombuffer(r["rows"], wide).astype(np.int32) + np.int32(texts)), ("text", text), ("learn", np.frombuffer(r["learn"], np.uint8))):
                 parts[name].append(x)
             texts += len(text)
         self.key, self.symbol, self.levels, self.row, self.text, self.learn = (np.concatenate(parts[x]) for x in ("key", "symbol", "levels", "row", "text", "learn"))
@@ -292,33 +302,40 @@ def _entry(ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mix(ctx * BASE + symbol)
 
 
-def climb(ctx: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray, train: np.ndarray, lp: np.ndarray, known: np.ndarray, cfg: Settings):
-    """One round: each token's change of log probability, and (context, symbol, log p) of what stays open.
+def climb(ctx: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray, train: np.ndarray, look, cfg: Settings):
+    """One round: each token's change of log probability; (context, symbol, log p) of what stays open; and what ``look`` told.
 
-    ctx: hashes of each length, valid for tokens with that many levels; lp: log p after the contexts so far,
-    where it is known (symbols that were seen twice there: no others can be seen twice after a longer context)."""
-    lp, known, gained = lp.copy(), known.copy(), np.zeros(len(symbol))
-    act, last = np.arange(len(symbol)), len(ctx) - 1
+    ctx: hashes of each length, valid for tokens with that many levels. look: log p after the contexts so far, and
+    whether it is known, of some tokens. It is for symbols that were seen twice there, and no others can be seen twice
+    after a longer context."""
+    act, lp, known = None, None, None
     opened = (np.zeros(0, U), np.zeros(0, U), np.zeros(0))
+    gained, start = np.zeros(len(symbol)), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))
     for k, every in enumerate(ctx):
-        act = act[levels[act] > k]
-        if not len(act):
+        c, s, learnt = (every, symbol, train) if act is None else (every[act], symbol[act], train[act])
+        if not len(c):
             break
-        c, s = every[act], symbol[act]
-        key = _entry(c, s)
-        order = np.argsort(key)
-        at, size = _runs(key[order])
-        entry = np.empty(len(act), np.int64)  # of each token
-        entry[order] = np.repeat(np.arange(len(at)), size)
-        m = np.add.reduceat(train[act][order].astype(np.int64), at)
-        first = order[at]
-        below, own = lp[act[first]], c[first]
+        order = np.argsort(key := _entry(c, s))
+        key = key[order]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        del key
+        entry = np.empty(len(c), np.int32)  # of each token
+        entry[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        at = np.flatnonzero(fresh)
+        m, first = np.add.reduceat(learnt[order], at, dtype=np.int64), order[at]
+        del order, fresh
+        if act is None:
+            below, sure = look(first)
+            start = (first, below, entry)
+        else:
+            below, sure = lp[first], known[first]
+        own = c[first]
         order = np.argsort(own)
         at, size = _runs(own[order])
-        of = np.empty(len(own), np.int64)  # the context of each entry
-        of[order] = np.repeat(np.arange(len(at)), size)
+        of = np.empty(len(own), np.int32)  # the context of each entry
+        of[order] = np.repeat(np.arange(len(at), dtype=np.int32), size)
         n = np.add.reduceat(m[order], at).astype(float)
-        e = np.flatnonzero((m >= 2) & known[act[first]])
+        e = np.flatnonzero((m >= 2) & sure)
         o, me, be = of[e], m[e].astype(float), below[e]
         total = lambda x: np.bincount(o, x, len(n))
         kinds, seen, mass = total(np.ones(len(e))), total(me), np.minimum(total(np.exp(be)), 1 - 1e-9)
@@ -328,28 +345,31 @@ def climb(ctx: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray, train:
             rest = np.log(left) - np.log1p(-mass)
             gain = total(me * (np.log(me - cfg.discount) - be)) - seen * np.log(n) + np.where(alone > 0, alone * rest, 0.0)
         state = (kinds > 0) & (gain >= cfg.gain)
-        new = below + np.where(state[of], rest[of], 0.0)
+        change = np.where(state, rest, 0.0)[of]
         ins = e[state[o]]
-        new[ins] = np.log(m[ins] - cfg.discount) - np.log(n[of[ins]])
-        change = new - below
-        gained[act] += change[entry]
-        lp[act] = new[entry]
-        # those seen once have no known probability later on, and need none
-        told = np.zeros(len(m), bool)
-        told[e] = True
-        known[act] = told[entry]
+        change[ins] = np.log(m[ins] - cfg.discount) - np.log(n[of[ins]]) - below[ins]
+        new = below + change
+        if act is None:
+            gained = change[entry]
+        else:
+            gained[act] += change[entry]
         go = total(me * -new[e]) - alone * np.log(np.where(state, left, 1 - mass)) >= cfg.gain
-        more = go[of][entry] & (levels[act] > k + 1)
-        if k == last:
+        more = np.flatnonzero(go[of][entry] & (levels > k + 1))
+        going = entry[more]
+        if k == len(ctx) - 1:
             some = np.zeros(len(n), bool)
-            some[of[entry[more]]] = True
+            some[of[going]] = True
             f = e[some[o]]
             opened = (own[f], s[first[f]], new[f])
-        act = act[more]
-    return gained, opened
+            break
+        # symbols seen once have no known probability later on, and need none
+        told = np.zeros(len(m), bool)
+        told[e] = True
+        act, lp, known, levels = more if act is None else act[more], new[going], told[going], levels[more]
+    return gained, opened, start
 
 
-OUT = "kind int, lot bigint, a binary, b binary, c binary, d binary, e binary"
+OUT = "kind int, lot bigint, a binary, b binary, c binary, d binary"
 SUMS, OPEN = 0, 1
 
 
@@ -364,26 +384,36 @@ def _scored(number: int, lots: int, parts: int, total: int, words: int, cfg: Set
             return pa.Table.from_batches([_batch(OUT, [])])
         lot = Lot(rows, steps, number == 0)
         del rows
+        names = widen(b"".join(r["symbols"] for r in table), 7)
         if number == 0:
-            s, n = widen(b"".join(r["symbols"] for r in table), 7), np.frombuffer(b"".join(r["contexts"] for r in table), "<u8").astype(np.float64)
-            order = np.argsort(s)
-            n = n[order][np.searchsorted(s[order], lot.symbol)]
-            lp, known = np.log(n + 0.1) - norm, np.ones(len(n), bool)
-            counted = [np.bincount(lot.row, minlength=len(lot.text)), np.bincount(lot.row, n > 0, len(lot.text)), np.bincount(lot.row, lp, len(lot.text))]
+            count = widen(b"".join(r["contexts"] for r in table), 5).astype(np.float64)
+            order = np.argsort(names)
+            names, count = names[order], count[order]
+
+            def look(first):
+                return np.log(count[np.searchsorted(names, lot.symbol[first])] + 0.1) - norm, np.ones(len(first), bool)
+
         else:
-            at = _entry(widen(b"".join(r["keys"] for r in table), 6), widen(b"".join(r["symbols"] for r in table), 7))
-            value = np.frombuffer(b"".join(r["contexts"] for r in table), np.float64)
-            lot.keep(np.isin(lot.key, widen(b"".join(r["keys"] for r in table), 6)))
-            order = np.argsort(at)
-            at, value = at[order], value[order]
-            want = _entry(lot.key, lot.symbol)
-            i = np.minimum(np.searchsorted(at, want), len(at) - 1)
-            known = at[i] == want
-            lp = np.where(known, value[i], 0.0)
-            counted = [np.zeros(len(lot.text))] * 3
-        gained, (ctx, symbol, p) = climb(lot.ctx, lot.symbol, lot.levels, lot.learn[lot.row] > 0, lp, known, cfg)
-        counted.append(counted[2] + np.bincount(lot.row, gained, len(lot.text)))
-        used = np.flatnonzero(np.any([x != 0 for x in counted], axis=0))
+            keys = widen(b"".join(r["keys"] for r in table), 6)
+            lot.keep(np.isin(lot.key, keys))  # the filter lets others through as well
+            names, value = _entry(keys, names), np.frombuffer(b"".join(r["contexts"] for r in table), np.float64)
+            order = np.argsort(names)
+            names, value = names[order], value[order]
+
+            def look(first):
+                want = _entry(lot.key[first], lot.symbol[first])
+                i = np.minimum(np.searchsorted(names, want), len(names) - 1)
+                hit = names[i] == want
+                return np.where(hit, value[i], 0.0), hit
+
+        del table
+        gained, (ctx, symbol, p), (_, below, entry) = climb(lot.ctx, lot.symbol, lot.levels, lot.learn[lot.row], look, cfg)
+        k = len(lot.text)
+        hits, base = np.zeros(k), np.zeros(k)
+        if number == 0:
+            hits, base = np.bincount(lot.row, (below > np.log(0.15) - norm)[entry], k), np.bincount(lot.row, below[entry], k)
+        score = base + np.bincount(lot.row, gained, k)
+        used = np.flatnonzero((score != 0) | (base != 0))
         text = lot.text[used].view(U)
         part = (text % U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -391,13 +421,12 @@ def _scored(number: int, lots: int, parts: int, total: int, words: int, cfg: Set
         out = []
         for i, k in zip(first, size):
             at = order[i : i + k]
-            tokens, hits, base, score = (x[used][at] for x in counted)
-            out.append((SUMS, int(part[at[0]]), text[at].tobytes(), tokens.astype("<u4").tobytes(), hits.astype("<u4").tobytes(), base.astype("<f8").tobytes(), score.astype("<f8").tobytes()))
+            out.append((SUMS, int(part[at[0]]), text[at].tobytes(), hits[used][at].astype("<u4").tobytes(), base[used][at].astype("<f4").tobytes(), score[used][at].astype("<f4").tobytes()))
         if len(ctx):
             order = np.argsort(ctx)
             ctx, symbol, p = ctx[order], symbol[order], p[order]
             cut = np.searchsorted(ctx, edges_of(lots))
-            out += [(OPEN, i, squeeze(ctx[a:z], 6), squeeze(symbol[a:z], 7), p[a:z].tobytes(), b"", b"") for i, (a, z) in enumerate(zip(cut, cut[1:])) if a < z]
+            out += [(OPEN, i, squeeze(ctx[a:z], 6), squeeze(symbol[a:z], 7), p[a:z].tobytes(), b"") for i, (a, z) in enumerate(zip(cut, cut[1:])) if a < z]
         return pa.Table.from_batches([_batch(OUT, out)])
 
     return run
@@ -415,18 +444,22 @@ SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, sco
 def _summed(key, rows):
     """The rows of one part: sums of each text's key, for every text that has it."""
     kind = rows["kind"].to_pylist()
-    cols = {c: rows[c].to_pylist() for c in "abcde"}
+    cols = {c: rows[c].to_pylist() for c in "abcd"}
 
     def joined(col, which, dtype):
         return np.frombuffer(b"".join(x for x, k in zip(cols[col], kind) if k == which), dtype)
 
-    names, number, null = joined("a", TEXTS + 2, U), joined("b", TEXTS + 2, np.int64), joined("c", TEXTS + 2, np.uint8)
+    names, number, size = joined("a", TEXTS + 2, U), joined("b", TEXTS + 2, np.int64), joined("c", TEXTS + 2, np.int64)
     every, at, again = np.unique(names, return_inverse=True, return_counts=True)
     of = np.searchsorted(every, joined("a", SUMS, U))
-    values = [np.bincount(of, joined(c, SUMS, d).astype(float), len(every)) / again for c, d in (("b", "<u4"), ("c", "<u4"), ("d", "<f8"), ("e", "<f8"))]
-    ids = pa.array(number, pa.int64(), mask=null > 0)
-    whole = [pa.array(np.rint(v[at]).astype(np.int64)) for v in values[:2]]
-    return pa.Table.from_arrays([ids, *whole, *(pa.array(v[at] / np.log(10)) for v in values[2:])], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+    hits, base, score = ((np.bincount(of, joined(c, SUMS, d).astype(float), len(every)) / again)[at] for c, d in (("b", "<u4"), ("c", "<f4"), ("d", "<f4")))
+    ids = pa.array(number, pa.int64(), mask=(size & 1) > 0)
+    return pa.Table.from_arrays([ids, pa.array(size >> 1), pa.array(np.rint(hits).astype(np.int64)), pa.array(base / np.log(10)), pa.array(score / np.log(10))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _turn(src: DataFrame, table: DataFrame, sent, scored) -> DataFrame:
+    both = src.mapInArrow(lean(sent), SENT).unionByName(table)
+    return materialise(both.groupBy("lot").applyInArrow(lean_table(scored), OUT), "lm-sums")
 
 
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", cfg: Settings = Settings()) -> DataFrame:
@@ -439,8 +472,10 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     src = docs.select(utf8(F.col(text_col)).alias("text"), F.xxhash64(ident, F.col(text_col)).alias("key"), ident.alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"))
     asked = src.mapInArrow(lean(_asked(lots, parts, cfg.chunk)), ASKED)
     counted = materialise(asked.groupBy("kind", "lot").applyInArrow(lean_table(_counted), COUNTED), "lm-words")
+    del asked
+    sweep(spark)
     size = counted.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
-    texts = counted.where(f"kind = {TEXTS}").select(F.lit(TEXTS + 2).alias("kind"), "lot", "a", "b", "c", F.lit(b"").alias("d"), F.lit(b"").alias("e"))
+    texts = counted.where(f"kind = {TEXTS}").select(F.lit(TEXTS + 2).alias("kind"), "lot", "a", "b", "c", F.lit(b"").alias("d"))
     none = [F.lit(b"").alias(c) for c in ("levels", "texts", "learn", "rows")]
     table = counted.where(f"kind = {WORDS} and lot >= 0").select("lot", F.lit(TABLE).alias("kind"), F.lit(b"").alias("keys"), F.lit(b"").alias("sizes"), F.col("a").alias("symbols"), F.col("b").alias("contexts"), *none)
     outs, number, opened = [], 0, None
@@ -449,10 +484,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         made = []
         for turn in range(turns):
             span = (turn * lots // turns, (turn + 1) * lots // turns)
-            sent = src.mapInArrow(lean(_sent(number, lots, span, cfg.chunk, opened)), SENT)
-            both = sent.unionByName(table.where((F.col("lot") >= span[0]) & (F.col("lot") < span[1])))
-            made.append(materialise(both.groupBy("lot").applyInArrow(lean_table(_scored(number, lots, parts, size["n"], size["v"], cfg)), OUT), "lm-sums"))
-            spark.sparkContext._jvm.System.gc()  # shuffle files of this turn
+            made.append(_turn(src, table.where((F.col("lot") >= span[0]) & (F.col("lot") < span[1])), _sent(number, lots, span, cfg.chunk, opened), _scored(number, lots, parts, size["n"], size["v"], cfg)))
+            sweep(spark)
         outs += made
         kept = made[0]
         for m in made[1:]:
