@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_has, bloom_of, bounded_batches, discard, lean, lean_table, materialise, mix, shuffle_parts, utf8, word_hashes
+from .common import bloom_has, bloom_of, bounded_batches, discard, lean, lean_table, materialise, mix, shuffle_parts, sweep, utf8, word_hashes
 from seqgrove.operators.components import components
 
 SKETCH_BITS = 21
@@ -594,8 +594,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     search = _Search(texts, hists, t, n)
     stars = groups.select("blob").mapInArrow(lean(_stars(t, lots)), "lot int, pairs binary")
     pairs = search.passing(materialise(stars.groupBy("lot").applyInArrow(_distinct_pairs, "u binary, v binary"), "jaccard-stars"))
+    sweep(spark)
     search.fetch(_ends(pairs))
     comp = components(search.verify(pairs))
+    sweep(spark)
     # what is left: nodes and the other components of their groups
     linked = comp.select(F.col("u").alias("node"), F.col("v").alias("label"))
     labels = members.join(linked, "node").select("p", "node", "label")
@@ -606,11 +608,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whole = comp.select(F.col("v").alias("root"), F.col("u").alias("node")).unionByName(roots.select(F.col("v").alias("root"), F.col("v").alias("node")))
     asked = whole.join(many.select(F.col("v").alias("root")).distinct(), "root", "left_semi").select("node")
     search.fetch(_ends(single).union(many.select("u")).union(asked).distinct())
+    sweep(spark)
     more = search.verify(single).unionByName(search.join(many, whole))
     if more.take(1):
         comp = components(comp.unionByName(more))
     for table in (groups, members, hists, pairs, meetings, single, many, *search.sets):
         discard(table)
+    sweep(spark)
 
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc").alias("own"))
     comp = comp.select(F.col("u").alias("node"), F.col("v").alias("root"))
