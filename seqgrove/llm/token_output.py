@@ -77,7 +77,7 @@ class PieceEncoder:
     were met again since the last time stay and the rest are forgotten, which bounds memory and changes no result.
     """
 
-    def __init__(self, spec: str, most: int = 1_000_000):
+    def __init__(self, spec: str, most: int = 4_000_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_str(spec)
@@ -124,7 +124,8 @@ class PieceEncoder:
         self.used = len(self.pool)
         self.tables = [[keys, (upto - n).astype(np.uint32), n.astype(np.uint32), np.zeros(len(keys), bool)], self._table()]
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offset in the pool, number of ids) of new pieces"""
         one, ids, lens = self.t.encode, [], []
         for p in pieces:
             x = one(p, add_special_tokens=False).ids
@@ -135,6 +136,7 @@ class PieceEncoder:
         self.pool[self.used : self.used + len(ids)] = ids
         lens = np.array(lens, np.uint32)
         new = [keys, (self.used + np.cumsum(lens, dtype=np.int64) - lens).astype(np.uint32), lens, np.zeros(len(keys), bool)]
+        told = new[1].astype(np.int64), lens.astype(np.int64)
         self.used += len(ids)
         for level in (1, 0):  # recent pieces are kept apart until they are a quarter of all
             both = [np.concatenate(x) for x in zip(self.tables[level], new)]
@@ -142,8 +144,9 @@ class PieceEncoder:
             new = [x[order] for x in both]
             if level and len(new[0]) * 4 < len(self.tables[0][0]):
                 self.tables[1] = new
-                return
+                return told
         self.tables = [new, self._table()]
+        return told
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -180,7 +183,11 @@ class PieceEncoder:
         lens = np.diff(np.append(at, len(body)))
         body *= powers(int(lens.max()))[np.arange(len(body)) - np.repeat(at, lens)]
         keys = mix(mix(np.add.reduceat(body, at) ^ lens.astype(np.uint64)) + powers(5)[lead + 1])
-        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        order = np.argsort(keys)
+        unique = keys[order]
+        fresh = np.concatenate([[True], unique[1:] != unique[:-1]])
+        unique, first, back = unique[fresh], order[fresh], np.empty(len(keys), np.int64)
+        back[order] = np.cumsum(fresh) - 1
         known, where, n = self._look(unique)
         if not known.all():
             new = np.flatnonzero(~known)
@@ -190,8 +197,7 @@ class PieceEncoder:
                 new = np.flatnonzero(~known)
             f = first[new]
             blob = raw.tobytes()
-            self._learn(unique[new], [_LEADS[k] + blob[s : s + m].decode() for k, s, m in zip(lead[f].tolist(), starts[f].tolist(), lens[f].tolist())])
-            _, where, n = self._look(unique)
+            where[new], n[new] = self._learn(unique[new], [_LEADS[k] + blob[s : s + m].decode() for k, s, m in zip(lead[f].tolist(), starts[f].tolist(), lens[f].tolist())])
         n, where = n[back], where[back]
         ends = np.cumsum(n)
         ids = self.pool[np.repeat(where - (ends - n), n) + np.arange(ends[-1])]
