@@ -1,20 +1,26 @@
 """Exact top-k search by a Voronoi kNN join.
 
-Pivots (a bounded sample of the data) cut the space into cells. Summaries of the cells - rows, radius and
-the smallest pivot distances - give, for every query, a lower bound of its k-th best score and an upper
-bound of any score in a cell, both from the inner product with the pivot and Cauchy-Schwarz:
-``q.p - |q| d <= q.x <= q.p + |q| r``. A query goes to the cells whose upper bound reaches its lower bound and
-to no other. Cells larger than a block are dealt to several blocks by a hash, as are a cell's queries, so
-neither a hot cell nor many queries meet in one task; each block is solved by one matrix product, and the
-blocks' best k are merged.
+Pivots (a bounded sample of the data, more of them for more rows) cut the space into cells, and distances to a cell's pivot cut
+it into rings; rings of many rows are dealt to blocks by a hash. A summary row a ring holds its rows, the greatest distance
+to the pivot, the least cosine to it and the range of lengths. Queries belong to the cell of their own
+nearest pivot and are solved there first, by one matrix product a block. That gives each query a true lower bound of its
+k-th best score. For every other ring the summaries bound the scores it can hold:
+``q.x <= q.p + |q| r`` (Cauchy-Schwarz), and ``q.x <= |q| |x| cos(angle(q, p) - greatest angle(p, x))``. A query goes to
+the rings that reach its bound and to no other, so only necessary rows are compared; of queries and rows the
+smaller side, the queries, is what is copied. ``shares`` tells how much was necessary: where nothing is near anything, as
+for random vectors of many dimensions, no bound on distances excludes a cell, and all of them are.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of
 different lengths are compared as if filled with zeros; ties go to the smaller id; rows with the query's
-id are the query's own; components must stay below 2**31 after scaling; empty tables give no rows.
+id are the query's own; repeated rows are candidates each, and repeated queries are asked once; queries of one id
+and different vectors have their best each; components must stay below 2**31 after scaling; empty tables give no rows; further
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -57,7 +63,7 @@ def _matrix(vecs, dim: int = 0) -> np.ndarray:
 
 
 def _placed(pivots):
-    """Adds the nearest pivot and the distance to it."""
+    """Adds the nearest pivot, the distance to it, the cosine to it and the length."""
 
     def run(batches):
         p = pivots.value
@@ -66,37 +72,57 @@ def _placed(pivots):
                 continue
             x = _matrix(b.column("vec").to_pylist(), p.shape[1])
             pp = np.pad(p, ((0, 0), (0, x.shape[1] - p.shape[1])))
-            d2 = (x * x).sum(1)[:, None] - 2 * x @ pp.T + (pp * pp).sum(1)
+            size = (pp * pp).sum(1)
+            d2 = (x * x).sum(1)[:, None] - 2 * x @ pp.T + size
             cell = d2.argmin(1)
-            dist = np.sqrt(((x - pp[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "vec": b.column("vec"), "cell": pa.array(cell.astype(np.int32)), "dist": pa.array(dist)})
+            near = pp[cell]
+            dist, norm = np.sqrt(((x - near) ** 2).sum(1)), np.sqrt((x * x).sum(1))
+            cos = np.clip((x * near).sum(1) / np.maximum(norm * np.sqrt(size[cell]), 1e-300), -1, 1)
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "vec": b.column("vec"), "cell": pa.array(cell.astype(np.int32)), "dist": pa.array(dist), "cos": pa.array(cos), "norm": pa.array(norm)})
 
     return run
 
 
-def _routed(pivots, cells, k: int):
-    """One row for each query and each block of each cell that may hold one of its best k."""
+@dataclass
+class Rings:
+    """Summaries: a row a ring."""
+
+    cell: np.ndarray
+    ring: np.ndarray
+    radius: np.ndarray
+    cos: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    blocks: np.ndarray
+
+    def best_scores(self, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """No score of a query (row) with a vector of a ring (column) is greater."""
+        pivots = p[self.cell]
+        dot, norm = q @ pivots.T, np.sqrt((q * q).sum(1))[:, None]
+        away = np.arccos(np.clip(dot / np.maximum(norm * np.sqrt((pivots * pivots).sum(1)), 1e-300), -1, 1)) - np.arccos(self.cos)
+        cos = np.cos(np.clip(away, 0, None))
+        bound = np.minimum(dot + norm * self.radius, norm * np.where(cos > 0, self.high, self.low) * cos)
+        return bound + 1e-6 * (1 + np.abs(dot) + norm * self.high)
+
+
+def _routed(pivots, rings):
+    """One row for each query and each block of each ring outside its cell that may hold one of its best."""
 
     def run(batches):
-        p = pivots.value
-        number, radius, near, blocks = cells.value  # of the cells that have rows; near: k smallest distances
-        own = p[number]
+        p, r = pivots.value, rings.value
         for b in batches:
             if not b.num_rows:
                 continue
             q = _matrix(b.column("vec").to_pylist(), p.shape[1])
-            pp = np.pad(own, ((0, 0), (0, q.shape[1] - p.shape[1])))
-            dot, norm = q @ pp.T, np.sqrt((q * q).sum(1))[:, None]
-            slack = 1e-6 * (1 + np.abs(dot) + norm * radius)
-            low = (dot[:, :, None] - norm[:, :, None] * near[None]).reshape(len(q), -1)
-            kth = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] >= k else np.full(len(q), -np.inf)
-            r, c = np.nonzero(dot + norm * radius + slack >= kth[:, None])
-            n = blocks[c]
-            rr, cc = np.repeat(r, n), np.repeat(number[c], n)
+            pp = np.pad(p, ((0, 0), (0, q.shape[1] - p.shape[1])))
+            least = b.column("least").to_numpy(zero_copy_only=False).astype(float)[:, None]
+            need = (r.best_scores(q, pp) >= least) & (r.cell != b.column("cell").to_numpy()[:, None])
+            i, c = np.nonzero(need)
+            n = r.blocks[c]
+            ii, cc = np.repeat(i, n), np.repeat(c, n)
             part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            ids, vecs = b.column("id"), b.column("vec")
-            take = pa.array(rr)
-            yield pa.RecordBatch.from_pydict({"id": ids.take(take), "vec": vecs.take(take), "cell": pa.array(cc.astype(np.int32)), "part": pa.array(part.astype(np.int32))})
+            take = pa.array(ii)
+            yield pa.RecordBatch.from_pydict({"id": b.column("id").take(take), "vec": b.column("vec").take(take), "cell": pa.array(r.cell[cc].astype(np.int32)), "ring": pa.array(r.ring[cc].astype(np.int32)), "part": pa.array(part.astype(np.int32))})
 
     return run
 
@@ -110,7 +136,6 @@ def _best(q_ids, q, x_ids, x, k: int):
         s = q.astype(np.int64) @ x.astype(np.int64).T
     order = np.argsort(x_ids, kind="stable")
     s, x_ids = s[:, order], x_ids[order]
-    out_q, out_x, out_s = [], [], []
     for i in range(len(q_ids)):
         ok = x_ids != q_ids[i]
         row, xs = s[i][ok], x_ids[ok]
@@ -120,67 +145,97 @@ def _best(q_ids, q, x_ids, x, k: int):
             pick = pick[np.argsort(-row[pick], kind="stable")][:k]
         else:
             pick = np.argsort(-row, kind="stable")
-        out_q += [q_ids[i]] * len(pick)
-        out_x += xs[pick].tolist()
-        out_s += row[pick].tolist()
-    return out_q, out_x, out_s
+        yield i, q_ids[i], xs[pick].tolist(), row[pick].tolist()
 
 
 def _solve(k: int, chunk: int):
     def run(key, queries, data):
-        cols: tuple[list, list, list] = ([], [], [])
+        cols: tuple[list, list, list, list] = ([], [], [], [])
         if len(queries) and len(data):
             dim = max(len(v) for v in data["vec"]) // 4
             for i in range(0, len(queries), chunk):
                 some = queries.iloc[i : i + chunk]
                 q = _matrix(some["vec"], dim)
                 x = _matrix(data["vec"], q.shape[1])
-                for c, v in zip(cols, _best(some["id"].to_numpy(), q, data["id"].to_numpy(), x, k)):
-                    c.extend(v)
-        return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]}).astype("int64")
+                for row, own, best, score in _best(some["id"].to_numpy(), q, data["id"].to_numpy(), x, k):
+                    cols[0].extend([own] * len(best))
+                    cols[1].extend([some["vec"].iloc[row]] * len(best))
+                    cols[2].extend(best)
+                    cols[3].extend(score)
+        return pd.DataFrame({"query_id": pd.Series(cols[0], dtype="int64"), "query": pd.Series(cols[1], dtype=object), "vec_id": pd.Series(cols[2], dtype="int64"), "score": pd.Series(cols[3], dtype="int64")})
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, pivots: int = 64, block_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
+FOUND = "query_id bigint, query binary, vec_id bigint, score bigint"
+#: Rings of a cell, by quarters of its rows.
+QUARTERS = (0.25, 0.5, 0.75)
+
+
+def pivot_count(rows: int) -> int:
+    """As many as cells have rows, in bounds that a broadcast can take."""
+    return int(min(1024, max(64, rows**0.5)))
+
+
+class Search:
+    """The plan and, once run, what it compared."""
+
+    def __init__(self, vectors: DataFrame, queries: Column, k: int, id_col: str, vec_col: str, scale: int, pivots: int | None, block_rows: int, query_rows: int):
+        spark = vectors.sparkSession
+        bounded_batches(spark)
+        self.spark, self.k, self.query_rows = spark, k, query_rows
+        ints = materialise(quantise(vectors, id_col, vec_col, scale), "knn-vectors")
+        self.rows = ints.count()
+        chosen = ints.select("id", "vec").orderBy(F.xxhash64("id"), "id", "vec").limit(pivots or pivot_count(self.rows)).collect()
+        if not chosen:
+            self.result = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+            return
+        sc = spark.sparkContext
+        p = sc.broadcast(_matrix(dict.fromkeys(bytes(r["vec"]) for r in chosen)))
+        placed = materialise(ints.mapInArrow(lean(_placed(p)), "id bigint, vec binary, cell int, dist double, cos double, norm double"), "knn-cells")
+        # at most four rows a pivot from here to the driver
+        cuts = placed.groupBy("cell").agg(F.percentile_approx("dist", list(QUARTERS), 1000).alias("cuts"))
+        ringed = placed.join(cuts, "cell").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("dist")))).drop("cuts")
+        self.data = materialise(ringed, "knn-rings")
+        told = self.data.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.min("cos").alias("cos"), F.min("norm").alias("low"), F.max("norm").alias("high")).orderBy("cell", "ring").collect()
+        of = lambda c: np.array([r[c] for r in told])
+        self.rings = Rings(*[of(c) for c in ("cell", "ring", "radius", "cos", "low", "high")], -(-of("n") // block_rows))
+        self.sizes = of("n")
+        asked = self.data.where(queries).dropDuplicates(["id", "vec"])
+        summary = sc.broadcast(self.rings)
+        blocks = spark.createDataFrame([(int(c), int(g), int(n)) for c, g, n in zip(self.rings.cell, self.rings.ring, self.rings.blocks)], "cell int, ring int, parts int")
+        self.data = self.data.join(blocks, ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
+        # first at home
+        places = blocks.select("cell", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        self.home = asked.select("id", "vec", "cell").join(places, "cell")
+        near = materialise(self._solved(self.home), "knn-home")
+        best = near.groupBy(F.col("query_id").alias("id"), F.col("query").alias("vec")).agg(F.sort_array(F.collect_list("score"), False).alias("s"))
+        least = F.when(F.size("s") >= k, F.element_at("s", k)).cast("double")
+        asked = asked.join(best.select("id", "vec", least.alias("least")), ["id", "vec"], "left").select("id", "vec", "cell", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        self.away = materialise(asked.mapInArrow(lean(_routed(p, summary)), "id bigint, vec binary, cell int, ring int, part int"), "knn-queries")
+        found = near.unionByName(self._solved(self.away))
+        rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
+        self.result = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def _solved(self, asked: DataFrame) -> DataFrame:
+        """Queries and rows of a block meet; many queries of a block are dealt to several lots."""
+        keys = ["cell", "ring", "part", "lot"]
+        lots = asked.groupBy("cell", "ring", "part").agg(F.ceil(F.count("*") / self.query_rows).cast("int").alias("lots"))
+        left = asked.join(lots, keys[:3]).withColumn("lot", F.pmod(F.xxhash64("id", "vec"), F.col("lots")).cast("int")).select(*[F.col(c).alias(c) for c in ("id", "vec", *keys)])
+        right = self.data.join(lots, keys[:3]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select(*[F.col(c).alias(c) for c in ("id", "vec", *keys)])
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_solve(self.k, 512), FOUND)
+
+    def shares(self) -> dict[str, float]:
+        """Of all pairs of a query and a ring, and of a query and a row: the shares that were compared."""
+        size = {(int(c), int(g)): int(n) for c, g, n in zip(self.rings.cell, self.rings.ring, self.sizes)}
+        asked = self.home.select("id", "vec").distinct().count()
+        met = self.home.select("id", "vec", "cell", "ring").unionByName(self.away.select("id", "vec", "cell", "ring")).distinct().groupBy("cell", "ring").count().collect()
+        return {"rings": sum(r["count"] for r in met) / (asked * len(size)), "rows": sum(r["count"] * size[r["cell"], r["ring"]] for r in met) / (asked * self.rows)}
+
+
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256, pivots: int | None = None, block_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of every row for which ``queries`` (a
     condition on ``id``) holds, against all other rows.
 
-    pivots bounds what is broadcast (pivots * dimensions numbers and a summary row a cell)."""
-    spark = vectors.sparkSession
-    bounded_batches(spark)
-    sc = spark.sparkContext
-    ints = quantise(vectors, id_col, vec_col, scale)
-    chosen = ints.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
-    out = "query_id bigint, rank int, vec_id bigint, score bigint"
-    if not chosen:
-        return spark.createDataFrame([], out)
-    p = _matrix([bytes(r["vec"]) for r in chosen])
-    pivot_b = sc.broadcast(p)
-    placed = materialise(ints.mapInArrow(lean(_placed(pivot_b)), "id bigint, vec binary, cell int, dist double"), "knn-cells")
-    # rows that carry the query's id are no candidates: the bounds count that many more (many: no bound)
-    own = placed.groupBy("id").count().agg(F.max("count").alias("n")).first()["n"] or 1
-    spare = own if own <= 16 else 0
-
-    # summaries: a row a cell; the smallest distances by a bounded top-k aggregate
-    nearest = Window.partitionBy("cell", "lot").orderBy("dist")
-    few = placed.select("cell", "dist", F.pmod(F.xxhash64("id"), F.lit(64)).alias("lot")).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + spare)
-    few = few.groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("dist")), 1, k + spare).alias("near"))
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).join(few, "cell").orderBy("cell").collect()
-    number = np.array([r["cell"] for r in cells])
-    near = np.array([(list(r["near"]) + [np.inf] * (k + spare))[: k + spare] for r in cells]) if spare else np.zeros((len(cells), 0))
-    blocks = np.array([-(-r["n"] // block_rows) for r in cells])
-    cell_b = sc.broadcast((number, np.array([r["radius"] for r in cells]), near, blocks))
-
-    # both sides by (cell, part, lot): part splits a cell's rows, lot its queries
-    sizes = spark.createDataFrame([(int(c), int(n)) for c, n in zip(number, blocks)], "cell int, parts int")
-    asked = placed.where(queries).select("id", "vec").mapInArrow(lean(_routed(pivot_b, cell_b, k + spare)), "id bigint, vec binary, cell int, part int")
-    asked = materialise(asked, "knn-queries")
-    lots = asked.groupBy("cell", "part").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("lots"))
-    asked = asked.join(F.broadcast(lots), ["cell", "part"]).withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int"))
-    data = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    data = data.join(F.broadcast(lots), ["cell", "part"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-    keys = ["cell", "part", "lot"]
-    found = asked.select("id", "vec", *keys).groupBy(*keys).cogroup(data.select("id", "vec", *keys).groupBy(*keys)).applyInPandas(_solve(k, 512), "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.dropDuplicates().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pivots bounds what is broadcast (pivots * dimensions numbers and four summary rows a cell); None: ``pivot_count``."""
+    return Search(vectors, queries, k, id_col, vec_col, scale, pivots, block_rows, query_rows).result
