@@ -7,21 +7,24 @@ other implementations differ where several partitions are equally good.
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqgrove.operators.components import components
+from seqgrove.operators.numbering import numbered
 from seqgrove.session import ship
 
 
 def _move(adj: list[dict[int, float]], k: np.ndarray, label: np.ndarray, gamma: float, m2: float, inside: np.ndarray | None = None) -> bool:
     """Greedy local moves until none gains. inside: moves stay within equal values of it (refinement)."""
     total = np.bincount(label, k, len(adj)).astype(float)
-    moved, todo, queued = False, list(range(len(adj))), [True] * len(adj)
+    moved, todo, queued = False, deque(range(len(adj))), [True] * len(adj)
     while todo:
-        v = todo.pop(0)
+        v = todo.popleft()
         queued[v] = False
         own = label[v]
         total[own] -= k[v]
@@ -96,8 +99,21 @@ def communities(edges: DataFrame, gamma: float = 2.0) -> DataFrame:
     return labelled.select("root", "src", "dst", "weight").groupBy("root").applyInPandas(solve, "entity string, community string")
 
 
+def quality(edges: DataFrame, groups: DataFrame, gamma: float = 2.0) -> DataFrame:
+    """quality: the sum over pairs of a community of weight less gamma times the expected weight, over twice the total.
+
+    edges: (src, dst, weight), src <> dst; groups: (entity, community)."""
+    total = edges.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"))
+    degree = edges.select(F.col("src").alias("entity"), "weight").unionByName(edges.select(F.col("dst").alias("entity"), "weight")).groupBy("entity").agg(F.sum("weight").alias("k"))
+    own = lambda v, name: groups.select(F.col("entity").alias(v), F.col("community").alias(name))
+    inside = edges.join(own("src", "x"), "src").join(own("dst", "y"), "dst").where("x = y").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("a"))
+    sizes = degree.join(groups, "entity").groupBy("community").agg(F.sum("k").alias("k")).agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0.0)).alias("kk"))
+    w = F.col("w")
+    return inside.crossJoin(sizes).crossJoin(total).select(F.when(w > 0, F.col("a") / w - gamma * F.col("kk") / (4 * w * w)).otherwise(0.0).alias("quality"))  # one row each
+
+
 def stable_ids(groups: DataFrame) -> DataFrame:
     """entity, cluster_id ``cluster_0001``...: groups in order of (smallest member, size)."""
     g = groups.groupBy("community").agg(F.min("entity").alias("first"), F.count("*").alias("size"))
-    g = g.withColumn("cluster_id", F.format_string("cluster_%04d", F.row_number().over(Window.orderBy("first", "size"))))
+    g = numbered(g, "n", "first", "size").withColumn("cluster_id", F.format_string("cluster_%04d", F.col("n") + 1))
     return groups.join(g.select("community", "cluster_id"), "community").select("entity", "cluster_id")

@@ -83,6 +83,22 @@ def refine(members: DataFrame, pair_scores: DataFrame, min_similarity: float) ->
     return members.groupBy("community").cogroup(inside.groupBy("within")).applyInPandas(solve, "entity string, community string")
 
 
+def refine_stats(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: communities and clusters made of them, communities that were split, clusters of one member, pairs to score, the
+    same members before and after.
+
+    before, after: (entity, community)."""
+    a = before.select("entity", F.col("community").alias("old"))
+    j = a.join(after.select("entity", F.col("community").alias("new")), "entity", "full")
+    parts = j.where("old is not null").groupBy("old").agg(F.countDistinct("new").alias("parts"), F.count("*").alias("n"))
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("bigint")
+    one = parts.agg(F.count("*").alias("communities"), F.coalesce(F.sum((F.col("parts") > 1).cast("bigint")), F.lit(0)).alias("split"), F.coalesce(F.sum(pairs), F.lit(0)).alias("pairs"))
+    sizes = j.where("new is not null").groupBy("new").agg(F.count("*").alias("n"))
+    two = sizes.agg(F.count("*").alias("clusters"), F.coalesce(F.sum((F.col("n") == 1).cast("bigint")), F.lit(0)).alias("singletons"))
+    same = j.agg((F.count("old") == F.count("new")).alias("same_members"))
+    return one.crossJoin(two).crossJoin(same)  # one row each
+
+
 def member_pairs(members: DataFrame) -> DataFrame:
     """(a, b), a < b, of one community: what complete linkage is defined on."""
     a, b = members.select("community", F.col("entity").alias("a")), members.select("community", F.col("entity").alias("b"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqgrove.operators.numbering import numbered
 from seqgrove.operators.similarity import set_similarity
 from seqgrove.storage import materialise
 
@@ -102,4 +103,4 @@ def knn_edges(profiles: DataFrame, reflexive_rows: DataFrame, ics: DataFrame, te
 def connected_vertices(edges: DataFrame) -> DataFrame:
     """Vertices with at least one edge, numbered from 0 in order of name."""
     v = edges.select(F.col("src").alias("entity")).union(edges.select("dst")).distinct()
-    return v.withColumn("vertex", F.row_number().over(Window.orderBy("entity")) - 1)
+    return numbered(v, "vertex", "entity")

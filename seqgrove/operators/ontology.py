@@ -6,17 +6,58 @@ adds it at distance 0. Profiles are (entity, term_id) rows.
 
 from __future__ import annotations
 
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqgrove.storage import discard, materialise
 
 
+#: Edges of an ontology that one task holds with ease; larger graphs are joined in rounds, with equal results.
+SMALL_EDGES = 500_000
+
+
+def _is_small(edges: DataFrame) -> bool:
+    return edges.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES
+
+
+def _walk(neighbours: dict[str, list[str]], start: str) -> dict[str, int]:
+    """Least numbers of steps (1 at least) to everything that ``start`` leads to."""
+    dist, todo = {}, deque((x, 1) for x in neighbours.get(start, ()))
+    while todo:
+        x, d = todo.popleft()
+        if x not in dist:
+            dist[x] = d
+            todo.extend((y, d + 1) for y in neighbours.get(x, ()) if y not in dist)
+    return dist
+
+
+def _in_one_task(edges: DataFrame, starts, key: str, to: str, names: tuple[str, str, str]) -> DataFrame:
+    """names (start, reached, steps) for each of ``starts`` (None: every key)."""
+
+    def run(batches):
+        neighbours: dict[str, list[str]] = {}
+        for b in batches:
+            for a, z in zip(b.column(key).to_pylist(), b.column(to).to_pylist()):
+                neighbours.setdefault(a, []).append(z)
+        rows = [(s, x, d) for s in (sorted(neighbours) if starts is None else starts) for x, d in _walk(neighbours, s).items()]
+        cols = list(zip(*rows)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=list(names))
+
+    one = edges.select(F.col(key).cast("string").alias(key), F.col(to).cast("string").alias(to)).distinct().repartition(1)
+    return materialise(one.mapInArrow(run, f"{names[0]} string, {names[1]} string, {names[2]} int"), "walk")
+
+
 def reachable(edges: DataFrame, root: str) -> DataFrame:
     """term_id, depth: every term under ``root`` with its least distance from it, the root included.
 
-    Breadth first: each level is the children of the last, less what is known; one join a level."""
+    Breadth first: each level is the children of the last, less what is known; one join a level where the graph is large."""
     spark = edges.sparkSession
+    if _is_small(edges):
+        found = _in_one_task(edges, [root], "parent", "child", ("root", "term_id", "depth")).select("term_id", "depth").where(F.col("term_id") != root)
+        return found.unionByName(spark.range(1).select(F.lit(root).alias("term_id"), F.lit(0).alias("depth")))
     known = materialise(spark.range(1).select(F.lit(root).alias("term_id"), F.lit(0).alias("depth")), "depth")
     size = 1
     for level in range(1, 1 << 20):
@@ -34,8 +75,10 @@ def reachable(edges: DataFrame, root: str) -> DataFrame:
 def closure(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
     """term_id, ancestor, dist (least number of edges): all pairs.
 
-    Each round joins the pairs with themselves, so paths double in length and a DAG of depth d needs
+    A graph of up to ``SMALL_EDGES`` edges is walked in one task. In a larger one each round joins the pairs with themselves, so paths double in length and a DAG of depth d needs
     log2(d) + 1 rounds. Distances are exact, as every part of a shortest path is shortest."""
+    if _is_small(edges):
+        return _in_one_task(edges, None, "child", "parent", ("term_id", "ancestor", "dist"))
     known = materialise(edges.select(F.col("child").alias("term_id"), F.col("parent").alias("ancestor"), F.lit(1).alias("dist")).distinct(), "closure")
     size = lambda d: tuple(d.agg(F.count("*"), F.sum("dist")).first())
     last = size(known)
@@ -84,6 +127,18 @@ def checked_total(profiles: DataFrame, terms: DataFrame) -> int:
     return n
 
 
+def propagation_counters(profiles: DataFrame, terms: DataFrame, obsolete: DataFrame | None = None) -> DataFrame:
+    """One row: annotations, those of terms that are not in the graph (obsolete ones are counted apart as well), and entities without any term of it.
+
+    profiles: (entity, term_id); obsolete: (term_id)."""
+    known = terms.select("term_id", F.lit(True).alias("known"))
+    p = profiles.select("entity", "term_id").distinct().join(known, "term_id", "left")
+    gone = (obsolete.select("term_id").distinct() if obsolete is not None else terms.select("term_id").limit(0)).withColumn("gone", F.lit(True))
+    per = p.join(gone, "term_id", "left").groupBy("entity").agg(F.count("*").alias("n"), F.count("known").alias("k"), F.count("gone").alias("g"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return per.agg(total(F.col("n")).alias("annotations"), total(F.col("n") - F.col("k")).alias("skipped"), total("g").alias("obsolete"), total((F.col("k") == 0).cast("bigint")).alias("entities_without_terms"))
+
+
 def top_terms(terms: DataFrame, by: str, limit: int) -> DataFrame:
     """The first terms by a value, larger ids first among equals, missing values as -1."""
     return terms.orderBy(F.coalesce(by, F.lit(-1)).desc(), F.desc("term_id")).limit(limit)

@@ -43,6 +43,11 @@ def all_term_pairs(terms: DataFrame) -> DataFrame:
     return terms.select(F.col("term_id").alias("t1")).crossJoin(terms.select(F.col("term_id").alias("t2")))
 
 
+def both_orders(lin_rows: DataFrame) -> DataFrame:
+    """Scores of (t1 <= t2) for both orders: the score and its reasons' absence are symmetric."""
+    return lin_rows.unionByName(lin_rows.where("t1 <> t2").select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "lin"))
+
+
 def term_matrix(lin_rows: DataFrame) -> DataFrame:
     """Scores as the clustering reads them: rounded to single precision."""
     return lin_rows.where("lin is not null").select("t1", "t2", F.col("lin").cast("float").cast("double").alias("lin"))
