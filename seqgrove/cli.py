@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
 from dataclasses import asdict, replace
 
 from seqgrove import __version__
+from seqgrove.plans.build import EXPORTS
 
 
-def _session():
+#: Options of the panel command: name, kind, default. Fixed values.
+PANEL = (("clusters", int, 4), ("members", int, 5), ("candidates", int, 200), ("low", float, 0.5), ("high", float, 0.8), ("most_identity", float, 0.9), ("attempts", int, 1000), ("seed", int, 1))
+
+
+def _session(level: str = "ERROR"):
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("seqgrove").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel({"WARNING": "WARN", "CRITICAL": "FATAL"}.get(level.upper(), level.upper()))
     return spark
 
 
@@ -22,6 +28,11 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("seqgrove")
     p.add_argument("--log-level", default="WARNING")
     sub = p.add_subparsers(dest="command", required=True)
+    q = sub.add_parser("panel")
+    q.add_argument("--library-dir", required=True)
+    q.add_argument("--out", required=True)
+    for name, kind, value in PANEL:
+        q.add_argument(f"--{name.replace('_', '-')}", type=kind, default=value)
     sub.add_parser("version")
     b = sub.add_parser("build-library")
     for name in ("obo", "knowledge-base", "prosite", "out"):
@@ -32,6 +43,10 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--min-cluster-size", type=int, default=10)
     b.add_argument("--min-support", type=int, default=5)
     b.add_argument("--package-dir")
+    b.add_argument("--package", action="store_true", help="into the package's own library")
+    b.add_argument("--motif-scan-processes", type=int, default=0, help="partitions of the motif scan; 0: as Spark deals them")
+    for name in EXPORTS:
+        b.add_argument(f"--{name.replace('_', '-')}-out", help="a file to write besides the library")
     b.add_argument("--force", action="store_true")
     s = sub.add_parser("scan")
     s.add_argument("--seq")
@@ -65,13 +80,13 @@ def _inspect(args) -> str:
     from seqgrove.plans import inspect as I
     from seqgrove.plans import library as lib
 
-    spark = _session()
+    spark = _session(args.log_level)
     folder, _ = lib.resolve(args.library_dir)
     terms = lib.load(spark, folder, "terms")
     if args.what == "go-summary":
-        return I.summary(terms)
+        return json.dumps(I.summary_of(terms), indent=2) if args.json else I.summary(terms)
     if args.what == "go-term":
-        return I.term(terms, args.term, args.ancestors)
+        return json.dumps(I.term_of(terms, args.term, args.ancestors), indent=2) if args.json else I.term(terms, args.term, args.ancestors)
     if args.what == "cluster":
         c = I.cluster_of(spark, folder, args.query)
         return json.dumps(c, indent=2) if args.json else I.cluster_text(c)
@@ -90,6 +105,11 @@ def _inspect(args) -> str:
 
 def run(argv: list[str]) -> str:
     args = parser().parse_args(argv)
+    logging.basicConfig(level=args.log_level.upper())
+    if args.command == "panel":
+        from seqgrove.plans import panel as P
+
+        return P.run(_session(args.log_level), args.library_dir, args.out, P.PanelConfig(**{n: getattr(args, n) for n, *_ in PANEL}))
     if args.command == "version":
         return __version__
     if args.command == "inspect":
@@ -105,8 +125,8 @@ def run(argv: list[str]) -> str:
 
         if args.top_n < 0:
             raise ValueError("top-n must not be negative")
-        folder, source = lib.resolve(args.library_dir)
-        spark = _session()
+        folder, source = lib.resolve(args.library_dir, need=lib.SCAN)
+        spark = _session(args.log_level)
         result = S.payload(spark, S.queries(spark, args.seq, args.fasta), folder, source, args.min_weight, args.top_n)
         if args.json_out:
             with open(args.json_out, "w", encoding="utf-8") as f:
@@ -115,15 +135,15 @@ def run(argv: list[str]) -> str:
         return S.as_text(result)
     from seqgrove.operators.scoreboard import BoardConfig
     from seqgrove.plans.build import BuildConfig, build
-    from seqgrove.plans.library import package
+    from seqgrove.plans.library import package, packaged_dir
     from seqgrove.sources import config
 
-    cfg = BuildConfig(args.obo, args.knowledge_base, args.prosite, args.out, args.role_map, args.min_cluster_similarity, board=BoardConfig(args.min_cluster_size, args.min_support), force=args.force)
+    cfg = BuildConfig(args.obo, args.knowledge_base, args.prosite, args.out, args.role_map, args.min_cluster_similarity, board=BoardConfig(args.min_cluster_size, args.min_support), force=args.force, exports={n: getattr(args, f"{n}_out") for n in EXPORTS if getattr(args, f"{n}_out")}, scan_partitions=args.motif_scan_processes)
     if args.cluster_config:
         cfg = replace(cfg, graph=config.graph_config(config.read(args.cluster_config)))
-    made = build(_session(), cfg)
-    if args.package_dir:
-        package(args.out, args.package_dir)
+    made = build(_session(args.log_level), cfg)
+    if args.package_dir or args.package:
+        package(args.out, args.package_dir or packaged_dir())
     return "\n".join(f"{k}: {'built' if v else 'fresh'}" for k, v in made.items())
 
 

@@ -18,6 +18,27 @@ def _line(r) -> str:
     return f"{r['term_id']} {r['name']} (IC={number(r['ic'])}, freq={number(r['freq'])}, depth={r['depth']})"
 
 
+def _dict(r) -> dict:
+    return {k: v for k, v in r.asDict(recursive=True).items() if k not in ("parents", "children", "ancestors")}
+
+
+def summary_of(terms: DataFrame, limit: int = 10) -> dict:
+    """The summary's values."""
+    tops = {f"top_by_{by}": [_dict(x) for x in ontology.top_terms(terms, by, limit).collect()] for by in ("count", "ic")}
+    return ontology.report(terms, edges_of(terms), terms, terms).first().asDict() | tops
+
+
+def term_of(terms: DataFrame, term_id: str, ancestors: bool = False) -> dict:
+    """A term's values, with its ancestors' where they are asked for."""
+    r = terms.where(F.col("term_id") == term_id).first()
+    if r is None:
+        raise KeyError(f"unknown term {term_id}")
+    out = r.asDict(recursive=True)
+    if ancestors:
+        out["ancestor_terms"] = [_dict(x) for x in terms.where(F.col("term_id").isin(r["ancestors"])).orderBy("depth", "term_id").collect()]
+    return out
+
+
 def summary(terms: DataFrame, limit: int = 10) -> str:
     """Counts and the most frequent and most specific terms."""
     r = ontology.report(terms, edges_of(terms), terms, terms).first().asDict()

@@ -17,23 +17,46 @@ class MissingLibrary(FileNotFoundError):
     pass
 
 
+def packaged_dir() -> str:
+    return str(Path(__file__).parent.parent / "library_default")
+
+
 def absent(folder: str) -> list[str]:
     return [t for t in CORE if not os.path.isdir(os.path.join(folder, t))]
 
 
-def resolve(explicit: str | None = None, cwd: str = ".", packaged: str | None = None) -> tuple[str, str]:
+#: What a scan can't do without; it goes on without terms, profiles and calibration. Fixed values.
+SCAN = ("motifs", "clusters_meta", "scoreboard")
+
+
+def resolve(explicit: str | None = None, cwd: str = ".", packaged: str | None = None, need: tuple[str, ...] = CORE) -> tuple[str, str]:
     """(folder, source): the one asked for, the current one if it holds any table, or the packaged one."""
     if explicit is not None:
         folder, source = explicit, "explicit"
     elif len(absent(cwd)) < len(CORE):
         folder, source = os.path.abspath(cwd), "current-directory"
     else:
-        folder, source = packaged or str(Path(__file__).parent.parent / "library_default"), "packaged"
-    if gone := absent(folder):
+        folder, source = packaged or packaged_dir(), "packaged"
+    if gone := [t for t in absent(folder) if t in need]:
         raise MissingLibrary(f"{folder} lacks {', '.join(gone)}")
     return folder, source
 
 
+def fingerprint(path: str) -> dict:
+    """Name, size and time of a source file: what was read is what is there, as long as these are the same."""
+    s = os.stat(path)
+    return {"name": os.path.basename(path), "size": s.st_size, "modified": s.st_mtime}
+
+
+def sequence_of(spark: SparkSession, folder: str, accession: str, source: str | None = None) -> str | None:
+    """One sequence of a built library, None if unknown. source: the knowledge base that it must have been built from."""
+    from seqgrove.sources.flatfiles import lookup
+
+    if source is not None and (read_params(os.path.join(folder, "records")) or {}).get("source") != json.loads(json.dumps(fingerprint(source))):
+        raise ValueError(f"the sequences in {folder} are not those of {source}")
+    return lookup(load(spark, folder, "sequences"), accession)
+
+
 def package(source: str, target: str) -> None:
     """Copy all core tables, or none."""
     if gone := absent(source):
@@ -42,6 +65,10 @@ def package(source: str, target: str) -> None:
         shutil.copytree(os.path.join(source, t), os.path.join(target, t), dirs_exist_ok=True)
 
 
+def has(folder: str, name: str) -> bool:
+    return os.path.isdir(os.path.join(folder, name))
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}")
 

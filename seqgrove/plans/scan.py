@@ -26,6 +26,10 @@ def queries(spark: SparkSession, seq: str | None = None, fasta: str | None = Non
     return q
 
 
+#: The calibration's columns, for libraries that have none: predictions then come without confidence.
+CALIBRATION = "threshold double, set_accuracy double, top1_accuracy double, top3_accuracy double, coverage double"
+
+
 def scan(spark: SparkSession, seqs: DataFrame, folder: str, min_weight: float = 2.0, top_n: int = 5) -> tuple[DataFrame, DataFrame]:
     """(hits, predictions) of all queries; predictions carry confidence and the motif's pattern as signature."""
     motifs = lib.load(spark, folder, "motifs")
@@ -34,7 +38,9 @@ def scan(spark: SparkSession, seqs: DataFrame, folder: str, min_weight: float =
     place = motifs.select(F.col("name").alias("motif_id"), F.col("ord").cast("int").alias("ordinal"), F.col("pattern").alias("signature"))
     p = predict.cluster_predictions(hits.join(place.drop("signature"), "motif_id"), lib.load(spark, folder, "scoreboard"), min_weight)
     sets = predict.function_sets(p, lib.load(spark, folder, "clusters_meta"), top_n)
-    return hits, predict.confidence(sets.join(place.drop("ordinal"), "motif_id", "left"), lib.load(spark, folder, "calibration"))
+    sets = sets.join(place.drop("ordinal"), "motif_id", "left")
+    points = lib.load(spark, folder, "calibration") if lib.has(folder, "calibration") else spark.createDataFrame([], CALIBRATION)
+    return hits, predict.confidence(sets, points)
 
 
 def payload(spark: SparkSession, seqs: DataFrame, folder: str, source: str, min_weight: float = 2.0, top_n: int = 5) -> dict:

@@ -66,13 +66,23 @@ def role_tables(spark, config: dict):
 IGNORED = ("term_cache_size_mb", "profile_cache_size_mb", "progress_interval_seconds", "stats_file", "meta_file", "seed")
 
 
+#: Sections that a cluster configuration may have. Fixed values.
+SECTIONS = ("graph", "clustering", "leiden", "candidates", "similarity", "cache", "caches", "progress", "output", "outputs")
+
+
 def graph_config(text: str) -> GraphConfig:
     """``key: value`` lines (sections allowed) to the parameters of the similarity graph."""
     kinds = {f.name: type(f.default) for f in fields(GraphConfig)}
     got = {}
     for raw in text.splitlines():
         key, colon, value = without_comment(raw).strip().partition(":")
-        if not key or not value.strip():
+        if not key:
+            continue
+        if not value.strip():
+            if not colon or key in kinds or raw[:1].isspace():
+                raise ValueError(f"unreadable line {raw!r}")
+            if key not in SECTIONS:
+                raise ValueError(f"unknown section {key!r}")
             continue
         if key in kinds:
             got[key] = kinds[key](unquoted(value))

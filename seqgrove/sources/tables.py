@@ -21,9 +21,12 @@ def read_tsv(spark: SparkSession, path: str, columns: tuple[str, ...] = (), comm
     return _need((r.option("comment", comment) if comment else r).csv(path), path, columns)
 
 
-def _refuse(bad: DataFrame, what: str, column: str) -> None:
-    if rows := bad.select(column).limit(5).collect():
-        raise ValueError(f"{what}: {', '.join(str(r[0]) for r in rows)}")
+def _refuse(bad: DataFrame, what: str, column: str, row: str | None = None) -> None:
+    """An error that names the first five, with their row (from 1) where there is one."""
+    if row is not None:
+        bad = bad.orderBy(row)
+    if rows := bad.select(column, *([row] if row else [])).limit(5).collect():
+        raise ValueError(f"{what}: " + ", ".join(f"{r[0]} (row {r[1] + 1})" if row else str(r[0]) for r in rows))
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
@@ -58,11 +61,11 @@ def read_motifs(spark: SparkSession, path: str) -> DataFrame:
     found = [c for c in m.columns if c == "pattern" or c.endswith("_pattern") and c != "prosite_pattern"]
     if len(found) != 1:
         raise ValueError(f"{path} must have one column of motif patterns")
-    m = m.withColumnRenamed(found[0], "pattern")
+    m = m.withColumnRenamed(found[0], "pattern").withColumn("ord", F.monotonically_increasing_id())
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    _refuse(m.where(blank("name") | blank("pattern") | blank("status")), "motif rows with blank fields", "name")
-    _refuse(m.groupBy("name").count().where("count > 1"), "repeated motif names", "name")
-    return m.select(F.monotonically_increasing_id().alias("ord"), "name", F.coalesce("description", F.lit("")).alias("description"), "pattern", "status")
+    _refuse(m.where(blank("name") | blank("pattern") | blank("status")), "motif rows with blank fields", "name", "ord")
+    _refuse(m.groupBy("name").agg(F.count("*").alias("n"), F.max("ord").alias("ord")).where("n > 1"), "repeated motif names", "name", "ord")
+    return m.select("ord", "name", F.coalesce("description", F.lit("")).alias("description"), "pattern", "status")
 
 
 def read_members(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -104,7 +107,10 @@ def read_cluster_meta(spark: SparkSession, path: str) -> DataFrame:
     return m.select("cluster_id", opt("size", "int"), F.array_distinct(F.filter(raw, lambda x: x != "")).alias("composed_go"), text.alias("description"), *[opt(c, "double") for c in ("sim_ave", "sim_min", "sim_max")])
 
 
+def without_profile(members: DataFrame, profiles: DataFrame) -> DataFrame:
+    return members.select("entity").join(profiles.select("entity"), "entity", "left_anti")
+
+
 def missing_profiles(members: DataFrame, profiles: DataFrame) -> None:
     """Members without a profile are an error that names the first five."""
-    gone = members.join(profiles.select("entity"), "entity", "left_anti").orderBy("entity")
-    _refuse(gone, "members without a profile", "entity")
+    _refuse(without_profile(members, profiles).orderBy("entity"), "members without a profile", "entity")

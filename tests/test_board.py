@@ -115,8 +115,6 @@ def test_roles(spark, graph):
 
 
 def test_panel(spark):
-    import random
-
     s = spark.createDataFrame([("a", "ACDE"), ("b", "ACDF"), ("c", "AC")], "accession string, sequence string")
     m = spark.createDataFrame([(x, "k") for x in "abc"], "entity string, cluster_id string")
     r = panel.identity_stats(m, s).first()
@@ -127,4 +125,6 @@ def test_panel(spark):
     got = panel.panel(["x", "y", "z"], sim, 2)
     assert len(got) == 2 and set(got) != {"y", "z"} and panel.panel(["x", "y", "z"], sim, 3) is None
     assert panel.matrix(["x", "y"], sim) == [[1.0, 0.6], [0.6, 1.0]]
-    assert panel.prefilter({"a": 9, "b": 8, "c": 1, "d": 7}, {"a", "b", "c", "d"}, 2, 2, random.Random(1))[0] == "a"
+    sizes = spark.createDataFrame([("a", 9), ("b", 8), ("c", 1), ("d", 7), ("e", 6)], "cluster_id string, size long")
+    some = [r.cluster_id for r in panel.prefilter(sizes, sizes.where("cluster_id <> 'e'"), 2, 3).collect()]
+    assert some[0] == "a" and set(some) == {"a", "b", "d"} and panel.prefilter(sizes, sizes, 7, 9).count() == 3

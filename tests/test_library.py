@@ -91,6 +91,37 @@ def test_cli(spark, built, tmp_path, monkeypatch):
     assert "Library:       current-directory" in cli.run(["scan", "--seq", "W"])
 
 
+def test_exports_panel_and_tolerant_scan(spark, built, tmp_path):
+    import shutil
+
+    d, cfg = built
+    names = [n for n in build.EXPORTS]
+    args = ["build-library", "--obo", cfg.obo, "--knowledge-base", cfg.knowledge_base, "--prosite", cfg.prosite, "--out", str(tmp_path / "lib"), "--motif-scan-processes", "2"]
+    (tmp_path / "graph.yaml").write_text("graph:\n  resolution: 0.5\n")
+    cli.run([*args, "--cluster-config", str(tmp_path / "graph.yaml"), *(x for n in names for x in (f"--{n.replace('_', '-')}-out", str(tmp_path / n)))])
+    said = {n: (tmp_path / n).read_text() for n in names}
+    assert said["motif_hits"].startswith("accession\tmotif_id\nA0000\tAA\n") and said["motif_hits"].endswith("# completed\ttrue\n")
+    assert said["clusters"].splitlines()[:2] == ["member_id\tcluster_id", "A0000\tcluster_0001"] and "Top terms by ic" in said["report"]
+    assert said["profiles"].splitlines()[0] == f"A0000\t{G2}" and said["fasta"].startswith(">A0000\nMKAAL") and json.loads(said["go_json"].splitlines()[0])["term_id"]
+    stats = json.loads(said["stats"])
+    assert stats["motifs"] == {"total": 3, "patterns": 3, "skipped": 0, "failed": 1} and stats["clustering"]["clustered"] == 26 and stats["clustering"]["same_members"] and stats["sequences"]["sequences"] == 26
+    assert library.load(spark, str(tmp_path / "lib"), "motif_failures").first().name == "BAD"
+    assert library.sequence_of(spark, str(tmp_path / "lib"), "A0000", cfg.knowledge_base).startswith("MKAAL") and library.sequence_of(spark, str(tmp_path / "lib"), "none") is None
+    with pytest.raises(ValueError):
+        library.sequence_of(spark, str(tmp_path / "lib"), "A0000", cfg.obo)
+    with pytest.raises(ValueError):
+        build.BuildConfig("a", "b", "c", "d", exports={"x": "y"})
+    # clusters of the same parent are alike enough for a panel
+    line = cli.run(["panel", "--library-dir", str(tmp_path / "lib"), "--out", str(tmp_path / "panel"), "--clusters", "2", "--members", "2", "--low", "0", "--high", "1", "--most-identity", "0.99"])
+    assert line.startswith("2 clusters, 4 members") and json.load(open(tmp_path / "panel" / "summary.json"))["clusters"] == ["cluster_0001", "cluster_0002"]
+    with pytest.raises(ValueError):
+        cli.run(["panel", "--library-dir", str(tmp_path / "lib"), "--out", str(tmp_path / "panel"), "--clusters", "1"])
+    assert json.loads(cli.run(["inspect", "go-term", G2, "--json", "--ancestors", "--library-dir", cfg.out]))["ancestor_terms"] and json.loads(cli.run(["inspect", "go-summary", "--json", "--library-dir", cfg.out]))["terms"] == 5
+    for t in ("calibration", "terms", "profiles"):
+        shutil.rmtree(tmp_path / "lib" / t)
+    assert "Confidence:     NA" in cli.run(["scan", "--seq", "XXAAXX", "--library-dir", str(tmp_path / "lib")])
+
+
 def test_library_folders(tmp_path, built):
     d, cfg = built
     with pytest.raises(FileNotFoundError):
