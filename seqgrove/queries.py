@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqgrove import text_queries
 from seqgrove.functions import motif_lang
 from seqgrove.operators import linkage, motif_scan, neighbors, ontology, panel, predict, roles, scoreboard, signature, similarity
 from seqgrove.plans import driver_tables as T
@@ -132,7 +133,8 @@ def q15_signature_votes(spark: SparkSession, sf: str) -> DataFrame:
 def q16_signatures(spark: SparkSession, sf: str) -> DataFrame:
     terms, edges, up, own, ics = _c_ic(spark, sf)
     members = T.customers(spark, sf).select("entity", F.col("region").alias("cluster_id"))
-    return signature.signatures(signature.votes(members, T.customer_profiles(spark, sf), own, ics), up)
+    s = signature.signatures(signature.votes(members, T.customer_profiles(spark, sf), own, ics), up)
+    return s.select("cluster_id", "rank", "term_id", F.round("support", 9).alias("support"), F.round("score", 9).alias("score"))
 
 
 def q17_size_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,7 +260,7 @@ def q33_isolated_and_members(spark: SparkSession, sf: str) -> DataFrame:
     return j.agg(F.count("*").alias("members"), F.sum(F.col("sequence").isNull().cast("bigint")).alias("missing"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | {f.__name__: f for f in (
     q25_function_sets, q01_closure, q02_depth, q03_information_content, q04_top_terms, q05_direct_frequency, q06_namespace_stats, q07_report, q08_propagation, q09_mica, q10_lin,
     q11_set_similarity, q12_candidate_index, q13_knn_edges, q14_cluster_similarity, q15_signature_votes, q16_signatures, q17_size_stats, q18_motif_hits, q19_motif_features,
     q20_motif_matches, q21_contingency, q22_counters, q23_calibration, q24_predictions, q26_confidence, q27_roles, q28_identity, q29_odds_ratio, q30_isolates, q31_linkage, q32_communities, q33_isolated_and_members,
@@ -341,7 +343,7 @@ board AS (SELECT motif_id, cluster_id, weight FROM rated WHERE status = 'stored'
 PLACES = ", ".join(f"('{n}', {i})" for i, (n, _) in enumerate(T.MOTIFS))
 PRED = BOARD_SQL + f""",
 place AS (SELECT * FROM (VALUES {PLACES}) v(motif_id, ordinal)),
-pred AS (SELECT entity AS query, cluster_id, max(weight) AS weight, arg_min(motif_id, (-weight, ordinal)) AS motif_id
+pred AS (SELECT entity AS query, cluster_id, max(weight) AS weight, arg_min(motif_id, (-weight, ordinal)) AS motif_id, min(ordinal) AS first
          FROM hits JOIN board USING (motif_id) JOIN place USING (motif_id) WHERE weight >= 0.5 GROUP BY 1, 2)
 """
 KNN = AMB + """,
@@ -383,9 +385,32 @@ s AS (SELECT accession, 'eaux' AS motif_id, list_transform(list_filter(range(1,
 SELECT accession, motif_id, len(ends)::BIGINT AS matches, list_min(ends)::INTEGER AS first_end, list_max(ends)::INTEGER AS last_end FROM s WHERE len(ends) > 0"""
 
 
+SIGNATURES = """,
+above AS (SELECT term_id, list(ancestor) AS ups FROM up GROUP BY 1),
+voted AS (SELECT cluster_id, term_id, votes / n AS support, (votes / n) * ic AS score, coalesce(ups, []) AS ups FROM v JOIN m USING (cluster_id) JOIN ics USING (term_id) LEFT JOIN above USING (term_id) WHERE ic > 0 AND votes / n >= 0.1),
+ranked AS (SELECT cluster_id, {'t': term_id, 's': support, 'c': score, 'u': ups} AS x, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, support DESC, term_id) AS r FROM voted),
+fold AS (
+  SELECT cluster_id, 1::BIGINT AS r, [x] AS chosen FROM ranked WHERE r = 1
+  UNION ALL
+  SELECT f.cluster_id, n.r, CASE
+    WHEN len(list_filter(f.chosen, lambda o: (list_contains(n.x.u, o.t) AND n.x.s / o.s < 0.8) OR (NOT list_contains(n.x.u, o.t) AND list_contains(o.u, n.x.t) AND o.s / n.x.s >= 0.8))) > 0 THEN f.chosen
+    ELSE list_append(list_filter(f.chosen, lambda o: NOT ((list_contains(n.x.u, o.t) AND n.x.s / o.s >= 0.8) OR (NOT list_contains(n.x.u, o.t) AND list_contains(o.u, n.x.t) AND o.s / n.x.s < 0.8))), n.x) END
+  FROM fold f JOIN ranked n ON n.cluster_id = f.cluster_id AND n.r = f.r + 1),
+done AS (SELECT cluster_id, arg_max(chosen, r) AS chosen FROM fold GROUP BY 1),
+cut AS (SELECT cluster_id, chosen, least(10, coalesce(list_filter(range(2, len(chosen) + 1), lambda i: chosen[i].c / chosen[i - 1].c < 0.5)[1] - 1, len(chosen))) AS n FROM done),
+told AS (SELECT cluster_id, unnest(range(1, n + 1)) AS rank, chosen FROM cut)
+"""
+
+
 def sql() -> dict[str, str]:
     w = "WITH RECURSIVE "
+    found = _sql(w)
+    return found | text_queries.sql({"P": P, "C": C, "IC": IC, "AMB": AMB, "KNN": KNN, "REGION": REGION, "BOARD": BOARD_SQL, "q27": found["q27_roles"]})
+
+
+def _sql(w: str) -> dict[str, str]:
     return {
+        "q16_signatures": w + C + IC + VOTES + SIGNATURES + " SELECT cluster_id, rank::INTEGER AS rank, chosen[rank].t AS term_id, round(chosen[rank].s, 9) AS support, round(chosen[rank].c, 9) AS score FROM told",
         "q01_closure": w + P.rstrip().rstrip(",") + " SELECT term_id, ancestor, dist FROM up",
         "q02_depth": w + P.rstrip().rstrip(",") + " SELECT term_id, dist AS depth FROM up WHERE ancestor = 'ROOT' UNION ALL SELECT 'ROOT', 0",
         "q03_information_content": w + P + IC + " SELECT term_id, count, round(freq, 9) AS freq, round(ic, 9) AS ic FROM ics",
@@ -429,7 +454,7 @@ p AS (SELECT threshold, count(DISTINCT entity) AS covered, sum((r = 1 AND cluste
 e AS (SELECT count(*) AS eligible FROM el)
 SELECT threshold, eligible, coalesce(covered, 0) AS covered, round(coalesce(covered, 0) / eligible, 9) AS coverage, round(t1 / covered, 9) AS top1_accuracy, round(t3 / covered, 9) AS top3_accuracy, round(st / covered, 9) AS set_accuracy, round(coalesce(n / covered, 0.0), 9) AS avg_predictions FROM grid LEFT JOIN p USING (threshold), e""",
         "q24_predictions": "WITH " + PRED + " SELECT query, cluster_id, round(weight, 9) AS weight, motif_id FROM pred",
-        "q25_function_sets": "WITH " + PRED + """, g AS (SELECT query, substr(cluster_id, 1, 2) AS terms, string_agg(cluster_id, ';' ORDER BY cluster_id) AS cluster_ids, max(weight) AS weight, 'language ' || substr(cluster_id, 1, 2) AS description FROM pred GROUP BY 1, 2, 5),
+        "q25_function_sets": "WITH " + PRED + """, g AS (SELECT query, substr(cluster_id, 1, 2) AS terms, string_agg(cluster_id, ';' ORDER BY first, cluster_id) AS cluster_ids, max(weight) AS weight, 'language ' || substr(cluster_id, 1, 2) AS description FROM pred GROUP BY 1, 2, 5),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY weight DESC, terms)::INTEGER AS rank FROM g) SELECT query, rank, terms, cluster_ids, round(weight, 9) AS weight, description FROM r WHERE rank <= 3""",
         "q26_confidence": "WITH s AS (SELECT p_size * 5000.0::DOUBLE AS threshold, count(*)::DOUBLE AS set_accuracy FROM part GROUP BY p_size) SELECT o_orderkey AS query, s.threshold, s.set_accuracy FROM orders ASOF LEFT JOIN s ON o_totalprice >= s.threshold",
         "q27_roles": w + P + IC + """, anc AS (SELECT term_id, 'kind_' || lower(substr(term_id, 3, 4)) AS role, (row_number() OVER (ORDER BY term_id) * 10)::INTEGER AS priority FROM terms WHERE term_id LIKE 'T:%'),
