@@ -2,7 +2,8 @@
 
 Log events: conv, seq, kind, message, role, text. ``message`` starts a message (with text so far),
 ``delta`` appends, ``edit`` replaces the text, ``regenerate`` discards the text, begins the message anew
-and drops all messages that were started after it and before the regeneration. Folding a message is a
+and drops all messages that were started after it and before the regeneration. Events of a dropped message are
+without effect, its regenerations too: they drop nothing. Folding a message is a
 suffix of its events in order of seq (from its last reset on), so it is two aggregations and no state.
 
 Rendering: ``### role: text</turn>\\n`` a turn. Inside roles and texts every backslash, ``#`` and ``<`` (in
@@ -10,7 +11,8 @@ roles also ``:``) becomes a backslash and a letter, so no control string can occ
 split reads turns back. ``loss`` holds the code-point spans (start, length) of assistant texts.
 
 Defined cases: null text and null role are empty; null kinds and events of a message that never starts
-are ignored; events with equal seq are ordered by kind and text; a conversation without messages has no row.
+are ignored; events with equal seq are ordered by kind and text; repeated rows are events each; a conversation without messages has no
+row, and so has an empty table; texts may be as long as a rendered conversation can be; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,10 +53,25 @@ def fold_events(events: DataFrame) -> DataFrame:
     m = e.groupBy("conv", "message", "start").agg(
         F.min(F.when((F.col("kind") == "message") & (F.col("seq") == F.col("start")), F.col("role"))).alias("role"),
         parts.alias("parts"),
-        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("anew"),
     )
     m = m.withColumn("text", F.array_join(F.transform("parts", lambda x: x["text"]), ""))
-    return m.select("conv", "message", "start", "role", "text", "anew")
+    again = _effective(e.where("kind = 'regenerate'"))
+    same = [F.col("m.conv").eqNullSafe(F.col("r.conv")), F.col("m.message").eqNullSafe(F.col("r.message"))]
+    return m.alias("m").join(again.alias("r"), same, "left").select("m.conv", "m.message", "start", "role", "text", "anew")
+
+
+def _effective(events: DataFrame) -> DataFrame:
+    """conv, message, anew: the last regeneration of each message that has one while it is not dropped.
+
+    A conversation's regenerations (start of their message, seq) are folded in order: one is left out if one
+    that counts came after its message's start, of a message that started before."""
+    one = F.struct("seq", "start", "message")
+    none = F.array().cast("array<struct<seq:bigint,start:bigint,message:bigint>>")
+    of = F.transform(F.sort_array(F.collect_list(one)), lambda x: F.struct(x["seq"].cast("bigint").alias("seq"), x["start"].cast("bigint").alias("start"), x["message"].cast("bigint").alias("message")))
+    gone = lambda done, x: F.exists(done, lambda d: (d["start"] < x["start"]) & (x["start"] < d["seq"]))
+    kept = events.groupBy("conv").agg(F.aggregate(of, none, lambda done, x: F.when(gone(done, x), done).otherwise(F.array_append(done, x))).alias("done"))
+    each = kept.select("conv", F.explode("done").alias("d"))
+    return each.groupBy("conv", F.col("d.message").alias("message")).agg(F.max("d.seq").alias("anew"))
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:

@@ -148,7 +148,7 @@ def powers(n: int) -> np.ndarray:
 
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in order, and the number of words of each text."""
-    runs = list(slices([len(t) for t in texts], 1 << 20))
+    runs = list(slices([len(t) for t in texts], 1 << 18))
     if len(runs) != 1:  # the work arrays take many times the size of the texts
         parts = [word_hashes(texts[a:z], lower) for a, z in runs]
         return np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])

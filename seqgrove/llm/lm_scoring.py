@@ -17,9 +17,10 @@ Counting and scoring meet in one place, so the tree itself is never gathered, br
 2. Every token goes to the lot of its context's last word with hashes of its context's lengths. There the contexts of
    length 1 and 2 are counted over the training part, tested, smoothed and used for all tokens, training and held
    out. Back come sums by text. Lots are taken in ``Settings.turns`` turns, which bounds the disk.
-3. Contexts that a longer one may still diverge from (*open*: the sum of count * -log p reaches ``gain``, p being the
-   probability of a symbol seen twice, and of all others together; no longer context can gain more) go on: their tokens are sent with hashes of further lengths to the lots of their
-   contexts, until no context is open. A filter of fixed size tells senders which are; a full one only lets more through.
+3. A context is *open* while its symbols seen twice could still gain: their sum of count * -log p is at least
+   ``gain``. Longer contexts are made of open ones only; their tokens are sent with hashes of further lengths to the
+   lots of their contexts, until no context is open. A filter of fixed size tells senders which are; a full one
+   only lets more through.
 
 Words are known by 56 bits of a hash, contexts by 48 bits inside a lot, whose size doesn't grow with the input.
 
@@ -35,6 +36,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,12 +46,12 @@ U = np.uint64
 START, END = 0, 1
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 #: Lengths of contexts that are taken in the first rounds, and in each round after these.
-ROUNDS, MORE = (2, 4), 25
+ROUNDS, MORE = (2, 2), 27
 
 
 @dataclass(frozen=True)
 class Settings:
-    gain: float = 6.0
+    gain: float = 10.0
     discount: float = 0.8
     turns: int = 2
     chunk: int = 1_000_000
@@ -263,43 +265,47 @@ def _sent(number: int, lots: int, span: tuple[int, int], most: int, opened=None)
 
 
 class Lot:
-    """The tokens of a lot, from all its rows."""
-
-    def __init__(self, rows: list[dict], steps: list[int], first: bool):
-        parts: dict[str, list] = {x: [] for x in ("key", "symbol", "levels", "row", "text", "learn")}
-        ctx: list[list[np.ndarray]] = [[] for _ in steps]
-        texts = 0
-        for r in rows:
-            size = np.frombuffer(r["sizes"], "<u4")
-            key = np.repeat(widen(r["keys"], 6), size)
-            levels = np.frombuffer(r["levels"], np.uint8)
-            found, at = widen(r["contexts"], 6), 0
-            for i in range(len(steps)):
-                if first and not i:
-                    ctx[i].append(key)
-                    continue
-                ok = levels > i
-                c = np.zeros(len(key), U)
-                k = int(ok.sum())
-                c[ok] = found[at : at + k]
-                at += k
-                ctx[i].append(c)
-            text = np.frombuffer(r["texts"], np.int64)
-            wide = "<u2" if len(text) <= 65536 else "<u4"
-            for name, x in (("key", key), ("symbol", widen(r["symbols"], 7)), ("levels", levels), ("row", np.frombuffer(r["rows"], wide).astype(np.int32) + np.int32(texts)), ("text", text), ("learn", np.frombuffer(r["learn"], np.uint8))):
-                parts[name].append(x)
-            texts += len(text)
-        self.key, self.symbol, self.levels, self.row, self.text, self.learn = (np.concatenate(parts[x]) for x in ("key", "symbol", "levels", "row", "text", "learn"))
-        self.ctx = [np.concatenate(c) for c in ctx]
+    """The tokens of a lot, from all its rows; a row's bytes are let go before the next is read."""
+
+    def __init__(self, rows: pa.Table, steps: list[int], first: bool):
+        col = {c: rows.column(c) for c in rows.column_names}
+        read = lambda c, i: col[c][i].as_py()
+        n = sum(pc.binary_length(col["levels"]).to_pylist())
+        docs = np.cumsum([0, *(x // 8 for x in pc.binary_length(col["texts"]).to_pylist())])
+        self.key, self.symbol = np.empty(n, U), np.empty(n, U)
+        self.levels, self.row = np.empty(n, np.uint8), np.empty(n, np.int32)
+        self.ctx = [self.key if first and not i else np.zeros(n, U) for i in range(len(steps))]
+        self.text, self.learn = np.empty(docs[-1], np.int64), np.empty(docs[-1], np.uint8)
+        a = 0
+        for i in range(rows.num_rows):
+            levels = np.frombuffer(read("levels", i), np.uint8)
+            z = a + len(levels)
+            self.levels[a:z] = levels
+            self.key[a:z] = np.repeat(widen(read("keys", i), 6), np.frombuffer(read("sizes", i), "<u4"))
+            self.symbol[a:z] = widen(read("symbols", i), 7)
+            found, at = widen(read("contexts", i), 6), 0
+            for k in range(int(first), len(steps)):
+                ok = levels > k
+                size = int(ok.sum())
+                self.ctx[k][a:z][ok] = found[at : at + size]
+                at += size
+            self.text[docs[i] : docs[i + 1]] = np.frombuffer(read("texts", i), np.int64)
+            self.learn[docs[i] : docs[i + 1]] = np.frombuffer(read("learn", i), np.uint8)
+            self.row[a:z] = np.frombuffer(read("rows", i), "<u2" if docs[i + 1] - docs[i] <= 65536 else "<u4")
+            self.row[a:z] += np.int32(docs[i])
+            a = z
 
     def keep(self, mask: np.ndarray) -> None:
+        self.ctx = [c[mask] for c in self.ctx]
         for name in ("key", "symbol", "levels", "row"):
             setattr(self, name, getattr(self, name)[mask])
-        self.ctx = [c[mask] for c in self.ctx]
 
 
 def _entry(ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return mix(ctx * BASE + symbol)
+    out = np.empty(len(ctx), U)
+    for i in range(0, len(ctx), 1 << 18):  # the steps of a hash take several times its size
+        out[i : i + (1 << 18)] = mix(ctx[i : i + (1 << 18)] * BASE + symbol[i : i + (1 << 18)])
+    return out
 
 
 def climb(ctx: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray, train: np.ndarray, look, cfg: Settings):
@@ -353,7 +359,7 @@ def climb(ctx: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray, train:
             gained = change[entry]
         else:
             gained[act] += change[entry]
-        go = total(me * -new[e]) - alone * np.log(np.where(state, left, 1 - mass)) >= cfg.gain
+        go = total(me * -new[e]) >= cfg.gain
         more = np.flatnonzero(go[of][entry] & (levels > k + 1))
         going = entry[more]
         if k == len(ctx) - 1:
@@ -378,9 +384,9 @@ def _scored(number: int, lots: int, parts: int, total: int, words: int, cfg: Set
     norm = np.log(total + 0.1 * (words + 1))
 
     def run(key, rows):
-        rows = rows.to_pylist()
-        table, rows = [r for r in rows if r["kind"] == TABLE], [r for r in rows if r["kind"] == TOKENS]
-        if not rows or not table:
+        table = rows.filter(pc.equal(rows["kind"], TABLE)).select(["keys", "symbols", "contexts"]).to_pylist()
+        rows = rows.filter(pc.equal(rows["kind"], TOKENS))
+        if not rows.num_rows or not table:
             return pa.Table.from_batches([_batch(OUT, [])])
         lot = Lot(rows, steps, number == 0)
         del rows
@@ -475,7 +481,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     del asked
     sweep(spark)
     size = counted.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
-    texts = counted.where(f"kind = {TEXTS}").select(F.lit(TEXTS + 2).alias("kind"), "lot", "a", "b", "c", F.lit(b"").alias("d"))
+    texts = materialise(counted.where(f"kind = {TEXTS}").select(F.lit(TEXTS + 2).alias("kind"), "lot", "a", "b", "c", F.lit(b"").alias("d")), "lm-texts")
     none = [F.lit(b"").alias(c) for c in ("levels", "texts", "learn", "rows")]
     table = counted.where(f"kind = {WORDS} and lot >= 0").select("lot", F.lit(TABLE).alias("kind"), F.lit(b"").alias("keys"), F.lit(b"").alias("sizes"), F.col("a").alias("symbols"), F.col("b").alias("contexts"), *none)
     outs, number, opened = [], 0, None
@@ -487,6 +493,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             made.append(_turn(src, table.where((F.col("lot") >= span[0]) & (F.col("lot") < span[1])), _sent(number, lots, span, cfg.chunk, opened), _scored(number, lots, parts, size["n"], size["v"], cfg)))
             sweep(spark)
         outs += made
+        if number == 0:
+            discard(counted)
         kept = made[0]
         for m in made[1:]:
             kept = kept.unionByName(m)
@@ -500,7 +508,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     for m in outs:
         every = every.unionByName(m.where(f"kind = {SUMS}"))
     out = materialise(every.groupBy("lot").applyInArrow(lean_table(_summed), SCORES), "lm-scores")
-    for m in (counted, *outs):
+    for m in (texts, *outs):
         discard(m)
     return out.withColumn("train_tokens", F.lit(size["n"]).cast("bigint"))
 

@@ -2,14 +2,17 @@
 
 Logistic regression on the presence of words and word beginnings, with features scaled by their
 log-odds. It is fitted on a bounded sample of labelled rows (``Settings.sample_rows``, chosen by a hash of
-the id); feature counts are aggregated on the cluster and at most ``Settings.features`` features are kept.
-For each labelled text that names a group, the identity terms are swapped for others of the same kind, and
+the id), whose texts are gathered in one scan. Features are those of the sample whose shares in both classes differ
+significantly: by ``Settings.significance`` standard errors. For each labelled text that names a group, its identity
+terms are swapped for every other of the same kind, and
 the squared change of the score is added to the loss, so neutral mentions of a group don't move the score.
 Scoring is one pass without a shuffle over whole texts.
 
 Defined cases: null or empty text has the score of the intercept; null labels and labels of unknown ids
 are ignored; of several labels of one id the largest counts; without labelled rows of both classes all
-scores are the smoothed share of the positive class; labels, lang, source and ids are not features.
+scores are the smoothed share of the positive class; rows with one id share its label and are scored each; equal gains of
+features make no difference, as all significant ones are kept; texts of any length are scored whole; an empty table gives no rows;
+labels, lang, source, ids and further columns are not features, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, utf8
+from .common import bounded_batches, discard, lean, materialise, utf8
 
 #: Neutral names of groups, by kind: only words of one kind are swapped. Fixed values.
 IDENTITY_TERMS = (
@@ -47,8 +50,8 @@ IDENTITY_TERMS = (
 @dataclass(frozen=True)
 class Settings:
     sample_rows: int = 20_000
-    features: int = 4096
-    swaps: int = 3
+    significance: float = 3.0
+    support: int = 3
     swap_weight: float = 1.0
     ridge: float = 2e-3
     steps: int = 250
@@ -77,11 +80,10 @@ def features(ws: set[bytes]) -> set[bytes]:
     return out
 
 
-def swapped(ws: set[bytes], most: int) -> list[set[bytes]]:
-    """The word sets of the text with every group name swapped, ``most`` of them at most."""
+def swapped(ws: set[bytes]) -> list[set[bytes]]:
+    """The word sets of the text with its group names swapped, so that each has been every other name of its kind."""
     named = [w for w in ws if w in _SWAP]
-    if not named:
-        return []
+    most = max((len(_SWAP[w]) for w in named), default=0)
     return [{_SWAP[w][k % len(_SWAP[w])] if w in _SWAP else w for w in ws} for k in range(most)]
 
 
@@ -102,7 +104,7 @@ def _counted(n: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"f": pa.array(list(n), pa.binary()), "neg": pa.array(c[:, 0]), "pos": pa.array(c[:, 1])})
 
 
-def _indexed(index, most: int):
+def _indexed(index):
     """Feature numbers of a text and of its swapped forms."""
 
     def run(batches):
@@ -114,7 +116,7 @@ def _indexed(index, most: int):
                 ws = words(text)
                 ys.append(y)
                 own.append(number(ws))
-                other.append([number(x) for x in swapped(ws, most)])
+                other.append([number(x) for x in swapped(ws)])
             yield pa.RecordBatch.from_pydict({"toxic": pa.array(ys, pa.int32()), "own": pa.array(own, pa.list_(pa.int32())), "other": pa.array(other, pa.list_(pa.list_(pa.int32())))})
 
     return run
@@ -125,28 +127,40 @@ def _sparse(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((j for r in rows for j in r), np.int64, int(lens.sum())), np.repeat(np.arange(len(rows)), lens)
 
 
+class Objective:
+    """Logistic loss plus the squared changes under swaps, a mean over the sample, and a ridge on scaled weights."""
+
+    def __init__(self, y: np.ndarray, own: list[list[int]], other: list[list[list[int]]], scale: np.ndarray, cfg: Settings):
+        self.y, self.scale, self.cfg, self.m, self.k = y, scale, cfg, len(y), len(scale)
+        self.col, self.row = _sparse(own)
+        pairs = [(i, x) for i, xs in enumerate(other) for x in xs]
+        self.pcol, self.prow = _sparse([x for _, x in pairs])
+        self.of = np.array([i for i, _ in pairs], dtype=np.int64)
+
+    def scores(self, v: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
+        w = v * self.scale
+        return np.bincount(self.row, w[self.col], self.m) + b, np.bincount(self.prow, w[self.pcol], len(self.of)) + b
+
+    def loss(self, v: np.ndarray, b: float) -> float:
+        z, zs = self.scores(v, b)
+        change = z[self.of] - zs
+        return float((np.logaddexp(0, z) - self.y * z).sum() / self.m + self.cfg.swap_weight * (change @ change) / self.m + self.cfg.ridge * (v @ v) / 2)
+
+    def gradient(self, v: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+        z, zs = self.scores(v, b)
+        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - self.y) / self.m
+        change = 2 * self.cfg.swap_weight * (z[self.of] - zs) / self.m
+        g = np.bincount(self.col, (err + np.bincount(self.of, change, self.m))[self.row], self.k) - np.bincount(self.pcol, change[self.prow], self.k)
+        return g * self.scale + self.cfg.ridge * v, float(err.sum())
+
+
 def fit_weights(y: np.ndarray, own: list[list[int]], other: list[list[list[int]]], scale: np.ndarray, cfg: Settings) -> tuple[np.ndarray, float]:
     """Weights and intercept by Adam on the whole sample; deterministic."""
-    m, k = len(y), len(scale)
-    col, row = _sparse(own)
-    pairs = [(i, x) for i, xs in enumerate(other) for x in xs]
-    pcol, prow = _sparse([x for _, x in pairs])
-    of = np.array([i for i, _ in pairs], dtype=np.int64)
+    objective, m, k = Objective(y, own, other, scale, cfg), len(y), len(scale)
     v, b = np.ones(k) * 0.5, float(np.log((y.sum() + 0.5) / (m - y.sum() + 0.5))) - 1.0
     mv, sv, mb, sb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for step in range(1, cfg.steps + 1):
-        w = v * scale
-        z = np.bincount(row, w[col], m) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / m
-        if pairs:
-            zs = np.bincount(prow, w[pcol], len(pairs)) + b
-            d = 2 * cfg.swap_weight * (z[of] - zs) / m
-            err_own = err + np.bincount(of, d, m)
-            g = np.bincount(col, err_own[row], k) - np.bincount(pcol, d[prow], k)
-        else:
-            g = np.bincount(col, err[row], k)
-        g = g * scale + cfg.ridge * v
-        gb = err.sum()
+        g, gb = objective.gradient(v, b)
         mv, sv = 0.9 * mv + 0.1 * g, 0.999 * sv + 0.001 * g * g
         mb, sb = 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
         rate = 0.05 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
@@ -176,6 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, cfg:
         y = y.where(~held_out)
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample_rows)  # at most sample_rows rows of two numbers
     rows = docs.select("doc_id", utf8(F.col("text")).alias("text")).join(F.broadcast(y), "doc_id").select("text", "toxic")
+    rows = materialise(rows, "toxicity-sample")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     neg, pos = n.get(0, 0), n.get(1, 0)
     prior = float(np.log((pos + 0.5) / (neg + 0.5)))
@@ -183,16 +198,19 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, cfg:
         return Model({}, prior, cfg.threshold)
     counts = rows.mapInArrow(lean(_count), "f binary, neg bigint, pos bigint").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     p, q = (F.col("pos") + 0.1) / (pos + 0.2), (F.col("neg") + 0.1) / (neg + 0.2)
-    counts = counts.where("pos + neg >= 2").withColumn("lift", F.log(p / q)).withColumn("gain", F.abs((p - q) * F.col("lift")))
-    chosen = counts.orderBy(F.desc("gain"), "f").limit(cfg.features).collect()  # at most the features kept
+    share = (F.col("pos") + F.col("neg")) / (pos + neg)
+    error = F.sqrt(share * (1 - share) * (1 / pos + 1 / neg)) + 1e-12
+    counts = counts.where(F.col("pos") + F.col("neg") >= cfg.support).withColumn("lift", F.log(p / q))
+    chosen = counts.where(F.abs(F.col("pos") / pos - F.col("neg") / neg) >= cfg.significance * error).collect()  # of the bounded sample
     named = counts.where(F.col("f").isin([bytearray(x) for x in _SWAP])).collect()  # the list of terms at most
     lift = {bytes(r["f"]): r["lift"] for r in chosen + named}
     at = {f: i for i, f in enumerate(sorted(lift))}
     index = spark.sparkContext.broadcast(at)
-    coded = rows.mapInArrow(lean(_indexed(index, cfg.swaps)), "toxic int, own array<int>, other array<array<int>>").toArrow()  # the sample, as feature numbers
+    coded = rows.mapInArrow(lean(_indexed(index)), "toxic int, own array<int>, other array<array<int>>").toArrow()  # the sample, as feature numbers
     scale = np.array([lift[f] for f in at])
     w, b = fit_weights(np.array(coded["toxic"].to_pylist(), dtype=float), coded["own"].to_pylist(), coded["other"].to_pylist(), scale, cfg)
-    return Model({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-4}, b, cfg.threshold)
+    discard(rows)
+    return Model({f: float(w[i]) for f, i in at.items()}, b, cfg.threshold)
 
 
 def _scored(model):

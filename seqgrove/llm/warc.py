@@ -10,7 +10,8 @@ response and the others are revisit records without the payload.
 
 Defined cases: null html is an empty payload; a null url gives no target header; line ends in a url are
 percent-encoded; of repeated rows with one page_id and payload, one is the response and the others
-revisit it; a null page_id is smaller than any other; an empty table gives an empty index and no archive.
+revisit it; a null page_id is smaller than any other; very long payloads make larger archives; an empty table gives an empty index and no
+archive; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def _record_id(page: Column, url: Column) -> Column:
 def _keyed(pages: DataFrame, archives: int, with_html: bool) -> DataFrame:
     body = F.coalesce(F.col("html"), F.lit(""))
     d = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), base32_sha1(body.cast("binary")).alias("digest"), F.octet_length(body).cast("bigint").alias("bytes"), *([body.alias("html")] if with_html else []))
-    return d.withColumn("archive", F.pmod(F.xxhash64("page_id"), F.lit(archives)).cast("int"))
+    # rows of one id, or of none, spread by their url and payload
+    return d.withColumn("archive", F.pmod(F.xxhash64("page_id", "url", "digest"), F.lit(archives)).cast("int"))
 
 
 def _numbered(d: DataFrame) -> DataFrame:
@@ -69,24 +71,26 @@ def _heads(d: DataFrame, date: str) -> DataFrame:
     return d.withColumn("head", head)
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = 1 << 30, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = 1 << 27, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write ``path``/index and ``path``/archives and return the index.
 
     One shuffle moves the pages (to their archive); deduplication and offsets use rows without html.
-    An archive holds about ``archive_bytes`` at most, dealt by a hash of page_id, so none is hot.
+    An archive holds about ``archive_bytes`` at most, dealt by a hash of the row, so none is hot and a whole one
+    fits in a task where a store can't be read by ranges.
     """
     spark = pages.sparkSession
     pages = pages.select("page_id", "url", "html")
     total = pages.agg(F.coalesce(F.sum(F.octet_length("html").cast("bigint")), F.lit(0)).alias("n")).first()["n"]
     archives = max(shuffle_parts(spark), -(-total // archive_bytes))
     meta = _numbered(_keyed(pages, archives, False))
-    dup = meta.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    # the same digest and page_id, or a payload whose ids are all null: the first row is the response
-    first = F.col("page_id").eqNullSafe(F.col("last")) & (F.row_number().over(Window.partitionBy("digest", "archive", "page_id").orderBy("turn")) == 1)
-    single = F.col("hit").isNull()
-    m = meta.join(dup.withColumn("hit", F.lit(1)), "digest", "left")
+    # of rows with the greatest id (or of none, if all are null), the first is the response
+    place = F.struct("page_id", (-F.col("archive")).alias("archive"), (-F.col("turn")).alias("turn"))
+    dup = meta.where(F.col("bytes") >= least).groupBy("digest").agg(F.max(place).alias("last"), F.count("*").alias("copies")).where("copies > 1").select("digest", "last")
+    m = meta.join(dup, "digest", "left")
+    single = F.col("last").isNull()
+    first = F.col("page_id").eqNullSafe(F.col("last.page_id")) & (F.col("archive") == -F.col("last.archive")) & (F.col("turn") == -F.col("last.turn"))
     m = m.withColumn("record_type", F.when(single | (F.col("bytes") < least) | first, F.lit("response")).otherwise(F.lit("revisit")))
-    m = m.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("last")))
+    m = m.withColumn("refers_to", F.when(F.col("record_type") == "revisit", F.col("last.page_id")))
     m = _heads(m, date)
     length = F.octet_length("head") + F.when(F.col("record_type") == "response", F.col("bytes")).otherwise(F.lit(0)) + len(END)
     m = m.withColumn("length", length.cast("bigint")).drop("head")

@@ -56,6 +56,13 @@ def test_license_empty_and_clashing(spark):
     d = documents(spark, [license_scan._ISC]).withColumn("digest", F.lit("x")).withColumn("license_id", F.lit(1))
     assert license_scan.licenses(d).first().license_id == "ISC"
     assert license_scan.licenses(documents(spark, []).limit(0)).count() == 0
+    rows = spark.createDataFrame([(1, "a\nMIT License"), (1, "b\nSPDX: Foo-1.0\n" * 20_000), (None, "Use of Foo is\nquite free."), (None, "MIT\n" * 2)] * 2, "doc_id bigint, text string")
+    asked = spark.createDataFrame([("Foo-1.0", "SPDX: Foo-1.0"), ("Foo-2.0", "Use of foo is quite free"), ("MIT", "MIT License")], "license_id string, text string")
+    got = Counter((r.doc_id, r.notices) for r in license_scan.licenses(rows, known_notices=asked).collect())
+    assert got == {(1, "MIT"): 2, (1, "Foo-1.0"): 2, (None, "Foo-2.0"): 2, (None, None): 2}
+    header = documents(spark, ["#!/bin/sh\n#\n# Copyright (C) 2001 X\n#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# more"])
+    r = license_scan.scan_notices(header, license_scan.known(spark, license_scan.notices())).collect()
+    assert [(x.line, x.license_id) for x in r] == [(4, "GPL-3.0-or-later")]
     own = spark.createDataFrame([("B", "some text here"), ("A", "Some  text, here!"), (None, "z")], "license_id string, text string")
     assert license_scan.scan(documents(spark, ["SOME TEXT HERE"]), own).first().license_id == "A"
 
@@ -104,9 +111,6 @@ def test_chat_folding_equals_the_definition(spark):
         for seq in range(1, rng.randint(2, 14)):
             kind = "message" if not started or rng.random() < 0.4 else rng.choice(["delta", "delta", "edit", "regenerate"])
             message = len(started) + 1 if kind == "message" else rng.choice(started)
-            # a message of a dropped branch gets no more events
-            if kind == "regenerate":
-                started = [m for m in started if m <= message]
             if kind == "message":
                 message = max([m for *_, m, _, _ in own] or [0]) + 1
                 started.append(message)
@@ -118,6 +122,16 @@ def test_chat_folding_equals_the_definition(spark):
     assert {r.conv: [tuple(t) for t in r.turns] for r in back.collect()} == want
 
 
+def test_late_regenerations_of_dropped_messages_drop_nothing(spark):
+    events = [(1, 1, "message", 1, "user", "a"), (1, 2, "message", 2, "assistant", "b"), (1, 3, "regenerate", 1, None, "c"), (1, 4, "message", 3, "user", "d"), (1, 5, "regenerate", 2, None, "e"), (1, 6, "message", 4, "assistant", "f")]
+    long = "x" * 300_000
+    events += [(2, 1, "message", 1, "user", long), (2, 2, "message", 2, "assistant", long)] + [(3, 1, "message", 1, "user", "twice"), (3, 2, "delta", 1, None, "!"), (3, 2, "delta", 1, None, "!")]
+    df = spark.createDataFrame(events, CHAT).withColumn("start", F.lit(1)).withColumn("formatted", F.lit("x"))
+    rows = {r.conv: [tuple(t) for t in r.turns] for r in chat_format.read_back(chat_format.format_chats(df)).collect()}
+    assert rows == {1: [("user", "c"), ("user", "d"), ("assistant", "f")], 2: [("user", long), ("assistant", long)], 3: [("user", "twice!!")]}
+    assert chat_format.read_back(chat_format.format_chats(df.limit(0))).count() == 0
+
+
 def test_chat_query(spark, sf):
     rows = {r.conv_id: r for r in queries.op2_chat_formatting(spark, sf).collect()}
     r = rows[-7]
@@ -302,7 +316,7 @@ def test_base_scores_equal_brute_force(spark):
 
 
 class BruteTree:
-    """Every context of every length of the ladder, counted in dictionaries; nothing is pruned."""
+    """Every context of every length of the ladder, counted in dictionaries."""
 
     def __init__(self, train, cfg):
         self.cfg, self.after, self.words = cfg, {}, Counter()
@@ -311,15 +325,17 @@ class BruteTree:
                 self.words[x] += 1
                 for c in ctxs:
                     self.after.setdefault(c, Counter())[x] += 1
-        self.n, self.v, self.rest = sum(self.words.values()), len(self.words), {}
+        self.n, self.v, self.rest, self.open = sum(self.words.values()), len(self.words), {}, set()
         for c in sorted(self.after, key=len):
             n, seen = sum(self.after[c].values()), {x: m for x, m in self.after[c].items() if m > 1}
-            if seen:
+            if seen and all(b in self.open for b in self.shorter(c)):
                 below = {x: self.prob(self.shorter(c), x) for x in seen}
                 alone = n - sum(seen.values())
                 rest = (cfg.discount * len(seen) + alone) / n / (1 - sum(below.values()))
                 if sum(m * math.log((m - cfg.discount) / n / below[x]) for x, m in seen.items()) + alone * math.log(rest) >= cfg.gain:
                     self.rest[c] = rest
+                if sum(-m * math.log(self.prob([*self.shorter(c), c], x)) for x, m in seen.items()) >= cfg.gain:
+                    self.open.add(c)
 
     def lengths(self, n):
         out = []
@@ -418,6 +434,26 @@ def test_toxicity_learns_and_ignores_groups(spark):
     assert gap(tied) < gap(free)
 
 
+def test_toxicity_gradient_equals_differences():
+    rng = np.random.default_rng(1)
+    own = [sorted(rng.choice(9, rng.integers(0, 6), replace=False).tolist()) for _ in range(30)]
+    other = [[sorted(rng.choice(9, 3, replace=False).tolist()) for _ in range(rng.integers(0, 4))] for _ in range(30)]
+    o = toxicity.Objective((rng.random(30) < 0.4).astype(float), own, other, rng.normal(size=9), toxicity.Settings(ridge=0.1))
+    v, b, h = rng.normal(size=9), 0.3, 1e-6
+    g, gb = o.gradient(v, b)
+    steps = [(o.loss(v + h * e, b) - o.loss(v - h * e, b)) / (2 * h) for e in np.eye(9)]
+    assert g == pytest.approx(steps, abs=1e-6) and gb == pytest.approx((o.loss(v, b + h) - o.loss(v, b - h)) / (2 * h), abs=1e-6)
+
+
+def test_toxicity_cases(spark):
+    docs = documents(spark, ["you idiot " * 50_000, "fine text", "you idiot", "fine words"] * 20).withColumn("score", F.lit("x")).withColumn("toxic", F.lit(3)).withColumn("_text", F.lit(""))
+    docs = docs.union(docs.where("doc_id < 4"))
+    y = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(80)], "doc_id bigint, quality int, toxic int")
+    rows = toxicity.toxicity(docs, y).collect()
+    assert len(rows) == 84 and all(r.predicted == int(r.doc_id % 2 == 0) for r in rows)
+    assert len(toxicity.swapped({b"muslim", b"x"})) == 7 and toxicity.swapped({b"x"}) == []
+
+
 def test_toxicity_without_labels(spark):
     y = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     rows = toxicity.toxicity(documents(spark, ["a", None]), y).collect()
@@ -536,6 +572,7 @@ def test_topk_equals_brute_force(spark):
         if q % 50 == 0:
             order = sorted(((-int(valid[q] @ x), i) for i, x in valid.items() if i != q))[:5]
             want |= {(q, k): (i, -s) for k, (s, i) in enumerate(order, 1)}
+    df = df.withColumn("cell", F.lit(1)).withColumn("dist", F.lit("x")).withColumn("part", F.lit(0))
     for kw in ({}, {"block_rows": 20, "query_rows": 2, "pivots": 7}, {"pivots": 1}):
         got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.top_k(df, F.col("id") % 50 == 0, **kw).collect()}
         assert got == want
@@ -548,7 +585,21 @@ def test_topk_small_tables(spark):
     assert got == [(0, 1, 50, 65536), (50, 1, 0, 65536)]
     assert topk_search.top_k(two.limit(0), F.lit(True)).count() == 0
     again = two.union(two)
-    assert {tuple(r) for r in topk_search.top_k(again, F.lit(True)).collect()} == set(got)
+    both = [tuple(r) for r in topk_search.top_k(again, F.lit(True)).orderBy("query_id", "rank").collect()]
+    assert both == [(0, 1, 50, 65536), (0, 2, 50, 65536), (50, 1, 0, 65536), (50, 2, 0, 65536)]
+
+
+def test_topk_compares_only_what_is_necessary(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 16)) * 3
+    x = (centres[np.arange(3000) % 30] + 0.05 * rng.normal(size=(3000, 16))).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    search = topk_search.Search(df, F.col("id") % 50 == 0, 5, "vec_id", "embedding", 256, None, 8192, 4096)
+    ints = np.floor(256 * x).astype(np.int64)
+    want = {(q, k): -s for q in range(0, 3000, 50) for k, (s, _) in enumerate(sorted((-int(ints[q] @ v), i) for i, v in enumerate(ints) if i != q)[:5], 1)}
+    assert {(r.query_id, r["rank"]): r.score for r in search.result.collect()} == want
+    shares = search.shares()
+    assert shares["rows"] < 0.25 and shares["rings"] < 0.25
 
 
 # --- op10 ------------------------------------------------------------------------------------------------
@@ -588,3 +639,6 @@ def test_warc_ranges_and_empty(spark, tmp_path):
     one = spark.createDataFrame([(None, "u", "x"), (4, "u", "x"), (5, "u", "long enough to revisit"), (6, "u", "long enough to revisit")], "page_id bigint, url string, html string")
     got = {(r.page_id, r.record_type, r.refers_to) for r in warc.archived(one, least=5).collect()}
     assert got == {(None, "response", None), (4, "response", None), (5, "revisit", 6), (6, "response", None)}
+    none = spark.createDataFrame([(None, f"u{i}", "same payload") for i in range(6)] + [(7, "u", "x")] * 3 + [(8, "v", "x"), (8, "w", "x")], "page_id bigint, url string, html string")
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.archived(none).collect())
+    assert got == {(None, "response", None): 1, (None, "revisit", None): 5, (7, "revisit", 8): 3, (8, "response", None): 1, (8, "revisit", 8): 1}
