@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, lean, shuffle_parts
+from .common import bounded_batches, fresh_path, lean, shuffle_parts, sweep
 
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -71,10 +71,10 @@ def _heads(d: DataFrame, date: str) -> DataFrame:
     return d.withColumn("head", head)
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = 1 << 27, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, path: str, least: int = 0, archive_bytes: int = 1 << 27, date: str = "2000-01-01T00:00:00Z", turns: int = 2) -> DataFrame:
     """Write ``path``/index and ``path``/archives and return the index.
 
-    One shuffle moves the pages (to their archive); deduplication and offsets use rows without html.
+    One shuffle moves the pages (to their archive), some archives at a time, so that no more than their share lies on disk twice; deduplication and offsets use rows without html.
     An archive holds about ``archive_bytes`` at most, dealt by a hash of the row, so none is hot and a whole one
     fits in a task where a store can't be read by ranges.
     """
@@ -98,25 +98,34 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, archive_bytes: i
     m = m.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     m.select("archive", "offset", "length", "url", "digest", "page_id", "turn", "bytes", "record_type", "refers_to").write.parquet(f"{path}/index")
     index = spark.read.parquet(f"{path}/index")
+    sweep(spark)
 
     n = shuffle_parts(spark)
-    body = _numbered(_keyed(pages, archives, True).repartition(n, "archive"))
-    plan = index.select("archive", "page_id", "turn", "record_type", "refers_to", "offset").repartition(n, "archive")
-    same = [F.col("b.archive") == F.col("p.archive"), F.col("b.page_id").eqNullSafe(F.col("p.page_id")), F.col("b.turn") == F.col("p.turn")]
-    rows = body.alias("b").join(plan.alias("p").hint("merge"), same).select("b.*", "record_type", "refers_to", "offset")
-    record = F.concat("head", F.when(F.col("record_type") == "response", F.col("html")).otherwise(F.lit("")))
-    records = _heads(rows, date).select("archive", "offset", record.alias("value")).sortWithinPartitions("archive", "offset").select("archive", "value")
     # both sides are dealt by archive already: joining them needs no other exchange
     name = "spark.sql.requireAllClusterKeysForCoPartition"
     old = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        records.write.option("lineSep", END).partitionBy("archive").text(f"{path}/archives")
-    finally:
-        spark.conf.set(name, old)
+    for turn in range(turns):
+        spark.conf.set(name, "false")
+        try:
+            _records(pages, index, archives, n, turn, turns, date).write.mode("append").option("lineSep", END).partitionBy("archive").text(f"{path}/archives")
+        finally:
+            spark.conf.set(name, old)
+        sweep(spark)
     return index
 
 
+def _records(pages: DataFrame, index: DataFrame, archives: int, n: int, turn: int, turns: int, date: str) -> DataFrame:
+    """archive, value: the records of the archives of a turn, in order."""
+    here = F.pmod("archive", F.lit(turns)) == turn
+    body = _numbered(_keyed(pages, archives, True).where(here).repartition(n, "archive"))
+    plan = index.where(here).select("archive", "page_id", "turn", "record_type", "refers_to", "offset").repartition(n, "archive")
+    same = [F.col("b.archive") == F.col("p.archive"), F.col("b.page_id").eqNullSafe(F.col("p.page_id")), F.col("b.turn") == F.col("p.turn")]
+    rows = body.alias("b").join(plan.alias("p").hint("merge"), same).select("b.*", "record_type", "refers_to", "offset")
+    record = F.concat("head", F.when(F.col("record_type") == "response", F.col("html")).otherwise(F.lit("")))
+    return _heads(rows, date).select("archive", "offset", record.alias("value")).sortWithinPartitions("archive", "offset").select("archive", "value")
+
+
+
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
     """archive -> file, one row an archive, by Spark's own listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(f"{path}/archives")
