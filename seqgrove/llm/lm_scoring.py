@@ -267,28 +267,29 @@ def _sent(number: int, lots: int, span: tuple[int, int], most: int, opened=None)
 class Lot:
     """The tokens of a lot, from all its rows; a row's bytes are let go before the next is read."""
 
-    def __init__(self, rows: pa.Table, steps: list[int], first: bool):
+    def __init__(self, rows: pa.Table, at: list[int], steps: list[int], first: bool):
         col = {c: rows.column(c) for c in rows.column_names}
-        read = lambda c, i: col[c][i].as_py()
-        n = sum(pc.binary_length(col["levels"]).to_pylist())
-        docs = np.cumsum([0, *(x // 8 for x in pc.binary_length(col["texts"]).to_pylist())])
+        read = lambda c, i: col[c][at[i]].as_py()
+        size = lambda c: [x for x, k in zip(pc.binary_length(col[c]).to_pylist(), col["kind"].to_pylist()) if k == TOKENS]
+        n = sum(size("levels"))
+        docs = np.cumsum([0, *(x // 8 for x in size("texts"))])
         self.key, self.symbol = np.empty(n, U), np.empty(n, U)
         self.levels, self.row = np.empty(n, np.uint8), np.empty(n, np.int32)
         self.ctx = [self.key if first and not i else np.zeros(n, U) for i in range(len(steps))]
         self.text, self.learn = np.empty(docs[-1], np.int64), np.empty(docs[-1], np.uint8)
         a = 0
-        for i in range(rows.num_rows):
+        for i in range(len(at)):
             levels = np.frombuffer(read("levels", i), np.uint8)
             z = a + len(levels)
             self.levels[a:z] = levels
             self.key[a:z] = np.repeat(widen(read("keys", i), 6), np.frombuffer(read("sizes", i), "<u4"))
             self.symbol[a:z] = widen(read("symbols", i), 7)
-            found, at = widen(read("contexts", i), 6), 0
+            found, used = widen(read("contexts", i), 6), 0
             for k in range(int(first), len(steps)):
                 ok = levels > k
-                size = int(ok.sum())
-                self.ctx[k][a:z][ok] = found[at : at + size]
-                at += size
+                more = int(ok.sum())
+                self.ctx[k][a:z][ok] = found[used : used + more]
+                used += more
             self.text[docs[i] : docs[i + 1]] = np.frombuffer(read("texts", i), np.int64)
             self.learn[docs[i] : docs[i + 1]] = np.frombuffer(read("learn", i), np.uint8)
             self.row[a:z] = np.frombuffer(read("rows", i), "<u2" if docs[i + 1] - docs[i] <= 65536 else "<u4")
@@ -321,7 +322,7 @@ def climb(ctx: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray, train:
         c, s, learnt = (every, symbol, train) if act is None else (every[act], symbol[act], train[act])
         if not len(c):
             break
-        order = np.argsort(key := _entry(c, s))
+        order = np.argsort(key := _entry(c, s)).astype(np.int32 if len(c) < 1 << 31 else np.int64)
         key = key[order]
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
         del key
@@ -385,11 +386,10 @@ def _scored(number: int, lots: int, parts: int, total: int, words: int, cfg: Set
 
     def run(key, rows):
         table = rows.filter(pc.equal(rows["kind"], TABLE)).select(["keys", "symbols", "contexts"]).to_pylist()
-        rows = rows.filter(pc.equal(rows["kind"], TOKENS))
-        if not rows.num_rows or not table:
+        own = [i for i, k in enumerate(rows["kind"].to_pylist()) if k == TOKENS]
+        if not own or not table:
             return pa.Table.from_batches([_batch(OUT, [])])
-        lot = Lot(rows, steps, number == 0)
-        del rows
+        lot = Lot(rows, own, steps, number == 0)
         names = widen(b"".join(r["symbols"] for r in table), 7)
         if number == 0:
             count = widen(b"".join(r["contexts"] for r in table), 5).astype(np.float64)
@@ -444,6 +444,20 @@ def _open_keys(batches):
             yield widen(raw, 6)
 
 
+def _combined(batches):
+    """The sums of a task's rows: most texts have tokens in several lots."""
+    parts: dict[int, list[list]] = {}
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("lot", "a", "b", "c", "d"))):
+            for col, x in zip(parts.setdefault(row[0], [[], [], [], []]), row[1:]):
+                col.append(x)
+    for p, cols in parts.items():
+        keys, hits, base, score = (np.frombuffer(b"".join(x), d) for x, d in zip(cols, (U, "<u4", "<f4", "<f4")))
+        every, of = np.unique(keys, return_inverse=True)
+        add = lambda x: np.bincount(of, x.astype(float), len(every))
+        yield _batch(OUT, [(SUMS, p, every.tobytes(), add(hits).astype("<u4").tobytes(), add(base).astype("<f4").tobytes(), add(score).astype("<f4").tobytes())])
+
+
 SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -504,9 +518,10 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         opened = spark.sparkContext.broadcast(bloom_of(kept.select("a"), _open_keys))
         table = kept.select("lot", F.lit(TABLE).alias("kind"), F.col("a").alias("keys"), F.lit(b"").alias("sizes"), F.col("b").alias("symbols"), F.col("c").alias("contexts"), *none)
         number += 1
-    every = texts
-    for m in outs:
-        every = every.unionByName(m.where(f"kind = {SUMS}"))
+    sums = outs[0].where(f"kind = {SUMS}")
+    for m in outs[1:]:
+        sums = sums.unionByName(m.where(f"kind = {SUMS}"))
+    every = texts.unionByName(sums.mapInArrow(lean(_combined), OUT))
     out = materialise(every.groupBy("lot").applyInArrow(lean_table(_summed), SCORES), "lm-scores")
     for m in (texts, *outs):
         discard(m)
