@@ -146,16 +146,17 @@ def powers(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts in order, and the number of words of each text."""
+def word_hashes(texts: list[bytes], lower: bool = True, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts in order, and the number of words of each text; bytes that are
+    ``apart`` (line feed must be) stand between words."""
     runs = list(slices([len(t) for t in texts], 1 << 18))
     if len(runs) != 1:  # the work arrays take many times the size of the texts
-        parts = [word_hashes(texts[a:z], lower) for a, z in runs]
+        parts = [word_hashes(texts[a:z], lower, apart) for a, z in runs]
         return np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in parts)]), np.concatenate([np.zeros(0, np.int64), *(c for _, c in parts)])
     joined = b"\n".join(texts)
     raw = np.frombuffer(joined.lower() if lower else joined, dtype=np.uint8)
     ends_at = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
-    inside = ~SPACE[raw]
+    inside = ~apart[raw]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, license_scan, lm_scoring, mixing, token_output, topk_search, toxicity, warc
+from . import chat_format, decontaminate, jaccard_join, license_scan, lm_scoring, mixing, token_counts, token_output, topk_search, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,6 +163,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_formatting": op2_chat_formatting,
@@ -174,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_topk_search": op9_topk_search,
     "op10_warc": op10_warc,
+    "op13_token_counts": op13_token_counts,
 }
 ORACLE: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
