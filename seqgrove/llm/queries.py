@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, license_scan, lm_scoring, mixing, token_counts, token_output, topk_search, toxicity, warc
+from . import chat_format, decontaminate, jaccard_join, license_scan, lm_scoring, mixing, source_divergence, token_counts, token_output, topk_search, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,6 +164,33 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+w AS (SELECT id, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS all_n FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(all_n) AS lang_n FROM k GROUP BY 1),
+n AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+             1 + (1000000000 * (coalesce(n.n, 0)::HUGEINT + 1)) // (g.total::HUGEINT + v.v) AS p,
+             1 + (1000000000 * (k.all_n::HUGEINT + 1)) // (v.lang_n::HUGEINT + v.v) AS q
+      FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+      FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
@@ -181,6 +208,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_topk_search": op9_topk_search,
     "op10_warc": op10_warc,
+    "op11_source_divergence": op11_source_divergence,
     "op13_token_counts": op13_token_counts,
 }
 ORACLE: dict[str, str] = {
@@ -190,4 +218,5 @@ ORACLE: dict[str, str] = {
     "op8_jaccard_join": OP8_SQL,
     "op9_topk_search": OP9_SQL,
     "op10_warc": OP10_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
