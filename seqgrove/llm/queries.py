@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, license_scan, lm_scoring, mixing, source_divergence, token_counts, token_output, topk_search, toxicity, warc
+from . import chat_format, conversation_repair, decontaminate, jaccard_join, license_scan, lm_scoring, mixing, source_divergence, token_counts, token_output, topk_search, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -191,6 +191,65 @@ r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
 """
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dropped = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
+    reports = conversation_repair.with_digest(conversation_repair.repair(rows, dropped=dropped))
+    return reports.withColumnRenamed("conv", "conv_id")
+
+
+def _edit(cost: str, way: str, letter: str, said: str = "") -> str:
+    """A way with one more edit. Ways are cost (9 digits), audit, chr(1) and the turns, each after a line feed: the least in
+    string order is the cheapest, then the one of least audit."""
+    more = f" || chr(10) || {said}" if said else ""
+    return f"(lpad((left({way}, 9)::INTEGER + {cost})::VARCHAR, 9, '0') || substr({way}, 10, strpos({way}, chr(1)) - 10) || '{letter}' || substr({way}, strpos({way}, chr(1))){more})"
+
+
+def _inserted(*ways: str) -> str:
+    return ", ".join(_edit("5", w, "I", "'user:'") for w in ways)
+
+
+_USER, _ASSISTANT = "'user:' || r['text']", "'assistant:' || r['text']"
+OP12_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT)),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, crc),
+m AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE kind WHEN 0 THEN []::INTEGER[] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM m),
+f AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM o),
+g AS (SELECT *, shown = '' OR again AS must_go, shown <> '' AND NOT again AND right(shown, 1) NOT IN ('.', '!', '?') AS cut FROM f),
+steps AS (SELECT conv_id, max(i) AS n, list({{'role': role, 'text': text, 'must_go': must_go, 'cut': cut}} ORDER BY i) AS rows FROM g GROUP BY 1),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000000' || chr(1) AS s0, NULL::VARCHAR AS s1, '000000005I' || chr(1) || chr(10) || 'user:' AS s2,
+         '000000010II' || chr(1) || chr(10) || 'user:' || chr(10) || 'assistant:' AS s3 FROM steps
+  UNION ALL
+  SELECT conv_id, i, s0, s1, least(u, {_inserted("s0", "s1", "a")}),
+         least(a, {", ".join(_edit("5", w, "I", "'assistant:'") for w in ("u", _edit("5", "s0", "I", "'user:'"), _edit("5", "s1", "I", "'user:'")))})
+  FROM (
+    SELECT conv_id, i, {_edit("2", "s0", "D")} AS s0,
+           least({_edit("2", "s1", "D")}, CASE WHEN kept AND c = 's' THEN {_edit("k", "s0", "K", "said")} END) AS s1,
+           least({_edit("2", "s2", "D")}, CASE WHEN kept AND c = 'u' THEN {_edit("k", "s013", "K", "said")} END, CASE WHEN kept THEN {_edit("k + 1", "s013", "R", _USER)} END) AS u,
+           least({_edit("2", "s3", "D")}, CASE WHEN kept AND c = 'a' THEN {_edit("k", "s2", "K", "said")} END, CASE WHEN kept THEN {_edit("k + 1", "s2", "R", _ASSISTANT)} END) AS a
+    FROM (SELECT dp.conv_id, dp.i + 1 AS i, s0, s1, s2, s3, least(s0, s1, s3) AS s013, rows[dp.i + 1] AS r, NOT r['must_go'] AS kept, left(r['role'], 1) AS c, 5 * r['cut']::INTEGER AS k, r['role'] || ':' || r['text'] AS said
+          FROM dp JOIN steps ON dp.conv_id IS NOT DISTINCT FROM steps.conv_id WHERE dp.i < n))),
+best AS (SELECT dp.conv_id, least(s0, s3) AS way FROM dp JOIN steps ON dp.conv_id IS NOT DISTINCT FROM steps.conv_id WHERE i = n),
+faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (shown = '') AS blank, count(*) FILTER (shown <> '' AND again) AS duplicate,
+         count(*) FILTER (cut) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY 1),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(way, 9)::BIGINT, 0) AS cost, coalesce(substr(way, 10, strpos(way, chr(1)) - 10), '') AS audit,
+       sha256(coalesce(substr(way, strpos(way, chr(1)) + 2), '')) AS repaired_sha256
+FROM every LEFT JOIN faults ON every.conv_id IS NOT DISTINCT FROM faults.conv_id LEFT JOIN best ON every.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
 
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
@@ -209,6 +268,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_topk_search": op9_topk_search,
     "op10_warc": op10_warc,
     "op11_source_divergence": op11_source_divergence,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_token_counts": op13_token_counts,
 }
 ORACLE: dict[str, str] = {
@@ -219,4 +279,5 @@ ORACLE: dict[str, str] = {
     "op9_topk_search": OP9_SQL,
     "op10_warc": OP10_SQL,
     "op11_source_divergence": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
