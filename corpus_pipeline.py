@@ -1,8 +1,13 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
 
 Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept. All but the last
-return the columns of ``documents``. Repeated rows, nulls and empty tables are handled as each operator
-states in its module.
+return the columns of ``documents``, further ones included, whatever their names.
+
+Defined cases. Null and empty texts: scored by the intercept (kept), near copies of nothing, without test items, without words (once
+in the mix), the end id alone. Repeated rows: the first stage keeps each, the second one of them. Null ids: rows of one
+null id and text are one document. Null sources are a source, the last. Ties of near copies: the smallest id stays; ties of mixing
+keys: by id, then size. Very long texts are read whole by all stages. Empty tables: no rows; without labels of both
+classes no document is toxic unless the prior is.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, toxicity.held_out_rows(F.col("doc_id")))
     scored = toxicity.score(docs, model, keep=tuple(docs.columns), text_col="text")
-    return scored.where(F.col("score") < model.threshold).select(*docs.columns)
+    return scored.where(F.col("score") < model.threshold).select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,8 +17,11 @@ Counting and scoring meet in one place, so the tree itself is never gathered, br
 2. Every token goes to the lot of its context's last word with hashes of its context's lengths. There the contexts of
    length 1 and 2 are counted over the training part, tested, smoothed and used for all tokens, training and held
    out. Back come sums by text. Lots are taken in ``Settings.turns`` turns, which bounds the disk.
-3. A context is *open* while its symbols seen twice could still gain: their sum of count * -log p is at least
-   ``gain``. Longer contexts are made of open ones only; their tokens are sent with hashes of further lengths to the
+3. A context is *open* while a longer one could still pass the test. After a longer context no symbol is seen more
+   often, a state needs one seen twice, and only K - 1 of the K symbols can then be seen once, each gaining at most the whole
+   back-off, -log(1 - M), where M is what the symbols seen twice have. So a longer context gains at most the sum of count * -log p
+   of the symbols seen twice and (K - 1) * -log(1 - M). Below ``gain`` nothing longer is a state: the growth
+   is decided by the test alone. Longer contexts are made of open ones only; their tokens are sent with hashes of further lengths to the
    lots of their contexts, until no context is open. A filter of fixed size tells senders which are; a full one
    only lets more through.
 
@@ -51,7 +54,7 @@ ROUNDS, MORE = (2, 2), 27
 
 @dataclass(frozen=True)
 class Settings:
-    gain: float = 10.0
+    gain: float = 6.0
     discount: float = 0.8
     turns: int = 2
     chunk: int = 1_000_000
@@ -360,7 +363,8 @@ def climb(ctx: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray, train:
             gained = change[entry]
         else:
             gained[act] += change[entry]
-        go = total(me * -new[e]) >= cfg.gain
+        others = np.bincount(of, minlength=len(n)) - 1  # symbols but one
+        go = (kinds > 0) & (total(me * -new[e]) - others * np.log1p(-np.minimum(total(np.exp(new[e])), 1 - 1e-9)) >= cfg.gain)
         more = np.flatnonzero(go[of][entry] & (levels > k + 1))
         going = entry[more]
         if k == len(ctx) - 1:
@@ -427,7 +431,7 @@ def _scored(number: int, lots: int, parts: int, total: int, words: int, cfg: Set
         out = []
         for i, k in zip(first, size):
             at = order[i : i + k]
-            out.append((SUMS, int(part[at[0]]), text[at].tobytes(), hits[used][at].astype("<u4").tobytes(), base[used][at].astype("<f4").tobytes(), score[used][at].astype("<f4").tobytes()))
+            out.append((SUMS, int(part[at[0]]), text[at].tobytes(), hits[used][at].astype("<u4").tobytes(), base[used][at].tobytes(), score[used][at].tobytes()))
         if len(ctx):
             order = np.argsort(ctx)
             ctx, symbol, p = ctx[order], symbol[order], p[order]
@@ -452,10 +456,10 @@ def _combined(batches):
             for col, x in zip(parts.setdefault(row[0], [[], [], [], []]), row[1:]):
                 col.append(x)
     for p, cols in parts.items():
-        keys, hits, base, score = (np.frombuffer(b"".join(x), d) for x, d in zip(cols, (U, "<u4", "<f4", "<f4")))
+        keys, hits, base, score = (np.frombuffer(b"".join(x), d) for x, d in zip(cols, (U, "<u4", "<f8", "<f8")))
         every, of = np.unique(keys, return_inverse=True)
         add = lambda x: np.bincount(of, x.astype(float), len(every))
-        yield _batch(OUT, [(SUMS, p, every.tobytes(), add(hits).astype("<u4").tobytes(), add(base).astype("<f4").tobytes(), add(score).astype("<f4").tobytes())])
+        yield _batch(OUT, [(SUMS, p, every.tobytes(), add(hits).astype("<u4").tobytes(), add(base).tobytes(), add(score).tobytes())])
 
 
 SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -472,7 +476,7 @@ def _summed(key, rows):
     names, number, size = joined("a", TEXTS + 2, U), joined("b", TEXTS + 2, np.int64), joined("c", TEXTS + 2, np.int64)
     every, at, again = np.unique(names, return_inverse=True, return_counts=True)
     of = np.searchsorted(every, joined("a", SUMS, U))
-    hits, base, score = ((np.bincount(of, joined(c, SUMS, d).astype(float), len(every)) / again)[at] for c, d in (("b", "<u4"), ("c", "<f4"), ("d", "<f4")))
+    hits, base, score = ((np.bincount(of, joined(c, SUMS, d).astype(float), len(every)) / again)[at] for c, d in (("b", "<u4"), ("c", "<f8"), ("d", "<f8")))
     ids = pa.array(number, pa.int64(), mask=(size & 1) > 0)
     return pa.Table.from_arrays([ids, pa.array(size >> 1), pa.array(np.rint(hits).astype(np.int64)), pa.array(base / np.log(10)), pa.array(score / np.log(10))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 

@@ -13,7 +13,8 @@ for random vectors of many dimensions, no bound on distances excludes a cell, an
 Defined cases: vectors that are null or hold null or non-finite components take no part; vectors of
 different lengths are compared as if filled with zeros; ties go to the smaller id; rows with the query's
 id are the query's own; repeated rows are candidates each, and repeated queries are asked once; queries of one id
-and different vectors have their best each; components must stay below 2**31 after scaling; empty tables give no rows; further
+and different vectors have their best each; components of any finite size are taken, and ranks follow the exact scores (up to 2**124,
+beyond which they count as that); a score that a long can't hold is shown as the nearest long; empty tables give no rows; further
 columns are not read, whatever their names.
 """
 
@@ -30,6 +31,18 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, lean, materialise
 
 
+HUGE = float(np.finfo(np.float64).max)
+
+
+def _packed(whole: np.ndarray) -> bytes:
+    """Whole numbers as 32-bit integers, or where they don't fit as doubles, which hold every floor exactly, and a byte more."""
+    return whole.astype(np.int32).tobytes() if (np.abs(whole) < 2**31).all() else whole.astype("<f8").tobytes() + b"d"
+
+
+def _unpacked(vec: bytes) -> np.ndarray:
+    return np.frombuffer(vec, "<f8", len(vec) // 8) if len(vec) & 3 else np.frombuffer(vec, np.int32)
+
+
 def _quantised(scale: int):
     def run(batches):
         for b in batches:
@@ -40,19 +53,19 @@ def _quantised(scale: int):
                 a = np.asarray(v, dtype=np.float64)
                 if np.isfinite(a).all():
                     ids.append(i)
-                    vecs.append(np.floor(scale * a).astype(np.int32).tobytes())
+                    vecs.append(_packed(np.floor(np.clip(scale * a, -HUGE, HUGE))))
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "vec": pa.array(vecs, pa.binary())})
 
     return run
 
 
 def quantise(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
-    """id, vec: floor(scale * x) of every component as 32-bit integers, valid vectors only."""
+    """id, vec: floor(scale * x) of every component, packed, valid vectors only."""
     return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v")).mapInArrow(lean(_quantised(scale)), "id bigint, vec binary")
 
 
 def _matrix(vecs, dim: int = 0) -> np.ndarray:
-    rows = [np.frombuffer(x, np.int32) for x in vecs]
+    rows = [_unpacked(x) for x in vecs]
     dim = max([dim, *map(len, rows)], default=dim)
     if all(len(r) == dim for r in rows):
         return np.stack(rows).astype(np.float64) if rows else np.zeros((0, dim))
@@ -66,6 +79,7 @@ def _placed(pivots):
     """Adds the nearest pivot, the distance to it, the cosine to it and the length."""
 
     def run(batches):
+        np.seterr(over="ignore", invalid="ignore")
         p = pivots.value
         for b in batches:
             if not b.num_rows:
@@ -77,6 +91,7 @@ def _placed(pivots):
             cell = d2.argmin(1)
             near = pp[cell]
             dist, norm = np.sqrt(((x - near) ** 2).sum(1)), np.sqrt((x * x).sum(1))
+            dist[~np.isfinite(norm) | ~np.isfinite(size[cell])] = np.nan  # no bound: such a ring is always looked into
             cos = np.clip((x * near).sum(1) / np.maximum(norm * np.sqrt(size[cell]), 1e-300), -1, 1)
             yield pa.RecordBatch.from_pydict({"id": b.column("id"), "vec": b.column("vec"), "cell": pa.array(cell.astype(np.int32)), "dist": pa.array(dist), "cos": pa.array(cos), "norm": pa.array(norm)})
 
@@ -109,6 +124,7 @@ def _routed(pivots, rings):
     """One row for each query and each block of each ring outside its cell that may hold one of its best."""
 
     def run(batches):
+        np.seterr(over="ignore", invalid="ignore")
         p, r = pivots.value, rings.value
         for b in batches:
             if not b.num_rows:
@@ -116,7 +132,7 @@ def _routed(pivots, rings):
             q = _matrix(b.column("vec").to_pylist(), p.shape[1])
             pp = np.pad(p, ((0, 0), (0, q.shape[1] - p.shape[1])))
             least = b.column("least").to_numpy(zero_copy_only=False).astype(float)[:, None]
-            need = (r.best_scores(q, pp) >= least) & (r.cell != b.column("cell").to_numpy()[:, None])
+            need = ~(r.best_scores(q, pp) < least) & (r.cell != b.column("cell").to_numpy()[:, None])
             i, c = np.nonzero(need)
             n = r.blocks[c]
             ii, cc = np.repeat(i, n), np.repeat(c, n)
@@ -127,20 +143,37 @@ def _routed(pivots, rings):
     return run
 
 
+#: Scores travel as two longs, high * 2**62 + low, and beyond FAR as FAR.
+HALF, FAR = 62, 2**124
+
+
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Exact inner products: by doubles or 64 bits where these hold all sums, else pair by pair with whole numbers of any size."""
+    size = lambda a: np.maximum(np.abs(a).max(axis=1, initial=0), 1)
+    most = np.outer(size(q), size(x) * max(q.shape[1], 1))
+    if most.max(initial=0) < 2**53:
+        return (q @ x.T).astype(np.int64)
+    if most.max() < 2**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    out = np.empty(most.shape, object)
+    small = most < 2**53
+    with np.errstate(over="ignore", invalid="ignore"):
+        out[small] = (q @ x.T)[small].astype(np.int64).tolist()
+    whole_q, whole_x = ([[int(v) for v in row] for row in m] for m in (q, x))
+    for i, j in np.argwhere(~small):
+        out[i, j] = max(-FAR, min(FAR, sum(a * b for a, b in zip(whole_q[i], whole_x[j]))))
+    return out
+
+
 def _best(q_ids, q, x_ids, x, k: int):
     """The k best of x for each q, ties to the smaller id, the query's own id left out."""
-    big = max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * max(q.shape[1], 1)
-    if big < 2**53:
-        s = (q @ x.T).astype(np.int64)
-    else:
-        s = q.astype(np.int64) @ x.astype(np.int64).T
     order = np.argsort(x_ids, kind="stable")
-    s, x_ids = s[:, order], x_ids[order]
+    s, x_ids = _scores(q, x)[:, order], x_ids[order]
     for i in range(len(q_ids)):
         ok = x_ids != q_ids[i]
         row, xs = s[i][ok], x_ids[ok]
         if len(row) > k:
-            cut = np.partition(row, len(row) - k)[len(row) - k]
+            cut = np.sort(row)[-k] if row.dtype == object else np.partition(row, len(row) - k)[len(row) - k]
             pick = np.flatnonzero(row >= cut)
             pick = pick[np.argsort(-row[pick], kind="stable")][:k]
         else:
@@ -152,26 +185,34 @@ def _solve(k: int, chunk: int):
     def run(key, queries, data):
         cols: tuple[list, list, list, list] = ([], [], [], [])
         if len(queries) and len(data):
-            dim = max(len(v) for v in data["vec"]) // 4
+            x = _matrix(data["vec"])
             for i in range(0, len(queries), chunk):
                 some = queries.iloc[i : i + chunk]
-                q = _matrix(some["vec"], dim)
-                x = _matrix(data["vec"], q.shape[1])
-                for row, own, best, score in _best(some["id"].to_numpy(), q, data["id"].to_numpy(), x, k):
+                q = _matrix(some["vec"], x.shape[1])
+                wide = np.pad(x, ((0, 0), (0, q.shape[1] - x.shape[1])))
+                for row, own, best, score in _best(some["id"].to_numpy(), q, data["id"].to_numpy(), wide, k):
                     cols[0].extend([own] * len(best))
                     cols[1].extend([some["vec"].iloc[row]] * len(best))
                     cols[2].extend(best)
                     cols[3].extend(score)
-        return pd.DataFrame({"query_id": pd.Series(cols[0], dtype="int64"), "query": pd.Series(cols[1], dtype=object), "vec_id": pd.Series(cols[2], dtype="int64"), "score": pd.Series(cols[3], dtype="int64")})
+        whole = lambda xs: pd.Series(xs, dtype="int64")
+        low = (1 << HALF) - 1
+        return pd.DataFrame({"query_id": whole(cols[0]), "query": pd.Series(cols[1], dtype=object), "vec_id": whole(cols[2]), "high": whole([v >> HALF for v in cols[3]]), "low": whole([v & low for v in cols[3]])})
 
     return run
 
 
-FOUND = "query_id bigint, query binary, vec_id bigint, score bigint"
+FOUND = "query_id bigint, query binary, vec_id bigint, high bigint, low bigint"
 #: Rings of a cell, by quarters of its rows.
 QUARTERS = (0.25, 0.5, 0.75)
 
 
+def _as_long(high: Column, low: Column) -> Column:
+    """high * 2**62 + low, or the nearest long."""
+    least = F.lit(-(2**63))
+    return F.when(high >= 2, F.lit(2**63 - 1)).when(high < -2, least).when(high == -2, least + low).when(high == -1, low - F.lit(2**HALF)).when(high == 0, low).otherwise(low + F.lit(2**HALF))
+
+
 def pivot_count(rows: int) -> int:
     """As many as cells have rows, in bounds that a broadcast can take."""
     return int(min(1024, max(64, rows**0.5)))
@@ -209,13 +250,14 @@ class Search:
         places = blocks.select("cell", "ring", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         self.home = asked.select("id", "vec", "cell").join(places, "cell")
         near = materialise(self._solved(self.home), "knn-home")
-        best = near.groupBy(F.col("query_id").alias("id"), F.col("query").alias("vec")).agg(F.sort_array(F.collect_list("score"), False).alias("s"))
-        least = F.when(F.size("s") >= k, F.element_at("s", k)).cast("double")
+        about = F.col("high").cast("double") * 2.0**HALF + F.col("low").cast("double")
+        best = near.groupBy(F.col("query_id").alias("id"), F.col("query").alias("vec")).agg(F.sort_array(F.collect_list(about), False).alias("s"))
+        least = F.when(F.size("s") >= k, F.element_at("s", k))
         asked = asked.join(best.select("id", "vec", least.alias("least")), ["id", "vec"], "left").select("id", "vec", "cell", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
         self.away = materialise(asked.mapInArrow(lean(_routed(p, summary)), "id bigint, vec binary, cell int, ring int, part int"), "knn-queries")
         found = near.unionByName(self._solved(self.away))
-        rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))
-        self.result = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("high"), F.desc("low"), "vec_id"))
+        self.result = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", _as_long(F.col("high"), F.col("low")).alias("score"))
 
     def _solved(self, asked: DataFrame) -> DataFrame:
         """Queries and rows of a block meet; many queries of a block are dealt to several lots."""

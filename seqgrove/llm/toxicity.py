@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bounded_batches, discard, lean, materialise, utf8
 
@@ -217,19 +218,19 @@ def _scored(model):
     def run(batches):
         m: Model = model.value
         for b in batches:
-            s = [m.score(t) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], "score"])
+            s = [m.score(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(s, pa.float64())], names=["row", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``keep`` columns and score (0 to 1) of every whole text."""
+    """row (a struct of the ``keep`` columns, whatever their names) and score (0 to 1) of every whole text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    kept = docs.select(*[F.col(c) for c in keep], utf8(F.col(text_col)).alias("_text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in kept.dtypes[:-1]) + ", score double"
-    return kept.mapInArrow(lean(_scored(spark.sparkContext.broadcast(model))), schema)
+    rows = docs.select(F.struct(*keep).alias("row"), utf8(F.col(text_col)).alias("text"))
+    schema = StructType([rows.schema["row"], StructField("score", DoubleType())])
+    return rows.mapInArrow(lean(_scored(spark.sparkContext.broadcast(model))), schema)
 
 
 def held_out_rows(doc_id: Column) -> Column:
@@ -241,4 +242,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, cfg: Settings = Settings()) ->
     """doc_id, held_out, score, predicted of every document."""
     model = fit(docs, labels, held_out_rows(F.col("doc_id")), cfg)
     s = score(docs, model)
+    s = s.select("row.doc_id", "score")
     return s.select("doc_id", held_out_rows(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= model.threshold).cast("int").alias("predicted"))
