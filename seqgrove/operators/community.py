@@ -1,8 +1,10 @@
 """Communities of the similarity graph: Leiden with the resolution-weighted configuration model.
 
 The quality is a sum over pairs with a global total weight, so connected components never gain by merging
-and are optimised apart, each in one task. Vertices are visited in order of name, so reruns agree; labels of
-other implementations differ where several partitions are equally good.
+and are optimised apart. Components of few edges are solved by a kernel, each in one task; vertices are visited in order of name there.
+Larger ones are never gathered: they move, are refined and contracted in rounds of joins (``operators.community_rounds``)
+until what is left of them fits a task. Reruns agree; labels of other implementations differ where several
+partitions are equally good.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from seqgrove.operators.components import components
 from seqgrove.operators.numbering import numbered
 from seqgrove.session import ship
+from seqgrove.storage import materialise
 
 
 def _move(adj: list[dict[int, float]], k: np.ndarray, label: np.ndarray, gamma: float, m2: float, inside: np.ndarray | None = None) -> bool:
@@ -48,17 +51,21 @@ def _move(adj: list[dict[int, float]], k: np.ndarray, label: np.ndarray, gamma:
     return moved
 
 
-def leiden(n: int, edges: list[tuple[int, int, float]], gamma: float = 2.0, total_weight: float | None = None) -> np.ndarray:
-    """A community for each of n vertices. total_weight: of the whole graph, if this is a part of it."""
+def leiden(n: int, edges: list[tuple[int, int, float]], gamma: float = 2.0, total_weight: float | None = None, degree: list[float] | None = None, start: list[int] | None = None) -> np.ndarray:
+    """A community for each of n vertices. total_weight: of the whole graph, if this is a part of it; degree: of vertices that stand
+    for several, whose inner weight isn't among the edges; start: their communities so far."""
     m2 = 2 * (total_weight if total_weight is not None else sum(w for *_, w in edges))
     adj: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, w in edges:
         adj[a][b] = adj[a].get(b, 0.0) + w
         if a != b:
             adj[b][a] = adj[b].get(a, 0.0) + w
-    k = np.array([sum(x.values()) for x in adj])
+    k = np.array([sum(x.values()) for x in adj]) if degree is None else np.asarray(degree, float)
     own = np.arange(n)  # the current vertex of each original one
     label = np.arange(n)
+    if start is not None:  # named by one of the community's vertices
+        first: dict[int, int] = {}
+        label = np.array([first.setdefault(c, i) for i, c in enumerate(start)])
     while len(adj):
         moved = _move(adj, k, label, gamma, m2)
         refined = np.arange(len(adj))
@@ -81,12 +88,24 @@ def leiden(n: int, edges: list[tuple[int, int, float]], gamma: float = 2.0, tota
     return label[own]
 
 
-def communities(edges: DataFrame, gamma: float = 2.0) -> DataFrame:
+#: Edges of a component (or of what is left of larger ones) that one task takes.
+TASK_EDGES = 200_000
+
+
+def communities(edges: DataFrame, gamma: float = 2.0, task_edges: int = TASK_EDGES) -> DataFrame:
     """entity, community (its smallest member). edges: (src, dst, weight). Isolated entities don't appear."""
+    from seqgrove.operators import community_rounds
+
     ship(edges.sparkSession)
     total = edges.agg(F.sum("weight").alias("w")).first()["w"] or 0.0
     comp = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    labelled = edges.join(comp.select(F.col("u").alias("src"), F.col("v").alias("root")), "src", "left").withColumn("root", F.coalesce("root", "src"))
+    labelled = edges.join(comp.select(F.col("u").alias("src"), F.col("v").alias("root")), "src", "left").withColumn("root", F.coalesce("root", "src")).select("root", "src", "dst", "weight")
+    large = labelled.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > task_edges).select("root")
+    rest, out = labelled, None
+    if large.take(1):
+        large = materialise(large, "large-components")
+        rest = labelled.join(large, "root", "left_anti")
+        out = community_rounds.communities_in_rounds(labelled.join(large, "root", "left_semi").select("src", "dst", "weight"), gamma, total, task_edges)
 
     def solve(pdf):
         names = sorted({*pdf["src"], *pdf["dst"]})
@@ -96,7 +115,8 @@ def communities(edges: DataFrame, gamma: float = 2.0) -> DataFrame:
         first: dict[int, str] = {}
         return pd.DataFrame({"entity": names, "community": [first.setdefault(c, x) for x, c in zip(names, label.tolist())]})
 
-    return labelled.select("root", "src", "dst", "weight").groupBy("root").applyInPandas(solve, "entity string, community string")
+    small = rest.groupBy("root").applyInPandas(solve, "entity string, community string")
+    return small if out is None else small.unionByName(out)
 
 
 def quality(edges: DataFrame, groups: DataFrame, gamma: float = 2.0) -> DataFrame:

@@ -20,6 +20,7 @@ from seqgrove.operators.numbering import numbered
 from seqgrove.plans import library as lib
 from seqgrove.session import ship
 from seqgrove.sources import config, flatfiles, tables
+from seqgrove.storage import materialise
 
 
 LOG = logging.getLogger("seqgrove")
@@ -152,17 +153,19 @@ def build(spark: SparkSession, cfg: BuildConfig) -> dict[str, bool]:
     edges = stage("graph", [at("term_scores"), at("profiles")], asdict(cfg.graph), lambda: neighbors.knn_edges(rows, own, ics, lin, cfg.graph))
     leiden = stage("communities", [at("graph")], asdict(cfg.graph), lambda: community.communities(edges, cfg.graph.resolution))
 
-    def scores_inside(groups: DataFrame, column: str) -> DataFrame:
-        valid = neighbors.valid_profiles(rows, ics)
-        pairs = linkage.member_pairs(groups.select("entity", F.col(column).alias("community"))).select("a", "b")
-        return similarity.set_similarity(pairs, valid, lin).select("a", "b", "amb")
+    def inside(groups: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """Members with their profiles, and scores of the different pairs of profiles in a group."""
+        of, sets = neighbors.grouped(neighbors.valid_profiles(rows, ics))
+        placed = linkage.placed(groups, of, column)
+        scored = similarity.set_similarity(linkage.profile_pairs(placed, column), sets.withColumnRenamed("profile", "entity"), lin)
+        return placed, materialise(scored.select("a", "b", "amb"), "profile-scores")
 
-    clusters = stage("clusters", [at("communities")], {"min_similarity": cfg.min_cluster_similarity}, lambda: community.stable_ids(linkage.refine(leiden, scores_inside(leiden, "community"), cfg.min_cluster_similarity)))
+    clusters = stage("clusters", [at("communities")], {"min_similarity": cfg.min_cluster_similarity}, lambda: community.stable_ids(linkage.refine_profiles(*inside(leiden, "community"), cfg.min_cluster_similarity)))
 
     def make_meta():
         voted = signature.votes(clusters, rows, own, ics)
         up = terms.select("term_id", F.explode("ancestors").alias("ancestor"))
-        meta = linkage.cluster_similarity(clusters, scores_inside(clusters, "cluster_id")).join(signature.composed(signature.signatures(voted, up)), "cluster_id", "left")
+        meta = linkage.profile_similarity(*inside(clusters, "cluster_id")).join(signature.composed(signature.signatures(voted, up)), "cluster_id", "left")
         meta = meta.withColumn("composed_go", F.coalesce("composed_go", F.array().cast("array<string>")))
         return meta.withColumn("description", describe_column(spark.sparkContext.broadcast(graph_of(terms)))("cluster_id", "composed_go"))
 

@@ -114,12 +114,17 @@ def q13_knn_edges(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("weight", F.round("weight", 6))
 
 
-def q14_cluster_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct profiles clustered by region: similarity summaries over member pairs."""
+def _regions(spark, sf, group: str):
+    """All customers with their region as group and their profile, and scores of the profiles' pairs inside regions."""
     *_, matrix, members, sets = _amb(spark, sf)
-    region = members.select(F.col("profile").alias("entity"), F.regexp_extract("profile", r"\|(.+)$", 1).alias("cluster_id")).distinct()
-    s = similarity.set_similarity(linkage.member_pairs(region.withColumnRenamed("cluster_id", "community")).select("a", "b"), sets.withColumnRenamed("profile", "entity"), matrix)
-    c = linkage.cluster_similarity(region, s)
+    rows = linkage.placed(T.customers(spark, sf).select("entity", F.col("region").alias(group)), members, group)
+    scored = similarity.set_similarity(linkage.profile_pairs(rows, group), sets.withColumnRenamed("profile", "entity"), matrix)
+    return rows, materialise(scored.select("a", "b", "amb"), "profile-scores")
+
+
+def q14_cluster_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """All customers clustered by region: similarity summaries over member pairs."""
+    c = linkage.profile_similarity(*_regions(spark, sf, "cluster_id"))
     return c.select("cluster_id", "size", *[F.round(x, 6).alias(x) for x in ("sim_ave", "sim_min", "sim_max")])
 
 
@@ -238,11 +243,8 @@ def q30_isolates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q31_linkage(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct profiles of a region, split by complete linkage at 0.6."""
-    *_, matrix, members, sets = _amb(spark, sf)
-    region = members.select(F.col("profile").alias("entity"), F.regexp_extract("profile", r"\|(.+)$", 1).alias("community")).distinct()
-    s = materialise(similarity.set_similarity(linkage.member_pairs(region).select("a", "b"), sets.withColumnRenamed("profile", "entity"), matrix).select("a", "b", "amb"), "pairs")
-    return linkage.refine(region, s, 0.6)
+    """All customers of a region, split by complete linkage at 0.6."""
+    return linkage.refine_profiles(*_regions(spark, sf, "community"), 0.6)
 
 
 def q32_communities(spark: SparkSession, sf: str) -> DataFrame:
@@ -433,8 +435,10 @@ lim AS (SELECT greatest(1, ceil(count(*) * 0.05::DOUBLE)) AS cap FROM members),
 kept AS (SELECT profile, term_id, false AS fallback FROM up2 JOIN post USING (term_id), lim WHERE posting <= cap)
 SELECT * FROM kept UNION ALL SELECT profile, arg_min(term_id, (posting, -ic, term_id)), true FROM up2 JOIN post USING (term_id) WHERE profile NOT IN (SELECT profile FROM kept) GROUP BY 1""",
         "q13_knn_edges": w + C + IC + KNN + " SELECT src, dst, weight FROM knn",
-        "q14_cluster_similarity": w + C + IC + AMB + REGION + """, s AS (SELECT x.cluster_id, coalesce(amb, 0.0) AS v FROM amb JOIN grp x ON x.entity = a JOIN grp y ON y.entity = b WHERE x.cluster_id = y.cluster_id),
-z AS (SELECT cluster_id, count(*) AS size FROM grp GROUP BY 1), t AS (SELECT cluster_id, avg(v) AS av, min(v) AS mi, max(v) AS ma FROM s GROUP BY 1)
+        "q14_cluster_similarity": w + C + IC + AMB.replace("a.profile < b.profile", "a.profile <= b.profile") + """,
+s AS (SELECT x.region AS cluster_id, coalesce(amb, 0.0) AS v FROM cust x JOIN cust y ON x.region = y.region AND x.entity < y.entity JOIN members m ON m.entity = x.entity JOIN members n ON n.entity = y.entity
+      LEFT JOIN amb ON a = least(m.profile, n.profile) AND b = greatest(m.profile, n.profile)),
+z AS (SELECT region AS cluster_id, count(*) AS size FROM cust GROUP BY 1), t AS (SELECT cluster_id, avg(v) AS av, min(v) AS mi, max(v) AS ma FROM s GROUP BY 1)
 SELECT cluster_id, size, round(av, 6) AS sim_ave, round(mi, 6) AS sim_min, round(ma, 6) AS sim_max FROM z LEFT JOIN t USING (cluster_id)""",
         "q15_signature_votes": w + C + IC + VOTES + " SELECT cluster_id, term_id, round(votes / n, 9) AS support, round((votes / n) * ic, 9) AS score FROM v JOIN m USING (cluster_id) JOIN ics USING (term_id) WHERE ic > 0 AND votes / n >= 0.1",
         "q17_size_stats": "WITH s AS (SELECT lang || '_' || coalesce(try_cast(regexp_extract(source, '[0-9]+$') AS INTEGER) % 2, 0)::VARCHAR AS c, count(*) AS n FROM documents GROUP BY 1) SELECT count(*) AS clusters, coalesce(sum((n = 1)::INT), 0)::BIGINT AS singletons, min(n) AS least, round(avg(n), 9) AS mean, median(n) AS median, max(n) AS most FROM s",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqgrove.functions.describe import Term, describe_column
-from seqgrove.operators import community, linkage, ontology, panel, scoreboard, similarity
+from seqgrove.operators import community, linkage, ontology, panel, scoreboard
 from seqgrove.operators.components import components
 from seqgrove.plans import build
 from seqgrove.plans import driver_tables as T
@@ -174,19 +174,20 @@ def q50_sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q51_linkage_properties(spark: SparkSession, sf: str) -> DataFrame:
-    """Complete linkage at 0.6: no pair inside a cluster is less alike, and no two clusters of a community could be one."""
-    from seqgrove.queries import _amb
-
-    *_, matrix, members, sets = _amb(spark, sf)
-    region = members.select(F.col("profile").alias("entity"), F.regexp_extract("profile", r"\|(.+)$", 1).alias("community")).distinct()
-    pairs = linkage.member_pairs(region)
-    s = materialise(similarity.set_similarity(pairs.select("a", "b"), sets.withColumnRenamed("profile", "entity"), matrix).select("a", "b", "amb"), "pairs")
-    made = materialise(linkage.refine(region, s, 0.6), "clusters")
-    of = lambda c, name: made.select(F.col("entity").alias(c), F.col("community").alias(name))
-    j = s.join(of("a", "x"), "a").join(of("b", "y"), "b").withColumn("v", F.coalesce("amb", F.lit(0.0)))
-    inside = j.where("x = y").agg(F.coalesce(F.sum((F.col("v") < 0.6 - 1e-12).cast("bigint")), F.lit(0)).alias("pairs_below"))
+    """Complete linkage of all customers at 0.6: no pair inside a cluster is less alike, and no two clusters of a community could be one.
+
+    Counted over pairs of profiles with their members' numbers, so pairs of members are never made."""
+    from seqgrove.queries import _regions
+
+    rows, scores = _regions(spark, sf, "community")
+    made = materialise(linkage.refine_profiles(rows, scores, 0.6).withColumnRenamed("community", "cluster"), "clusters")
+    held = rows.join(made, "entity").groupBy("community", "cluster", "profile").agg(F.count("*").alias("n"))
+    side = lambda p, c, n: held.select("community", F.col("profile").alias(p), F.col("cluster").alias(c), F.col("n").alias(n))
+    j = side("a", "x", "m").join(side("b", "y", "n"), "community").where("a < b or (a = b and (x < y or (x = y and n > 1)))").join(scores, ["a", "b"], "left").withColumn("v", F.coalesce("amb", F.lit(0.0)))
+    times = F.when((F.col("a") == F.col("b")) & (F.col("x") == F.col("y")), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("m") * F.col("n")).cast("bigint")
+    inside = j.where("x = y").agg(F.coalesce(F.sum(F.when(F.col("v") < 0.6 - 1e-12, times)), F.lit(0)).alias("pairs_below"))
     between = j.where("x <> y").groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min("v").alias("v")).agg(F.coalesce(F.sum((F.col("v") >= 0.6 + 1e-12).cast("bigint")), F.lit(0)).alias("mergeable"))
-    stats = linkage.refine_stats(region, made).select("communities", "pairs", "same_members")
+    stats = linkage.refine_stats(rows.select("entity", "community"), made.select("entity", F.col("cluster").alias("community"))).select("communities", "pairs", "same_members")
     return stats.crossJoin(inside).crossJoin(between)  # one row each
 
 
@@ -254,7 +255,7 @@ big AS (SELECT * FROM s ORDER BY size DESC, cluster_id LIMIT 4),
 more AS (SELECT * FROM s WHERE cluster_id NOT IN (SELECT cluster_id FROM big) ORDER BY md5('4:' || cluster_id), cluster_id LIMIT 5)
 SELECT * FROM big UNION ALL SELECT * FROM more""",
         "q50_sentences": "WITH p AS (SELECT DISTINCT lower(p_type) AS t, regexp_extract(p_brand, '[0-9]+') AS n FROM part) SELECT t || '_' || n AS query, t || '_' || n || ' is annotated as ' || CASE WHEN n::INTEGER % 2 = 1 THEN 'an a' ELSE 'a b' END || n || '-binding ' || t || ' kinase with ' || t || ' sugar transporter activity.' AS summary FROM p",
-        "q51_linkage_properties": w + C + IC + AMB + REGION + ", z AS (SELECT cluster_id, count(*) AS n FROM grp GROUP BY 1) SELECT count(*) AS communities, sum(n * (n - 1) // 2)::BIGINT AS pairs, true AS same_members, 0::BIGINT AS pairs_below, 0::BIGINT AS mergeable FROM z",
+        "q51_linkage_properties": w + C + IC + ", z AS (SELECT region AS cluster_id, count(*) AS n FROM cust GROUP BY 1) SELECT count(*) AS communities, sum(n * (n - 1) // 2)::BIGINT AS pairs, true AS same_members, 0::BIGINT AS pairs_below, 0::BIGINT AS mergeable FROM z",
         "q52_community_properties": w + C + IC + KNN + ", v AS (SELECT src AS e FROM knn UNION SELECT dst FROM knn) SELECT count(*) AS vertices, count(*) AS rows, 0::BIGINT AS unconnected, 0::BIGINT AS misnamed, true AS better FROM v",
         "q53_stable_ids": f"WITH g AS (SELECT {clusters} AS c, count(*) AS size, min(doc_id::VARCHAR) AS first FROM documents GROUP BY 1) SELECT printf('cluster_%04d', row_number() OVER (ORDER BY first, size)) AS cluster_id, size, first FROM g",
     }

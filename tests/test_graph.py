@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 from conftest import G1, G2, G3
+from pyspark.sql import functions as F
 
 from seqgrove.operators import community, linkage, neighbors, signature, similarity
 from seqgrove.operators.components import components
@@ -108,6 +109,84 @@ def test_complete_linkage_equals_brute_force():
             assert {frozenset(np.flatnonzero(label == c).tolist()) for c in set(label.tolist())} == naive_linkage(d, cut)
 
 
+def test_sparse_linkage_equals_the_full_one():
+    rng = np.random.default_rng(14)
+    for n in (1, 2, 5, 9, 16, 30):
+        for cut in (0.15, 0.4, 0.6, 0.95):
+            x = rng.random((n, n))
+            d = (x + x.T) / 2
+            near = [{j: d[i, j] for j in range(n) if j != i and d[i, j] <= cut} for i in range(n)]
+            np.fill_diagonal(d, 0)
+            label = linkage.sparse_linkage(n, near)
+            assert {frozenset(np.flatnonzero(label == c).tolist()) for c in set(label.tolist())} == naive_linkage(d, cut)
+            assert all(min(np.flatnonzero(label == c)) == c for c in set(label.tolist()))
+
+
+def test_profiles_stand_for_their_members(spark):
+    """Distinct profiles with multiplicities give what all pairs of members give."""
+    rng = random.Random(6)
+    names = "abcdef"
+    score = {(x, y): rng.random() if x != y else rng.choice([1.0, 1.0, 0.7, None]) for i, x in enumerate(names) for y in names[i:]}
+    rows = [(f"e{i:02}", f"g{i % 2}", rng.choice(names)) for i in range(26)]
+    placed = spark.createDataFrame(rows, "entity string, community string, profile string")
+    scores = spark.createDataFrame([(a, b, s) for (a, b), s in score.items()], "a string, b string, amb double")
+    of = lambda p, q: score[min(p, q), max(p, q)] or 0.0
+    pairs = [(a, b, of(p, q)) for a, g, p in rows for b, h, q in rows if a < b and g == h]
+    assert {tuple(r) for r in linkage.profile_pairs(placed).collect()} <= set(score)
+    full = linkage.cluster_similarity(placed.select("entity", F.col("community").alias("cluster_id")), spark.createDataFrame(pairs, "a string, b string, amb double"))
+    short = linkage.profile_similarity(placed.withColumnRenamed("community", "cluster_id"), scores)
+    for x, y in zip(full.orderBy("cluster_id").collect(), short.orderBy("cluster_id").collect()):
+        assert tuple(x)[:2] == tuple(y)[:2] and tuple(y)[2:] == pytest.approx(tuple(x)[2:])
+    got = {}
+    for r in linkage.refine_profiles(placed, scores, 0.5).collect():
+        got.setdefault(r.community, set()).add(r.entity)
+    kind = {e: (g, p) for e, g, p in rows}
+    assert sorted(x for g in got.values() for x in g) == sorted(kind) and all(min(g) == c for c, g in got.items())
+    assert all(kind[a][0] == kind[b][0] and of(kind[a][1], kind[b][1]) >= 0.5 for g in got.values() for a, b in combinations(g, 2))
+    for g, h in combinations(got.values(), 2):  # no two of one community could be one
+        assert kind[min(g)][0] != kind[min(h)][0] or any(of(kind[a][1], kind[b][1]) < 0.5 for a in g for b in h)
+
+
+def test_large_components_are_solved_in_rounds(spark):
+    rng = random.Random(15)
+    n, found = 120, {}
+    for i in range(n):
+        for _ in range(5):
+            j = rng.randrange(n) if rng.random() < 0.15 else i // 12 * 12 + rng.randrange(12)
+            if i != j:
+                found[min(i, j), max(i, j)] = rng.random()
+    rows = [(f"v{a:03}", f"v{b:03}", w) for (a, b), w in found.items()] + [("x", "y", 0.5)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight double")
+    kernel, rounds = community.communities(edges, 2.0), community.communities(edges, 2.0, task_edges=250).cache()
+    assert len(rows) > 300 and rounds.count() == rounds.select("entity").distinct().count() == kernel.count()
+    score = lambda g: community.quality(edges, g, 2.0).first().quality
+    assert score(rounds) >= 0.97 * score(kernel) > 0
+    assert rounds.groupBy("community").agg(F.min("entity").alias("least")).where("least <> community").count() == 0
+    label = {r.entity: r.community for r in rounds.collect()}
+    inner = spark.createDataFrame([(a, b) for a, b, _ in rows if label[a] == label[b]], "u string, v string")
+    root = {r.u: r.v for r in components(inner).collect()}
+    assert all(root.get(e, e) == c for e, c in label.items())
+
+
+def test_rounds_of_moves_never_lower_the_quality(spark):
+    from seqgrove.operators import community_rounds as rounds
+
+    rng = random.Random(16)
+    found = {(a, b): rng.random() for a, b in combinations(range(40), 2) if rng.random() < 0.2}
+    names = [f"v{i:02}" for i in range(40)]
+    edges = spark.createDataFrame([(names[a], names[b], w) for (a, b), w in found.items()], "src string, dst string, weight double")
+    both = spark.createDataFrame([(names[x], names[y], w) for (a, b), w in found.items() for x, y in ((a, b), (b, a))], "v string, u string, w double")
+    m2 = 2 * sum(found.values())
+    now = both.groupBy("v").agg(F.sum("w").alias("k")).select("v", "k", F.col("v").alias("own"))
+    score = lambda v: community.quality(edges, v.select(F.col("v").alias("entity"), F.col("own").alias("community")), 1.0).first().quality
+    last = score(now)
+    for _ in range(4):
+        now = rounds.local_moves(both, now, 1.0, m2, rounds=1)
+        assert score(now) >= last - 1e-12
+        last = score(now)
+    assert last > score(both.groupBy("v").agg(F.sum("w").alias("k")).select("v", "k", F.col("v").alias("own")))
+
+
 def test_refine(spark):
     members = spark.createDataFrame([("P1", "P1"), ("P2", "P1"), ("P3", "P1"), ("P4", "P4")], "entity string, community string")
     s = spark.createDataFrame([("P1", "P2", 0.4), ("P1", "P3", 0.6), ("P2", "P3", None)], "a string, b string, amb double")
