@@ -44,6 +44,13 @@ def _libc():
         return None
 
 
+def give_back() -> None:
+    """Memory that is free in this process goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
 #: What a worker keeps from task to task, by module.
 KEPT: dict[str, tuple] = {}
 

@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_batches, discard, lean, materialise, utf8
+from .common import bounded_batches, discard, give_back, lean, materialise, utf8
 
 #: Neutral names of groups, by kind: only words of one kind are swapped. Fixed values.
 IDENTITY_TERMS = (
@@ -123,20 +124,22 @@ def _indexed(index):
     return run
 
 
-def _sparse(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    lens = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter((j for r in rows for j in r), np.int64, int(lens.sum())), np.repeat(np.arange(len(rows)), lens)
+def _sparse(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All items of lists, and the number of the list of each."""
+    return pc.list_flatten(rows).to_numpy(), np.repeat(np.arange(len(rows), dtype=np.int32), pc.list_value_length(rows).to_numpy())
 
 
 class Objective:
     """Logistic loss plus the squared changes under swaps, a mean over the sample, and a ridge on scaled weights."""
 
-    def __init__(self, y: np.ndarray, own: list[list[int]], other: list[list[list[int]]], scale: np.ndarray, cfg: Settings):
+    def __init__(self, y: np.ndarray, own: list[list[int]] | pa.ChunkedArray, other: list[list[list[int]]] | pa.ChunkedArray, scale: np.ndarray, cfg: Settings):
         self.y, self.scale, self.cfg, self.m, self.k = y, scale, cfg, len(y), len(scale)
+        ints = pa.list_(pa.int32())
+        own, other = (x if isinstance(x, pa.ChunkedArray) else pa.chunked_array([x], t) for x, t in ((own, ints), (other, pa.list_(ints))))
         self.col, self.row = _sparse(own)
-        pairs = [(i, x) for i, xs in enumerate(other) for x in xs]
-        self.pcol, self.prow = _sparse([x for _, x in pairs])
-        self.of = np.array([i for i, _ in pairs], dtype=np.int64)
+        swapped_rows = pc.list_flatten(other)
+        self.pcol, self.prow = _sparse(swapped_rows)
+        self.of = np.repeat(np.arange(len(other)), pc.list_value_length(other).to_numpy())
 
     def scores(self, v: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray]:
         w = v * self.scale
@@ -155,7 +158,7 @@ class Objective:
         return g * self.scale + self.cfg.ridge * v, float(err.sum())
 
 
-def fit_weights(y: np.ndarray, own: list[list[int]], other: list[list[list[int]]], scale: np.ndarray, cfg: Settings) -> tuple[np.ndarray, float]:
+def fit_weights(y: np.ndarray, own, other, scale: np.ndarray, cfg: Settings) -> tuple[np.ndarray, float]:
     """Weights and intercept by Adam on the whole sample; deterministic."""
     objective, m, k = Objective(y, own, other, scale, cfg), len(y), len(scale)
     v, b = np.ones(k) * 0.5, float(np.log((y.sum() + 0.5) / (m - y.sum() + 0.5))) - 1.0
@@ -209,8 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, cfg:
     index = spark.sparkContext.broadcast(at)
     coded = rows.mapInArrow(lean(_indexed(index)), "toxic int, own array<int>, other array<array<int>>").toArrow()  # the sample, as feature numbers
     scale = np.array([lift[f] for f in at])
-    w, b = fit_weights(np.array(coded["toxic"].to_pylist(), dtype=float), coded["own"].to_pylist(), coded["other"].to_pylist(), scale, cfg)
+    w, b = fit_weights(coded["toxic"].to_numpy().astype(float), coded["own"], coded["other"], scale, cfg)
+    del coded
     discard(rows)
+    give_back()
     return Model({f: float(w[i]) for f, i in at.items()}, b, cfg.threshold)
 
 
