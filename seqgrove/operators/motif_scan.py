@@ -23,7 +23,8 @@ def presence(sequence: Column, pattern: str) -> Column:
 def scan(sequences: DataFrame, motifs: list[tuple[str, str]], many: int = MANY) -> DataFrame:
     """accession, motif_id: one row for each motif that occurs in a sequence; no row otherwise.
 
-    motifs: (name, pattern). A sequence is read once for all motifs and nothing is shuffled."""
+    motifs: (name, pattern). A sequence is read once for all motifs and nothing is shuffled. Of many motifs only those whose literal an automaton
+    of all literals finds, and those without one, are tried."""
     if not motifs:
         return sequences.select("accession", F.lit("").alias("motif_id")).limit(0)
     for name, pattern in motifs:
@@ -35,12 +36,22 @@ def scan(sequences: DataFrame, motifs: list[tuple[str, str]], many: int = MANY)
     ship(sequences.sparkSession)
 
     def run(batches):
-        tests = [(name, ml.literal(p), ml.compiled(p), p) for name, p in motifs]
+        of, free, words = [(name, ml.compiled(p), p) for name, p in motifs], [], {}
+        for i, (_, p) in enumerate(motifs):
+            if lit := ml.literal(p):
+                words.setdefault(lit, []).append(i)
+            else:
+                free.append(i)
+        at = _automaton(words)
         for b in batches:
             acc, ids = [], []
             for a, seq in zip(b.column("accession").to_pylist(), b.column("sequence").to_pylist()):
-                for name, lit, regex, p in tests if seq else ():
-                    if (lit is None or lit in seq) and _found(regex, p, seq):
+                if not seq:
+                    continue
+                may = free + [i for lit in {lit for _, lit in at.iter(seq)} for i in words[lit]] if at else free
+                for i in sorted(may):
+                    name, regex, p = of[i]
+                    if _found(regex, p, seq):
                         acc.append(a)
                         ids.append(name)
             yield pa.RecordBatch.from_pydict({"accession": pa.array(acc, pa.string()), "motif_id": pa.array(ids, pa.string())})
@@ -48,6 +59,17 @@ def scan(sequences: DataFrame, motifs: list[tuple[str, str]], many: int = MANY)
     return sequences.select(F.col("accession").cast("string").alias("accession"), "sequence").mapInArrow(run, "accession string, motif_id string")
 
 
+def _automaton(words):
+    """All literals in one pass of a sequence, however many there are."""
+    import ahocorasick
+
+    at = ahocorasick.Automaton()
+    for w in words:
+        at.add_word(w, w)
+    at.make_automaton()
+    return at if words else None
+
+
 def _found(regex, pattern: str, seq: str) -> bool:
     if not ml.ends_at_terminus(pattern):
         m = regex.search(seq)

@@ -87,20 +87,24 @@ def scores(hits: DataFrame, board: DataFrame) -> DataFrame:
 def calibration(hits: DataFrame, members: DataFrame, board: DataFrame, cfg: BoardConfig = BoardConfig(), thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """A row a threshold: eligible, covered, coverage, top1, top3, set accuracy, avg_predictions.
 
-    Scores below a threshold only shorten the ranking, so ranks are taken once and each entity says up to
-    which threshold it is covered, and its own cluster in the set."""
+    Scores below a threshold only shorten the ranking, so ranks are taken once, and each score is counted once, in the bin of the
+    highest threshold that it reaches."""
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size")).where(F.col("size") >= cfg.min_cluster_size)
     eligible = members.join(sizes.select("cluster_id"), "cluster_id", "left_semi")
     s = scores(hits.join(eligible.select("entity"), "entity", "left_semi"), board)
     rank = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("score"), "cluster_id"))
     s = s.withColumn("rank", rank).join(eligible.withColumnRenamed("cluster_id", "own"), "entity")
-    grid = F.explode(F.array(*[F.lit(t) for t in thresholds]))
     hit = F.col("cluster_id") == F.col("own")
     one = lambda c: F.sum(c.cast("bigint"))
-    per = s.select("*", grid.alias("threshold")).where(F.col("score") >= F.col("threshold")).groupBy("threshold").agg(one(F.col("rank") == 1).alias("covered"), one(hit & (F.col("rank") == 1)).alias("top1"), one(hit & (F.col("rank") <= 3)).alias("top3"), one(hit).alias("in_set"), F.count("*").alias("predictions"))
+    # a score counts at the thresholds up to it: a histogram by their number, and sums over its upper bins
+    steps = sorted(thresholds)
+    level = F.size(F.filter(F.array(*[F.lit(float(t)) for t in steps]), lambda t: t <= F.col("score")))
+    bins = s.withColumn("level", level).where(F.col("level") > 0).groupBy("level").agg(one(F.col("rank") == 1).alias("covered"), one(hit & (F.col("rank") == 1)).alias("top1"), one(hit & (F.col("rank") <= 3)).alias("top3"), one(hit).alias("in_set"), F.count("*").alias("predictions"))
     n = eligible.agg(F.count("*").alias("eligible"))
-    base = members.sparkSession.range(1).select(grid.alias("threshold")).crossJoin(n)  # the grid
-    t = base.join(per, "threshold", "left")
+    grid = F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(i + 1).alias("step")) for i, t in enumerate(steps)]))
+    base = members.sparkSession.range(1).select(grid.alias("g")).select("g.*").crossJoin(n)  # the grid
+    kinds = ("covered", "top1", "top3", "in_set", "predictions")
+    t = base.join(F.broadcast(bins), F.col("level") >= F.col("step"), "left").groupBy("threshold", "eligible").agg(*[F.sum(c).alias(c) for c in kinds])  # a row a threshold on both sides
     covered = F.coalesce("covered", F.lit(0))
     share = lambda c: F.when(covered > 0, F.col(c) / covered)
     return t.select("threshold", "eligible", covered.alias("covered"), F.when(F.col("eligible") > 0, covered / F.col("eligible")).otherwise(0.0).alias("coverage"), share("top1").alias("top1_accuracy"), share("top3").alias("top3_accuracy"), share("in_set").alias("set_accuracy"), F.when(covered > 0, F.col("predictions") / covered).otherwise(0.0).alias("avg_predictions"))

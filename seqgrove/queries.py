@@ -178,8 +178,13 @@ def q21_contingency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q22_counters(spark: SparkSession, sf: str) -> DataFrame:
-    members, raw, hits, rated = _board(spark, sf)
-    return scoreboard.counters(hits, members, rated, raw, BOARD)
+    """Clusters of all languages but one, whose hits are outside, and hits that documents of even sources tell twice."""
+    docs = T.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("accession"), "lang", "source")
+    members = T.document_clusters(spark, sf).join(docs.where("lang <> 'es'").select(F.col("accession").alias("entity")), "entity", "left_semi")
+    raw = materialise(_hits(spark, sf), "raw-hits")
+    raw = raw.unionByName(raw.join(docs.where("try_cast(regexp_extract(source, '[0-9]+$', 0) as int) % 2 = 0").select("accession"), "accession", "left_semi"))
+    hits = materialise(scoreboard.clean_hits(raw, members), "hits")
+    return scoreboard.counters(hits, members, scoreboard.weighted(scoreboard.contingency(hits, members, BOARD), BOARD), raw, BOARD)
 
 
 def q23_calibration(spark: SparkSession, sf: str) -> DataFrame:
@@ -446,10 +451,12 @@ SELECT cluster_id, size, round(av, 6) AS sim_ave, round(mi, 6) AS sim_min, round
         "q19_motif_features": _features_sql(),
         "q20_motif_matches": _matches_sql(),
         "q21_contingency": "WITH " + BOARD_SQL + " SELECT motif_id, cluster_id, tp, fp, fn, tn, round(weight, 9) AS weight, status FROM rated",
-        "q22_counters": "WITH " + BOARD_SQL + """, x AS (SELECT (SELECT count(*) FROM members) AS accessions, (SELECT count(*) FROM sizes) AS clusters, (SELECT count(*) FROM sizes WHERE size < 10) AS small, (SELECT count(DISTINCT motif_id) FROM hits) AS motifs, (SELECT count(*) FROM hits) AS motif_hit_rows,
+        "q22_counters": "WITH " + BOARD_SQL.replace("hits AS (", "every_hit AS (", 1).replace("members AS (", """docs AS (SELECT doc_id::VARCHAR AS entity, lang, coalesce(try_cast(regexp_extract(source, '[0-9]+$') AS INTEGER) % 2 = 0, false) AS twice FROM documents),
+hits AS (SELECT entity, motif_id FROM every_hit JOIN docs USING (entity) WHERE lang <> 'es'),
+members AS (""", 1).replace("FROM documents),\nsizes", "FROM documents WHERE lang <> 'es'),\nsizes", 1) + """, x AS (SELECT (SELECT count(*) FROM members) AS accessions, (SELECT count(*) FROM sizes) AS clusters, (SELECT count(*) FROM sizes WHERE size < 10) AS small, (SELECT count(DISTINCT motif_id) FROM hits) AS motifs, (SELECT count(*) FROM hits) AS motif_hit_rows,
  (SELECT count(*) FROM rated WHERE status = 'background_unavailable') AS bu, (SELECT count(*) FROM rated WHERE status = 'non_positive') AS np, (SELECT count(*) FROM rated WHERE status = 'stored') AS st)
 SELECT accessions, clusters, small AS clusters_below_min_size, clusters - small AS eligible_clusters, motifs, motif_hit_rows, clusters * motifs AS potential, small * motifs AS ignored_cluster_size,
- (clusters - small) * motifs - bu - np - st AS ignored_low_support, bu AS ignored_background_unavailable, np AS ignored_non_positive_weight, st AS stored_weights, 0::BIGINT AS motif_hits_outside_clusters, 0::BIGINT AS duplicate_motif_hits FROM x""",
+ (clusters - small) * motifs - bu - np - st AS ignored_low_support, bu AS ignored_background_unavailable, np AS ignored_non_positive_weight, st AS stored_weights, (SELECT sum(1 + twice::INT)::BIGINT FROM every_hit JOIN docs USING (entity) WHERE lang = 'es' OR lang IS NULL) AS motif_hits_outside_clusters, (SELECT sum(twice::INT)::BIGINT FROM hits JOIN docs USING (entity)) AS duplicate_motif_hits FROM x""",
         "q23_calibration": "WITH " + BOARD_SQL + """, el AS (SELECT entity, cluster_id AS own FROM members JOIN sizes USING (cluster_id) WHERE size >= 10),
 grid AS (SELECT unnest([0.5, 1.0, 1.5, 2.0, 2.5, 3.0])::DOUBLE AS threshold),
 s AS (SELECT threshold, entity, cluster_id, max(weight) AS score FROM hits JOIN board USING (motif_id), grid WHERE weight >= threshold AND entity IN (SELECT entity FROM el) GROUP BY 1, 2, 3),

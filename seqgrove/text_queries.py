@@ -15,13 +15,17 @@ from seqgrove.storage import fresh_path, materialise
 
 
 def written(spark: SparkSession, records: DataFrame, separator: str = "\n", head: str | None = None, gz: bool = False) -> str:
-    """One text file of ``value`` rows, after the line(s) of ``head``."""
-    path = fresh_path(spark, "text")
+    """Text files of ``value`` rows, written and later read in parallel, each after the line(s) of ``head``.
+
+    Rows go to files by a hash: of ``key`` where there is one, those of one key in the order of ``ord``."""
+    path, files = fresh_path(spark, "text"), spark.sparkContext.defaultParallelism
+    has = lambda c, other: F.col(c) if c in records.columns else other
+    rows = records.select("value", F.pmod(F.xxhash64(has("key", F.col("value"))), F.lit(files)).cast("int").alias("file"), has("ord", F.lit(1)).cast("int").alias("ord"))
     if head is not None:
-        records = spark.createDataFrame([(head,)], "value string").coalesce(1).union(records.coalesce(1))
-    w = records.select("value").coalesce(1).write.option("lineSep", separator)
+        rows = rows.unionByName(spark.range(files).select(F.lit(head).alias("value"), F.col("id").cast("int").alias("file"), F.lit(-1).alias("ord")))
+    w = rows.repartition(files, "file").sortWithinPartitions("file", "ord").select("value", "file").write.partitionBy("file").option("lineSep", separator)
     (w.option("compression", "gzip") if gz else w).text(path)
-    return path
+    return f"{path}/*"
 
 
 def _id(c: Column) -> Column:
@@ -65,7 +69,8 @@ def q37_profile_file(spark: SparkSession, sf: str) -> DataFrame:
     """Profiles of good evidence, written, and read with repeated and later lines."""
     p = tables.profiles_of(q35_annotations(spark, sf))
     line = F.concat("entity", F.lit("\t"), F.array_join("term_ids", "; "), F.lit(" "), F.col("term_ids")[0])
-    back = tables.read_profiles(spark, written(spark, p.select(line.alias("value")), head="O1\tGO:9999999\n"))
+    earlier = spark.range(1).select(F.lit("O1\tGO:9999999\n").alias("value"), F.lit("O1").alias("key"), F.lit(0).alias("ord"))
+    back = tables.read_profiles(spark, written(spark, p.select(line.alias("value"), F.col("entity").alias("key"), F.lit(1).alias("ord")).unionByName(earlier)))
     return back.select("entity", F.array_join("term_ids", ";").alias("terms"))
 
 
@@ -148,9 +153,10 @@ def q47_motif_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q48_missing_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers without an order."""
+    """Customers none of whose orders is urgent: an urgent order is what gives a profile."""
     members = T.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("entity"))
-    return tables.without_profile(members, T.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("entity")))
+    urgent = T.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    return tables.without_profile(members, urgent.select(F.col("o_custkey").cast("string").alias("entity")))
 
 
 def q49_panel_candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,7 +255,7 @@ SELECT replace(term_id, ' ', '_') AS term_id, lower(regexp_replace(term_id, '^[A
         "q45_role_counts": "WITH r AS (" + parts["q27"] + ") SELECT source, role, count(*) AS terms FROM r GROUP BY 1, 2",
         "q46_propagation_counters": w + P + "x AS (SELECT DISTINCT entity, term_id, regexp_extract(term_id, '\\|Brand#(\\d)', 1) AS b FROM prof), y AS (SELECT entity, count(*) AS n, sum((b IN ('1', '2'))::INT) AS s, sum((b = '2')::INT) AS o FROM x GROUP BY 1) SELECT sum(n)::BIGINT AS annotations, sum(s)::BIGINT AS skipped, sum(o)::BIGINT AS obsolete, sum((s = n)::INT)::BIGINT AS entities_without_terms FROM y",
         "q47_motif_rows": "WITH " + parts["BOARD"] + ", d AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', 'matches {p}')" for n, p in T.MOTIFS[::2]) + ") v(motif_id, said)) SELECT cluster_id, motif_id, coalesce(said, '') AS description, round(weight, 9) AS weight FROM board LEFT JOIN d USING (motif_id)",
-        "q48_missing_profiles": "SELECT c_custkey::VARCHAR AS entity FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+        "q48_missing_profiles": "SELECT c_custkey::VARCHAR AS entity FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')",
         "q49_panel_candidates": w + C + """s AS (SELECT nation AS cluster_id, count(*) AS size FROM cust WHERE region <> 'ASIA' GROUP BY 1 HAVING count(*) >= 3),
 big AS (SELECT * FROM s ORDER BY size DESC, cluster_id LIMIT 4),
 more AS (SELECT * FROM s WHERE cluster_id NOT IN (SELECT cluster_id FROM big) ORDER BY md5('4:' || cluster_id), cluster_id LIMIT 5)
