@@ -13,7 +13,7 @@ from seqgrove.plans.build import EXPORTS
 
 
 #: Options of the panel command: name, kind, default. Fixed values.
-PANEL = (("clusters", int, 4), ("members", int, 5), ("candidates", int, 200), ("low", float, 0.5), ("high", float, 0.8), ("most_identity", float, 0.9), ("attempts", int, 1000), ("seed", int, 1))
+PANEL = (("clusters", int, 4), ("members", int, 5), ("candidates", int, 200), ("low", float, 0.5), ("high", float, 0.8), ("most_identity", float, 0.9), ("attempts", int, 1000), ("pool", int, 20), ("seed", int, 1))
 
 
 def _session(level: str = "ERROR"):

@@ -6,92 +6,65 @@ adds it at distance 0. Profiles are (entity, term_id) rows.
 
 from __future__ import annotations
 
-from collections import deque
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqgrove.storage import discard, materialise
-
-
-#: Edges of an ontology that one task holds with ease; larger graphs are joined in rounds, with equal results.
-SMALL_EDGES = 500_000
-
-
-def _is_small(edges: DataFrame) -> bool:
-    return edges.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES
-
+from seqgrove.storage import materialise
 
-def _walk(neighbours: dict[str, list[str]], start: str) -> dict[str, int]:
-    """Least numbers of steps (1 at least) to everything that ``start`` leads to."""
-    dist, todo = {}, deque((x, 1) for x in neighbours.get(start, ()))
-    while todo:
-        x, d = todo.popleft()
-        if x not in dist:
-            dist[x] = d
-            todo.extend((y, d + 1) for y in neighbours.get(x, ()) if y not in dist)
-    return dist
+#: Levels of an ontology at most. No path of a graph without cycles has more steps than the graph has edges, so
+#: a small graph with a cycle ends there; deeper recursion is an error.
+MOST_LEVELS = 1000
 
 
-def _in_one_task(edges: DataFrame, starts, key: str, to: str, names: tuple[str, str, str]) -> DataFrame:
-    """names (start, reached, steps) for each of ``starts`` (None: every key)."""
-
-    def run(batches):
-        neighbours: dict[str, list[str]] = {}
-        for b in batches:
-            for a, z in zip(b.column(key).to_pylist(), b.column(to).to_pylist()):
-                neighbours.setdefault(a, []).append(z)
-        rows = [(s, x, d) for s in (sorted(neighbours) if starts is None else starts) for x, d in _walk(neighbours, s).items()]
-        cols = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32())], names=list(names))
-
-    one = edges.select(F.col(key).cast("string").alias(key), F.col(to).cast("string").alias(to)).distinct().repartition(1)
-    return materialise(one.mapInArrow(run, f"{names[0]} string, {names[1]} string, {names[2]} int"), "walk")
+def _recursive(edges: DataFrame, sql: str) -> DataFrame:
+    """A recursive query over ``{edges}``. Each level's rows are distinct, so paths that meet are followed once."""
+    spark = edges.sparkSession
+    # Spark stops a recursion at a million rows by default; here its end is the graph's depth
+    if spark.conf.get("spark.sql.cteRecursionRowLimit") == "1000000":
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    links = materialise(edges.select(F.col("child").cast("string").alias("child"), F.col("parent").cast("string").alias("parent")).distinct(), "edges")
+    return materialise(spark.sql(sql, edges=links, most=min(links.count(), MOST_LEVELS - 1)), "walk")
 
 
 def reachable(edges: DataFrame, root: str) -> DataFrame:
-    """term_id, depth: every term under ``root`` with its least distance from it, the root included.
-
-    Breadth first: each level is the children of the last, less what is known; one join a level where the graph is large."""
-    spark = edges.sparkSession
-    if _is_small(edges):
-        found = _in_one_task(edges, [root], "parent", "child", ("root", "term_id", "depth")).select("term_id", "depth").where(F.col("term_id") != root)
-        return found.unionByName(spark.range(1).select(F.lit(root).alias("term_id"), F.lit(0).alias("depth")))
-    known = materialise(spark.range(1).select(F.lit(root).alias("term_id"), F.lit(0).alias("depth")), "depth")
-    size = 1
-    for level in range(1, 1 << 20):
-        last = known.where(F.col("depth") == level - 1)
-        new = edges.join(last, edges["parent"] == last["term_id"]).select(F.col("child").alias("term_id"), F.lit(level).alias("depth"))
-        grown = materialise(known.unionByName(new).groupBy("term_id").agg(F.min("depth").alias("depth")), "depth")
-        discard(known)
-        known, now = grown, grown.count()
-        if now == size:
-            return known
-        size = now
-    return known
-
-
-def closure(edges: DataFrame, most_rounds: int = 30) -> DataFrame:
-    """term_id, ancestor, dist (least number of edges): all pairs.
-
-    A graph of up to ``SMALL_EDGES`` edges is walked in one task. In a larger one each round joins the pairs with themselves, so paths double in length and a DAG of depth d needs
-    log2(d) + 1 rounds. Distances are exact, as every part of a shortest path is shortest."""
-    if _is_small(edges):
-        return _in_one_task(edges, None, "child", "parent", ("term_id", "ancestor", "dist"))
-    known = materialise(edges.select(F.col("child").alias("term_id"), F.col("parent").alias("ancestor"), F.lit(1).alias("dist")).distinct(), "closure")
-    size = lambda d: tuple(d.agg(F.count("*"), F.sum("dist")).first())
-    last = size(known)
-    for _ in range(most_rounds):
-        up = known.select(F.col("term_id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("dist").alias("more"))
-        longer = known.join(up, "ancestor").select("term_id", F.col("next").alias("ancestor"), (F.col("dist") + F.col("more")).alias("dist"))
-        grown = materialise(known.unionByName(longer).groupBy("term_id", "ancestor").agg(F.min("dist").alias("dist")), "closure")
-        discard(known)
-        known, now = grown, size(grown)
-        if now == last:
-            return known
-        last = now
-    raise ValueError("the closure did not settle")
+    """term_id, depth: every term under ``root`` with its least distance from it, the root included; a level a step."""
+    start = root.replace("\\", "\\\\").replace("'", "\\'")
+    return _recursive(
+        edges,
+        f"""WITH RECURSIVE walk(term_id, depth) MAX RECURSION LEVEL {MOST_LEVELS} AS (
+            SELECT '{start}', 0 UNION ALL
+            SELECT DISTINCT e.child, w.depth + 1 FROM walk w JOIN {{edges}} e ON w.term_id = e.parent WHERE w.depth < {{most}})
+            SELECT term_id, min(depth) AS depth FROM walk GROUP BY term_id""",
+    )
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """term_id, ancestor, dist (least number of edges): all pairs; as many joins as the graph has levels."""
+    return _recursive(
+        edges,
+        f"""WITH RECURSIVE walk(term_id, ancestor, dist) MAX RECURSION LEVEL {MOST_LEVELS} AS (
+            SELECT child, parent, 1 FROM {{edges}} UNION ALL
+            SELECT DISTINCT w.term_id, e.parent, w.dist + 1 FROM walk w JOIN {{edges}} e ON w.ancestor = e.child WHERE w.dist < {{most}})
+            SELECT term_id, ancestor, min(dist) AS dist FROM walk GROUP BY term_id, ancestor""",
+    )
+
+
+def root_paths(edges: DataFrame, root: str) -> DataFrame:
+    """term_id, path: the canonical path of every reachable term, from itself to the root: the shortest, and of these the
+    one whose parents come first in order.
+
+    Each term has one next step, its least parent a level nearer to the root, so a path is followed without branching."""
+    depth = reachable(edges, root)
+    up = edges.join(depth.select(F.col("term_id").alias("child"), F.col("depth").alias("d")), "child").join(depth.select(F.col("term_id").alias("parent"), F.col("depth").alias("e")), "parent")
+    step = up.where("d = e + 1").groupBy("child").agg(F.min("parent").alias("parent"))
+    paths = _recursive(
+        step,
+        f"""WITH RECURSIVE walk(term_id, at, path) MAX RECURSION LEVEL {MOST_LEVELS} AS (
+            SELECT child, parent, array(child, parent) FROM {{edges}} UNION ALL
+            SELECT w.term_id, e.parent, concat(w.path, array(e.parent)) FROM walk w JOIN {{edges}} e ON w.at = e.child)
+            SELECT term_id, max_by(path, size(path)) AS path FROM walk GROUP BY term_id""",
+    )
+    return paths.unionByName(edges.sparkSession.range(1).select(F.lit(root).alias("term_id"), F.array(F.lit(root)).alias("path")))
 
 
 def reflexive(terms: DataFrame, closure_rows: DataFrame) -> DataFrame:

@@ -30,9 +30,14 @@ def contingency(hits: DataFrame, members: DataFrame, cfg: BoardConfig = BoardCon
     """motif_id, cluster_id, size and tp, fp, fn, tn of every combination with a hit in an eligible cluster.
 
     hits: distinct (entity, motif_id) of members; members: (entity, cluster_id)."""
-    n = members.agg(F.count("*").alias("n"))
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
     tp = hits.join(members, "entity").groupBy("motif_id", "cluster_id").agg(F.count("*").alias("tp"))
+    return contingency_of(tp, sizes, cfg)
+
+
+def contingency_of(tp: DataFrame, sizes: DataFrame, cfg: BoardConfig = BoardConfig()) -> DataFrame:
+    """``contingency`` of counts: tp (motif_id, cluster_id, tp), sizes (cluster_id, size)."""
+    n = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"))
     # all of a motif's hits: a sum of what is counted already
     total = tp.groupBy("motif_id").agg(F.sum("tp").alias("hits"))
     c = tp.join(sizes.where(F.col("size") >= cfg.min_cluster_size), "cluster_id").join(total, "motif_id").crossJoin(F.broadcast(n))  # one row

@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 def mica(pairs: DataFrame, reflexive_rows: DataFrame, ics: DataFrame) -> DataFrame:
     """(t1, t2) -> mica, mica_ic: the common ancestor (terms included) of greatest ic, larger id among equals.
 
-    Ancestors without ic don't count; pairs without a common ancestor have nulls."""
-    up = reflexive_rows.join(ics.where("ic is not null").select(F.col("term_id").alias("ancestor"), "ic"), "ancestor").select("term_id", "ancestor", "ic")
-    a = up.select(F.col("term_id").alias("t1"), "ancestor", "ic")
-    b = up.select(F.col("term_id").alias("t2"), "ancestor")
-    best = pairs.select("t1", "t2").distinct().join(a, "t1").join(b, ["t2", "ancestor"]).groupBy("t1", "t2").agg(F.max(F.struct("ic", "ancestor")).alias("best"))
-    return pairs.join(best, ["t1", "t2"], "left").select(*pairs.columns, F.col("best.ancestor").alias("mica"), F.col("best.ic").alias("mica_ic"))
+    Ancestors without ic don't count; pairs without a common ancestor have nulls. A pair meets two sets, not its common ancestors one by one."""
+    above = ancestor_sets(reflexive_rows, ics)
+    j = pairs.select("t1", "t2").distinct()
+    for t in ("t1", "t2"):
+        j = j.join(above.select(F.col("term_id").alias(t), F.col("ancestors").alias(f"{t}_up"), F.col("ics").alias(f"{t}_ics")), t, "left")
+    # the intersection keeps the order of its first side, so its first element has the greatest ic
+    first = F.get(F.array_intersect("t1_up", "t2_up"), F.lit(0))
+    best = j.select("t1", "t2", first.alias("mica"), "t1_up", "t1_ics").select("t1", "t2", "mica", F.get("t1_ics", F.array_position("t1_up", F.col("mica")) - 1).alias("mica_ic"))
+    return pairs.join(best, ["t1", "t2"], "left").select(*pairs.columns, "mica", "mica_ic")
+
+
+def ancestor_sets(reflexive_rows: DataFrame, ics: DataFrame) -> DataFrame:
+    """term_id, ancestors, ics: each term's ancestors with an ic (itself included), those of greatest ic first, larger ids among equals."""
+    up = reflexive_rows.select("term_id", "ancestor").join(ics.where("ic is not null").select(F.col("term_id").alias("ancestor"), "ic"), "ancestor")
+    sets = up.groupBy("term_id").agg(F.sort_array(F.collect_set(F.struct("ic", "ancestor")), False).alias("up"))
+    return sets.select("term_id", F.col("up.ancestor").alias("ancestors"), F.col("up.ic").alias("ics"))
 
 
 def lin_expr(ic1: Column, ic2: Column, mica_ic: Column) -> Column:

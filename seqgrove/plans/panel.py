@@ -24,9 +24,12 @@ class PanelConfig:
     high: float = 0.8
     most_identity: float = 0.9
     attempts: int = 1000
+    pool: int = 20
     seed: int = 1
 
     def __post_init__(self):
+        if self.pool < self.members:
+            raise ValueError("pool is at least members")
         if self.clusters < 2 or self.members < 2 or self.attempts < 1 or self.candidates < self.clusters:
             raise ValueError("clusters and members are at least 2, attempts at least 1, candidates at least as many as clusters")
         if not 0 <= self.low <= self.high <= 1 or not 0 <= self.most_identity <= 1:
@@ -49,12 +52,13 @@ def run(spark: SparkSession, folder: str, out: str, cfg: PanelConfig = PanelConf
     scored = similarity.set_similarity(pairs, sets, lin).collect()  # pairs of the candidates
     alike = {(r["a"], r["b"]): r["amb"] for r in scored}
     draw = random.Random(cfg.seed)
-    diverse = {}
-    for name in names:
-        pool = {r["accession"]: r["sequence"] for r in known.where(F.col("cluster_id") == name).join(sequences.withColumnRenamed("accession", "entity"), "entity").orderBy("entity").select(F.col("entity").alias("accession"), "sequence").limit(1000).collect()}
-        if (some := panel.diverse(pool, cfg.members, cfg.most_identity)) is not None:
-            diverse[name] = some
+    pool = panel.pools(known.where(F.col("cluster_id").isin(names)), sequences, cfg.pool, cfg.seed)
+    diverse: dict[str, list[str]] = {}
+    for r in panel.diverse_members(pool, cfg.members, cfg.most_identity).orderBy("cluster_id", "place").collect():  # candidates times members
+        diverse.setdefault(r["cluster_id"], []).append(r["entity"])
     got = panel.panel(sorted(diverse), alike, cfg.clusters, cfg.low, cfg.high, cfg.attempts, draw)
+    if got is None:  # chance has found none: look at all
+        got = panel.exact_panel(spark, sorted(diverse), alike, cfg.clusters, cfg.low, cfg.high)
     if got is None:
         raise ValueError("no panel fits: widen the bounds, or take fewer clusters or members")
     got = sorted(got)

@@ -10,7 +10,7 @@ from seqgrove.operators import community, linkage, ontology, panel, scoreboard
 from seqgrove.operators.components import components
 from seqgrove.plans import build
 from seqgrove.plans import driver_tables as T
-from seqgrove.sources import flatfiles, tables
+from seqgrove.sources import fasta_index, flatfiles, tables
 from seqgrove.storage import fresh_path, materialise
 
 
@@ -220,9 +220,17 @@ def q53_stable_ids(spark: SparkSession, sf: str) -> DataFrame:
     return community.stable_ids(m).groupBy("cluster_id").agg(F.count("*").alias("size"), F.min("entity").alias("first"))
 
 
+def q56_indexed_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequences of orders that are not open, written as FASTA with an index, and those of all orders looked up by it."""
+    o = T.table(spark, sf, "orders").select(F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("accession"), "o_orderstatus", F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]", "")).alias("sequence"))
+    path = fresh_path(spark, "fasta")
+    fasta_index.write_fasta(o.where("o_orderstatus <> 'O'"), path)
+    return fasta_index.indexed_sequences(spark, path, o)
+
+
 QUERIES = {f.__name__: f for f in (
     q34_ontology_file, q35_annotations, q36_sequences, q37_profile_file, q38_excluded, q39_motif_library, q40_prosite_counts, q41_member_file, q42_hit_file, q43_meta_file,
-    q44_fasta, q45_role_counts, q46_propagation_counters, q47_motif_rows, q48_missing_profiles, q49_panel_candidates, q50_sentences, q51_linkage_properties, q52_community_properties, q53_stable_ids,
+    q44_fasta, q45_role_counts, q46_propagation_counters, q47_motif_rows, q48_missing_profiles, q49_panel_candidates, q50_sentences, q51_linkage_properties, q52_community_properties, q53_stable_ids, q56_indexed_sequences,
 )}
 
 NOTES = """WITH n AS (
@@ -244,6 +252,7 @@ deep AS (SELECT term_id, dist FROM up WHERE ancestor = 'ROOT' UNION ALL SELECT '
 SELECT replace(term_id, ' ', '_') AS term_id, lower(regexp_replace(term_id, '^[A-Z]+:', '')) AS name, dist AS depth, coalesce(parents, '') AS parents FROM terms JOIN deep USING (term_id) LEFT JOIN above USING (term_id)""",
         "q35_annotations": NOTES.replace("+ 1 AS ord", "+ 0 AS ord") + "SELECT * FROM a",
         "q36_sequences": "WITH s AS (SELECT 'O' || o_orderkey AS accession, lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) AS sequence FROM orders WHERE o_orderstatus <> 'O') SELECT accession, sequence, length(sequence)::INTEGER AS length FROM s",
+        "q56_indexed_sequences": "SELECT 'O' || o_orderkey AS accession, CASE WHEN o_orderstatus <> 'O' THEN lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) END AS sequence FROM orders",
         "q37_profile_file": NOTES + "SELECT entity, string_agg(term_id, ';' ORDER BY term_id) AS terms FROM (SELECT DISTINCT entity, term_id FROM a WHERE namespace = 'F' AND evidence = 'EXP') GROUP BY 1" + " UNION ALL SELECT 'O1', 'GO:9999999' WHERE NOT EXISTS (SELECT 1 FROM a WHERE entity = 'O1' AND namespace = 'F' AND evidence = 'EXP')",
         "q38_excluded": NOTES + "SELECT entity, term_id, evidence FROM a WHERE namespace = 'F' AND evidence = 'ND'",
         "q39_motif_library": PATTERNS + "SELECT 'B' || b || '_' || n AS name, 'Brand ' || b AS description, '<?(2,' || n || ')[AC]!PAAA[DN]?(2)' AS pattern, 'translated' AS status FROM p WHERE n % 10 <> 0 AND n % 7 <> 0 AND n >= 2",

@@ -1,3 +1,5 @@
+import random
+from itertools import combinations
 import math
 
 import pytest
@@ -128,3 +130,28 @@ def test_panel(spark):
     sizes = spark.createDataFrame([("a", 9), ("b", 8), ("c", 1), ("d", 7), ("e", 6)], "cluster_id string, size long")
     some = [r.cluster_id for r in panel.prefilter(sizes, sizes.where("cluster_id <> 'e'"), 2, 3).collect()]
     assert some[0] == "a" and set(some) == {"a", "b", "d"} and panel.prefilter(sizes, sizes, 7, 9).count() == 3
+
+
+def test_exact_panel_equals_brute_force(spark):
+    rng = random.Random(7)
+    names = [f"c{i:02}" for i in range(20)]
+    sim = {(a, b): rng.random() for a, b in combinations(names, 2)}
+    for n, low in ((2, 0.5), (4, 0.35), (5, 0.3), (6, 0.45)):
+        ok = lambda g: all(low <= sim[p] <= 0.8 for p in combinations(g, 2))
+        assert panel.exact_panel(spark, names, sim, n, low, 0.8) == next((list(g) for g in combinations(names, n) if ok(g)), None)
+
+
+def test_pools_and_diverse_members(spark):
+    rng = random.Random(3)
+    rows = [(f"e{i:03}", "abc"[i % 3]) for i in range(90)] + [("lone", "d")]
+    seqs = {e: "".join(rng.choice("AC") for _ in range(12)) for e, _ in rows}
+    members = spark.createDataFrame(rows, "entity string, cluster_id string")
+    pool = panel.pools(members, spark.createDataFrame(list(seqs.items()), "accession string, sequence string"), 10, 1)
+    drawn = {}
+    for r in pool.orderBy("turn").collect():
+        drawn.setdefault(r.cluster_id, {})[r.entity] = r.sequence
+    assert {c: len(x) for c, x in drawn.items()} == {"a": 10, "b": 10, "c": 10, "d": 1}
+    got = {}
+    for r in panel.diverse_members(pool, 3, 0.75).orderBy("place").collect():
+        got.setdefault(r.cluster_id, []).append(r.entity)
+    assert got == {c: some for c, x in drawn.items() if (some := panel.diverse(x, 3, 0.75))} and "d" not in got

@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 from conftest import G1, G2, G3, G4, G5, R
@@ -215,3 +216,27 @@ def test_download(tmp_path, monkeypatch):
     with pytest.raises(OSError):
         download.fetch("http://x/w", str(tmp_path / "w"), opener=short)
     assert not (tmp_path / "w").exists()
+
+
+def test_fasta_index(spark, tmp_path):
+    from seqgrove.sources import fasta_index
+
+    rng = random.Random(2)
+    rows = [(f"A{i}", "".join(rng.choices("ACDE", k=rng.randint(1, 400)))) for i in range(300)] + [("long", "K" * 300_000), ("none", ""), (None, "AC")]
+    path = str(tmp_path / "fasta")
+    fasta_index.write_fasta(spark.createDataFrame(rows, "accession string, sequence string").repartition(5), path, file_bytes=50_000)
+    asked = [a for a, _ in rows] + ["other"]
+    got = {r.accession: r.sequence for r in fasta_index.indexed_sequences(spark, path, spark.createDataFrame([(a,) for a in asked], "accession string")).collect()}
+    assert got == {a: s or None for a, s in rows if a} | {"other": None, None: None}
+    assert fasta_index.indexed_sequence(spark, path, "A7") == dict(rows)["A7"] and fasta_index.indexed_sequence(spark, path, "B7") is None
+    text = sorted(r.query for r in flatfiles.read_fasta(spark, f"{path}/file=*").collect())
+    assert text == sorted(a for a, s in rows if a and s)
+    # a file that was changed since isn't read
+    part = next((tmp_path / "fasta").glob("file=*/part-*"))
+    part.with_name("." + part.name + ".crc").unlink(missing_ok=True)
+    part.write_text(part.read_text() + ">X\nAC\n")
+    with pytest.raises(ValueError):
+        fasta_index.indexed_sequence(spark, path, "A7")
+    empty = str(tmp_path / "empty")
+    fasta_index.write_fasta(spark.createDataFrame([], "accession string, sequence string"), empty)
+    assert fasta_index.indexed_sequence(spark, empty, "A7") is None
