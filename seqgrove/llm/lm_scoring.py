@@ -384,7 +384,7 @@ OUT = "kind int, lot bigint, a binary, b binary, c binary, d binary"
 SUMS, OPEN = 0, 1
 
 
-def _scored(number: int, lots: int, parts: int, total: int, words: int, cfg: Settings):
+def _scored(number: int, lots: int, total: int, words: int, cfg: Settings):
     _, steps = lengths_of(number)
     norm = np.log(total + 0.1 * (words + 1))
 
@@ -424,14 +424,7 @@ def _scored(number: int, lots: int, parts: int, total: int, words: int, cfg: Set
             hits, base = np.bincount(lot.row, (below > np.log(0.15) - norm)[entry], k), np.bincount(lot.row, below[entry], k)
         score = base + np.bincount(lot.row, gained, k)
         used = np.flatnonzero((score != 0) | (base != 0))
-        text = lot.text[used].view(U)
-        part = (text % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        first, size = _runs(part[order])
-        out = []
-        for i, k in zip(first, size):
-            at = order[i : i + k]
-            out.append((SUMS, int(part[at[0]]), text[at].tobytes(), hits[used][at].astype("<u4").tobytes(), base[used][at].tobytes(), score[used][at].tobytes()))
+        out = [(SUMS, 0, lot.text[used].tobytes(), hits[used].astype("<u4").tobytes(), base[used].tobytes(), score[used].tobytes())]
         if len(ctx):
             order = np.argsort(ctx)
             ctx, symbol, p = ctx[order], symbol[order], p[order]
@@ -448,18 +441,24 @@ def _open_keys(batches):
             yield widen(raw, 6)
 
 
-def _combined(batches):
-    """The sums of a task's rows: most texts have tokens in several lots."""
-    parts: dict[int, list[list]] = {}
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("lot", "a", "b", "c", "d"))):
-            for col, x in zip(parts.setdefault(row[0], [[], [], [], []]), row[1:]):
-                col.append(x)
-    for p, cols in parts.items():
+def _combined(parts: int):
+    """The sums of a task's rows, by the texts' parts: most texts have tokens in several lots."""
+
+    def run(batches):
+        cols: list[list] = [[], [], [], []]
+        for b in batches:
+            for col, name in zip(cols, "abcd"):
+                col += b.column(name).to_pylist()
         keys, hits, base, score = (np.frombuffer(b"".join(x), d) for x, d in zip(cols, (U, "<u4", "<f8", "<f8")))
         every, of = np.unique(keys, return_inverse=True)
-        add = lambda x: np.bincount(of, x.astype(float), len(every))
-        yield _batch(OUT, [(SUMS, p, every.tobytes(), add(hits).astype("<u4").tobytes(), add(base).tobytes(), add(score).tobytes())])
+        hits, base, score = (np.bincount(of, x.astype(float), len(every)) for x in (hits, base, score))
+        part = (every % U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        first, size = _runs(part[order])
+        for at in (order[i : i + k] for i, k in zip(first, size)):
+            yield _batch(OUT, [(SUMS, int(part[at[0]]), every[at].tobytes(), hits[at].astype("<u4").tobytes(), base[at].tobytes(), score[at].tobytes())])
+
+    return run
 
 
 SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -504,11 +503,11 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     table = counted.where(f"kind = {WORDS} and lot >= 0").select("lot", F.lit(TABLE).alias("kind"), F.lit(b"").alias("keys"), F.lit(b"").alias("sizes"), F.col("a").alias("symbols"), F.col("b").alias("contexts"), *none)
     outs, number, opened = [], 0, None
     while True:
-        turns = cfg.turns if number == 0 else 1
+        turns, here = (cfg.turns, lots) if number == 0 else (1, parts)  # contexts that are open are fewer
         made = []
         for turn in range(turns):
-            span = (turn * lots // turns, (turn + 1) * lots // turns)
-            made.append(_turn(src, table.where((F.col("lot") >= span[0]) & (F.col("lot") < span[1])), _sent(number, lots, span, cfg.chunk, opened), _scored(number, lots, parts, size["n"], size["v"], cfg)))
+            span = (turn * here // turns, (turn + 1) * here // turns)
+            made.append(_turn(src, table.where((F.col("lot") >= span[0]) & (F.col("lot") < span[1])), _sent(number, here, span, cfg.chunk, opened), _scored(number, parts, size["n"], size["v"], cfg)))
             sweep(spark)
         outs += made
         if number == 0:
@@ -525,7 +524,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     sums = outs[0].where(f"kind = {SUMS}")
     for m in outs[1:]:
         sums = sums.unionByName(m.where(f"kind = {SUMS}"))
-    every = texts.unionByName(sums.mapInArrow(lean(_combined), OUT))
+    every = texts.unionByName(sums.mapInArrow(lean(_combined(parts)), OUT))
     out = materialise(every.groupBy("lot").applyInArrow(lean_table(_summed), SCORES), "lm-scores")
     for m in (texts, *outs):
         discard(m)
