@@ -494,8 +494,8 @@ FROM (SELECT t.term_id, k.role IS NOT NULL AND (a.role IS NULL OR k.priority > a
         "q28_identity": "WITH s AS (SELECT s_nationkey::VARCHAR AS c, s_name AS e, upper(s_name) AS x FROM supplier), i AS (SELECT a.c, len(list_filter(range(1, least(length(a.x), length(b.x)) + 1), lambda k: a.x[k:k] = b.x[k:k]))::DOUBLE / greatest(length(a.x), length(b.x)) AS v FROM s a JOIN s b ON a.c = b.c AND a.e < b.e) SELECT c AS cluster_id, count(*) AS pairs, round(avg(v), 9) AS mean, round(max(v), 9) AS most, round(min(v), 9) AS least FROM i GROUP BY 1",
         "q29_odds_ratio": "WITH " + BOARD_SQL + " SELECT motif_id, cluster_id, round(CASE WHEN fp * fn <> 0 THEN (tp * tn)::DOUBLE / (fp * fn) WHEN tp * tn > 0 THEN 'inf'::DOUBLE END, 6) AS odds FROM rated",
         "q30_isolates": w + C + IC + KNN + ", v AS (SELECT src AS entity FROM knn UNION SELECT dst FROM knn) SELECT entity, (row_number() OVER (ORDER BY entity) - 1)::INTEGER AS vertex FROM v",
-        "q54_root_paths": w + P + """path AS (SELECT term_id, term_id AS at, [term_id] AS p FROM terms UNION ALL SELECT term_id, e.parent, list_append(p, e.parent) FROM path JOIN edges e ON at = e.child)
-SELECT term_id, array_to_string(arg_min(p, (len(p), p)), ' > ') AS path FROM path WHERE at = 'ROOT' GROUP BY 1""",
+        "q54_root_paths": w + P + """path AS (SELECT term_id, term_id AS top, [term_id] AS p FROM terms UNION ALL SELECT term_id, e.parent, list_append(p, e.parent) FROM path JOIN edges e ON top = e.child)
+SELECT term_id, array_to_string(arg_min(p, (len(p), p)), ' > ') AS path FROM path WHERE top = 'ROOT' GROUP BY 1""",
         "q55_quality": w + C + IC + KNN + """, t AS (SELECT sum(weight) AS w FROM knn), deg AS (SELECT entity, sum(weight) AS k FROM (SELECT src AS entity, weight FROM knn UNION ALL SELECT dst, weight FROM knn) GROUP BY 1),
 g AS (SELECT 'nation' AS division, entity, nation AS c FROM cust UNION ALL SELECT 'alone', entity, entity FROM cust),
 a AS (SELECT x.division, sum(weight) AS a FROM knn JOIN g x ON x.entity = src JOIN g y ON y.entity = dst AND x.division = y.division WHERE x.c = y.c GROUP BY 1),

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqgrove.functions import text
 from seqgrove.functions.describe import Term, describe_column
 from seqgrove.operators import community, linkage, ontology, panel, scoreboard
 from seqgrove.operators.components import components
 from seqgrove.plans import build
 from seqgrove.plans import driver_tables as T
+from seqgrove.session import ship
 from seqgrove.sources import fasta_index, flatfiles, tables
 from seqgrove.storage import fresh_path, materialise
 
@@ -228,9 +231,54 @@ def q56_indexed_sequences(spark: SparkSession, sf: str) -> DataFrame:
     return fasta_index.indexed_sequences(spark, path, o)
 
 
+def _arrow_text(f):
+    """A function of a value as a column of strings, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(f)
+
+    return run
+
+
+def q57_query_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """What parts' numbers ask for when written as sets (with one to three ids, some twice, some broken), clusters and accessions."""
+    ship(spark)
+    p = T.table(spark, sf, "part").select("p_partkey", "p_size")
+    go = lambda c: F.concat(F.lit("GO:"), F.lpad(c.cast("string"), 7, "0"))
+    k, n = F.col("p_partkey"), F.col("p_size")
+    asked = F.element_at(F.array(F.concat(F.lit("("), go(k), F.lit("; "), go(n), F.lit(";"), go(k), F.lit(")")), F.concat(go(n), F.lit(",GO:1")), F.concat(F.lit("cluster_"), k.cast("string")), F.concat(F.lit("A"), k.cast("string")), F.concat(F.lit("("), go(k)), go(n)), (k % 6 + 1).cast("int"))
+
+    def told(query: str) -> str:
+        if (what := text.kind(query)) != "set":
+            return what
+        try:
+            return ";".join(text.parse_term_set(query))
+        except ValueError:
+            return "refused"
+
+    return p.select("p_partkey", _arrow_text(told)(asked).alias("told"))
+
+
+def q58_number_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders' prices a hundred thousandth, as reports write them: four digits and three, trimmed, and seven places with five digits."""
+    ship(spark)
+    o = T.table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 100000).alias("x"), "o_orderstatus")
+    as_text = lambda f: _arrow_text(f)("x")
+    return o.select("o_orderkey", as_text(lambda x: text.number(x)).alias("four"), as_text(lambda x: text.number(x, 3)).alias("three"), as_text(text.similarity).alias("five"))
+
+
+def q59_lenient_members(spark: SparkSession, sf: str) -> DataFrame:
+    """A membership table with its columns in another order, one more column and rows without a cluster."""
+    m = T.document_clusters(spark, sf)
+    cluster = F.when(F.endswith("entity", F.lit("7")), " ").otherwise(F.col("cluster_id"))
+    path = written(spark, m.select(F.concat_ws("\t", cluster, F.lit("said"), F.concat(F.lit(" "), "entity")).alias("value")), head="cluster_id\tnote\tmember_id")
+    return tables.read_members(spark, path).groupBy("cluster_id").agg(F.count("*").alias("members"), F.min("entity").alias("first"))
+
+
 QUERIES = {f.__name__: f for f in (
     q34_ontology_file, q35_annotations, q36_sequences, q37_profile_file, q38_excluded, q39_motif_library, q40_prosite_counts, q41_member_file, q42_hit_file, q43_meta_file,
-    q44_fasta, q45_role_counts, q46_propagation_counters, q47_motif_rows, q48_missing_profiles, q49_panel_candidates, q50_sentences, q51_linkage_properties, q52_community_properties, q53_stable_ids, q56_indexed_sequences,
+    q44_fasta, q45_role_counts, q46_propagation_counters, q47_motif_rows, q48_missing_profiles, q49_panel_candidates, q50_sentences, q51_linkage_properties, q52_community_properties, q53_stable_ids, q56_indexed_sequences, q57_query_strings, q58_number_formats, q59_lenient_members,
 )}
 
 NOTES = """WITH n AS (
@@ -252,6 +300,10 @@ deep AS (SELECT term_id, dist FROM up WHERE ancestor = 'ROOT' UNION ALL SELECT '
 SELECT replace(term_id, ' ', '_') AS term_id, lower(regexp_replace(term_id, '^[A-Z]+:', '')) AS name, dist AS depth, coalesce(parents, '') AS parents FROM terms JOIN deep USING (term_id) LEFT JOIN above USING (term_id)""",
         "q35_annotations": NOTES.replace("+ 1 AS ord", "+ 0 AS ord") + "SELECT * FROM a",
         "q36_sequences": "WITH s AS (SELECT 'O' || o_orderkey AS accession, lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) AS sequence FROM orders WHERE o_orderstatus <> 'O') SELECT accession, sequence, length(sequence)::INTEGER AS length FROM s",
+        "q57_query_strings": """WITH g AS (SELECT p_partkey, p_partkey % 6 AS k, printf('GO:%07d', p_partkey) AS a, printf('GO:%07d', p_size) AS b FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN CASE WHEN a = b THEN a ELSE a || ';' || b END WHEN 1 THEN 'refused' WHEN 2 THEN 'cluster' WHEN 3 THEN 'accession' WHEN 4 THEN 'refused' ELSE b END AS told FROM g""",
+        "q58_number_formats": "SELECT o_orderkey, regexp_replace(regexp_replace(printf('%.4f', o_totalprice / 100000), '0+$', ''), '[.]$', '') AS four, regexp_replace(regexp_replace(printf('%.3f', o_totalprice / 100000), '0+$', ''), '[.]$', '') AS three, printf('%7.5f', o_totalprice / 100000) AS five FROM orders",
+        "q59_lenient_members": f"SELECT {clusters} AS cluster_id, count(*) AS members, min(doc_id::VARCHAR) AS first FROM documents WHERE doc_id % 10 <> 7 GROUP BY 1",
         "q56_indexed_sequences": "SELECT 'O' || o_orderkey AS accession, CASE WHEN o_orderstatus <> 'O' THEN lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) END AS sequence FROM orders",
         "q37_profile_file": NOTES + "SELECT entity, string_agg(term_id, ';' ORDER BY term_id) AS terms FROM (SELECT DISTINCT entity, term_id FROM a WHERE namespace = 'F' AND evidence = 'EXP') GROUP BY 1" + " UNION ALL SELECT 'O1', 'GO:9999999' WHERE NOT EXISTS (SELECT 1 FROM a WHERE entity = 'O1' AND namespace = 'F' AND evidence = 'EXP')",
         "q38_excluded": NOTES + "SELECT entity, term_id, evidence FROM a WHERE namespace = 'F' AND evidence = 'ND'",
