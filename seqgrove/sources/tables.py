@@ -29,13 +29,14 @@ def _refuse(bad: DataFrame, what: str, column: str, row: str | None = None) -> N
         raise ValueError(f"{what}: " + ", ".join(f"{r[0]} (row {r[1] + 1})" if row else str(r[0]) for r in rows))
 
 
-def read_profiles(spark: SparkSession, path: str) -> DataFrame:
-    """entity, term_ids (distinct, in order): headerless; the last line of an entity counts."""
+def read_profiles(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
+    """entity, term_ids (distinct, in order): headerless; the last line of an entity counts. parts: partitions for the entities."""
     raw = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).where("trim(value) <> ''")
     p = raw.select(F.split("value", "\t").alias("p"), "value", "ord")
     _refuse(p.where((F.size("p") < 2) | (F.trim(F.col("p")[0]) == "")), "profile lines without an entity or terms", "value")
     ids = F.array_distinct(F.regexp_extract_all(F.col("p")[1], F.lit(TERM), F.lit(1)))
     p = p.select(F.trim(F.col("p")[0]).alias("entity"), ids.alias("term_ids"), "ord")
+    p = p if parts is None else p.repartition(parts, "entity")
     return p.groupBy("entity").agg(F.max_by("term_ids", "ord").alias("term_ids"))
 
 

@@ -14,14 +14,18 @@ from seqgrove.plans import build
 from seqgrove.plans import driver_tables as T
 from seqgrove.session import ship
 from seqgrove.sources import fasta_index, flatfiles, tables
-from seqgrove.storage import fresh_path, materialise
+from seqgrove.storage import fresh_path, materialise, parts_for, spread
 
 
-def written(spark: SparkSession, records: DataFrame, separator: str = "\n", head: str | None = None, gz: bool = False) -> str:
+#: Records of a file, which a task sorts, about.
+FILE_ROWS = 200_000
+
+
+def written(spark: SparkSession, records: DataFrame, separator: str = "\n", head: str | None = None, gz: bool = False, rows: int = 0) -> str:
     """Text files of ``value`` rows, written and later read in parallel, each after the line(s) of ``head``.
 
-    Rows go to files by a hash: of ``key`` where there is one, those of one key in the order of ``ord``."""
-    path, files = fresh_path(spark, "text"), spark.sparkContext.defaultParallelism
+    rows: how many records there are, about; more than ``FILE_ROWS`` a file are dealt to more files. Rows go to files by a hash: of ``key`` where there is one, those of one key in the order of ``ord``."""
+    path, files = fresh_path(spark, "text"), max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
     has = lambda c, other: F.col(c) if c in records.columns else other
     rows = records.select("value", F.pmod(F.xxhash64(has("key", F.col("value"))), F.lit(files)).cast("int").alias("file"), has("ord", F.lit(1)).cast("int").alias("ord"))
     if head is not None:
@@ -49,15 +53,18 @@ def q34_ontology_file(spark: SparkSession, sf: str) -> DataFrame:
 
 def _knowledge_base(spark, sf) -> DataFrame:
     """An entry an order: its parts as annotations, its priority's letters as sequence, none for open orders."""
-    parts = T.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("parts"))
-    o = T.table(spark, sf, "orders").join(parts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    items, o = T.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), T.table(spark, sf, "orders")
+    n, entries = items.count(), o.count()
+    most = max(n, entries)
+    parts = spread(items, most, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("parts"))
+    o = spread(o, most, "o_orderkey").join(parts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     line = lambda p: F.concat(F.lit("DR   GO; GO:"), F.lpad(p.cast("string"), 7, "0"), F.lit("; "), F.element_at(F.array(F.lit("F"), F.lit("P"), F.lit("C")), (p % 3 + 1).cast("int")), F.lit(":said; "), F.when(p % 7 == 0, "ND").otherwise("EXP"), F.lit(":source.\n"))
     notes = F.coalesce(F.array_join(F.transform("parts", line), ""), F.lit(""))
     letters = F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]", ""))
     body = F.when(F.col("o_orderstatus") == "O", "").otherwise(F.concat(F.lit("SQ   SEQUENCE\n     "), F.substring(letters, 1, 2), F.lit(" "), F.substring(letters, 3, 2), F.lit("\n     "), F.substring(letters, 5, 99), F.lit("\n")))
     key = F.col("o_orderkey").cast("string")
     value = F.concat(F.lit("ID   ENTRY\nAC   O"), key, F.lit("; Z"), key, F.lit(";\nAC   Q1;\nDR   PDB; 1ABC; X; Y.\nDR   GO; GO:0000001.\n"), notes, body, F.lit("//"))
-    return flatfiles.read_knowledge_base(spark, written(spark, o.select(value.alias("value")), gz=True))
+    return flatfiles.read_knowledge_base(spark, written(spark, o.select(value.alias("value")), gz=True, rows=entries))
 
 
 def q35_annotations(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,10 +77,11 @@ def q36_sequences(spark: SparkSession, sf: str) -> DataFrame:
 
 def q37_profile_file(spark: SparkSession, sf: str) -> DataFrame:
     """Profiles of good evidence, written, and read with repeated and later lines."""
-    p = tables.profiles_of(q35_annotations(spark, sf))
+    n, entries = (T.table(spark, sf, x).count() for x in ("lineitem", "orders"))
+    p = tables.profiles_of(spread(q35_annotations(spark, sf), n, "entity"))
     line = F.concat("entity", F.lit("\t"), F.array_join("term_ids", "; "), F.lit(" "), F.col("term_ids")[0])
     earlier = spark.range(1).select(F.lit("O1\tGO:9999999\n").alias("value"), F.lit("O1").alias("key"), F.lit(0).alias("ord"))
-    back = tables.read_profiles(spark, written(spark, p.select(line.alias("value"), F.col("entity").alias("key"), F.lit(1).alias("ord")).unionByName(earlier)))
+    back = tables.read_profiles(spark, written(spark, p.select(line.alias("value"), F.col("entity").alias("key"), F.lit(1).alias("ord")).unionByName(earlier), rows=entries), parts_for(spark, entries))
     return back.select("entity", F.array_join("term_ids", ";").alias("terms"))
 
 

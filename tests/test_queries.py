@@ -43,3 +43,22 @@ def test_query_equals_its_sql(spark, sf, db, name):
 def test_entry(spark, sf):
     assert entry.entry(spark).columns == ["query", "rank", "terms", "cluster_ids", "weight", "description"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_partitions_and_files_grow_with_the_rows(spark, sf, monkeypatch):
+    """Limits of a few rows stand for large tables: profiles stay in many partitions, records in many files, with the same results."""
+    from seqgrove import storage, text_queries
+    from seqgrove.operators import ontology
+    from seqgrove.plans import driver_tables as T
+
+    def rows():
+        own = ontology.propagated(T.order_profiles(spark, sf), ontology.reflexive(*(f(spark) for f in (lambda s: T.ontology_p(s, sf)[0], lambda s: ontology.closure(T.ontology_p(s, sf)[1])))))
+        return own, sorted(map(tuple, own.collect())), sorted(map(tuple, text_queries.q37_profile_file(spark, sf).collect()))
+
+    _, *want = rows()
+    monkeypatch.setattr(storage, "TASK_ROWS", 500)
+    monkeypatch.setattr(text_queries, "FILE_ROWS", 100)
+    own, *got = rows()
+    assert got == want and own.rdd.getNumPartitions() >= 6_000 // 500
+    path = text_queries.written(spark, spark.range(1000).selectExpr("cast(id as string) as value"), rows=1000)
+    assert spark.read.text(path).count() == 1000 and spark.read.text(path).selectExpr("_metadata.file_path as f").distinct().count() == 10
