@@ -25,6 +25,10 @@ Counting and scoring meet in one place, so the tree itself is never gathered, br
    lots of their contexts, until no context is open. A filter of fixed size tells senders which are; a full one
    only lets more through.
 
+The number of lots grows with the bytes of the texts. A word that stands before more tokens than a lot may hold (``crowded``) is met
+in two steps: its distinct (word, symbol) with counts meet where the context of length 1 is tested; its tokens then
+go to lots of the last *two* words, with what was found for each (word, symbol). Which words are treated so changes no result.
+
 Words are known by 56 bits of a hash, contexts by 48 bits inside a lot, whose size doesn't grow with the input.
 
 Defined cases: null text is the empty text, which has the end only; a null id belongs to the training part; repeated
@@ -58,6 +62,10 @@ class Settings:
     discount: float = 0.8
     turns: int = 2
     chunk: int = 1_000_000
+    #: Bytes of text for each part (of words, and of lots in a turn) at most, on average.
+    part_bytes: int = 24_000_000
+    #: Training tokens after one word that a lot takes; a word with more is met in two steps.
+    crowded: int = 5_000_000
 
 
 def ladder():
@@ -201,8 +209,16 @@ def _asked(lots: int, parts: int, most: int):
 COUNTED = "kind int, lot bigint, a binary, b binary, c binary, total bigint, words bigint"
 
 
-def _counted(key, rows):
-    """Counts of one part's words, by the lots that asked; texts pass through."""
+def _counted(crowded: int):
+    """Counts of one part's words, by the lots that asked, and the crowded ones; texts pass through."""
+
+    def run(key, rows):
+        return _counts(key, rows, crowded)
+
+    return run
+
+
+def _counts(key, rows, crowded: int):
     kind, part = key[0].as_py(), key[1].as_py()
     a, b, c = (rows[x].to_pylist() for x in "abc")
     if kind == TEXTS:
@@ -217,20 +233,98 @@ def _counted(key, rows):
     lot, of = (pair >> U(40)).astype(np.int64), (pair & U((1 << 40) - 1)).astype(np.int64)
     first, size = _runs(lot)
     out = [(WORDS, int(lot[i]), squeeze(s[at[of[i : i + k]]], 7), squeeze(count[of[i : i + k]], 5), b"", 0, 0) for i, k in zip(first, size)]
-    out.append((WORDS, -1, b"", b"", b"", int(count.sum()), int((count > 0).sum())))
+    many = count >= crowded
+    out.append((WORDS, -1, squeeze(s[at[many]], 7), squeeze(count[many], 5), b"", int(count.sum()), int((count > 0).sum())))
     return pa.Table.from_batches([_batch(COUNTED, out)])
 
 
 # --- tokens by context -----------------------------------------------------------------------------------
 
 SENT = "lot bigint, kind int, keys binary, sizes binary, symbols binary, contexts binary, levels binary, texts binary, learn binary, rows binary"
-TOKENS, TABLE = 0, 1
+TOKENS, TABLE, PAIRS = 0, 1, 2
+
+
+class Crowded:
+    """Words that stand before very many tokens: keys of their contexts, in order, and the lots (after all others) of each."""
+
+    def __init__(self, symbols: np.ndarray, counts: np.ndarray, lots: int, most: int):
+        key = mix((symbols + U(1)) * powers(5)[1]) >> U(16)
+        order = np.argsort(key)
+        self.key, self.lots = key[order], lots
+        size = -(-counts[order].astype(np.int64) // max(1, most // 2))
+        self.first = lots + np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+    def number(self, key: np.ndarray) -> np.ndarray:
+        """The place of each context of one word among the crowded ones, or -1."""
+        if not len(self.key):
+            return np.full(len(key), -1, np.int64)
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[i] == key, i, -1)
+
+    def lot(self, number: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The lot of the last two words."""
+        size = (self.first[number + 1] - self.first[number]).astype(U)
+        return self.first[number] + ((two * size) >> U(48)).astype(np.int64)
+
+
+def _followers(crowded: Crowded, lots: int, most: int):
+    """The distinct (crowded word, symbol) of each chunk with their training counts, to the word's lot."""
+
+    def run(batches):
+        for texts, _, _, learn in _chunks(batches, most):
+            t = Tokens(texts)
+            key = t.contexts(1)
+            at = np.flatnonzero(crowded.number(key) >= 0)
+            key, symbol, train = key[at], t.symbol[at], np.array(learn, np.int64)[t.row[at]]
+            order = np.lexsort((symbol, key))
+            key, symbol, train = key[order], symbol[order], train[order]
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (symbol[1:] != symbol[:-1])])) if len(key) else at
+            count = np.add.reduceat(train, new) if len(new) else new
+            key, symbol = key[new], symbol[new]
+            for a, n in zip(*_runs(key)):
+                lot = int(lot_of(key[a : a + 1], lots)[0])
+                yield _batch(SENT, [(lot, PAIRS, squeeze(key[a : a + 1], 6), count[a : a + n].astype("<u4").tobytes(), squeeze(symbol[a : a + n], 7), *[b""] * 5)])
+
+    return run
+
+
+def _first_words(crowded: Crowded, total: int, words: int, cfg: Settings):
+    """Contexts of one crowded word, tested on counts: for each lot of the word, what each symbol after it has (log p of
+    the root, its change, whether it was seen twice) and whether longer contexts are open."""
+    norm = np.log(total + 0.1 * (words + 1))
 
+    def run(_, rows):
+        kind, table = rows["kind"].to_pylist(), {c: rows[c] for c in ("keys", "sizes", "symbols", "contexts")}
+        read = lambda c, which: [table[c][i].as_py() for i, k in enumerate(kind) if k == which]
+        names, count = widen(b"".join(read("symbols", TABLE)), 7), widen(b"".join(read("contexts", TABLE)), 5).astype(np.float64)
+        order = np.argsort(names)
+        names, count = names[order], count[order]
+        out = []
+        for word in sorted({*read("keys", PAIRS)}):
+            at = [i for i, k in enumerate(kind) if k == PAIRS and table["keys"][i].as_py() == word]
+            symbol = widen(b"".join(table["symbols"][i].as_py() for i in at), 7)
+            seen = np.frombuffer(b"".join(table["sizes"][i].as_py() for i in at), "<u4").astype(np.int64)
+            symbol, of = np.unique(symbol, return_inverse=True)
+            seen = np.bincount(of, seen, len(symbol)).astype(np.int64)
+            base = np.log(count[np.searchsorted(names, symbol)] + 0.1) - norm
+            key = np.full(len(symbol), widen(word, 6)[0], U)
+            gained, (going, _, _), _ = climb([key], symbol, np.full(len(symbol), 2, np.uint8), seen, lambda first: (base[first], np.ones(len(first), bool)), cfg)
+            told = ((seen >= 2).astype(np.uint8) | np.uint8(2 * (len(going) > 0))).tobytes()
+            i = int(crowded.number(key[:1])[0])
+            out += [(lot, TABLE, word, b"", squeeze(symbol, 7), gained.tobytes(), told, base.tobytes(), b"", b"") for lot in range(crowded.first[i], crowded.first[i + 1])]
+        return pa.Table.from_batches([_batch(SENT, [x]) for x in out] or [_batch(SENT, [])])
 
-def _sent(number: int, lots: int, span: tuple[int, int], most: int, opened=None):
-    """Tokens of a round by lot: of all contexts' last words, or of the contexts that are open."""
+    return run
+
+
+def _sent(number: int, lots: int, span: tuple[int, int], most: int, opened=None, crowded: Crowded | None = None):
+    """Tokens of a round by lot: of all contexts' last words, or of the contexts that are open; in the first round those
+    of crowded words are left to the lots after ``lots``."""
     before, steps = lengths_of(number)
     edges = edges_of(lots)
+    apart = crowded is not None and span[0] >= lots
+    if apart:
+        before, steps = steps[0], steps[1:]
 
     def run(batches):
         bits = opened.value if opened is not None else None
@@ -238,21 +332,32 @@ def _sent(number: int, lots: int, span: tuple[int, int], most: int, opened=None)
             t = Tokens(texts)
             if bits is None:
                 at = None
-                key = t.contexts(steps[0])
+                key = t.contexts(1)
             else:
                 at = np.flatnonzero(t.off > before)
                 key = t.contexts(before, at)
                 hit = bloom_has(bits, key)
                 at, key = at[hit], key[hit]
-            own = np.flatnonzero((key >= edges[span[0]]) & (key < edges[span[1]]))
-            own = own[np.argsort(key[own])]
+            if apart:
+                word = crowded.number(key)
+                own = np.flatnonzero(word >= 0)
+                lot = crowded.lot(word[own], t.contexts(2, own))
+                order = np.lexsort((key[own], lot))
+                own, lot = own[order], lot[order]
+                cut = np.searchsorted(lot, np.arange(span[0], span[1] + 1))
+            else:
+                own = (key >= edges[span[0]]) & (key < edges[span[1]])
+                if crowded is not None:
+                    own &= crowded.number(key) < 0
+                own = np.flatnonzero(own)
+                own = own[np.argsort(key[own])]
+                cut = np.searchsorted(key[own], edges[span[0] : span[1] + 1])
             key, at = key[own], own if at is None else at[own]
             off, row, symbol = t.off[at], t.row[at], t.symbol[at]
             # levels that the text has room for, and one more if it goes on
             levels = np.searchsorted(np.array([before, *steps]), off, side="left").astype(np.uint8)
-            ctx = [(t.contexts(n, at), levels > i) for i, n in enumerate(steps) if bits is not None or i]
+            ctx = [(t.contexts(n, at), levels > i) for i, n in enumerate(steps) if n > 1]
             text, train = np.array(keys, np.int64), np.array(learn, np.uint8)
-            cut = np.searchsorted(key, edges[span[0] : span[1] + 1])
             for lot, (a, z) in enumerate(zip(cut, cut[1:]), span[0]):
                 if a == z:
                     continue
@@ -305,10 +410,22 @@ class Lot:
             setattr(self, name, getattr(self, name)[mask])
 
 
+#: Tokens of a lot that a step takes whose work arrays are several times as large.
+STEP = 1 << 18
+
+
 def _entry(ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     out = np.empty(len(ctx), U)
-    for i in range(0, len(ctx), 1 << 18):  # the steps of a hash take several times its size
-        out[i : i + (1 << 18)] = mix(ctx[i : i + (1 << 18)] * BASE + symbol[i : i + (1 << 18)])
+    for i in range(0, len(ctx), STEP):
+        out[i : i + STEP] = mix(ctx[i : i + STEP] * BASE + symbol[i : i + STEP])
+    return out
+
+
+def _by_text(row: np.ndarray, values: np.ndarray, entry: np.ndarray | None, k: int) -> np.ndarray:
+    """Sums of the tokens' values (of their entries' values) by text."""
+    out = np.zeros(k)
+    for i in range(0, len(row), STEP):
+        out += np.bincount(row[i : i + STEP], values[i : i + STEP] if entry is None else values[entry[i : i + STEP]], k)
     return out
 
 
@@ -326,8 +443,10 @@ def climb(ctx: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray, train:
         if not len(c):
             break
         order = np.argsort(key := _entry(c, s)).astype(np.int32 if len(c) < 1 << 31 else np.int64)
-        key = key[order]
-        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        fresh = np.ones(len(c), bool)
+        for i in range(1, len(c), STEP):  # no sorted copy of all keys
+            at = order[i - 1 : i + STEP]
+            fresh[i : i + STEP] = key[at[1:]] != key[at[:-1]]
         del key
         entry = np.empty(len(c), np.int32)  # of each token
         entry[order] = np.cumsum(fresh, dtype=np.int32) - 1
@@ -384,18 +503,39 @@ OUT = "kind int, lot bigint, a binary, b binary, c binary, d binary"
 SUMS, OPEN = 0, 1
 
 
-def _scored(number: int, lots: int, total: int, words: int, cfg: Settings):
+def _scored(number: int, lots: int, total: int, words: int, cfg: Settings, apart: bool = False):
+    """apart: tokens of crowded words, whose contexts of one word are tested already."""
     _, steps = lengths_of(number)
+    if apart:
+        steps = steps[1:]
     norm = np.log(total + 0.1 * (words + 1))
 
     def run(key, rows):
-        table = rows.filter(pc.equal(rows["kind"], TABLE)).select(["keys", "symbols", "contexts"]).to_pylist()
+        table = rows.filter(pc.equal(rows["kind"], TABLE)).select(["keys", "symbols", "contexts", "levels", "texts"]).to_pylist()
         own = [i for i, k in enumerate(rows["kind"].to_pylist()) if k == TOKENS]
         if not own or not table:
             return pa.Table.from_batches([_batch(OUT, [])])
-        lot = Lot(rows, own, steps, number == 0)
+        lot = Lot(rows, own, steps, number == 0 and not apart)
         names = widen(b"".join(r["symbols"] for r in table), 7)
-        if number == 0:
+        k = len(lot.text)
+        hits, base, score = np.zeros(k), np.zeros(k), np.zeros(k)
+        if apart:
+            # the table has every symbol that stands after the lot's words
+            keys = np.concatenate([np.full(len(r["symbols"]) // 7, widen(r["keys"], 6)[0], U) for r in table])
+            order = np.argsort(names := _entry(keys, names))
+            of = order[np.searchsorted(names[order], _entry(lot.key, lot.symbol))]
+            root, change = (np.frombuffer(b"".join(r[c] for r in table), np.float64)[of] for c in ("texts", "contexts"))
+            told = np.frombuffer(b"".join(r["levels"] for r in table), np.uint8)[of]
+            hits, base = np.bincount(lot.row, root > np.log(0.15) - norm, k), np.bincount(lot.row, root, k)
+            score = base + np.bincount(lot.row, change, k)
+            further = (told & 2 > 0) & (lot.levels > 0)
+            lot.keep(further)
+            value, known = (root + change)[further], (told & 1 > 0)[further]
+
+            def look(first):
+                return value[first], known[first]
+
+        elif number == 0:
             count = widen(b"".join(r["contexts"] for r in table), 5).astype(np.float64)
             order = np.argsort(names)
             names, count = names[order], count[order]
@@ -418,11 +558,10 @@ def _scored(number: int, lots: int, total: int, words: int, cfg: Settings):
 
         del table
         gained, (ctx, symbol, p), (_, below, entry) = climb(lot.ctx, lot.symbol, lot.levels, lot.learn[lot.row], look, cfg)
-        k = len(lot.text)
-        hits, base = np.zeros(k), np.zeros(k)
-        if number == 0:
-            hits, base = np.bincount(lot.row, (below > np.log(0.15) - norm)[entry], k), np.bincount(lot.row, below[entry], k)
-        score = base + np.bincount(lot.row, gained, k)
+        if number == 0 and not apart:
+            hits, base = _by_text(lot.row, below > np.log(0.15) - norm, entry, k), _by_text(lot.row, below, entry, k)
+            score = base
+        score = score + _by_text(lot.row, gained, None, k)
         used = np.flatnonzero((score != 0) | (base != 0))
         out = [(SUMS, 0, lot.text[used].tobytes(), hits[used].astype("<u4").tobytes(), base[used].tobytes(), score[used].tobytes())]
         if len(ctx):
@@ -485,48 +624,62 @@ def _turn(src: DataFrame, table: DataFrame, sent, scored) -> DataFrame:
     return materialise(both.groupBy("lot").applyInArrow(lean_table(scored), OUT), "lm-sums")
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", cfg: Settings = Settings()) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every text; learnt where ``learn`` holds."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = shuffle_parts(spark)
-    lots = parts * cfg.turns
     ident = F.col(id_col).cast("bigint")
+    read = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0)).alias("n")).first()["n"]
+    parts = max(shuffle_parts(spark), -(-read // cfg.part_bytes))
+    lots = parts * cfg.turns
     src = docs.select(utf8(F.col(text_col)).alias("text"), F.xxhash64(ident, F.col(text_col)).alias("key"), ident.alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"))
     asked = src.mapInArrow(lean(_asked(lots, parts, cfg.chunk)), ASKED)
-    counted = materialise(asked.groupBy("kind", "lot").applyInArrow(lean_table(_counted), COUNTED), "lm-words")
+    counted = materialise(asked.groupBy("kind", "lot").applyInArrow(lean_table(_counted(cfg.crowded)), COUNTED), "lm-words")
     del asked
     sweep(spark)
     size = counted.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("v")).first()
     texts = materialise(counted.where(f"kind = {TEXTS}").select(F.lit(TEXTS + 2).alias("kind"), "lot", "a", "b", "c", F.lit(b"").alias("d")), "lm-texts")
     none = [F.lit(b"").alias(c) for c in ("levels", "texts", "learn", "rows")]
     table = counted.where(f"kind = {WORDS} and lot >= 0").select("lot", F.lit(TABLE).alias("kind"), F.lit(b"").alias("keys"), F.lit(b"").alias("sizes"), F.col("a").alias("symbols"), F.col("b").alias("contexts"), *none)
-    outs, number, opened = [], 0, None
+    many = counted.where(f"kind = {WORDS} and lot < 0").select("a", "b").collect()  # fewer than there are tokens in units of ``crowded``
+    crowded = Crowded(widen(b"".join(r["a"] for r in many), 7), widen(b"".join(r["b"] for r in many), 5), lots, cfg.crowded)
+    outs, kept, number, opened = [], None, 0, None
     while True:
         turns, here = (cfg.turns, lots) if number == 0 else (1, parts)  # contexts that are open are fewer
         made = []
         for turn in range(turns):
             span = (turn * here // turns, (turn + 1) * here // turns)
-            made.append(_turn(src, table.where((F.col("lot") >= span[0]) & (F.col("lot") < span[1])), _sent(number, here, span, cfg.chunk, opened), _scored(number, parts, size["n"], size["v"], cfg)))
+            made.append(_turn(src, table.where((F.col("lot") >= span[0]) & (F.col("lot") < span[1])), _sent(number, here, span, cfg.chunk, opened, None if number else crowded), _scored(number, parts, size["n"], size["v"], cfg)))
+            sweep(spark)
+        if not number and len(crowded.key):
+            own = table.where(F.col("lot").isin(sorted({*lot_of(crowded.key, lots).tolist()})))
+            pairs = src.mapInArrow(lean(_followers(crowded, lots, cfg.chunk)), SENT).unionByName(own)
+            first = materialise(pairs.groupBy("lot").applyInArrow(lean_table(_first_words(crowded, size["n"], size["v"], cfg)), SENT), "lm-followers")
+            sweep(spark)
+            made.append(_turn(src, first, _sent(0, lots, (lots, int(crowded.first[-1])), cfg.chunk, None, crowded), _scored(0, parts, size["n"], size["v"], cfg, True)))
+            discard(first)
             sweep(spark)
-        outs += made
-        if number == 0:
-            discard(counted)
-        kept = made[0]
-        for m in made[1:]:
-            kept = kept.unionByName(m)
-        kept = kept.where(f"kind = {OPEN}")
+        # a text has a row of sums in almost every lot: they meet, so that the next round doesn't find all of them on disk
+        both = _union(made)
+        outs.append(materialise(both.where(f"kind = {SUMS}").mapInArrow(lean(_combined(parts)), OUT), "lm-round"))
+        before, kept = kept, materialise(both.where(f"kind = {OPEN}"), "lm-open")
+        for m in (*([counted] if number == 0 else [before]), *made):
+            discard(m)
         if not kept.take(1):
             break
         opened = spark.sparkContext.broadcast(bloom_of(kept.select("a"), _open_keys))
         table = kept.select("lot", F.lit(TABLE).alias("kind"), F.col("a").alias("keys"), F.lit(b"").alias("sizes"), F.col("b").alias("symbols"), F.col("c").alias("contexts"), *none)
         number += 1
-    sums = outs[0].where(f"kind = {SUMS}")
-    for m in outs[1:]:
-        sums = sums.unionByName(m.where(f"kind = {SUMS}"))
-    every = texts.unionByName(sums.mapInArrow(lean(_combined(parts)), OUT))
+    every = _union([texts, *outs])
     out = materialise(every.groupBy("lot").applyInArrow(lean_table(_summed), SCORES), "lm-scores")
-    for m in (texts, *outs):
+    for m in (texts, kept, *outs):
         discard(m)
     return out.withColumn("train_tokens", F.lit(size["n"]).cast("bigint"))
 

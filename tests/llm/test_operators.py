@@ -379,6 +379,20 @@ def test_suffix_tree_equals_brute_force(spark):
         assert [got[i] for i in range(len(texts))] == pytest.approx([tree.score(t) for t in texts], abs=1e-6)
 
 
+def test_words_before_very_many_tokens_are_split_without_a_change(spark):
+    """Small limits stand for large inputs: more lots than parts of the session, words whose tokens go to several lots."""
+    texts, _ = lm_texts(random.Random(11))
+    docs, learn = documents(spark, texts), F.col("doc_id") < len(texts) - 6
+    plain = lm_scoring.score_texts(docs, learn, cfg=lm_scoring.Settings(gain=2.0)).orderBy("doc_id").collect()
+    tree = BruteTree(texts[:-6], lm_scoring.Settings(gain=2.0))
+    assert [r.score for r in plain] == pytest.approx([tree.score(t) for t in texts], abs=1e-6)
+    cfg = lm_scoring.Settings(gain=2.0, part_bytes=1_000, crowded=12, chunk=300)
+    split = lm_scoring.score_texts(docs, learn, cfg=cfg).orderBy("doc_id").collect()
+    for a, b in zip(plain, split, strict=True):
+        assert (a.doc_id, a.n_tokens, a.n_known, a.train_tokens) == (b.doc_id, b.n_tokens, b.n_known, b.train_tokens)
+        assert (b.base_score, b.score) == pytest.approx((a.base_score, a.score), abs=1e-9)
+
+
 def test_probabilities_of_the_tree_sum_to_one():
     texts, _ = lm_texts(random.Random(9))
     tree = BruteTree(texts[:-6], lm_scoring.Settings(gain=2.0))
