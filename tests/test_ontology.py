@@ -23,6 +23,21 @@ def test_a_cycle_ends(spark):
     assert ontology.closure(edges).count() == 4  # each above the other and itself
 
 
+def test_information_content_leaves_profiles_with_their_entities(spark, graph):
+    import re
+
+    terms, _, _, own, _ = graph
+    profiles = spark.createDataFrame([("P1", G2), ("P2", G3), ("P4", "GO:9999999")], "entity string, term_id string").repartition(7, "entity")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ontology.information_content(terms, profiles, own, R)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"(SortMergeJoin|ShuffledHashJoin).*LeftSemi", plan)
+        assert {r.term_id: r["count"] for r in found.collect()} == {R: 2, G1: 2, G2: 1, G3: 1, G4: 0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_information_content(spark, graph):
     terms, edges, up, own, _ = graph
     profiles = spark.createDataFrame([("P1", G2), ("P2", G3), ("P3", G3), ("P4", "GO:9999999")], "entity string, term_id string")
