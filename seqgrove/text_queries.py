@@ -24,15 +24,17 @@ FILE_ROWS = 200_000
 def written(spark: SparkSession, records: DataFrame, separator: str = "\n", head: str | None = None, gz: bool = False, rows: int = 0) -> str:
     """Text files of ``value`` rows, written and later read in parallel, each after the line(s) of ``head``.
 
-    rows: how many records there are, about; more than ``FILE_ROWS`` a file are dealt to more files. Rows go to files by a hash: of ``key`` where there is one, those of one key in the order of ``ord``."""
+    rows: how many records there are, about; more than ``FILE_ROWS`` a file are dealt to more files. Rows go to files by a hash: of ``key`` where there is one, those of one key in the order of ``ord``.
+    A file is one partition, so no task takes several; only heads and ``ord`` need an order, and other records are streamed."""
     path, files = fresh_path(spark, "text"), max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
     has = lambda c, other: F.col(c) if c in records.columns else other
     rows = records.select("value", F.pmod(F.xxhash64(has("key", F.col("value"))), F.lit(files)).cast("int").alias("file"), has("ord", F.lit(1)).cast("int").alias("ord"))
     if head is not None:
         rows = rows.unionByName(spark.range(files).select(F.lit(head).alias("value"), F.col("id").cast("int").alias("file"), F.lit(-1).alias("ord")))
-    w = rows.repartition(files, "file").sortWithinPartitions("file", "ord").select("value", "file").write.partitionBy("file").option("lineSep", separator)
+    dealt = rows.repartitionById(files, "file")
+    w = (dealt.sortWithinPartitions("ord") if head is not None or "ord" in records.columns else dealt).select("value").write.option("lineSep", separator)
     (w.option("compression", "gzip") if gz else w).text(path)
-    return f"{path}/*"
+    return path
 
 
 def _id(c: Column) -> Column:

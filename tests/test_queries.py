@@ -62,3 +62,20 @@ def test_partitions_and_files_grow_with_the_rows(spark, sf, monkeypatch):
     assert got == want and own.rdd.getNumPartitions() >= 6_000 // 500
     path = text_queries.written(spark, spark.range(1000).selectExpr("cast(id as string) as value"), rows=1000)
     assert spark.read.text(path).count() == 1000 and spark.read.text(path).selectExpr("_metadata.file_path as f").distinct().count() == 10
+
+
+def test_a_file_is_written_by_one_task(spark, monkeypatch):
+    import re
+
+    from seqgrove import text_queries
+
+    monkeypatch.setattr(text_queries, "FILE_ROWS", 100)
+    for head in (None, "head"):
+        path = text_queries.written(spark, spark.range(2000).selectExpr("cast(id as string) as value"), head=head, rows=2000)
+        files = [r.f for r in spark.read.text(path).selectExpr("_metadata.file_path as f").distinct().collect()]
+        assert len(files) == 20 and len({re.search(r"part-(\d+)", f).group(1) for f in files}) == 20
+        assert spark.read.text(path).where("value <> 'head'").count() == 2000
+        assert head is None or {r.value for r in spark.read.text(path).where("value = 'head'").collect()} == {"head"}
+    rows = spark.range(40).selectExpr("concat('x', id) as value", "cast(id % 4 as string) as key", "cast(40 - id as int) as ord")
+    back = [r.value for r in spark.read.text(text_queries.written(spark, rows)).collect()]
+    assert sorted(back) == sorted(f"x{i}" for i in range(40)) and all([v for v in back if int(v[1:]) % 4 == k] == [f"x{i}" for i in range(39, -1, -1) if i % 4 == k] for k in range(4))
