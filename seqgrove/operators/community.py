@@ -89,16 +89,16 @@ def leiden(n: int, edges: list[tuple[int, int, float]], gamma: float = 2.0, tota
 
 
 #: Edges of a component (or of what is left of larger ones) that one task takes.
-TASK_EDGES = 200_000
+TASK_EDGES = 1_000_000
 
 
-def communities(edges: DataFrame, gamma: float = 2.0, task_edges: int = TASK_EDGES) -> DataFrame:
-    """entity, community (its smallest member). edges: (src, dst, weight). Isolated entities don't appear."""
+def communities(edges: DataFrame, gamma: float = 2.0, task_edges: int = TASK_EDGES, comp: DataFrame | None = None) -> DataFrame:
+    """entity, community (its smallest member). edges: (src, dst, weight). Isolated entities don't appear. comp: their ``components``, if known."""
     from seqgrove.operators import community_rounds
 
     ship(edges.sparkSession)
     total = edges.agg(F.sum("weight").alias("w")).first()["w"] or 0.0
-    comp = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    comp = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))) if comp is None else comp
     labelled = edges.join(comp.select(F.col("u").alias("src"), F.col("v").alias("root")), "src", "left").withColumn("root", F.coalesce("root", "src")).select("root", "src", "dst", "weight")
     large = labelled.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > task_edges).select("root")
     rest, out = labelled, None
@@ -132,6 +132,20 @@ def quality(edges: DataFrame, groups: DataFrame, gamma: float = 2.0) -> DataFram
     return inside.crossJoin(sizes).crossJoin(total).select(F.when(w > 0, F.col("a") / w - gamma * F.col("kk") / (4 * w * w)).otherwise(0.0).alias("quality"))  # one row each
 
 
+def qualities(placed: DataFrame, groups: DataFrame, names: list[str], gamma: float = 2.0) -> DataFrame:
+    """One row with the ``quality`` of several divisions, a column each.
+
+    placed: edges (src, dst, weight) with the groups of their ends, x_<name> and y_<name>; groups: (entity, <name>...)."""
+    sums = placed.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"), *[F.coalesce(F.sum(F.when(F.col(f"x_{n}") == F.col(f"y_{n}"), F.col("weight"))), F.lit(0.0)).alias(f"in_{n}") for n in names])
+    ends = placed.select(F.col("src").alias("entity"), "weight").unionByName(placed.select(F.col("dst").alias("entity"), "weight"))
+    degree = ends.groupBy("entity").agg(F.sum("weight").alias("k")).join(groups, "entity")
+    for n in names:
+        k = degree.groupBy(n).agg(F.sum("k").alias("k")).agg(F.coalesce(F.sum(F.col("k") * F.col("k")), F.lit(0.0)).alias(f"kk_{n}"))
+        sums = sums.crossJoin(k)  # one row each
+    w = F.col("w")
+    return sums.select(*[F.when(w > 0, F.col(f"in_{n}") / w - gamma * F.col(f"kk_{n}") / (4 * w * w)).otherwise(0.0).alias(n) for n in names])
+
+
 def stable_ids(groups: DataFrame) -> DataFrame:
     """entity, cluster_id ``cluster_0001``...: groups in order of (smallest member, size)."""
     g = groups.groupBy("community").agg(F.min("entity").alias("first"), F.count("*").alias("size"))

@@ -21,21 +21,24 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether the links are stars already: every node has one link down, and none has links both up and down."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return not ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down > 0 and up > 0)").take(1)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, v) links -> (u, v): every linked node but the smallest of its component, and that smallest.
 
     Only sums over nodes are grouped (with partial aggregation), so a node with very many links is not
     gathered anywhere. Each round is written to the shared folder. Rows with u = v or nulls are ignored."""
     e = materialise(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    sign = lambda d: tuple(d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-    last = sign(e)
-    if not last[0]:
-        return e
     for _ in range(most_rounds):
+        if _settled(e):
+            return e
         new = materialise(_small_star(_large_star(e)), "links")
         discard(e)
-        e, now = new, sign(new)
-        if now == last:
-            return e
-        last = now
+        e = new
+    if _settled(e):
+        return e
     raise RuntimeError("components did not settle")

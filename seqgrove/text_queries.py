@@ -215,16 +215,18 @@ def q52_community_properties(spark: SparkSession, sf: str) -> DataFrame:
     from seqgrove.queries import q13_knn_edges
 
     e = materialise(q13_knn_edges(spark, sf), "edges")
-    c = materialise(community.communities(e), "communities")
-    own = lambda v, name: c.select(F.col("entity").alias(v), F.col("community").alias(name))
-    j = e.join(own("src", "x"), "src").join(own("dst", "y"), "dst")
-    parts = components(j.where("x = y").select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    comp = components(e.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    c = materialise(community.communities(e, comp=comp), "communities")
+    groups = c.join(comp.select(F.col("u").alias("entity"), "v"), "entity", "left").select("entity", "community", F.coalesce("v", "entity").alias("root"), F.col("entity").alias("alone"))
+    groups = materialise(groups, "divisions")
+    side = lambda v, at: groups.select(F.col("entity").alias(v), *[F.col(n).alias(f"{at}_{n}") for n in ("community", "root", "alone")])
+    j = materialise(e.join(side("src", "x"), "src").join(side("dst", "y"), "dst"), "placed-edges")
+    parts = components(j.where("x_community = y_community").select(F.col("src").alias("u"), F.col("dst").alias("v")))
     whole = c.join(parts.select(F.col("u").alias("entity"), "v"), "entity", "left").select("community", F.coalesce("v", "entity").alias("part"))
     split = whole.groupBy("community").agg(F.countDistinct("part").alias("n")).agg(F.sum((F.col("n") > 1).cast("bigint")).alias("unconnected"))
     names = c.groupBy("community").agg(F.min("entity").alias("least")).agg(F.sum((F.col("least") != F.col("community")).cast("bigint")).alias("misnamed"))
-    comp = components(e.select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    roots = c.select("entity").join(comp.select(F.col("u").alias("entity"), "v"), "entity", "left").select("entity", F.coalesce("v", "entity").alias("community"))
-    better = community.quality(e, c).alias("a").crossJoin(community.quality(e, c.select("entity", F.col("entity").alias("community"))).alias("b")).crossJoin(community.quality(e, roots).alias("c")).select(((F.col("a.quality") >= F.col("b.quality") - 1e-9) & (F.col("a.quality") >= F.col("c.quality") - 1e-9)).alias("better"))
+    found = community.qualities(j, groups, ["community", "root", "alone"])
+    better = found.select(((F.col("community") >= F.col("alone") - 1e-9) & (F.col("community") >= F.col("root") - 1e-9)).alias("better"))
     return c.agg(F.countDistinct("entity").alias("vertices"), F.count("*").alias("rows")).crossJoin(split).crossJoin(names).crossJoin(better)  # one row each
 
 
