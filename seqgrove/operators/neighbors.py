@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from seqgrove.operators.numbering import numbered
 from seqgrove.operators.similarity import set_similarity
-from seqgrove.storage import materialise
+from seqgrove.storage import materialise, spread
+
+#: Rows of the profiles' nearest entities that are broadcast.
+SMALL_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -95,9 +98,14 @@ def knn_edges(profiles: DataFrame, reflexive_rows: DataFrame, ics: DataFrame, te
     ranked = ranked.unionByName(own.select(F.col("profile").alias("a"), F.col("profile").alias("b"), F.lit(1.0).alias("amb")))
     options = ranked.join(first, ranked["b"] == first["profile"]).select("a", F.col("entity").alias("other"), "amb")
     best = options.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("amb"), "other"))).where(F.col("r") <= k + 1)
-    near = members.join(best, members["profile"] == best["a"]).where("entity <> other").select("entity", "other", "amb", "r")
+    best = materialise(best, "nearest-of-profiles")
+    # few profiles would give few tasks all entities: these are dealt by name, and the profiles' k + 1 rows go to them
+    rows = members.count() * k
+    dealt = spread(members, rows, "entity")
+    near = dealt.join(F.broadcast(best) if best.count() <= SMALL_ROWS else best, F.col("profile") == F.col("a")).where("entity <> other").select("entity", "other", "amb", "r")
     near = near.withColumn("turn", F.row_number().over(Window.partitionBy("entity").orderBy("r"))).where(F.col("turn") <= k)
-    return near.groupBy(F.least("entity", "other").alias("src"), F.greatest("entity", "other").alias("dst")).agg(F.max("amb").alias("weight"))
+    near = near.select(F.least("entity", "other").alias("src"), F.greatest("entity", "other").alias("dst"), "amb")
+    return spread(near, rows, "src", "dst").groupBy("src", "dst").agg(F.max("amb").alias("weight"))
 
 
 def connected_vertices(edges: DataFrame) -> DataFrame:

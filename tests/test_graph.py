@@ -215,3 +215,17 @@ def test_signatures(spark, graph):
     assert v == {G1: (1.0, 1.0), G2: (1.0, 2.0), G3: (0.333, 1.0)}
     s = signature.signatures(signature.votes(members, p, own, ics), up)
     assert signature.composed(s).first().composed_go == [G2, G3]
+
+
+def test_neighbours_of_one_profile_are_dealt_by_entity(spark, monkeypatch):
+    from seqgrove import storage
+    from seqgrove.operators import neighbors
+
+    profiles = spark.range(100).selectExpr("format_string('E%03d', id) as entity", "'t' as term_id")
+    ics = spark.createDataFrame([("t", 1.0)], "term_id string, ic double")
+    own = spark.createDataFrame([("t", "t")], "term_id string, ancestor string")
+    scores = spark.createDataFrame([("t", "t", 1.0)], "t1 string, t2 string, lin double")
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    e = neighbors.knn_edges(profiles, own, ics, scores)
+    assert e.rdd.getNumPartitions() >= 10  # 100 entities, ten neighbours each
+    assert {(r.src, r.dst) for r in e.collect()} == {tuple(sorted((f"E{a:03}", f"E{b:03}"))) for a in range(100) for b in [x for x in range(11) if x != a][:10]}
