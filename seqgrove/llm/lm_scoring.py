@@ -25,7 +25,8 @@ Counting and scoring meet in one place, so the tree itself is never gathered, br
    lots of their contexts, until no context is open. A filter of fixed size tells senders which are; a full one
    only lets more through.
 
-The number of lots grows with the bytes of the texts. A word that stands before more tokens than a lot may hold (``crowded``) is met
+The number of lots grows with the bytes of the texts. A lot is read batch by batch and counted in pieces by a hash of the
+context, so a task holds about 25 bytes a token and the work arrays of a piece, or of one word that isn't crowded. A word that stands before more tokens than a lot may hold (``crowded``) is met
 in two steps: its distinct (word, symbol) with counts meet where the context of length 1 is tested; its tokens then
 go to lots of the last *two* words, with what was found for each (word, symbol). Which words are treated so changes no result.
 
@@ -43,11 +44,10 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, bloom_has, bloom_of, bounded_batches, crc_bucket, discard, lean, lean_table, materialise, mix, powers, shuffle_parts, sweep, utf8, word_hashes
+from .common import BASE, bloom_has, bloom_of, bounded_batches, crc_bucket, discard, lean, lean_stream, lean_table, materialise, mix, powers, shuffle_parts, sweep, utf8, word_hashes
 
 U = np.uint64
 START, END = 0, 1
@@ -308,7 +308,12 @@ def _first_words(crowded: Crowded, total: int, words: int, cfg: Settings):
             seen = np.bincount(of, seen, len(symbol)).astype(np.int64)
             base = np.log(count[np.searchsorted(names, symbol)] + 0.1) - norm
             key = np.full(len(symbol), widen(word, 6)[0], U)
-            gained, (going, _, _), _ = climb([key], symbol, np.full(len(symbol), 2, np.uint8), seen, lambda first: (base[first], np.ones(len(first), bool)), cfg)
+            gained = np.zeros(len(symbol))
+
+            def add(at, change, entry, _):
+                gained[at] = change[entry]
+
+            going, _, _ = climb(np.arange(len(symbol), dtype=np.int32), 1, lambda _, at: key[at], lambda at: symbol[at], lambda at: seen[at], np.full(len(symbol), 2, np.uint8), lambda at: (base[at], np.ones(len(at), bool)), add, cfg)
             told = ((seen >= 2).astype(np.uint8) | np.uint8(2 * (len(going) > 0))).tobytes()
             i = int(crowded.number(key[:1])[0])
             out += [(lot, TABLE, word, b"", squeeze(symbol, 7), gained.tobytes(), told, base.tobytes(), b"", b"") for lot in range(crowded.first[i], crowded.first[i + 1])]
@@ -373,51 +378,82 @@ def _sent(number: int, lots: int, span: tuple[int, int], most: int, opened=None,
 
 
 class Lot:
-    """The tokens of a lot, from all its rows; a row's bytes are let go before the next is read."""
-
-    def __init__(self, rows: pa.Table, at: list[int], steps: list[int], first: bool):
-        col = {c: rows.column(c) for c in rows.column_names}
-        read = lambda c, i: col[c][at[i]].as_py()
-        size = lambda c: [x for x, k in zip(pc.binary_length(col[c]).to_pylist(), col["kind"].to_pylist()) if k == TOKENS]
-        n = sum(size("levels"))
-        docs = np.cumsum([0, *(x // 8 for x in size("texts"))])
-        self.key, self.symbol = np.empty(n, U), np.empty(n, U)
-        self.levels, self.row = np.empty(n, np.uint8), np.empty(n, np.int32)
-        self.ctx = [self.key if first and not i else np.zeros(n, U) for i in range(len(steps))]
-        self.text, self.learn = np.empty(docs[-1], np.int64), np.empty(docs[-1], np.uint8)
-        a = 0
-        for i in range(len(at)):
-            levels = np.frombuffer(read("levels", i), np.uint8)
-            z = a + len(levels)
-            self.levels[a:z] = levels
-            self.key[a:z] = np.repeat(widen(read("keys", i), 6), np.frombuffer(read("sizes", i), "<u4"))
-            self.symbol[a:z] = widen(read("symbols", i), 7)
-            found, used = widen(read("contexts", i), 6), 0
-            for k in range(int(first), len(steps)):
-                ok = levels > k
-                more = int(ok.sum())
-                self.ctx[k][a:z][ok] = found[used : used + more]
-                used += more
-            self.text[docs[i] : docs[i + 1]] = np.frombuffer(read("texts", i), np.int64)
-            self.learn[docs[i] : docs[i + 1]] = np.frombuffer(read("learn", i), np.uint8)
-            self.row[a:z] = np.frombuffer(read("rows", i), "<u2" if docs[i + 1] - docs[i] <= 65536 else "<u4")
-            self.row[a:z] += np.int32(docs[i])
-            a = z
-
-    def keep(self, mask: np.ndarray) -> None:
-        self.ctx = [c[mask] for c in self.ctx]
-        for name in ("key", "symbol", "levels", "row"):
-            setattr(self, name, getattr(self, name)[mask])
+    """The tokens of a lot, read batch by batch; hashes and symbols stay in the bytes they came in, 6 for each length that a
+    token has and 7 for its symbol."""
+
+    def __init__(self, batches, steps: list[int], first: bool):
+        self.table: list[dict] = []
+        cols: dict = {c: [] for c in ("keys", "word", "symbols", "levels", "texts", "learn", "rows", *range(len(steps)))}
+        words = docs = 0
+        for b in batches:
+            for r in b.to_pylist():
+                if r["kind"] == TABLE:
+                    self.table.append({c: r[c] for c in ("keys", "symbols", "contexts", "levels", "texts")})
+                if r["kind"] != TOKENS:
+                    continue
+                levels, size = np.frombuffer(r["levels"], np.uint8), np.frombuffer(r["sizes"], "<u4")
+                used = 0
+                for k in range(int(first), len(steps)):
+                    more = 6 * int((levels > k).sum())
+                    cols[k].append(r["contexts"][used : used + more])
+                    used += more
+                more = len(r["texts"]) // 8
+                cols["keys"].append(widen(r["keys"], 6))
+                cols["word"].append(np.repeat(np.arange(words, words + len(size), dtype=np.int32), size))
+                cols["rows"].append(np.frombuffer(r["rows"], "<u2" if more <= 65536 else "<u4").astype(np.int32) + np.int32(docs))
+                for c in ("symbols", "levels", "texts", "learn"):
+                    cols[c].append(r[c])
+                words, docs = words + len(size), docs + more
+        raw = lambda c, dtype: np.frombuffer(b"".join(cols.pop(c)), dtype)
+        whole = lambda c, dtype: np.concatenate([np.zeros(0, dtype), *cols.pop(c)])
+        self.keys, self.word, self.row = whole("keys", U), whole("word", np.int32), whole("rows", np.int32)
+        self.levels, self.text, self.learn = raw("levels", np.uint8), raw("texts", np.int64), raw("learn", np.uint8)
+        self.symbols = raw("symbols", np.uint8).reshape(-1, 7)
+        self.raw = [None if first and not k else raw(k, np.uint8).reshape(-1, 6) for k in range(len(steps))]
+        self.place: tuple[int, np.ndarray] | None = None
+
+    def key(self, at: np.ndarray) -> np.ndarray:
+        return self.keys[self.word[at]]
+
+    def symbol(self, at: np.ndarray) -> np.ndarray:
+        return _wide(self.symbols, at)
+
+    def learnt(self, at: np.ndarray) -> np.ndarray:
+        return self.learn[self.row[at]]
+
+    def context(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Hashes of the k-th length, which the tokens ``at`` must have."""
+        raw = self.raw[k]
+        if raw is None:
+            return self.key(at)
+        if len(raw) == len(self.levels):
+            return _wide(raw, at)
+        if self.place is None or self.place[0] != k:
+            self.place = k, np.cumsum(self.levels > k, dtype=np.int32) - np.int32(1)
+        return _wide(raw, self.place[1][at])
+
+
+def _wide(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(at), 8), np.uint8)
+    out[:, : raw.shape[1]] = raw[at]
+    return out.view("<u8").ravel()
 
 
 #: Tokens of a lot that a step takes whose work arrays are several times as large.
 STEP = 1 << 18
+#: Tokens of a piece of a lot, on average, that are counted at once. A context's tokens are in one piece.
+PIECE = 1 << 19
 
 
 def _entry(ctx: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    out = np.empty(len(ctx), U)
-    for i in range(0, len(ctx), STEP):
-        out[i : i + STEP] = mix(ctx[i : i + STEP] * BASE + symbol[i : i + STEP])
+    return mix(ctx * BASE + symbol)
+
+
+def _by_step(n: int, of) -> np.ndarray:
+    """``of`` (a slice to numbers) for all of n tokens."""
+    out = np.empty(n, U)
+    for i in range(0, n, STEP):
+        out[i : i + STEP] = of(slice(i, i + STEP))
     return out
 
 
@@ -429,74 +465,87 @@ def _by_text(row: np.ndarray, values: np.ndarray, entry: np.ndarray | None, k: i
     return out
 
 
-def climb(ctx: list[np.ndarray], symbol: np.ndarray, levels: np.ndarray, train: np.ndarray, look, cfg: Settings):
-    """One round: each token's change of log probability; (context, symbol, log p) of what stays open; and what ``look`` told.
-
-    ctx: hashes of each length, valid for tokens with that many levels. look: log p after the contexts so far, and
-    whether it is known, of some tokens. It is for symbols that were seen twice there, and no others can be seen twice
-    after a longer context."""
-    act, lp, known = None, None, None
-    opened = (np.zeros(0, U), np.zeros(0, U), np.zeros(0))
-    gained, start = np.zeros(len(symbol)), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))
-    for k, every in enumerate(ctx):
-        c, s, learnt = (every, symbol, train) if act is None else (every[act], symbol[act], train[act])
-        if not len(c):
-            break
-        order = np.argsort(key := _entry(c, s)).astype(np.int32 if len(c) < 1 << 31 else np.int64)
-        fresh = np.ones(len(c), bool)
-        for i in range(1, len(c), STEP):  # no sorted copy of all keys
-            at = order[i - 1 : i + STEP]
-            fresh[i : i + STEP] = key[at[1:]] != key[at[:-1]]
-        del key
-        entry = np.empty(len(c), np.int32)  # of each token
-        entry[order] = np.cumsum(fresh, dtype=np.int32) - 1
-        at = np.flatnonzero(fresh)
-        m, first = np.add.reduceat(learnt[order], at, dtype=np.int64), order[at]
-        del order, fresh
-        if act is None:
-            below, sure = look(first)
-            start = (first, below, entry)
-        else:
-            below, sure = lp[first], known[first]
-        own = c[first]
-        order = np.argsort(own)
-        at, size = _runs(own[order])
-        of = np.empty(len(own), np.int32)  # the context of each entry
-        of[order] = np.repeat(np.arange(len(at), dtype=np.int32), size)
-        n = np.add.reduceat(m[order], at).astype(float)
-        e = np.flatnonzero((m >= 2) & sure)
-        o, me, be = of[e], m[e].astype(float), below[e]
-        total = lambda x: np.bincount(o, x, len(n))
-        kinds, seen, mass = total(np.ones(len(e))), total(me), np.minimum(total(np.exp(be)), 1 - 1e-9)
-        alone = n - seen
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left = (cfg.discount * kinds + alone) / n
-            rest = np.log(left) - np.log1p(-mass)
-            gain = total(me * (np.log(me - cfg.discount) - be)) - seen * np.log(n) + np.where(alone > 0, alone * rest, 0.0)
-        state = (kinds > 0) & (gain >= cfg.gain)
-        change = np.where(state, rest, 0.0)[of]
-        ins = e[state[o]]
-        change[ins] = np.log(m[ins] - cfg.discount) - np.log(n[of[ins]]) - below[ins]
-        new = below + change
-        if act is None:
-            gained = change[entry]
-        else:
-            gained[act] += change[entry]
-        others = np.bincount(of, minlength=len(n)) - 1  # symbols but one
-        go = (kinds > 0) & (total(me * -new[e]) - others * np.log1p(-np.minimum(total(np.exp(new[e])), 1 - 1e-9)) >= cfg.gain)
-        more = np.flatnonzero(go[of][entry] & (levels > k + 1))
-        going = entry[more]
-        if k == len(ctx) - 1:
-            some = np.zeros(len(n), bool)
-            some[of[going]] = True
-            f = e[some[o]]
-            opened = (own[f], s[first[f]], new[f])
+def _pieces(context, act: np.ndarray):
+    """Places in ``act``, by a hash of the context: of about PIECE tokens, or those of one more frequent context."""
+    n = min(255, -(-len(act) // PIECE))
+    if n == 1:
+        yield np.arange(len(act), dtype=np.int32)
+        return
+    part = np.empty(len(act), np.uint8)
+    for i in range(0, len(act), STEP):
+        part[i : i + STEP] = mix(context(act[i : i + STEP])) % U(n)
+    for p in range(n):
+        at = np.flatnonzero(part == p).astype(np.int32)
+        if len(at):
+            yield at
+
+
+def climb(act: np.ndarray, steps: int, context, symbol, learnt, levels: np.ndarray, look, add, cfg: Settings):
+    """One round over the tokens ``act``; (context, symbol, log p) of what stays open.
+
+    context (of a length and tokens), symbol, learnt: what the tokens have; levels: how many lengths. look: log p after the
+    contexts so far, and whether it is known, of some tokens. It is for symbols that were seen twice there, and no others
+    can be seen twice after a longer context. add gets tokens, the change of log p of each entry (context, symbol), each
+    token's entry, and in the first step each entry's log p before it."""
+    lp, known, opened = None, None, []
+    for k in range(steps):
+        after: list[list[np.ndarray]] = [[], [], []]
+        for place in _pieces(lambda at: context(k, at), act):
+            at = act[place]
+            order = np.argsort(key := _by_step(len(at), lambda s: _entry(context(k, at[s]), symbol(at[s])))).astype(np.int32)
+            fresh = np.ones(len(at), bool)
+            for i in range(1, len(at), STEP):  # no sorted copy of all keys
+                own = order[i - 1 : i + STEP]
+                fresh[i : i + STEP] = key[own[1:]] != key[own[:-1]]
+            del key
+            entry = np.empty(len(at), np.int32)  # of each token
+            entry[order] = np.cumsum(fresh, dtype=np.int32) - 1
+            new = np.flatnonzero(fresh)
+            m, first = np.add.reduceat(learnt(at)[order], new, dtype=np.int64), order[new]
+            del order, fresh, new
+            below, sure = look(at[first]) if lp is None else (lp[place[first]], known[place[first]])
+            first = at[first]
+            own = context(k, first)
+            order = np.argsort(own)
+            start, size = _runs(own[order])
+            of = np.empty(len(own), np.int32)  # the context of each entry
+            of[order] = np.repeat(np.arange(len(start), dtype=np.int32), size)
+            n = np.add.reduceat(m[order], start).astype(float)
+            e = np.flatnonzero((m >= 2) & sure)
+            o, me, be = of[e], m[e].astype(float), below[e]
+            total = lambda x: np.bincount(o, x, len(n))
+            kinds, seen, mass = total(np.ones(len(e))), total(me), np.minimum(total(np.exp(be)), 1 - 1e-9)
+            alone = n - seen
+            with np.errstate(divide="ignore", invalid="ignore"):
+                left = (cfg.discount * kinds + alone) / n
+                rest = np.log(left) - np.log1p(-mass)
+                gain = total(me * (np.log(me - cfg.discount) - be)) - seen * np.log(n) + np.where(alone > 0, alone * rest, 0.0)
+            state = (kinds > 0) & (gain >= cfg.gain)
+            change = np.where(state, rest, 0.0)[of]
+            ins = e[state[o]]
+            change[ins] = np.log(m[ins] - cfg.discount) - np.log(n[of[ins]]) - below[ins]
+            add(at, change, entry, None if k else below)
+            new = below + change
+            others = np.bincount(of, minlength=len(n)) - 1  # symbols but one
+            go = (kinds > 0) & (total(me * -new[e]) - others * np.log1p(-np.minimum(total(np.exp(new[e])), 1 - 1e-9)) >= cfg.gain)
+            more = np.flatnonzero(go[of][entry] & (levels[at] > k + 1))
+            going = entry[more]
+            if k == steps - 1:
+                some = np.zeros(len(n), bool)
+                some[of[going]] = True
+                f = e[some[o]]
+                opened.append((own[f], symbol(first[f]), new[f]))
+            else:
+                # symbols seen once have no known probability later on, and need none
+                told = np.zeros(len(m), bool)
+                told[e] = True
+                for col, x in zip(after, (at[more], new[going], told[going])):
+                    col.append(x)
+        if k == steps - 1 or not any(map(len, after[0])):
             break
-        # symbols seen once have no known probability later on, and need none
-        told = np.zeros(len(m), bool)
-        told[e] = True
-        act, lp, known, levels = more if act is None else act[more], new[going], told[going], levels[more]
-    return gained, opened, start
+        del lp, known
+        act, lp, known = (np.concatenate(after.pop(0)) for _ in range(3))
+    return tuple(np.concatenate([np.zeros(0, d), *(x[i] for x in opened)]) for i, d in enumerate((U, U, float)))
 
 
 OUT = "kind int, lot bigint, a binary, b binary, c binary, d binary"
@@ -510,12 +559,12 @@ def _scored(number: int, lots: int, total: int, words: int, cfg: Settings, apart
         steps = steps[1:]
     norm = np.log(total + 0.1 * (words + 1))
 
-    def run(key, rows):
-        table = rows.filter(pc.equal(rows["kind"], TABLE)).select(["keys", "symbols", "contexts", "levels", "texts"]).to_pylist()
-        own = [i for i, k in enumerate(rows["kind"].to_pylist()) if k == TOKENS]
-        if not own or not table:
-            return pa.Table.from_batches([_batch(OUT, [])])
-        lot = Lot(rows, own, steps, number == 0 and not apart)
+    def run(key, batches):
+        lot = Lot(batches, steps, number == 0 and not apart)
+        table, every = lot.table, np.arange(len(lot.levels), dtype=np.int32)
+        if not len(every) or not table:
+            yield _batch(OUT, [])
+            return
         names = widen(b"".join(r["symbols"] for r in table), 7)
         k = len(lot.text)
         hits, base, score = np.zeros(k), np.zeros(k), np.zeros(k)
@@ -523,45 +572,50 @@ def _scored(number: int, lots: int, total: int, words: int, cfg: Settings, apart
             # the table has every symbol that stands after the lot's words
             keys = np.concatenate([np.full(len(r["symbols"]) // 7, widen(r["keys"], 6)[0], U) for r in table])
             order = np.argsort(names := _entry(keys, names))
-            of = order[np.searchsorted(names[order], _entry(lot.key, lot.symbol))]
-            root, change = (np.frombuffer(b"".join(r[c] for r in table), np.float64)[of] for c in ("texts", "contexts"))
-            told = np.frombuffer(b"".join(r["levels"] for r in table), np.uint8)[of]
-            hits, base = np.bincount(lot.row, root > np.log(0.15) - norm, k), np.bincount(lot.row, root, k)
-            score = base + np.bincount(lot.row, change, k)
-            further = (told & 2 > 0) & (lot.levels > 0)
-            lot.keep(further)
-            value, known = (root + change)[further], (told & 1 > 0)[further]
-
-            def look(first):
-                return value[first], known[first]
+            names = names[order]
+            of = order.astype(np.int32)[_by_step(len(every), lambda s: np.searchsorted(names, _entry(lot.key(every[s]), lot.symbol(every[s])))).view(np.int64)]
+            root, change = (np.frombuffer(b"".join(r[c] for r in table), np.float64) for c in ("texts", "contexts"))
+            told = np.frombuffer(b"".join(r["levels"] for r in table), np.uint8)
+            hits, base = _by_text(lot.row, root > np.log(0.15) - norm, of, k), _by_text(lot.row, root, of, k)
+            score = base + _by_text(lot.row, change, of, k)
+            every = every[(told & 2 > 0)[of] & (lot.levels > 0)]
+
+            def look(at):
+                return (root + change)[of[at]], (told & 1 > 0)[of[at]]
 
         elif number == 0:
             count = widen(b"".join(r["contexts"] for r in table), 5).astype(np.float64)
             order = np.argsort(names)
             names, count = names[order], count[order]
 
-            def look(first):
-                return np.log(count[np.searchsorted(names, lot.symbol[first])] + 0.1) - norm, np.ones(len(first), bool)
+            def look(at):
+                return np.log(count[np.searchsorted(names, lot.symbol(at))] + 0.1) - norm, np.ones(len(at), bool)
 
         else:
             keys = widen(b"".join(r["keys"] for r in table), 6)
-            lot.keep(np.isin(lot.key, keys))  # the filter lets others through as well
+            every = every[np.isin(lot.keys, keys)[lot.word]]  # the filter lets others through as well
             names, value = _entry(keys, names), np.frombuffer(b"".join(r["contexts"] for r in table), np.float64)
             order = np.argsort(names)
             names, value = names[order], value[order]
 
-            def look(first):
-                want = _entry(lot.key[first], lot.symbol[first])
+            def look(at):
+                want = _entry(lot.key(at), lot.symbol(at))
                 i = np.minimum(np.searchsorted(names, want), len(names) - 1)
                 hit = names[i] == want
                 return np.where(hit, value[i], 0.0), hit
 
         del table
-        gained, (ctx, symbol, p), (_, below, entry) = climb(lot.ctx, lot.symbol, lot.levels, lot.learn[lot.row], look, cfg)
-        if number == 0 and not apart:
-            hits, base = _by_text(lot.row, below > np.log(0.15) - norm, entry, k), _by_text(lot.row, below, entry, k)
-            score = base
-        score = score + _by_text(lot.row, gained, None, k)
+        lot.table = []
+
+        def add(at, change, entry, below):
+            nonlocal hits, base, score
+            row = lot.row[at]
+            if below is not None and number == 0 and not apart:
+                hits, base = hits + _by_text(row, below > np.log(0.15) - norm, entry, k), base + _by_text(row, below, entry, k)
+                change = change + below
+            score = score + _by_text(row, change, entry, k)
+
+        ctx, symbol, p = climb(every, len(steps), lot.context, lot.symbol, lot.learnt, lot.levels, look, add, cfg)
         used = np.flatnonzero((score != 0) | (base != 0))
         out = [(SUMS, 0, lot.text[used].tobytes(), hits[used].astype("<u4").tobytes(), base[used].tobytes(), score[used].tobytes())]
         if len(ctx):
@@ -569,7 +623,7 @@ def _scored(number: int, lots: int, total: int, words: int, cfg: Settings, apart
             ctx, symbol, p = ctx[order], symbol[order], p[order]
             cut = np.searchsorted(ctx, edges_of(lots))
             out += [(OPEN, i, squeeze(ctx[a:z], 6), squeeze(symbol[a:z], 7), p[a:z].tobytes(), b"") for i, (a, z) in enumerate(zip(cut, cut[1:])) if a < z]
-        return pa.Table.from_batches([_batch(OUT, out)])
+        yield _batch(OUT, out)
 
     return run
 
@@ -621,7 +675,7 @@ def _summed(key, rows):
 
 def _turn(src: DataFrame, table: DataFrame, sent, scored) -> DataFrame:
     both = src.mapInArrow(lean(sent), SENT).unionByName(table)
-    return materialise(both.groupBy("lot").applyInArrow(lean_table(scored), OUT), "lm-sums")
+    return materialise(both.groupBy("lot").applyInArrow(lean_stream(scored), OUT), "lm-sums")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

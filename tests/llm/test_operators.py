@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -393,6 +394,43 @@ def test_words_before_very_many_tokens_are_split_without_a_change(spark):
         assert (b.base_score, b.score) == pytest.approx((a.base_score, a.score), abs=1e-9)
 
 
+def test_a_lot_is_counted_in_pieces_within_bounded_memory(monkeypatch):
+    """One lot with a word before a third of its tokens; numpy's and Python's memory is traced."""
+    import gc
+    import tracemalloc
+
+    rng, cfg = random.Random(12), lm_scoring.Settings()
+    texts = [" ".join(w for _ in range(700) for w in (rng.choice(("the", WORDS[i % 7])), f"{rng.choice(WORDS)}{rng.randint(0, 99)}")).encode() for i in range(700)]
+    rows = pa.RecordBatch.from_pydict({"text": texts, "key": list(range(len(texts))), "id": list(range(len(texts))), "learn": [True] * len(texts)})
+    sent = [list(lm_scoring._sent(n, 1, (0, 1), 300_000)(rows.slice(i, 70) for i in range(0, 700, 70))) for n in (0, 1)]
+    words = Counter(lm_scoring.Tokens(texts).symbol.tolist())
+    total = sum(words.values())
+    names = lm_scoring.squeeze(np.array([*words], np.uint64), 7)
+    table = lm_scoring._batch(lm_scoring.SENT, [(0, lm_scoring.TABLE, b"", b"", names, lm_scoring.squeeze(np.array([*words.values()]), 5), *[b""] * 4)])
+
+    def run(number, batches):
+        out = [r for b in lm_scoring._scored(number, 1, total, len(words), cfg)(None, iter(batches)) for r in b.to_pylist()]
+        sums = [np.frombuffer(r["d"], float) for r in out if r["kind"] == lm_scoring.SUMS]
+        return sums[0], sorted((a, b, c) for r in out if r["kind"] == lm_scoring.OPEN for a, b, c in zip(lm_scoring.widen(r["a"], 6), lm_scoring.widen(r["b"], 7), np.frombuffer(r["c"], float)))
+
+    monkeypatch.setattr(lm_scoring, "STEP", 1 << 14)
+    monkeypatch.setattr(lm_scoring, "PIECE", 1 << 30)
+    whole, opened = run(0, [*sent[0], table])
+    keys, symbols, p = (np.array(x) for x in zip(*opened))
+    open_table = lm_scoring._batch(lm_scoring.SENT, [(0, lm_scoring.TABLE, lm_scoring.squeeze(keys, 6), b"", lm_scoring.squeeze(symbols, 7), p.tobytes(), *[b""] * 4)])
+    longer = run(1, [*sent[1], open_table])
+    monkeypatch.setattr(lm_scoring, "PIECE", 1 << 16)
+    gc.collect()
+    tracemalloc.start()
+    parts, found = run(0, [*sent[0], table])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts == pytest.approx(whole, abs=1e-6) and found == opened
+    again = run(1, [*sent[1], open_table])
+    assert again[0] == pytest.approx(longer[0], abs=1e-6) and again[1] == longer[1]
+    assert peak < 70 * total
+
+
 def test_probabilities_of_the_tree_sum_to_one():
     texts, _ = lm_texts(random.Random(9))
     tree = BruteTree(texts[:-6], lm_scoring.Settings(gain=2.0))
