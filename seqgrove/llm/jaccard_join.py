@@ -118,7 +118,7 @@ def _parts(s: np.ndarray) -> bytes:
 
 def _sketch_rows(sketch: np.ndarray, bare: bool = False):
     if sketch.any():
-        parts = [x.astype("<u2").tobytes() if x.max() < 65536 else x.astype("<u8").tobytes() for x in np.split(sketch, PIECES)]
+        parts = [x.astype("<u2" if x.max() < 1 << 16 else "<u4" if x.max() < 1 << 32 else "<u8").tobytes() for x in np.split(sketch, PIECES)]
         own = {"piece": pa.array(range(PIECES), pa.int32()), "counts": pa.array(parts, pa.binary())}
         rest = {} if bare else {"doc": pa.nulls(PIECES, pa.int64()), "n": pa.nulls(PIECES, pa.int64()), "node": pa.nulls(PIECES, pa.binary()), "hist": pa.nulls(PIECES, pa.binary())}
         yield pa.RecordBatch.from_pydict(rest | own)
@@ -126,7 +126,7 @@ def _sketch_rows(sketch: np.ndarray, bare: bool = False):
 
 def _piece_counts(raw: bytes) -> np.ndarray:
     size = (2 << SKETCH_BITS) // PIECES
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * size else "<u8").astype(np.int64)
+    return np.frombuffer(raw, f"<u{len(raw) // size}").astype(np.int64)
 
 
 def _sum_sketches(batches):
@@ -535,6 +535,7 @@ class _Search:
             bloom = self.texts.sparkSession.sparkContext.broadcast(bloom_of(wanted, _node_keys))
             sets = _only(self.texts.mapInArrow(lean(_sets(bloom, self.n)), "node binary, grams binary"), wanted)
             self.sets.append(materialise(sets.groupBy("node").agg(F.first("grams").alias("grams")), "jaccard-sets"))
+            bloom.destroy()
         discard(wanted)
 
     def every_set(self) -> DataFrame:
@@ -587,6 +588,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = src.select("text")
     packed = texts.mapInArrow(lean(_prefixes(sketch, n, t, lots)), "p int, blob binary")
     groups = materialise(packed.repartition(parts, "p").mapInArrow(lean(_shared), "p int, blob binary"), "jaccard-groups")
+    sketch.destroy()  # the driver has a copy as well
+    sweep(spark)
 
     members = materialise(groups.mapInArrow(lean(_member_rows), "p int, node binary"), "jaccard-members")
     hists = _only(first.where("node is not null").select("node", "n", "hist"), members.select("node").distinct())
@@ -596,6 +599,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = search.passing(materialise(stars.groupBy("lot").applyInArrow(_distinct_pairs, "u binary, v binary"), "jaccard-stars"))
     sweep(spark)
     search.fetch(_ends(pairs))
+    sweep(spark)
     comp = components(search.verify(pairs))
     sweep(spark)
     # what is left: nodes and the other components of their groups
@@ -603,13 +607,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = members.join(linked, "node").select("p", "node", "label")
     meetings = groups.select("p", "blob").groupBy("p").cogroup(labels.groupBy("p")).applyInArrow(_meetings(t, lots), "lot int, pairs binary")
     meetings = materialise(meetings.groupBy("lot").applyInArrow(_distinct_pairs, "u binary, v binary"), "jaccard-meetings")
+    sweep(spark)
     roots = comp.select("v").distinct()
     single, many = search.passing(meetings.join(roots, "v", "left_anti")), materialise(meetings.join(roots, "v", "left_semi"), "jaccard-many")
+    sweep(spark)
     whole = comp.select(F.col("v").alias("root"), F.col("u").alias("node")).unionByName(roots.select(F.col("v").alias("root"), F.col("v").alias("node")))
     asked = whole.join(many.select(F.col("v").alias("root")).distinct(), "root", "left_semi").select("node")
     search.fetch(_ends(single).union(many.select("u")).union(asked).distinct())
     sweep(spark)
-    more = search.verify(single).unionByName(search.join(many, whole))
+    verified = search.verify(single)
+    sweep(spark)
+    more = verified.unionByName(search.join(many, whole))
+    sweep(spark)
     if more.take(1):
         comp = components(comp.unionByName(more))
     for table in (groups, members, hists, pairs, meetings, single, many, *search.sets):

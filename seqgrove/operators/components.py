@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqgrove.storage import discard, materialise
+from seqgrove.storage import discard, materialise, sweep
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(u, v) links -> (u, v): every linked node but the smallest of its component, and that smallest.
 
     Only sums over nodes are grouped (with partial aggregation), so a node with very many links is not
-    gathered anywhere. Each round is written to the shared folder. Rows with u = v or nulls are ignored."""
+    gathered anywhere. Each round is written to the shared folder, and the driver lets go of its plans. Rows with u = v or nulls are ignored."""
     e = materialise(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     for _ in range(most_rounds):
         if _settled(e):
@@ -39,6 +39,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = materialise(_small_star(_large_star(e)), "links")
         discard(e)
         e = new
+        sweep(e.sparkSession, 1)
     if _settled(e):
         return e
     raise RuntimeError("components did not settle")

@@ -606,6 +606,27 @@ def test_shingle_hashes_tell_words_apart():
     assert n.tolist() == [2, 0, 4, 1] and h[0] == h[3] == h[6] and h[1] == h[2] == h[4] and len(set(h.tolist())) == 3
 
 
+def test_jaccard_join_leaves_no_broadcasts_on_the_driver(spark, monkeypatch):
+    made, gone, sc = [], [], type(spark.sparkContext)
+    from pyspark.core.broadcast import Broadcast
+
+    put, end = sc.broadcast, Broadcast.destroy
+    monkeypatch.setattr(sc, "broadcast", lambda self, value: made.append(put(self, value)) or made[-1])
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: gone.append(self) or end(self, *a))
+    line = prose(random.Random(3), 60)
+    rows = jaccard_join.jaccard_components(documents(spark, [line, line + " more", prose(random.Random(4), 60)])).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {0: 0, 1: 0, 2: 2}
+    assert made and {id(b) for b in made} == {id(b) for b in gone}
+
+
+def test_sketches_are_told_in_as_few_bytes_as_hold_them():
+    for most, width in ((65_535, 2), (65_536, 4), (1 << 32, 8)):
+        counts = np.zeros(2 << jaccard_join.SKETCH_BITS, np.int64)
+        counts[5] = most
+        first = next(jaccard_join._sketch_rows(counts, bare=True)).column("counts")[0].as_py()
+        assert len(first) == width * len(counts) // jaccard_join.PIECES and jaccard_join._piece_counts(first)[5] == most
+
+
 # --- op9 -------------------------------------------------------------------------------------------------
 
 
