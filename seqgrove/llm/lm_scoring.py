@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, bloom_has, bloom_of, bounded_batches, crc_bucket, discard, lean, lean_stream, lean_table, materialise, mix, powers, shuffle_parts, sweep, utf8, word_hashes
+from .common import BASE, bloom_has, bloom_of, bounded_batches, crc_bucket, discard, distinct, eights, lean, lean_stream, lean_table, materialise, mix, powers, ranked, shuffle_parts, sweep, utf8, word_hashes
 
 U = np.uint64
 START, END = 0, 1
@@ -88,13 +88,17 @@ def lengths_of(number: int) -> tuple[int, list[int]]:
 
 def squeeze(x: np.ndarray, width: int) -> bytes:
     """The lower ``width`` bytes of each number."""
-    return np.ascontiguousarray(x, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    x = np.ascontiguousarray(x, dtype="<u8")
+    return np.ndarray((len(x),), f"V{width}", x, 0, (8,)).tobytes() if len(x) else b""
+
+
+def _wide(raw: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+    """Numbers of ``eights``, of which each has as many bytes as lie between them."""
+    return raw[at] & U((1 << 8 * raw.strides[0]) - 1)
 
 
 def widen(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-    return out.view("<u8").ravel()
+    return _wide(eights(raw + b"\0" * 8, width), slice(None))
 
 
 class Tokens:
@@ -186,13 +190,13 @@ def _asked(lots: int, parts: int, most: int):
             lot = lot_of(t.contexts(1), lots)
             train = np.array(learn, bool)[t.row]
             both = mix(t.symbol * U(lots + 1) + lot.astype(U))
-            order = np.argsort(both)
+            order = ranked(both)
             at, _ = _runs(both[order])
             n = np.add.reduceat(train[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
             first = order[at]
             s, lot = t.symbol[first], lot[first]
             part = (mix(s) % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            order = ranked(part, 32)
             s, lot, n, part = s[order], lot[order], n[order], part[order]
             cut = np.searchsorted(part, np.arange(parts + 1))
             rows = [(WORDS, p, squeeze(s[a:z], 7), lot[a:z].astype("<u4").tobytes(), n[a:z].astype("<u4").tobytes()) for p, (a, z) in enumerate(zip(cut, cut[1:])) if a < z]
@@ -224,12 +228,12 @@ def _counts(key, rows, crowded: int):
     if kind == TEXTS:
         return pa.Table.from_batches([_batch(COUNTED, [(TEXTS, part, b"".join(a), b"".join(b), b"".join(c), 0, 0)])])
     s, lot, n = widen(b"".join(a), 7), np.frombuffer(b"".join(b), "<u4"), np.frombuffer(b"".join(c), "<u4").astype(np.int64)
-    order = np.argsort(s, kind="stable")
+    order = ranked(s, 56)
     s, lot, n = s[order], lot[order], n[order]
     at, size = _runs(s)
     count = np.add.reduceat(n, at)
     of = np.repeat(np.arange(len(at)), size)
-    pair = np.unique(lot.astype(U) << U(40) | of.astype(U))  # a part has fewer than 2 ** 40 words
+    pair = distinct(lot.astype(U) << U(40) | of.astype(U))  # a part has fewer than 2 ** 40 words
     lot, of = (pair >> U(40)).astype(np.int64), (pair & U((1 << 40) - 1)).astype(np.int64)
     first, size = _runs(lot)
     out = [(WORDS, int(lot[i]), squeeze(s[at[of[i : i + k]]], 7), squeeze(count[of[i : i + k]], 5), b"", 0, 0) for i, k in zip(first, size)]
@@ -355,24 +359,27 @@ def _sent(number: int, lots: int, span: tuple[int, int], most: int, opened=None,
                 if crowded is not None:
                     own &= crowded.number(key) < 0
                 own = np.flatnonzero(own)
-                own = own[np.argsort(key[own])]
+                own = own[ranked(key[own], 48)]
                 cut = np.searchsorted(key[own], edges[span[0] : span[1] + 1])
             key, at = key[own], own if at is None else at[own]
             off, row, symbol = t.off[at], t.row[at], t.symbol[at]
             # levels that the text has room for, and one more if it goes on
             levels = np.searchsorted(np.array([before, *steps]), off, side="left").astype(np.uint8)
-            ctx = [(t.contexts(n, at), levels > i) for i, n in enumerate(steps) if n > 1]
+            ctx = []
+            for i, n in enumerate(steps):
+                if n > 1 and len(have := np.flatnonzero(levels > i)):
+                    ctx.append((t.contexts(n, at[have]), np.searchsorted(have, cut)))
             text, train = np.array(keys, np.int64), np.array(learn, np.uint8)
-            for lot, (a, z) in enumerate(zip(cut, cut[1:]), span[0]):
+            for j, (a, z) in enumerate(zip(cut, cut[1:])):
                 if a == z:
                     continue
                 first, size = _runs(key[a:z])
                 seen = np.zeros(len(texts), bool)
                 seen[row[a:z]] = True
                 docs, of = np.flatnonzero(seen), (np.cumsum(seen) - 1)[row[a:z]]
-                found = b"".join(squeeze(c[a:z][ok[a:z]], 6) for c, ok in ctx)
+                found = b"".join(squeeze(c[of_lot[j] : of_lot[j + 1]], 6) for c, of_lot in ctx)
                 rows = of.astype("<u2" if len(docs) <= 65536 else "<u4").tobytes()
-                yield _batch(SENT, [(lot, TOKENS, squeeze(key[a:z][first], 6), size.astype("<u4").tobytes(), squeeze(symbol[a:z], 7), found, levels[a:z].tobytes(), text[docs].tobytes(), train[docs].tobytes(), rows)])
+                yield _batch(SENT, [(span[0] + j, TOKENS, squeeze(key[a:z][first], 6), size.astype("<u4").tobytes(), squeeze(symbol[a:z], 7), found, levels[a:z].tobytes(), text[docs].tobytes(), train[docs].tobytes(), rows)])
 
     return run
 
@@ -405,11 +412,12 @@ class Lot:
                     cols[c].append(r[c])
                 words, docs = words + len(size), docs + more
         raw = lambda c, dtype: np.frombuffer(b"".join(cols.pop(c)), dtype)
+        packed = lambda c, width: eights(b"".join([*cols.pop(c), b"\0" * 8]), width)
         whole = lambda c, dtype: np.concatenate([np.zeros(0, dtype), *cols.pop(c)])
         self.keys, self.word, self.row = whole("keys", U), whole("word", np.int32), whole("rows", np.int32)
         self.levels, self.text, self.learn = raw("levels", np.uint8), raw("texts", np.int64), raw("learn", np.uint8)
-        self.symbols = raw("symbols", np.uint8).reshape(-1, 7)
-        self.raw = [None if first and not k else raw(k, np.uint8).reshape(-1, 6) for k in range(len(steps))]
+        self.symbols = packed("symbols", 7)
+        self.raw = [None if first and not k else packed(k, 6) for k in range(len(steps))]
         self.place: tuple[int, np.ndarray] | None = None
 
     def key(self, at: np.ndarray) -> np.ndarray:
@@ -433,12 +441,6 @@ class Lot:
         return _wide(raw, self.place[1][at])
 
 
-def _wide(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(at), 8), np.uint8)
-    out[:, : raw.shape[1]] = raw[at]
-    return out.view("<u8").ravel()
-
-
 #: Tokens of a lot that a step takes whose work arrays are several times as large.
 STEP = 1 << 18
 #: Tokens of a piece of a lot, on average, that are counted at once. A context's tokens are in one piece.
@@ -492,7 +494,7 @@ def climb(act: np.ndarray, steps: int, context, symbol, learnt, levels: np.ndarr
         after: list[list[np.ndarray]] = [[], [], []]
         for place in _pieces(lambda at: context(k, at), act):
             at = act[place]
-            order = np.argsort(key := _by_step(len(at), lambda s: _entry(context(k, at[s]), symbol(at[s])))).astype(np.int32)
+            order = ranked(key := _by_step(len(at), lambda s: _entry(context(k, at[s]), symbol(at[s])))).astype(np.int32)
             fresh = np.ones(len(at), bool)
             for i in range(1, len(at), STEP):  # no sorted copy of all keys
                 own = order[i - 1 : i + STEP]
@@ -506,7 +508,7 @@ def climb(act: np.ndarray, steps: int, context, symbol, learnt, levels: np.ndarr
             below, sure = look(at[first]) if lp is None else (lp[place[first]], known[place[first]])
             first = at[first]
             own = context(k, first)
-            order = np.argsort(own)
+            order = ranked(own, 48)
             start, size = _runs(own[order])
             of = np.empty(len(own), np.int32)  # the context of each entry
             of[order] = np.repeat(np.arange(len(start), dtype=np.int32), size)
@@ -571,7 +573,7 @@ def _scored(number: int, lots: int, total: int, words: int, cfg: Settings, apart
         if apart:
             # the table has every symbol that stands after the lot's words
             keys = np.concatenate([np.full(len(r["symbols"]) // 7, widen(r["keys"], 6)[0], U) for r in table])
-            order = np.argsort(names := _entry(keys, names))
+            order = ranked(names := _entry(keys, names))
             names = names[order]
             of = order.astype(np.int32)[_by_step(len(every), lambda s: np.searchsorted(names, _entry(lot.key(every[s]), lot.symbol(every[s])))).view(np.int64)]
             root, change = (np.frombuffer(b"".join(r[c] for r in table), np.float64) for c in ("texts", "contexts"))
@@ -585,7 +587,7 @@ def _scored(number: int, lots: int, total: int, words: int, cfg: Settings, apart
 
         elif number == 0:
             count = widen(b"".join(r["contexts"] for r in table), 5).astype(np.float64)
-            order = np.argsort(names)
+            order = ranked(names)
             names, count = names[order], count[order]
 
             def look(at):
@@ -595,7 +597,7 @@ def _scored(number: int, lots: int, total: int, words: int, cfg: Settings, apart
             keys = widen(b"".join(r["keys"] for r in table), 6)
             every = every[np.isin(lot.keys, keys)[lot.word]]  # the filter lets others through as well
             names, value = _entry(keys, names), np.frombuffer(b"".join(r["contexts"] for r in table), np.float64)
-            order = np.argsort(names)
+            order = ranked(names)
             names, value = names[order], value[order]
 
             def look(at):
@@ -619,7 +621,7 @@ def _scored(number: int, lots: int, total: int, words: int, cfg: Settings, apart
         used = np.flatnonzero((score != 0) | (base != 0))
         out = [(SUMS, 0, lot.text[used].tobytes(), hits[used].astype("<u4").tobytes(), base[used].tobytes(), score[used].tobytes())]
         if len(ctx):
-            order = np.argsort(ctx)
+            order = ranked(ctx, 48)
             ctx, symbol, p = ctx[order], symbol[order], p[order]
             cut = np.searchsorted(ctx, edges_of(lots))
             out += [(OPEN, i, squeeze(ctx[a:z], 6), squeeze(symbol[a:z], 7), p[a:z].tobytes(), b"") for i, (a, z) in enumerate(zip(cut, cut[1:])) if a < z]
@@ -643,10 +645,13 @@ def _combined(parts: int):
             for col, name in zip(cols, "abcd"):
                 col += b.column(name).to_pylist()
         keys, hits, base, score = (np.frombuffer(b"".join(x), d) for x, d in zip(cols, (U, "<u4", "<f8", "<f8")))
-        every, of = np.unique(keys, return_inverse=True)
+        order = ranked(keys)
+        first, size = _runs(keys[order])
+        every, of = keys[order[first]], np.empty(len(keys), np.int64)
+        of[order] = np.repeat(np.arange(len(first)), size)
         hits, base, score = (np.bincount(of, x.astype(float), len(every)) for x in (hits, base, score))
         part = (every % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        order = ranked(part, 32)
         first, size = _runs(part[order])
         for at in (order[i : i + k] for i, k in zip(first, size)):
             yield _batch(OUT, [(SUMS, int(part[at[0]]), every[at].tobytes(), hits[at].astype("<u4").tobytes(), base[at].tobytes(), score[at].tobytes())])
