@@ -14,7 +14,7 @@ from another source's share (part ``pair``, summed over all kept terms) or from
    sum f(p, q) = V f(z, z) + sum over p's terms (f(p, z) - f(z, z)) + sum over q's terms (f(z, q) - f(z, z))
    + sum over common terms (f(p, q) - f(p, z) - f(z, q) + f(z, z)).
 
-Numbers stay whole: 64 bits, 38 decimal digits where products are larger.
+Numbers stay whole: 64 bits, 38 decimal digits where products or sums are larger.
 
 Defined cases: null text, lang and source are ''; repeated rows are documents of their own; a group without
 terms or kept terms has its pairs; a language of one source has no pairs; equal values are ranked by the item's UTF-8 bytes; texts of any
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, materialise, mix, shuffle_parts, utf8, word_hashes
+from .common import bounded_batches, distinct, lean, materialise, mix, shuffle_parts, utf8, word_hashes
 
 #: Terms are runs of ASCII letters and bytes above them.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
@@ -55,7 +55,7 @@ class Settings:
     #: Cells of a row of the sketch, as a power of two.
     sketch_bits: int = 23
     #: Different terms that a task gathers before it hands them on.
-    lot: int = 300_000
+    lot: int = 800_000
 
 
 def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -82,7 +82,7 @@ def _sketches(s: Settings):
         for b in batches:
             hashes, counts = word_hashes(b.column("text").to_pylist(), apart=APART)
             for lang, h in zip(b.column("lang").to_pylist(), np.split(hashes, np.cumsum(counts)[:-1])):
-                waiting.append(_of_lang(np.unique(h), lang))
+                waiting.append(_of_lang(distinct(h), lang))
                 n += len(h)
             if n > 1 << 20:
                 fill()
@@ -169,15 +169,26 @@ def _counted(bits, s: Settings):
 
 
 def share(count: Column, total: Column, kept: Column, s: Settings) -> Column:
-    """1 + floor(scale (count + added) / (total + added kept))."""
+    """1 + floor(scale (count + added) / (total + added kept)); in 64 bits where they hold the products."""
     wide = lambda c: c.cast("decimal(28,0)")
-    return F.call_function("div", F.lit(s.scale).cast("decimal(10,0)") * (wide(count) + s.added), wide(total) + wide(kept) * s.added) + 1
+    fits = (count <= F.lit(((1 << 63) - 1) // s.scale - s.added)) & (total <= F.lit(1 << 61)) & (kept <= F.lit((1 << 61) // max(1, s.added)))
+    short = F.call_function("div", F.lit(s.scale).cast("bigint") * (count + s.added), total + kept * s.added)
+    return F.when(fits, short).otherwise(F.call_function("div", F.lit(s.scale).cast("decimal(10,0)") * (wide(count) + s.added), wide(total) + wide(kept) * s.added)) + 1
 
 
 def distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def halves(value: Column, name: str) -> tuple[Column, Column]:
+    """The sum of whole numbers as those of their upper and lower 32 bits: ``joined`` is more than 64 bits hold."""
+    return F.sum(F.shiftright(value, 32)).alias(f"{name}_upper"), F.sum(value.bitwiseAND(F.lit((1 << 32) - 1))).alias(f"{name}_lower")
+
+
+def joined(name: str) -> Column:
+    return F.col(f"{name}_upper").cast("decimal(28,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(f"{name}_lower").cast("decimal(38,0)")
+
+
 def term_counts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(lang, source, term, n, all_n): each kept term of a language in each source that has it, with its
     occurrences there and in the language. ``docs`` has lang, source and text as bytes."""
@@ -232,8 +243,8 @@ def divergence(docs: DataFrame, settings: Settings = Settings(), *, text_col: st
         px, zx, py, zy = (F.col(c) for c in (f"{x}.p", f"{x}.zero", f"{y}.p", f"{y}.zero"))
         return distance(px, py) - distance(px, zy) - distance(zx, py) + distance(zx, zy)
 
-    both = met.groupBy("lang", F.col("a.source").alias("a"), F.col("b.source").alias("b")).agg(F.sum(wide(common("a", "b"))).alias("ab"), F.sum(wide(common("b", "a"))).alias("ba"))
-    both = both.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item"), F.col("ab").alias("value")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"), F.col("ba").alias("value")))).alias("x")).select("lang", "x.*")
+    both = met.groupBy("lang", F.col("a.source").alias("a"), F.col("b.source").alias("b")).agg(*halves(common("a", "b"), "ab"), *halves(common("b", "a"), "ba"))
+    both = both.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item"), wide(joined("ab")).alias("value")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"), wide(joined("ba")).alias("value")))).alias("x")).select("lang", "x.*")
     summed = start.unionByName(own).unionByName(others).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").cast("bigint").alias("value"))
     paired = summed.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(order))
     return paired.unionByName(told).select(*(F.col(c).cast("string").alias(c) for c in ("lang", "source", "part", "item")), "value", "rank")
