@@ -55,7 +55,7 @@ class Settings:
     #: Cells of a row of the sketch, as a power of two.
     sketch_bits: int = 23
     #: Different terms that a task gathers before it hands them on.
-    lot: int = 800_000
+    lot: int = 300_000
 
 
 def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
